@@ -7,8 +7,9 @@ travel together as one stretch of text. Groups whose suffixes all stem from one
 left out before any text moves. A group of up to GROUP stretches becomes the top of a suffix tree in the memory of
 one task: the nodes at depth 1, 2, 4, ... ``width`` are named level by level (prefix doubling on word numbers, no
 hashes), and the nodes at depth ``width`` that hold suffixes of more than one document are the deep internal nodes.
-The prefix of larger groups is extended to all ``width`` words, where a group is a single deep node: what is left
-of its subtree is the smallest document, which an aggregation with map-side combine gives however hot it is.
+A larger group is dealt out to parts of that size. Each part names its deep nodes by the whole prefix; an
+aggregation with map-side combine gives a node's smallest document over all parts, however hot it is, and that goes
+back to the parts.
 Maximal repeats are the unions of the windows below deep nodes.
 """
 
@@ -17,15 +18,18 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import BLOCK, arrow, bounds, cut, flat, grams, partitions, signed, span_hashes, text_key, window_minima
 
 WIDTH = 50
 SEED = 8
-GROUP = 512
+#: Stretches of text (of some 70 words) in a group that one task holds: a few MB.
+GROUP = 1 << 14
 
 
 def _stretches(part: pa.RecordBatch, width: int, seed: int):
@@ -38,13 +42,14 @@ def _stretches(part: pa.RecordBatch, width: int, seed: int):
     at = window_minima(signature, width - seed + 1)
     inside = np.flatnonzero(row[: len(at)] == row[len(hashes) - len(at) :]) if len(at) else np.zeros(0, np.int64)
     at = at[inside]
+    keys = signature[at] if len(at) else np.zeros(0, np.uint64)
     new = np.ones(len(at), dtype=bool)
     if len(at):
-        new[1:] = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1] + 1)
+        # By the signature and not its place: in a run of one repeated word each suffix selects a place of its own.
+        new[1:] = (keys[1:] != keys[:-1]) | (inside[1:] != inside[:-1] + 1)
     heads = np.flatnonzero(new)
     sizes = np.diff(np.concatenate((heads, [len(at)])))
-    lead = inside[heads]
-    keys = signature[at[heads]] if len(heads) else np.zeros(0, np.uint64)
+    lead, keys = inside[heads], keys[heads]
     return data, starts, ends, first, hashes, row[lead] if len(lead) else np.zeros(0, np.int64), signed(keys), lead, sizes
 
 
@@ -143,13 +148,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, grou
                 yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(at), part.column(1).take(at), pa.array((lead - first[row]).astype(np.int32)), pa.array(sizes.astype(np.int32))], names=["key", "doc_id", "_row_key", "w0", "n"])
 
     found = arrow(base, scan, "key long, doc_id long, _row_key long, w0 int, n int")
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", (F.col("size") > group).alias("hot"))
-    wanted = found.join(shared, "key").groupBy("doc_id", "_row_key").agg(F.collect_set(F.struct("key", "w0", "n", "hot")).alias("wanted"))
-
-    def texts(hot: bool) -> DataFrame:
-        some = wanted.withColumn("wanted", F.filter("wanted", lambda x: x["hot"] == F.lit(hot))).where("size(wanted) > 0")
-        some = some.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row_key", "_key")
-        return base.join(some, (base["doc_id"] == some["_id"]) & (base["_row_key"] == some["_key"])).select("doc_id", "_row_key", "text", "wanted")
+    shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", F.ceil(F.col("size") / group).cast("int").alias("subs"))
+    wanted = found.join(shared, "key").groupBy("doc_id", "_row_key").agg(F.collect_set(F.struct("key", "w0", "n", "subs")).alias("wanted"))
 
     def send(batches):
         for batch in batches:
@@ -165,11 +165,16 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, grou
                 raw = data.tobytes()
                 sent = pa.array([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())
                 at = pa.array(row)
-                out = pa.RecordBatch.from_arrays([wins.field("key"), part.column(0).take(at), part.column(1).take(at), pa.array(w0), sent], names=["key", "doc_id", "_row_key", "w0", "text"])
+                out = pa.RecordBatch.from_arrays([wins.field("key"), part.column(0).take(at), part.column(1).take(at), pa.array(w0), sent, wins.field("subs")], names=["key", "doc_id", "_row_key", "w0", "text", "subs"])
                 yield from cut(out, "text")
 
-    cold = arrow(texts(False), send, "key long, doc_id long, _row_key long, w0 long, text binary")
-    cold = cold.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    def texts(hot: bool) -> DataFrame:
+        some = wanted.withColumn("wanted", F.filter("wanted", lambda x: (x["subs"] > 1) == F.lit(hot))).where("size(wanted) > 0")
+        some = some.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row_key", "_key")
+        joined = base.join(some, (base["doc_id"] == some["_id"]) & (base["_row_key"] == some["_key"])).select("doc_id", "_row_key", "text", "wanted")
+        return arrow(joined, send, "key long, doc_id long, _row_key long, w0 long, text binary, subs int")
+
+    cold = texts(False).repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
 
     def grow(batches):
         for table in _whole_groups(batches):
@@ -177,28 +182,42 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, grou
 
     runs = arrow(cold, grow, "doc_id long, _row_key long, w0 long, n long")
 
-    def extend(batches):
-        for batch in batches:
-            for part in cut(batch, "text"):
-                data, off = flat(part.column(2))
-                starts, ends, first = bounds(data, off)
-                hashes = span_hashes(data, starts, ends)
-                other = span_hashes(data, starts, ends, 2)
-                k1, k2 = grams(hashes, width, 1), grams(other, width, 2)
-                lists = part.column(3)
-                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                wins = lists.flatten()
-                w0, n = wins.field("w0").to_numpy().astype(np.int64), wins.field("n").to_numpy().astype(np.int64)
-                owner = np.repeat(np.arange(len(n)), n)
-                place = w0[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = first[row[owner]] + place
-                rows = pa.array(row[owner])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(k1[at])), pa.array(signed(k2[at])), part.column(0).take(rows), part.column(1).take(rows), pa.array(place)], names=["k1", "k2", "doc_id", "_row_key", "w0"])
-
-    hot = arrow(texts(True), extend, "k1 long, k2 long, doc_id long, _row_key long, w0 long")
-    least = hot.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k1", "k2", "lo")
-    later = hot.join(least, ["k1", "k2"]).where("doc_id > lo").select("doc_id", "_row_key", "w0", F.lit(1).cast("long").alias("n"))
-    return runs.union(later).groupBy("doc_id", "_row_key").agg(F.collect_list(F.struct("w0", "n")).alias("runs"))
+    # Large groups: parts of about ``group`` stretches each name their own deep nodes by two hashes of the whole prefix;
+    # the smallest document of a node over all parts goes back to the parts that hold it.
+    hot = texts(True).withColumn("sub", F.pmod(F.xxhash64("doc_id", "_row_key", "w0"), F.col("subs")).cast("int")).select("key", "sub", "doc_id", "_row_key", "w0", "text")
+
+    def windows(frame: pd.DataFrame) -> pd.DataFrame:
+        data, off = flat(pa.array(frame["text"], pa.binary()))
+        starts, ends, first = bounds(data, off)
+        row = np.repeat(np.arange(len(frame)), np.diff(first))
+        count = max(0, len(row) - width + 1)
+        at = np.flatnonzero(row[:count] == row[len(row) - count :])
+        k1 = grams(span_hashes(data, starts, ends), width, 1)[at]
+        k2 = grams(span_hashes(data, starts, ends, 2), width, 2)[at]
+        return pd.DataFrame({"k1": signed(k1), "k2": signed(k2), "row": row[at], "o": at - first[row[at]], "doc": frame["doc_id"].to_numpy()[row[at]]})
+
+    def name(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes = windows(frame).groupby(["k1", "k2"], sort=False)["doc"].agg(["min", "max"]).reset_index()
+        return nodes.rename(columns={"min": "lo", "max": "hi"}).assign(key=frame["key"].iloc[0], sub=frame["sub"].iloc[0])[["key", "sub", "k1", "k2", "lo", "hi"]]
+
+    def mark(frame: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(nodes):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "_row_key", "w0", "n")})
+        hit = windows(frame).merge(nodes[["k1", "k2", "least"]], on=["k1", "k2"])
+        hit = hit[hit["least"] < hit["doc"]].sort_values(["row", "o"])
+        row, o = hit["row"].to_numpy(), hit["o"].to_numpy()
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (o[1:] != o[:-1] + 1)
+        heads = np.flatnonzero(new)
+        of = frame.iloc[row[heads]]
+        return pd.DataFrame({"doc_id": of["doc_id"].to_numpy(), "_row_key": of["_row_key"].to_numpy(), "w0": of["w0"].to_numpy() + o[heads], "n": np.diff(np.concatenate((heads, [len(row)])))})
+
+    ship(docs.sparkSession)
+    named = hot.groupBy("key", "sub").applyInPandas(name, "key long, sub int, k1 long, k2 long, lo long, hi long")
+    least = named.groupBy("k1", "k2").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("k1", "k2", "least")
+    back = named.join(least, ["k1", "k2"]).where("hi > least").select("key", "sub", "k1", "k2", "least")
+    marked = hot.groupBy("key", "sub").cogroup(back.groupBy("key", "sub")).applyInPandas(mark, "doc_id long, _row_key long, w0 long, n long")
+    return runs.union(marked).groupBy("doc_id", "_row_key").agg(F.collect_list(F.struct("w0", "n")).alias("runs"))
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
