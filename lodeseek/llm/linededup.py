@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, flat, grams, signed, span_hashes, text_key, window_minima
+from .common import arrow, cut, flat, grams, signed, span_hashes, window_minima
 
 RUN = 3
 _TRIM = b" \t\r\x0b\x0c"
@@ -87,12 +87,14 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     ordered by a hash of their text; a fully repeated row counts as the same place and keeps its lines.
     Columns of docs named n_lines or n_removed are replaced.
     """
-    docs = text_key(docs.drop("n_lines", "n_removed"))
-    columns = [c for c in docs.columns if c != "_row_key"]
-    some = docs.where("doc_id is not null")
-    hits = repeated_windows(some, run).withColumnRenamed("doc_id", "_id").withColumnRenamed("_row_key", "_key")
-    joined = some.join(hits, (some["doc_id"] == hits["_id"]) & (some["_row_key"] == hits["_key"]), "left").select(*columns, "starts")
-    joined = joined.unionByName(docs.where("doc_id is null").select(*columns, F.lit(None).cast("array<int>").alias("starts")))
+    docs = docs.drop("n_lines", "n_removed")
+    columns = docs.columns
+    keyed = docs.withColumn("__row_key", F.xxhash64("text"))
+    some = keyed.where("doc_id is not null")
+    hits = repeated_windows(some.select("doc_id", F.col("__row_key").alias("_row_key"), "text"), run)
+    hits = hits.select(F.col("doc_id").alias("__id"), F.col("_row_key").alias("__key"), F.col("starts").alias("__starts"))
+    joined = some.join(hits, (some["doc_id"] == hits["__id"]) & (some["__row_key"] == hits["__key"]), "left").select(*columns, "__starts")
+    joined = joined.unionByName(docs.where("doc_id is null").select(*columns, F.lit(None).cast("array<int>").alias("__starts")))
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_lines long, n_removed long"
 

@@ -171,16 +171,16 @@ def pseudonymise(docs: DataFrame, key: str = "set-your-own-key") -> DataFrame:
 
     Whole texts. A null text stays null with 0 replaced; texts without personal data stay byte for byte. Card
     numbers that fail the Luhn test and dates that are not in the calendar are left alone. A day-first date is read
-    as such wherever that is valid; month-first dates stay. Columns of docs named n_pii or _found are replaced.
+    as such wherever that is valid; month-first dates stay. A column of docs named n_pii is replaced.
     """
-    columns = [c for c in docs.columns if c not in ("n_pii", "_found")]
+    columns = [c for c in docs.columns if c != "n_pii"]
     text = F.col("text").cast("string")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(*columns, found.alias("_found"))
-    some = F.size("_found") > 0
-    rows = rows.withColumn("_new", F.when(some, F.transform("_found", lambda m: pseudonym(m, key))).otherwise(F.array().cast("array<string>")))
+    rows = docs.select(*columns, found.alias("__found"))
+    some = F.size("__found") > 0
+    rows = rows.withColumn("__new", F.when(some, F.transform("__found", lambda m: pseudonym(m, key))).otherwise(F.array().cast("array<string>")))
     parts = F.split(text, PATTERN, -1)
-    joined = F.concat_ws("", F.flatten(F.zip_with(parts, F.col("_new"), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))))
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    joined = F.concat_ws("", F.flatten(F.zip_with(parts, F.col("__new"), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))))
+    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
     out = {"text": F.when(some, joined).otherwise(text)}
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in columns], F.coalesce(F.when(some, changed), F.lit(0)).cast("long").alias("n_pii"))
