@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, cut, flat
-from .tokens import ChunkEncoder, rank_tokenizer, read_ranks
+from .tokens import SLICE, ChunkEncoder, rank_tokenizer, read_ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -60,7 +60,7 @@ def encode(docs: DataFrame, path: str | None = None, with_offsets: bool = False)
     def run(batches):
         coder = encoder(path)
         for batch in batches:
-            for part in cut(batch, "text"):
+            for part in cut(batch, "text", SLICE):
                 ids, first, *_ = coder.batch(*flat(part.column(1)))
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 arrays, names = [part.column(0), lists], ["doc_id", "ids"]
@@ -93,7 +93,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         coder, digits = encoder(path), [b"%d" % i for i in range(len(_bytes_of(path)))]
         for batch in batches:
-            for part in cut(batch, "text"):
+            for part in cut(batch, "text", SLICE):
                 ids, first, *_ = coder.batch(*flat(part.column(1)))
                 made, back = [], []
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

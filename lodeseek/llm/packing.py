@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .common import arrow, cut, flat
-from .tokens import ChunkEncoder, file_tokenizer
+from .tokens import SLICE, ChunkEncoder, file_tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     def run(batches):
         coder = encoder(path)
         for batch in batches:
-            for part in cut(batch, "text"):
+            for part in cut(batch, "text", SLICE):
                 ids, first, *_ = coder.batch(*flat(part.column(2)))
                 ids = np.insert(ids.astype("<u4"), first[1:], END)
                 first = first + np.arange(len(first))
