@@ -5,6 +5,8 @@ Words are ``[^\\x20\\x09-\\x0D]+`` throughout: runs without ASCII white space.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 
 #: Bytes of text that the numpy code handles at once; one longer document is hashed in blocks of this size.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -39,7 +41,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow of a function that uses this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(run, schema)
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -100,24 +100,25 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     def apply(batches):
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            texts, starts = batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            n_lines, n_removed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for i, (text, hit) in enumerate(zip(texts, starts, strict=True)):
-                if text is None:
-                    continue
-                n_lines[i] = text.count("\n") + 1
-                if hit:
-                    lines, full = _lines(text.encode())
-                    gone = _removed(len(full), hit, run)
-                    drop = {full[k] for k in gone.tolist()}
-                    for a, b in zip(gone[:-1].tolist(), gone[1:].tolist(), strict=True):
-                        if b == a + 1:
-                            drop.update(range(full[a], full[b]))
-                    texts[i] = b"\n".join(x for k, x in enumerate(lines) if k not in drop).decode()
-                    n_removed[i] = len(drop)
-            arrays = [*batch.columns[:-1], pa.array(n_lines), pa.array(n_removed)]
-            arrays[place] = pa.array(texts, batch.column(place).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_lines", "n_removed"])
+            for part in cut(batch, "text"):
+                place = part.schema.get_field_index("text")
+                texts, starts = part.column(place).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+                n_lines, n_removed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+                for i, (text, hit) in enumerate(zip(texts, starts, strict=True)):
+                    if text is None:
+                        continue
+                    n_lines[i] = text.count("\n") + 1
+                    if hit:
+                        lines, full = _lines(text.encode())
+                        gone = _removed(len(full), hit, run)
+                        drop = {full[k] for k in gone.tolist()}
+                        for a, b in zip(gone[:-1].tolist(), gone[1:].tolist(), strict=True):
+                            if b == a + 1:
+                                drop.update(range(full[a], full[b]))
+                        texts[i] = b"\n".join(x for k, x in enumerate(lines) if k not in drop).decode()
+                        n_removed[i] = len(drop)
+                arrays = [*part.columns[:-1], pa.array(n_lines), pa.array(n_removed)]
+                arrays[place] = pa.array(texts, part.column(place).type)
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_lines", "n_removed"])
 
     return arrow(joined, apply, schema)
