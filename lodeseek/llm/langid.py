@@ -121,18 +121,34 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _below(bounds: dict, value):
+    """Whether a row's h is at most its lang's bound."""
+    out = F.lit(False)
+    for lang, bound in bounds.items():
+        out = out | ((F.col("lang") == lang) & (F.col("h") <= F.lit(value(bound))))
+    return out
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fits a model on at most ``sample`` rows of each language, outside the held-out part; None if there is no labelled row."""
     usable = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out())
-    keyed = usable.select("lang", F.xxhash64("doc_id").alias("h"))
-    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
-    limits = ranked.groupBy("lang").agg(F.max("h").alias("top"), F.count("*").alias("n"))
-    bound = {r["lang"]: r["top"] for r in limits.collect()}
-    if not bound:
+    total = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not total:
         return None
-    chosen = F.lit(False)
-    for lang, top in bound.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= top))
+    keyed = usable.select("lang", F.xxhash64("doc_id").alias("h"))
+    # About twice the sample passes a bound on the hash, so that ranking meets few rows of a language however many there
+    # are; where repeated ids leave too few, the bound is loosened.
+    loose = 1
+    while True:
+        ends = {lang: min(1.0, loose * (2 * sample + 64) / n) for lang, n in total.items()}
+        low = keyed.where(_below(ends, lambda share: min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))))
+        ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
+        bound = {r["lang"]: (r["top"], r["n"]) for r in ranked.groupBy("lang").agg(F.max("h").alias("top"), F.count("*").alias("n")).collect()}
+        if all(lang in bound and bound[lang][1] >= min(sample, n) for lang, n in total.items()) or all(share == 1 for share in ends.values()):
+            break
+        loose *= 16
+    usable = usable.withColumn("h", F.xxhash64("doc_id"))
+    chosen = _below(bound, lambda of: of[0])
 
     def features(batches):
         for batch in batches:
@@ -142,7 +158,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                     x = ngram_shares(*flat(few.column(2))).astype(np.float32)
                     yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
 
-    rows = arrow(usable.where(chosen).select("lang", F.xxhash64("doc_id").alias("h"), "text"), features, "lang string, h long, x binary")
+    rows = arrow(usable.where(chosen).select("lang", "h", "text"), features, "lang string, h long, x binary")
     rows = rows.orderBy("lang", "h", "x").limit(2 * sample * len(bound)).collect()
     x = np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(len(rows), BUCKETS).astype(np.float64)
     order = np.argsort([hash_order(r["h"]) for r in rows], kind="stable")

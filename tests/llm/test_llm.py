@@ -252,3 +252,12 @@ def test_feistel_permutes(spark):
     t = spark.range(1000).select("id", F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
     new = {r["x"] for r in t.select(pii.permute(F.col("s"), pii.DIGITS, "k", F.lit("t")).alias("x")).collect()}
     assert len(new) == 1000 and all(re.fullmatch("[0-9]{3}", x) for x in new)
+
+
+def test_language_sample_bound(spark):
+    """The bound on the hash changes nothing: with few, many and repeated ids the rows of the least hashes are fitted on."""
+    rows = [(i, "ba be " + str(i), "aa") for i in range(3000)] + [(7, "kra kre", "bb")] * 500 + [(9000 + i, "zul zum", "cc") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.train(table, sample=20)
+    assert model.languages == (["aa", "bb", "cc"] if zlib.crc32(b"7") % 4 != 2 else ["aa", "cc"])
+    assert {r["lang_pred"] for r in langid.identify(table.where("lang = 'aa'"), model).collect()} == {"aa"}
