@@ -51,6 +51,13 @@ def arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, size: int = 8 * BLOCK) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch to ``size``, so that long texts make batches of fewer rows; a lower limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).removesuffix("b")) <= size:
+        spark.conf.set(key, str(size))
+
+
 def tidy() -> None:
     """Gives freed memory back to the system: a worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()

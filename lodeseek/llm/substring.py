@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import BLOCK, arrow, bounds, cut, flat, grams, partitions, signed, span_hashes, text_key, window_minima
+from .common import BLOCK, arrow, bounds, cut, flat, grams, partitions, signed, small_batches, span_hashes, text_key, window_minima
 
 WIDTH = 50
 SEED = 8
@@ -228,6 +228,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, seed: int = SEED, grou
     words; texts under ``width`` words lose none. Rows that share a doc_id are one document: they never remove each
     other's words. Rows with a null doc_id are neither compared nor changed; repeated rows are each returned.
     """
+    small_batches(docs.sparkSession)
     docs = text_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     some = docs.where("doc_id is not null")
     hits = repeated_windows(some, width, seed, group).withColumnRenamed("doc_id", "_id").withColumnRenamed("_row_key", "_key")
