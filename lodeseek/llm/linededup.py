@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, flat, grams, signed, span_hashes, window_minima
+from .common import arrow, cut, flat, grams, signed, small_batches, span_hashes, window_minima
 
 RUN = 3
 _TRIM = b" \t\r\x0b\x0c"
@@ -87,6 +87,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     ordered by a hash of their text; a fully repeated row counts as the same place and keeps its lines.
     Columns of docs named n_lines or n_removed are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
     keyed = docs.withColumn("__row_key", F.xxhash64("text"))
