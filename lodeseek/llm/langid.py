@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, flat
+from .common import arrow, cut, flat, tidy
 
 UNKNOWN = "und"
 BUCKETS = 4096
@@ -160,9 +160,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     rows = arrow(usable.where(chosen).select("lang", "h", "text"), features, "lang string, h long, x binary")
     rows = rows.orderBy("lang", "h", "x").limit(2 * sample * len(bound)).collect()
-    x = np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(len(rows), BUCKETS).astype(np.float64)
-    order = np.argsort([hash_order(r["h"]) for r in rows], kind="stable")
-    return fit_model(x[order], [rows[i]["lang"] for i in order])
+    rows.sort(key=lambda r: hash_order(r["h"]))
+    names, x = [r["lang"] for r in rows], np.empty((len(rows), BUCKETS))
+    for i in range(len(rows)):
+        x[i] = np.frombuffer(rows[i]["x"], dtype=np.float32)
+        rows[i] = None
+    model = fit_model(x, names)
+    del x
+    tidy()
+    return model
 
 
 def hash_order(h: int) -> int:
