@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import corpus_pipeline
 
 
@@ -22,3 +25,31 @@ def test_stages(spark, tmp_path):
             assert "a.bc12@mail.example" not in at.where("doc_id = 3").first()["text"]
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert run.exceptAll(at).count() == 0 and run.count() == at.count()
+
+
+def _shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_simhash_dedup_reaches_similarity_08(spark):
+    rng, texts = random.Random(4), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(20, 300))]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(1, max(1, len(copy) // 40))):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    texts += [texts[0].upper(), "a b", "A  b", "a c"]
+    sets = [_shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+            old, new = max(group[i], group[j]), min(group[i], group[j])
+            group = [new if g == old else g for g in group]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
+    kept = [r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([None, *set(group)], key=str) and len(set(group)) < len(texts) - 40
