@@ -6,6 +6,10 @@ same line: the fingerprints guarantee that no repeated run of ``run`` lines is m
 one position only are dropped; at the others the windows around them are compared (the match is extended to both
 sides) and those that occur at an earlier position, by (doc_id, line), are deleted. A maximal repeated run is the
 union of its windows.
+
+With ``words`` (the pipeline's setting; op5 is bound to its SQL, which knows runs of lines only) shorter runs count by
+their content: a window of fewer lines that holds ``words`` words, and a whole document of fewer lines, which is held
+against whole documents only.
 """
 
 from __future__ import annotations
@@ -15,9 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, flat, grams, signed, small_batches, span_hashes, window_minima
+from .common import arrow, bounds, cut, flat, grams, signed, small_batches, span_hashes, window_minima
 
 RUN = 3
+#: Words by which a run of fewer than RUN lines counts in the pipeline.
+CONTENT = 50
+#: A window's number in ``starts``: its first line times SPAN, and its length in lines.
+SPAN = 16
 _TRIM = b" \t\r\x0b\x0c"
 
 
@@ -27,8 +35,8 @@ def _lines(text: bytes) -> tuple[list[bytes], list[int]]:
     return lines, [i for i, x in enumerate(lines) if x.strip(_TRIM)]
 
 
-def _windows(batch: pa.RecordBatch, run: int) -> pa.RecordBatch:
-    """A row for each selected line: its fingerprint, and the windows that selected it with two hashes each."""
+def _windows(batch: pa.RecordBatch, run: int, words: int | None) -> pa.RecordBatch:
+    """A row for each selected line: its fingerprint, and the windows that selected it with two hashes each. Shorter windows that count by their content have a row each."""
     stripped, counts = [], []
     for text in batch.column(2).cast(pa.binary()).to_pylist():
         full = [y for x in (text or b"").split(b"\n") if (y := x.strip(_TRIM))]
@@ -40,25 +48,41 @@ def _windows(batch: pa.RecordBatch, run: int) -> pa.RecordBatch:
     row = np.repeat(np.arange(len(counts)), counts)
     first = np.concatenate(([0], np.cumsum(counts)))
     inside = np.flatnonzero(row[: len(at)] == row[len(hashes) - len(at) :]) if len(at) else np.zeros(0, np.int64)
-    at, k1, k2 = at[inside], grams(hashes, run, 1), grams(hashes, run, 2)
+    at, k1, k2 = at[inside], grams(hashes, run, 1)[inside], grams(hashes, run, 2)[inside]
     new = np.concatenate(([True], at[1:] != at[:-1])) if len(at) else np.zeros(0, bool)
     heads = np.flatnonzero(new)
-    lists = np.concatenate((heads, [len(at)])).astype(np.int32)
-    structs = pa.StructArray.from_arrays([pa.array((inside - first[row[inside]]).astype(np.int32)), pa.array(signed(k1[inside])), pa.array(signed(k2[inside]))], names=["s", "k1", "k2"])
-    rows = row[at[heads]] if len(heads) else np.zeros(0, np.int64)
+    fps, rows = [hashes[at[heads]]], [row[at[heads]]]
+    starts, keys1, keys2, lists = [(inside - first[row[inside]]) * SPAN + run], [k1], [k2], [heads]
+    for length in range(1, run) if words is not None and len(hashes) else ():
+        total = np.concatenate(([0], np.cumsum(np.diff(bounds(data, off)[2]))))
+        i = np.arange(max(0, len(hashes) - length + 1))
+        i = i[row[i] == row[i + length - 1]]
+        whole = np.asarray(counts)[row[i]] == length
+        j1, j2 = grams(hashes, length, 1), grams(hashes, length, 2)
+        for some, mark in ((i[total[i + length] - total[i] >= words], 2 * length), (i[whole & (total[i + length] - total[i] < words)], 2 * length + 1)):
+            salt = np.uint64(mark * 0x9E3779B97F4A7C15 % (1 << 64))
+            lists.append(sum(map(len, starts)) + np.arange(len(some)))
+            starts.append((some - first[row[some]]) * SPAN + length)
+            keys1.append(j1[some] + salt)
+            keys2.append(j2[some] + salt)
+            fps.append(j1[some] + salt)
+            rows.append(row[some])
+    rows = pa.array(np.concatenate(rows))
+    structs = pa.StructArray.from_arrays([pa.array(np.concatenate(starts).astype(np.int32)), pa.array(signed(np.concatenate(keys1))), pa.array(signed(np.concatenate(keys2)))], names=["s", "k1", "k2"])
+    ends = np.concatenate((*lists, [len(structs)])).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(signed(hashes[at[heads]]) if len(heads) else np.zeros(0, np.int64)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(lists), structs)],
+        [pa.array(signed(np.concatenate(fps))), batch.column(0).take(rows), batch.column(1).take(rows), pa.ListArray.from_arrays(pa.array(ends), structs)],
         names=["fp", "doc_id", "_row_key", "wins"],
     )
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, _row_key, starts array<int>): the windows of docs (with _row_key) that occur earlier, by the number of their first full line."""
+def repeated_windows(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, _row_key, starts array<int>): the windows of docs (with _row_key) that occur earlier, by the number of their first full line and their length (see SPAN)."""
 
     def scan(batches):
         for batch in batches:
             for part in cut(batch, "text"):
-                yield _windows(part, run)
+                yield _windows(part, run, words)
 
     schema = "fp long, doc_id long, _row_key long, wins array<struct<s:int,k1:long,k2:long>>"
     found = arrow(docs.select("doc_id", "_row_key", "text"), scan, schema)
@@ -70,18 +94,20 @@ def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
     return later.groupBy("doc_id", "_row_key").agg(F.collect_set("s").alias("starts"))
 
 
-def _removed(full: int, starts: list[int], run: int) -> np.ndarray:
+def _removed(full: int, starts: list[int]) -> np.ndarray:
     covered = np.zeros(full + 1, dtype=np.int64)
-    np.add.at(covered, starts, 1)
-    np.add.at(covered, np.asarray(starts) + run, -1)
+    at, length = np.divmod(np.asarray(starts), SPAN)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + length, -1)
     return np.flatnonzero(np.cumsum(covered[:-1]) > 0)
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with the repeated runs taken out of text, and the columns n_lines and n_removed after the others.
 
     A line is removed if a window of ``run`` consecutive full lines covers it that also stands, line for line (white
-    space at line ends aside), at an earlier (doc_id, line). Windows are judged on the input. Blank lines are never
+    space at line ends aside), at an earlier (doc_id, line). With ``words`` so do shorter windows of that many words,
+    and whole documents of fewer than ``run`` full lines that an earlier document equals. Windows are judged on the input. Blank lines are never
     compared: they stay, but those inside a removed run go. Texts without a repeated run are unchanged; a null text
     stays null with 0 lines. Rows with a null doc_id are neither compared nor changed. Rows that share a doc_id are
     ordered by a hash of their text; a fully repeated row counts as the same place and keeps its lines.
@@ -92,7 +118,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     columns = docs.columns
     keyed = docs.withColumn("__row_key", F.xxhash64("text"))
     some = keyed.where("doc_id is not null")
-    hits = repeated_windows(some.select("doc_id", F.col("__row_key").alias("_row_key"), "text"), run)
+    hits = repeated_windows(some.select("doc_id", F.col("__row_key").alias("_row_key"), "text"), run, words)
     hits = hits.select(F.col("doc_id").alias("__id"), F.col("_row_key").alias("__key"), F.col("starts").alias("__starts"))
     joined = some.join(hits, (some["doc_id"] == hits["__id"]) & (some["__row_key"] == hits["__key"]), "left").select(*columns, "__starts")
     joined = joined.unionByName(docs.where("doc_id is null").select(*columns, F.lit(None).cast("array<int>").alias("__starts")))
@@ -111,7 +137,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
                     n_lines[i] = text.count("\n") + 1
                     if hit:
                         lines, full = _lines(text.encode())
-                        gone = _removed(len(full), hit, run)
+                        gone = _removed(len(full), hit)
                         drop = {full[k] for k in gone.tolist()}
                         for a, b in zip(gone[:-1].tolist(), gone[1:].tolist(), strict=True):
                             if b == a + 1:

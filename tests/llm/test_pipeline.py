@@ -2,6 +2,7 @@ import itertools
 import random
 
 import corpus_pipeline
+from lodeseek.llm import linededup
 
 
 def test_stages(spark, tmp_path):
@@ -53,3 +54,15 @@ def test_simhash_dedup_reaches_similarity_08(spark):
     docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
     kept = [r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([None, *set(group)], key=str) and len(set(group)) < len(texts) - 40
+
+
+def test_line_dedup_counts_short_runs_by_content(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    half = [" ".join(f"{c}{i}" for i in range(25)) for c in "ab"]
+    rows = [(1, f"one\n{long}\ntwo"), (2, f"three\n {long} "), (3, long), (4, "few words"), (5, "few words\n"), (6, "x\nfew words"), (7, "\n".join([*half, "tail"])), (8, "\n".join(["head", *half])), (9, half[0] + "\nother"), (10, "p\nq"), (11, "p\n\nq"), (12, "p"), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    want = dict(rows) | {2: "three", 8: "head"}
+    assert got == {k: t for k, t in want.items() if k not in (3, 5, 11)}
+    plain = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert plain == dict(rows)
