@@ -25,7 +25,7 @@ def query_metrics(results: DataFrame, qrels: DataFrame, ndcg_k: int = 10, recall
     found = F.sum(F.when(F.col("rank") <= recall_k, F.col("hit")).otherwise(0)).alias("found")
     sums = hits.groupBy(*by, "query_id").agg(gain, found)
     if by:
-        judged = results.select(*by).distinct().crossJoin(F.broadcast(judged.limit(1_000_000)))
+        judged = F.broadcast(results.select(*by).distinct()).crossJoin(judged)
     rows = judged.join(sums, [*by, "query_id"], "left")
     ndcg = F.coalesce(F.col("dcg"), F.lit(0.0)) / _ideal(F.col("n_rel"), ndcg_k)
     return rows.select(*by, "query_id", ndcg.alias("ndcg"), (F.coalesce(F.col("found"), F.lit(0)) / F.col("n_rel")).alias("recall"))

@@ -119,3 +119,11 @@ def test_storage_and_stream(spark, tmp_path):
 def test_query_encoder_pads(spark):
     q = spark.createDataFrame([(1, "a b"), (2, "w " * 50)], "query_id long, text string")
     assert [r["count"] for r in encode.encode_queries(q, augment=True).groupBy("query_id").count().collect()] == [30, 30]
+
+
+def test_metrics_by_settings_keep_every_judged_query(spark):
+    n = 1_000_003
+    qrels = spark.range(n).select(F.col("id").alias("query_id"), F.lit(1).alias("doc_id"), F.lit(1).alias("relevance"))
+    results = spark.createDataFrame([(2, 0, 1, 1.0, 1), (8, 0, 1, 1.0, 1)], "nprobe int, query_id long, doc_id int, score double, rank int")
+    got = evaluate.query_metrics(results, qrels, by=("nprobe",)).groupBy("nprobe").count().collect()
+    assert sorted(map(tuple, got)) == [(2, n), (8, n)]
