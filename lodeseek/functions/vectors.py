@@ -49,11 +49,6 @@ def subvector(v: Column, m: Column | int, size: int) -> Column:
     return F.slice(v, m * size + 1, F.lit(size))
 
 
-def project(v: Column, matrix: list[list[float]]) -> Column:
-    """v times a matrix given by its columns, without bias."""
-    return F.array(*[dot(v, F.array(*[F.lit(float(x)) for x in column])) for column in matrix])
-
-
 def check_parts(dim: int, parts: int) -> int:
     """Components in each part; a part count that does not divide the dimension is an error."""
     if parts <= 0 or dim % parts:

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import ship
+from .blocks import appended, arrow
+from .lazy import Lazy, loaded
+from .text import tokenized
 
 
 class Encoder(Protocol):
-    """Loaded once for each Python worker and partition; vectors of a token list, one row each."""
+    """Vectors of a token list, one row each. A large model is passed as Lazy, so that workers load it themselves."""
 
     dim: int
 
@@ -41,43 +43,49 @@ class HashEncoder:
         return np.array([self._one(t) for t in tokens]).reshape(len(tokens), self.dim)
 
 
-def _encode(rows: DataFrame, encoder: Encoder, pooled: bool) -> DataFrame:
-    """rows (doc_id, tokens array) -> (doc_id, pos, vec), or (doc_id, vec) pooled. One encoder for each partition."""
-    ship(rows.sparkSession)
+def _encode(rows: DataFrame, encoder: Encoder | Lazy, pooled: bool) -> DataFrame:
+    """rows (doc_id, tokens array) -> (doc_id, pos, vec), or (doc_id, vec) pooled."""
 
     def run(batches):
+        model = loaded(encoder)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ids, pos, vecs = [], [], []
-                for doc, tokens in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    v = encoder.vectors(tokens or [])
-                    if pooled:
-                        v = v.sum(axis=0, keepdims=True) if len(v) else np.zeros((1, encoder.dim))
-                        v = v / max(np.linalg.norm(v), 1e-12)
-                    ids += [doc] * len(v)
-                    pos += range(len(v))
-                    vecs += v.tolist()
-                arrays = [pa.array(ids, part.column(0).type), pa.array(vecs, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(arrays if pooled else [arrays[0], pa.array(pos, pa.int32()), arrays[1]], names=["doc_id", "vec"] if pooled else ["doc_id", "pos", "vec"])
+                lists = part.column(1).to_pylist()
+                found = [np.asarray(model.vectors(tokens or []), dtype=np.float64).reshape(-1, model.dim) for tokens in lists]
+                if pooled:
+                    sums = np.array([v.sum(axis=0) for v in found])
+                    found = list((sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12))[:, None, :])
+                sizes = [len(v) for v in found]
+                flat = np.concatenate(found)
+                vecs = pa.ListArray.from_arrays(pa.array((np.arange(len(flat) + 1) * model.dim).astype(np.int32)), pa.array(flat.ravel()))
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
+                pos = pa.array(np.concatenate([np.arange(n) for n in sizes]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids, vecs] if pooled else [ids, pos, vecs], names=["doc_id", "vec"] if pooled else ["doc_id", "pos", "vec"])
 
-    return rows.mapInArrow(run, "doc_id long, vec array<double>" if pooled else "doc_id long, pos int, vec array<double>")
+    kept = rows.select("doc_id")
+    return arrow(rows, run, appended(kept, "vec array<double>" if pooled else "pos int, vec array<double>"))
 
 
-def encode_docs(docs: DataFrame, encoder: Encoder | None = None, max_len: int = 180) -> DataFrame:
-    """(doc_id, text) -> (doc_id, pos, vec): marker and words, truncated, special tokens dropped, unit vectors."""
-    tokens = T.drop_ends(T.with_specials(T.truncate(T.words(T.marked(F.col("text"), "[D] ")), max_len)))
-    return _encode(docs.select("doc_id", tokens.alias("tokens")), encoder or HashEncoder(), pooled=False)
+def _tokens(docs: DataFrame, marker: str, tokenizer) -> DataFrame:
+    return tokenized(docs.select("doc_id", T.marked(F.coalesce(F.col("text"), F.lit("")), marker).alias("text")), tokenizer=tokenizer)
 
 
-def encode_queries(queries: DataFrame, encoder: Encoder | None = None, max_len: int = 32, augment: bool = False) -> DataFrame:
+def encode_docs(docs: DataFrame, encoder: Encoder | Lazy | None = None, max_len: int = 180, tokenizer=None) -> DataFrame:
+    """(doc_id, text) -> (doc_id, pos, vec): marker and words, truncated, special tokens dropped, unit vectors. tokenizer: see tokenized."""
+    tokens = T.drop_ends(T.with_specials(T.truncate(F.col("tokens"), max_len)))
+    return _encode(_tokens(docs, "[D] ", tokenizer).select("doc_id", tokens.alias("tokens")), encoder or HashEncoder(), pooled=False)
+
+
+def encode_queries(queries: DataFrame, encoder: Encoder | Lazy | None = None, max_len: int = 32, augment: bool = False, tokenizer=None) -> DataFrame:
     """(query_id, text) -> (query_id, q_tok, qvec): augment pads with MASK up to max_len, so that every query has max_len - 2 vectors."""
-    words = T.words(T.marked(F.col("text"), "[Q] "))
+    words = F.col("tokens")
     tokens = T.keep_mask(T.pad(words, max_len)) if augment else T.drop_ends(T.with_specials(T.truncate(words, max_len)))
-    out = _encode(queries.select(F.col("query_id").alias("doc_id"), tokens.alias("tokens")), encoder or HashEncoder(), pooled=False)
+    rows = _tokens(queries.select(F.col("query_id").alias("doc_id"), "text"), "[Q] ", tokenizer)
+    out = _encode(rows.select("doc_id", tokens.alias("tokens")), encoder or HashEncoder(), pooled=False)
     return out.select(F.col("doc_id").alias("query_id"), F.col("pos").alias("q_tok"), F.col("vec").alias("qvec"))
 
 
-def encode_single(docs: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+def encode_single(docs: DataFrame, encoder: Encoder | Lazy | None = None, tokenizer=None) -> DataFrame:
     """(doc_id, text) -> (doc_id, vec): one unit vector for each text; a text without words has the zero vector."""
-    return _encode(docs.select("doc_id", T.words(F.col("text")).alias("tokens")), encoder or HashEncoder(), pooled=True)
+    return _encode(tokenized(docs, tokenizer=tokenizer), encoder or HashEncoder(), pooled=True)

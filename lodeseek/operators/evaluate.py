@@ -37,13 +37,37 @@ def mean_metrics(metrics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def recall_against(results: DataFrame, exact: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., query_id, recall): the share of the exact top k that results has in its own."""
+    """(by..., query_id, recall): the share of the exact top k that results has in its own; a query of which results has nothing scores 0."""
     top = exact.where(F.col("rank") <= k).select("query_id", "doc_id")
     hits = results.where(F.col("rank") <= k).join(top, ["query_id", "doc_id"]).groupBy(*by, "query_id").agg(F.count("*").alias("n"))
-    every = results.select(*by, "query_id").distinct()
+    every = top.select("query_id").distinct()
+    if by:
+        every = F.broadcast(results.select(*by).distinct()).crossJoin(every)
     return every.join(hits, [*by, "query_id"], "left").select(*by, "query_id", (F.coalesce("n", F.lit(0)) / k).alias("recall"))
 
 
+def speedups(latencies: DataFrame, name: str, value: str, baseline: str) -> DataFrame:
+    """(name, median, speedup): the median latency of each system, and the baseline's median divided by it."""
+    medians = latencies.groupBy(name).agg(F.percentile(value, 0.5).alias("median"))
+    base = medians.where(F.col(name) == baseline).select(F.col("median").alias("_base"))
+    return medians.crossJoin(F.broadcast(base)).select(name, "median", (F.col("_base") / F.col("median")).alias("speedup"))
+
+
+def index_sizes(n_tokens: Column, dim: int, clusters: Column, m: int, codewords: int) -> dict[str, Column]:
+    """Bytes of an index of n_tokens vectors: coarse part (centroids and posting lists), codes with codebooks, token-to-document table, all of it, the raw vectors, and how many times smaller the index is."""
+    coarse, coded = clusters * (dim * 4) + n_tokens * 4, n_tokens * m + codewords * dim * 4
+    whole = coarse + coded + n_tokens * 4
+    return {"coarse_bytes": coarse, "coded_bytes": coded, "lookup_bytes": n_tokens * 4, "index_bytes": whole, "raw_bytes": n_tokens * (dim * 4), "effective_ratio": n_tokens * (dim * 4.0) / whole}
+
+
+def ab_compare(metrics: DataFrame, arm: str, a, b, value: str = "ndcg", margin: float = 0.005) -> DataFrame:
+    """metrics (arm, value, ...) -> (a, b, delta, verdict) of two arms: better or worse where b differs by more than the margin, else same."""
+    pick = lambda x: F.max(F.when(F.col(arm) == x, F.col(value)))
+    delta = F.col("b") - F.col("a")
+    verdict = F.when(delta > margin, "better").when(delta < -margin, "worse").otherwise("same")
+    return metrics.agg(pick(a).alias("a"), pick(b).alias("b")).select("a", "b", delta.alias("delta"), verdict.alias("verdict"))
+
+
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """(query_id, n_both, only_a, only_b) of two results."""
     both = a.select("query_id", "doc_id", F.lit(1).alias("a")).join(b.select("query_id", "doc_id", F.lit(1).alias("b")), ["query_id", "doc_id"], "full")

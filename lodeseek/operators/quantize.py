@@ -1,33 +1,90 @@
 """Coarse clusters, product quantisation and residual product quantisation.
 
 Clusters and codes are assigned by Euclidean distance, while clusters are probed and tokens scored by inner product.
+Assigning and coding keep a token where it is: a batch of vectors is held against the whole model in one product.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .scoring import all_pairs
+from ..runtime import ship
+from . import blocks as B
+
+#: Vectors that k-means is fitted on, at most, and vectors in one of its steps.
+SAMPLE, BATCH = 200_000, 4096
+
+
+def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """(cluster ids, matrix) in order of cluster_id; None if the matrix has more bytes than a table may have that goes to all executors."""
+    n, dim = centroids.agg(F.count("*"), F.max(F.size("cvec"))).first()
+    if n * (dim or 0) * 8 > B.BROADCAST:
+        return None
+    rows = centroids.select("cluster_id", V.doubles("cvec").alias("cvec")).orderBy("cluster_id").collect()
+    return np.array([r["cluster_id"] for r in rows], dtype=np.int32), np.array([r["cvec"] for r in rows], dtype=np.float64).reshape(n, dim or 0)
+
+
+def codebook_array(codebooks: DataFrame) -> np.ndarray:
+    """(parts, codewords, components) of codebooks (m, k, cvec): 256 codewords a part at most, so its size is that of 256 vectors."""
+    rows = codebooks.select("m", "k", V.doubles("cvec").alias("cvec")).orderBy("m", "k").collect()
+    parts, words = len({r["m"] for r in rows}), len({r["k"] for r in rows})
+    if not rows or words > 256 or [(r["m"], r["k"]) for r in rows] != [(m, k) for m in range(parts) for k in range(words)]:
+        raise ValueError("codebooks must have the same codewords, 1 to 256 from 0, in each part from 0")
+    return np.array([r["cvec"] for r in rows], dtype=np.float64).reshape(parts, words, -1)
 
 
 def assign_nearest(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
-    """tokens (token_id, vec, ...) with cluster_id and cvec of the nearest centroid, ties to the smaller cluster_id."""
-    pairs = all_pairs(tokens.select("token_id", "vec"), centroids.select("cluster_id", "cvec"))
-    d = F.round(V.sq_l2(F.col("vec"), F.col("cvec")), V.TIE_DIGITS)
-    best = pairs.groupBy("token_id").agg(F.min(F.struct(d.alias("d"), "cluster_id")).alias("b")).select("token_id", F.col("b.cluster_id").alias("cluster_id"))
-    return tokens.join(best, "token_id").join(centroids.select("cluster_id", "cvec"), "cluster_id")
+    """tokens (vec, ...) with cluster_id int of the nearest centroid, ties to the smaller cluster_id. Tokens without a complete vector are left out."""
+    model = centroid_matrix(centroids)
+    tokens = tokens.drop("cluster_id")
+    if model is None:
+        return _assign_by_blocks(tokens, centroids)
+    ids, matrix = model
+
+    def run(batches):
+        for batch in B._slices(batches):
+            x, at = B.dense(batch.column(batch.schema.get_field_index("vec")).cast(pa.list_(pa.float64())), matrix.shape[1])
+            if len(x) and len(ids):
+                near, _ = B.nearest(x, matrix, V.TIE_DIGITS)
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns], pa.array(ids[near])], names=[*batch.schema.names, "cluster_id"])
+
+    return B.arrow(tokens, run, B.appended(tokens, "cluster_id int"))
+
+
+def _assign_by_blocks(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
+    """assign_nearest for tokens with a token_id and more centroids than one task should hold: blocks against blocks, and the least over all of them."""
+    dim = B.width(centroids, "cvec")
+    large = B.pack(tokens.select(F.lit(0).cast("long"), "token_id", F.lit(0).cast("long"), V.doubles("vec")), dim)
+    small = B.pack(centroids.select(F.lit(0).cast("long"), F.col("cluster_id").cast("long"), F.lit(0).cast("long"), V.doubles("cvec")).sortWithinPartitions("cluster_id"), dim)
+
+    def run(batches):
+        for ids, _, clusters, _, data, c in B._pairs(batches, B.Products(dim)):
+            near, d = B.nearest(np.frombuffer(data).reshape(len(ids), dim), c, V.TIE_DIGITS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(d), pa.array(clusters[near].astype(np.int32))], names=["token_id", "d", "cluster_id"])
 
+    found = B.arrow(B.every_pair(large, small), run, "token_id long, d double, cluster_id int")
+    least = found.groupBy("token_id").agg(F.min(F.struct("d", "cluster_id")).alias("b")).select("token_id", "b.cluster_id")
+    return tokens.join(least, "token_id").select(*tokens.columns, "cluster_id")
 
-def residuals(assigned: DataFrame) -> DataFrame:
-    return assigned.withColumn("vec", V.subtract(F.col("vec"), F.col("cvec")))
+
+def with_centroid(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
+    """assigned with cvec, the vector of its cluster."""
+    return assigned.join(centroids.select("cluster_id", V.doubles("cvec").alias("cvec")), "cluster_id")
+
+
+def residuals(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
+    """assigned with what its cluster's centroid leaves of vec."""
+    return with_centroid(assigned, centroids).withColumn("vec", V.subtract(F.col("vec"), F.col("cvec"))).drop("cvec")
 
 
 def posting_lists(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(cluster_id, token_ids array sorted): empty clusters keep an empty list."""
+    """(cluster_id, token_ids array sorted): empty clusters keep an empty list. A list is one row; searches read the assigned tokens themselves, by cluster."""
     lists = assigned.groupBy("cluster_id").agg(F.sort_array(F.collect_list("token_id")).alias("token_ids"))
     return centroids.select("cluster_id").join(lists, "cluster_id", "left").select("cluster_id", F.coalesce("token_ids", F.array().cast("array<long>")).alias("token_ids"))
 
@@ -43,45 +100,131 @@ def parts(tokens: DataFrame, m: int, dim: int) -> DataFrame:
     return tokens.select("token_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("m")).select("token_id", "m", V.subvector(F.col("vec"), F.col("m"), size).alias("part"))
 
 
-def pq_encode(tokens: DataFrame, codebooks: DataFrame, m: int, dim: int) -> DataFrame:
-    """(token_id, m, k smallint, d): the nearest codeword of each part, ties to the smaller code. Codebooks hold m * 256 rows at most and are broadcast."""
-    pairs = parts(tokens, m, dim).join(F.broadcast(codebooks.select("m", "k", "cvec")), "m")
-    d = F.round(V.sq_l2(F.col("part"), F.col("cvec")), V.TIE_DIGITS)
-    best = pairs.groupBy("token_id", "m").agg(F.min(F.struct(d.alias("d"), "k")).alias("b"))
-    return best.select("token_id", "m", F.col("b.k").cast("smallint").alias("k"), F.col("b.d").alias("d"))
+def encode_codes(tokens: DataFrame, codebooks: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
+    """tokens (vec, ...) with codes binary, one byte for each part, and error double in place of vec.
 
+    A code names the nearest codeword, ties to the smaller code; error is the distance of the vector from its codewords.
+    With centroids (of tokens with a cluster_id) the residuals are coded. Tokens without a complete vector are left out.
+    """
+    books = codebook_array(codebooks)
+    model = centroid_matrix(centroids) if centroids is not None else None
+    if centroids is not None and model is None:
+        return encode_codes(residuals(tokens, centroids), codebooks)
+    columns = [c for c in tokens.columns if c != "vec"]
 
-def pack_codes(codes: DataFrame) -> DataFrame:
-    """(token_id, codes array<smallint>): one code for each part in order."""
-    return codes.groupBy("token_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "k"))), lambda x: x["k"]).alias("codes"))
+    def run(batches):
+        for batch in B._slices(batches):
+            x, at = B.dense(batch.column(batch.schema.get_field_index("vec")).cast(pa.list_(pa.float64())), books.shape[0] * books.shape[2])
+            rows = pa.array(at)
+            rest = [batch.column(batch.schema.get_field_index(c)).take(rows) for c in columns]
+            if model is not None:
+                x = x - model[1][np.searchsorted(model[0], rest[columns.index("cluster_id")].to_numpy())]
+            near = [B.nearest(part, book, V.TIE_DIGITS) for part, book in zip(np.split(x, len(books), axis=1), books, strict=True)]
+            codes = np.stack([k for k, _ in near], axis=1).astype(np.uint8)
+            error = np.sqrt(sum(d for _, d in near))
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error)], names=[*columns, "codes", "error"])
 
-
-def transpose_codes(packed: DataFrame) -> DataFrame:
-    """(m, token_id, code): the packed codes by part."""
-    return packed.select("token_id", F.posexplode("codes").alias("m", "code")).select("m", "token_id", "code")
+    kept = tokens.select(*columns)
+    return B.arrow(tokens, run, B.appended(kept, "codes binary, error double"))
 
 
-def lookup_table(queries: DataFrame, codebooks: DataFrame, m: int, dim: int) -> DataFrame:
-    """(query_id, q_tok, m, k, s): the inner product of each query part with each codeword."""
-    size = V.check_parts(dim, m)
-    rows = queries.select("query_id", "q_tok", "qvec", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("m")).select("query_id", "q_tok", "m", V.subvector(F.col("qvec"), F.col("m"), size).alias("part"))
-    return rows.join(F.broadcast(codebooks.select("m", "k", "cvec")), "m").select("query_id", "q_tok", "m", "k", V.dot(F.col("part"), F.col("cvec")).alias("s"))
+def code_list(codes: Column) -> Column:
+    """Packed codes as array<smallint>."""
+    return F.transform(F.sequence(F.lit(1), F.length(codes)), lambda i: F.conv(F.hex(F.substring(codes, i, F.lit(1))), 16, 10).cast("smallint"))
 
 
-def lookup_scores(codes: DataFrame, table: DataFrame) -> DataFrame:
-    """codes (token_id, doc_id, m, k, ...) -> (query_id, q_tok, doc_id, token_id, s): the summed table entries of each token."""
-    found = codes.join(table, ["m", "k"])
-    return found.groupBy("query_id", "q_tok", "doc_id", "token_id").agg(F.sum("s").alias("s"))
+def pq_encode(tokens: DataFrame, codebooks: DataFrame) -> DataFrame:
+    """(token_id, m int, k smallint): the nearest codeword of each part."""
+    return transpose_codes(encode_codes(tokens, codebooks)).select("token_id", "m", F.col("code").alias("k"))
 
 
-def kmeans_train(tokens: DataFrame, k: int, seed: int = 42, max_iter: int = 100, sample: int | None = None) -> DataFrame:
-    """Trained (cluster_id int, cvec). sample: fit on so many rows, those with the least hash of token_id."""
-    rows = tokens.select("token_id", "vec")
-    if sample:
-        rows = rows.orderBy(F.xxhash64("token_id", F.lit(seed))).limit(sample)
-    data = rows.select(array_to_vector("vec").alias("features"))
-    centers = KMeans(k=k, seed=seed, maxIter=max_iter).fit(data).clusterCenters()
-    return tokens.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cluster_id int, cvec array<double>")
+def transpose_codes(coded: DataFrame) -> DataFrame:
+    """(m, token_id, code): the packed codes by part."""
+    return coded.select("token_id", F.posexplode(code_list(F.col("codes"))).alias("m", "code")).select("m", "token_id", "code")
+
+
+def lookup_scores(coded: DataFrame, queries: DataFrame, codebooks: DataFrame) -> DataFrame:
+    """coded (token_id, doc_id, codes) -> (query_id, q_tok, doc_id, token_id, s): the summed table entries of every token for every query token."""
+    kernel = B.Lookups(codebook_array(codebooks))
+    large = B.pack(coded.select(F.lit(0).cast("long"), "doc_id", "token_id", "codes"), None)
+    return B.all_scores(B.every_pair(large, query_blocks(queries, kernel.dim)), kernel)
+
+
+def query_blocks(queries: DataFrame, dim: int) -> DataFrame:
+    """Blocks of whole queries (query_id, q_tok, qvec)."""
+    rows = queries.select(F.lit(0).cast("long").alias("key"), F.col("query_id").cast("long").alias("query_id"), F.col("q_tok").cast("long").alias("q_tok"), V.doubles("qvec"))
+    return B.pack(rows.repartition("query_id").sortWithinPartitions("query_id", "q_tok"), dim, B.QUERY_ROWS)
+
+
+# Training
+
+
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of x, each drawn in proportion to its squared distance from those before it."""
+    out = [x[rng.integers(len(x))]]
+    d = ((x - out[0]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        total = d.sum()
+        out.append(x[rng.choice(len(x), p=d / total) if total > 0 else rng.integers(len(x))])
+        d = np.minimum(d, ((x - out[-1]) ** 2).sum(axis=1))
+    return np.array(out)
+
+
+def fit_means(x: np.ndarray, k: int, seed: int, max_iter: int, batch: int) -> tuple[np.ndarray, float]:
+    """Mini-batch k-means: (centroids, mean squared distance). At most max_iter passes over x in random batches; ends early when a pass gains nothing."""
+    rng = np.random.default_rng(seed)
+    c = _plus_plus(x[rng.permutation(len(x))[: max(3 * batch, 4 * k)]], k, rng)
+    seen, best, idle = np.zeros(k), (c.copy(), np.inf), 0
+    for _ in range(max_iter):
+        total = 0.0
+        order = rng.permutation(len(x))
+        for at in range(0, len(x), batch):
+            some = x[order[at : at + batch]]
+            near, d = B.nearest(some, c)
+            total += d.sum()
+            n = np.bincount(near, minlength=k)
+            sums = np.zeros_like(c)
+            np.add.at(sums, near, some)
+            hit = n > 0
+            seen[hit] += n[hit]
+            c[hit] += (sums[hit] - n[hit, None] * c[hit]) / seen[hit, None]
+        if total < best[1] * (1 - 1e-4):
+            best, idle = (c.copy(), total), 0
+        else:
+            idle += 1
+            if idle == 3:
+                break
+        seen *= 0.5  # later passes may still move a centroid
+    return best[0], float(B.nearest(x, best[0])[1].mean())
+
+
+def _trained(rows: DataFrame, k: int, seed: int, max_iter: int, n_init: int, batch: int) -> DataFrame:
+    """rows (part int, token_id, vec) of bounded number -> (part, cluster_id, cvec, error): the best of n_init fits of each part, every fit a task."""
+    ship(rows.sparkSession)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("token_id")
+        x = np.array(frame["vec"].tolist(), dtype=np.float64)
+        part, start = int(frame["part"].iloc[0]), int(frame["start"].iloc[0])
+        c, inertia = fit_means(x, min(k, len(np.unique(x, axis=0))), seed + part + 1000 * start, max_iter, batch)
+        error = float(np.sqrt(B.nearest(x, c)[1]).mean())
+        return pd.DataFrame({"part": part, "start": start, "inertia": inertia, "error": error, "cluster_id": np.arange(len(c)), "cvec": c.tolist()})
+
+    fits = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))).groupBy("part", "start").applyInPandas(fit, "part int, start int, inertia double, error double, cluster_id int, cvec array<double>")
+    best = fits.groupBy("part").agg(F.min(F.struct("inertia", "start")).alias("best")).select("part", F.col("best.start").alias("start"))
+    return fits.join(best, ["part", "start"]).select("part", "cluster_id", "cvec", "error")
+
+
+def _sampled(tokens: DataFrame, sample: int, seed: int) -> DataFrame:
+    """The complete vectors with the least hash of token_id, at most ``sample``: the same ones each time."""
+    rows = tokens.select("token_id", V.doubles("vec").alias("vec")).where("vec is not null and not exists(vec, x -> x is null or isnan(x))")
+    return rows.orderBy(F.xxhash64("token_id", F.lit(seed)), "token_id").limit(sample)
+
+
+def kmeans_train(tokens: DataFrame, k: int, seed: int = 42, max_iter: int = 100, n_init: int = 3, batch: int = BATCH, sample: int = SAMPLE) -> DataFrame:
+    """Trained (cluster_id int, cvec): the best of n_init runs of mini-batch k-means over a hash sample of bounded size. Fewer clusters where there are fewer distinct vectors."""
+    rows = _sampled(tokens, sample, seed).withColumn("part", F.lit(0))
+    return _trained(rows, k, seed, max_iter, n_init, batch).select("cluster_id", "cvec")
 
 
 def lloyd_step(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -92,20 +235,16 @@ def lloyd_step(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
     return centroids.join(new, "cluster_id", "left").select("cluster_id", F.coalesce("new", "cvec").alias("cvec"))
 
 
-def pq_train(tokens: DataFrame, m: int, k: int, dim: int, seed: int = 42, sample: int = 100_000) -> DataFrame:
-    """(m int, k int, cvec): independent k-means for each part, on a hash sample of bounded size."""
-    size = V.check_parts(dim, m)
+def pq_train(tokens: DataFrame, m: int, k: int, dim: int, seed: int = 42, sample: int = 100_000, max_iter: int = 100, n_init: int = 1) -> DataFrame:
+    """(m int, k int, cvec, error): independent k-means for each part, on a hash sample of bounded size. error is the part's mean distance from its codewords."""
+    V.check_parts(dim, m)
     if not 0 < k <= 256:
         raise ValueError("codes are one byte: 1 to 256 codewords")
-    out = None
-    for part in range(m):
-        one = kmeans_train(tokens.select("token_id", V.subvector(F.col("vec"), part, size).alias("vec")), k, seed + part, sample=sample)
-        one = one.select(F.lit(part).alias("m"), F.col("cluster_id").alias("k"), "cvec")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def residual_codebooks(assigned: DataFrame, ids, m: int, dim: int) -> DataFrame:
-    """Codebooks from the parts of chosen residuals. ids: a column expression that numbers the chosen tokens from 0 (null: not chosen)."""
-    chosen = residuals(assigned).withColumn("k", ids).where("k is not null")
-    return parts(chosen.select(F.col("k").alias("token_id"), "vec"), m, dim).select("m", F.col("token_id").cast("int").alias("k"), F.col("part").alias("cvec"))
+    rows = parts(_sampled(tokens, sample, seed), m, dim).select("token_id", F.col("m").alias("part"), F.col("part").alias("vec"))
+    return _trained(rows, k, seed, max_iter, n_init, BATCH).select(F.col("part").alias("m"), F.col("cluster_id").alias("k"), "cvec", "error")
+
+
+def seed_codebooks(tokens: DataFrame, ids: Column, m: int, dim: int) -> DataFrame:
+    """Codebooks (m, k, cvec) from the parts of chosen vectors. ids: a column expression that numbers the chosen tokens from 0 (null: not chosen)."""
+    chosen = tokens.withColumn("_k", ids).where("_k is not null")
+    return parts(chosen.select(F.col("_k").alias("token_id"), "vec"), m, dim).select("m", F.col("token_id").cast("int").alias("k"), F.col("part").alias("cvec"))

@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..runtime import ship
+from . import blocks as B
+from .quantize import query_blocks
 
-#: Rows of a query-side table that are broadcast at most; larger ones are dealt out in blocks of this size.
-SMALL = 20_000
+_PAIRS = "query_id long, q_tok int, doc_id long, token_id long, s double"
 
 
-def all_pairs(large: DataFrame, small: DataFrame, limit: int = SMALL) -> DataFrame:
-    """Every row of large with every row of small: broadcast if small has at most ``limit`` rows, else by blocks of it through an equality join."""
-    n = small.limit(limit + 1).count()
-    if n <= limit:
-        return large.crossJoin(F.broadcast(small))
-    blocks = -(-small.count() // limit)
-    left = large.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = small.withColumn("_block", F.pmod(F.xxhash64(*small.columns), F.lit(blocks)).cast("int"))
-    return left.join(right, "_block").drop("_block")
+def _zero():
+    return F.lit(0).cast("long")
 
 
 def similarities(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, q_tok, doc_id, token_id, s) of all pairs."""
-    rows = all_pairs(tokens.select("doc_id", "token_id", "vec"), queries.select("query_id", "q_tok", "qvec"))
-    return rows.select("query_id", "q_tok", "doc_id", "token_id", V.dot(F.col("qvec"), F.col("vec")).alias("s"))
+    dim = B.width(queries, "qvec")
+    if dim is None:
+        return tokens.sparkSession.createDataFrame([], _PAIRS)
+    large = B.pack(tokens.select(_zero(), F.col("doc_id").cast("long"), F.col("token_id").cast("long"), V.doubles("vec")), dim)
+    return B.all_scores(B.every_pair(large, query_blocks(queries, dim)), B.Products(dim))
+
+
+def distances(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(token_id, cluster_id, d) of all pairs: squared distances."""
+    dim = B.width(centroids, "cvec")
+    large = B.pack(tokens.select(_zero(), F.col("token_id").cast("long"), _zero(), V.doubles("vec")), dim)
+    small = query_blocks(centroids.select(F.col("cluster_id").alias("query_id"), F.lit(0).alias("q_tok"), F.col("cvec").alias("qvec")), dim)
+    rows = B.all_scores(B.every_pair(large, small), B.Distances(dim))
+    return rows.select(F.col("doc_id").alias("token_id"), F.col("query_id").cast("int").alias("cluster_id"), F.col("s").alias("d"))
 
 
 def maxsim(scores: DataFrame, by: tuple[str, ...] = ("query_id",), doc: str = "doc_id") -> DataFrame:
@@ -37,47 +40,29 @@ def maxsim(scores: DataFrame, by: tuple[str, ...] = ("query_id",), doc: str = "d
     return best.groupBy(*by, doc).agg(F.sum("s").alias("score"))
 
 
-def max_over_chunks(scores: DataFrame) -> DataFrame:
-    """(query_id, doc_id, chunk_idx, q_tok, s) -> (query_id, doc_id, score): the best chunk's score, a chunk scored by itself."""
-    best = scores.groupBy("query_id", "doc_id", "chunk_idx", "q_tok").agg(F.max("s").alias("s"))
-    chunk = best.groupBy("query_id", "doc_id", "chunk_idx").agg(F.sum("s").alias("s"))
-    return chunk.groupBy("query_id", "doc_id").agg(F.max("s").alias("score"))
+def maxsim_blocks(tokens: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """maxsim(similarities(...)) as (query_id, doc_id, score), by products of blocks.
+
+    Tokens come together by document once, so that a score is complete where it is computed, and with k a task
+    gives only the rows that may be among a query's k best.
+    """
+    dim = B.width(queries, "qvec")
+    if dim is None:
+        return tokens.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    rows = tokens.select(_zero().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _zero().alias("sub"), V.doubles("vec"))
+    large = B.pack(rows.repartition("doc_id").sortWithinPartitions("doc_id"), dim)
+    return B.whole_scores(B.every_pair(large, query_blocks(queries, dim)), B.Products(dim), k)
+
+
+def max_over_chunks(tokens: DataFrame, queries: DataFrame) -> DataFrame:
+    """tokens (doc_id, chunk_idx, vec) -> (query_id, doc_id, score): the best chunk's score, a chunk scored by itself. A document has fewer than 2^20 chunks."""
+    chunks = tokens.withColumn("doc_id", F.col("doc_id") * (1 << 20) + F.col("chunk_idx"))
+    scores = maxsim_blocks(chunks, queries)
+    return scores.groupBy("query_id", F.shiftright("doc_id", 20).alias("doc_id")).agg(F.max("score").alias("score"))
 
 
-def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), doc: str = "doc_id", digits: int = 6) -> DataFrame:
+def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), doc: str = "doc_id", digits: int = B.DIGITS) -> DataFrame:
     """The k best documents of each query with rank int from 1; ties of the rounded score go to the smaller id. Fewer than k scored documents give fewer rows."""
     rows = scores.withColumn("score", F.round("score", digits))
     order = Window.partitionBy(*by).orderBy(F.desc("score"), doc)
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, doc, "score", "rank")
-
-
-def maxsim_blocks(tokens: DataFrame, queries: DataFrame, limit: int = SMALL) -> DataFrame:
-    """maxsim(similarities(...)) by matrix products over Arrow batches: (query_id, doc_id, score).
-
-    The query matrix goes to the executors if it has at most ``limit`` rows; more queries take the join path. A batch
-    gives one row per document and query token (its best token in the batch), so what is shuffled no longer grows with tokens.
-    """
-    rows = queries.select("query_id", "q_tok", "qvec").orderBy("query_id", "q_tok").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return maxsim(similarities(tokens, queries))
-    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    toks = np.array([r["q_tok"] for r in rows], dtype=np.int32)
-    matrix = np.array([r["qvec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    ship(tokens.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            doc = batch.column(0).to_numpy()
-            vec = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            order = np.argsort(doc, kind="stable")
-            heads = np.flatnonzero(np.concatenate(([True], doc[order][1:] != doc[order][:-1])))
-            for at in range(0, len(ids), 512):
-                part = slice(at, at + 512)
-                best = np.maximum.reduceat((vec @ matrix[part].T)[order], heads, axis=0)
-                n, q = best.shape
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids[part], n)), pa.array(np.tile(toks[part], n)), pa.array(np.repeat(doc[order][heads], q)), pa.array(best.reshape(-1))], names=["query_id", "q_tok", "doc_id", "s"])
-
-    scored = tokens.select(F.col("doc_id").cast("long"), V.doubles("vec")).mapInArrow(run, "query_id long, q_tok int, doc_id long, s double")
-    return maxsim(scored)

@@ -1,37 +1,72 @@
 """Search plans: exact, pruned by clusters, by product quantisation, and by residual product quantisation.
 
-All queries run in one job. Results are (query_id, doc_id, score, rank); only scored documents appear.
+All queries run in one job. Results are (query_id, doc_id, score, rank); only scored documents appear. Pruned
+searches join blocks of a cluster's tokens with blocks of the queries that probe the cluster: a token is scored only
+with queries that probe its cluster, and all tokens of a query see the same candidates.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import blocks as B
 from . import quantize as Z
-from .scoring import all_pairs, maxsim, maxsim_blocks, similarities, top_k
+from .scoring import maxsim_blocks, similarities, top_k
 
 
 def search_bruteforce(tokens: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(maxsim_blocks(tokens, queries), k)
+    return top_k(maxsim_blocks(tokens, queries, k), k)
+
+
+def search_chunked(tokens: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
+    """tokens (doc_id, chunk_idx, vec) of overlapping chunks: the best token over all chunks of a document counts. Queries are augmented when they are encoded (encode_queries)."""
+    return search_bruteforce(tokens, queries, k)
+
+
+def exact_scores(tokens: DataFrame, queries: DataFrame) -> DataFrame:
+    return maxsim_blocks(tokens, queries)
 
 
 def centroid_sim(queries: DataFrame, centroids: DataFrame) -> DataFrame:
     """(query_id, q_tok, cluster_id, s) of all pairs."""
-    rows = all_pairs(queries.select("query_id", "q_tok", "qvec"), centroids.select("cluster_id", "cvec"))
-    return rows.select("query_id", "q_tok", "cluster_id", V.dot(F.col("qvec"), F.col("cvec")).alias("s"))
+    rows = similarities(centroids.select(F.lit(0).alias("doc_id"), F.col("cluster_id").alias("token_id"), F.col("cvec").alias("vec")), queries)
+    return rows.select("query_id", "q_tok", F.col("token_id").cast("int").alias("cluster_id"), "s")
 
 
 def probe_ranks(queries: DataFrame, centroids: DataFrame, most: int) -> DataFrame:
-    """centroid_sim with rank int of the ``most`` best clusters of each query token, ties to the smaller cluster_id."""
+    """(query_id, q_tok, cluster_id, s, rank int): the ``most`` best clusters of each query token, ties to the smaller cluster_id."""
+    dim = B.width(centroids, "cvec")
+    names = "query_id long, q_tok int, cluster_id int, s double"
+    if dim is None:
+        return queries.sparkSession.createDataFrame([], names + ", rank int")
+    large = Z.query_blocks(queries, dim)
+    small = B.pack(centroids.select(F.lit(0).cast("long"), F.col("cluster_id").cast("long").alias("id"), F.lit(0).cast("long"), V.doubles("cvec")).sortWithinPartitions("id"), dim)
+
+    def run(batches):
+        kernel = B.Products(dim)
+        for qids, qtoks, clusters, _, data, c in B._pairs(batches, kernel):
+            s = kernel.scores(data, len(qids), c)
+            order = np.lexsort((np.broadcast_to(clusters, s.shape), -np.round(s, V.TIE_DIGITS)), axis=1)[:, :most]
+            n = order.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.repeat(qtoks, n).astype(np.int32)), pa.array(clusters[order.ravel()].astype(np.int32)), pa.array(np.take_along_axis(s, order, axis=1).ravel())], names=["query_id", "q_tok", "cluster_id", "s"])
+
+    best = B.arrow(B.every_pair(large, small), run, names)
     order = Window.partitionBy("query_id", "q_tok").orderBy(F.desc(F.round("s", V.TIE_DIGITS)), "cluster_id")
-    return centroid_sim(queries, centroids).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def probes(queries: DataFrame, centroids: DataFrame, most: int) -> DataFrame:
+    """(query_id, cluster_id, rank): the clusters that any token of the query probes, with the least rank among its tokens. The union is by query."""
+    return probe_ranks(queries, centroids, most).groupBy("query_id", "cluster_id").agg(F.min("rank").alias("rank"))
 
 
 def probed_clusters(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
-    """(query_id, cluster_id): what any token of the query probes. The union is by query, so all its tokens see the same candidates."""
-    return probe_ranks(queries, centroids, nprobe).select("query_id", "cluster_id").distinct()
+    """(query_id, cluster_id): what any token of the query probes."""
+    return probes(queries, centroids, nprobe).select("query_id", "cluster_id")
 
 
 def candidates(assigned: DataFrame, probed: DataFrame) -> DataFrame:
@@ -39,14 +74,35 @@ def candidates(assigned: DataFrame, probed: DataFrame) -> DataFrame:
     return assigned.join(probed, "cluster_id")
 
 
-def _candidate_scores(found: DataFrame, queries: DataFrame) -> DataFrame:
-    rows = found.join(queries.select("query_id", "q_tok", "qvec"), "query_id")
-    return rows.withColumn("s", V.dot(F.col("qvec"), F.col("vec")))
+def _probing_blocks(queries: DataFrame, centroids: DataFrame, most: int, dim: int, terms: bool) -> DataFrame:
+    """Blocks of the queries that probe a cluster, by cluster. more: the query token's product with the centroid, or zero."""
+    rows = probes(queries, centroids, most).join(queries.select("query_id", "q_tok", V.doubles("qvec").alias("qvec")), "query_id")
+    more = F.lit(0.0)
+    if terms:
+        rows = rows.join(centroids.select("cluster_id", V.doubles("cvec").alias("cvec")), "cluster_id")
+        more = V.dot(F.col("qvec"), F.col("cvec"))
+    sub = F.shiftleft(F.col("q_tok").cast("long"), 32) + F.col("rank")
+    rows = rows.select(F.col("cluster_id").cast("long").alias("key"), F.col("query_id").cast("long").alias("id"), sub.alias("sub"), "qvec", more.alias("more"))
+    return B.pack(rows.repartition("id").sortWithinPartitions("key", "id", "sub"), dim, B.QUERY_ROWS)
+
+
+def _pruned(tokens: DataFrame, value: str, kernel: B.Products, packed: bool, queries: DataFrame, centroids: DataFrame, nprobe: int, terms: bool) -> DataFrame:
+    """(query_id, doc_id, rank, best) of the tokens (doc_id, cluster_id, value) in the probed clusters."""
+    column = F.col(value) if packed else V.doubles(value)
+    # Clusters that no query probes are left out first: of a stored index their folders are not read. The list has an
+    # entry for each cluster at most.
+    if 8 * centroids.count() <= B.BROADCAST:
+        tokens = tokens.join(F.broadcast(probed_clusters(queries, centroids, nprobe).select("cluster_id").distinct()), "cluster_id", "left_semi")
+    rows = tokens.select(F.col("cluster_id").cast("long").alias("key"), F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("sub"), column.alias("value"))
+    asked = _probing_blocks(queries, centroids, nprobe, kernel.dim, terms)
+    large = B.pack(rows.sortWithinPartitions("key", "id"), None if packed else kernel.dim)
+    return B.part_scores(B.of_key(large, asked), kernel)
 
 
 def search_ivf(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int = 8, k: int = 10) -> DataFrame:
-    found = candidates(assigned.drop("cvec"), probed_clusters(queries, centroids, nprobe))
-    return top_k(maxsim(_candidate_scores(found, queries)), k)
+    """assigned: (doc_id, cluster_id, vec)."""
+    parts = _pruned(assigned, "vec", B.Products(B.width(centroids, "cvec")), False, queries, centroids, nprobe, False)
+    return top_k(B.combine(parts), k)
 
 
 def search_stats(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int) -> DataFrame:
@@ -56,42 +112,40 @@ def search_stats(assigned: DataFrame, centroids: DataFrame, queries: DataFrame,
     return probed.join(sizes, "cluster_id", "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_candidates"), F.count("*").alias("n_probed"))
 
 
-def search_pq(codes: DataFrame, table: DataFrame, k: int = 100) -> DataFrame:
-    """codes: (token_id, doc_id, m, k); table: from lookup_table."""
-    return top_k(maxsim(Z.lookup_scores(codes, table)), k)
+def search_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, k: int = 100) -> DataFrame:
+    """codes: (doc_id, codes binary)."""
+    kernel = B.Lookups(Z.codebook_array(codebooks))
+    rows = codes.select(F.lit(0).cast("long").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("sub"), "codes")
+    large = B.pack(rows.repartition("doc_id").sortWithinPartitions("doc_id"), None)
+    return top_k(B.whole_scores(B.every_pair(large, Z.query_blocks(queries, kernel.dim)), kernel, k), k)
 
 
-def search_ivf_pq(codes: DataFrame, table: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int = 8, k: int = 100) -> DataFrame:
-    """codes: (token_id, doc_id, cluster_id, m, k)."""
-    found = candidates(codes, probed_clusters(queries, centroids, nprobe))
-    scored = found.join(table, ["query_id", "m", "k"]).groupBy("query_id", "q_tok", "doc_id", "token_id").agg(F.sum("s").alias("s"))
-    return top_k(maxsim(scored), k)
+def search_ivf_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, centroids: DataFrame, nprobe: int = 8, k: int = 100) -> DataFrame:
+    """codes: (doc_id, cluster_id, codes binary)."""
+    parts = _pruned(codes, "codes", B.Lookups(Z.codebook_array(codebooks)), True, queries, centroids, nprobe, False)
+    return top_k(B.combine(parts), k)
 
 
-def search_residual_pq(codes: DataFrame, table: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int | None = None, k: int = 100) -> DataFrame:
-    """codes and table are those of the residuals. The centroid's part of a score is computed once for each cluster and query token, not for each token. nprobe None: all clusters."""
-    if nprobe is None:
-        found = codes.join(table, ["m", "k"])
-    else:
-        found = candidates(codes, probed_clusters(queries, centroids, nprobe)).join(table, ["query_id", "m", "k"])
-    scored = found.groupBy("query_id", "q_tok", "doc_id", "token_id", "cluster_id").agg(F.sum("s").alias("r"))
-    whole = scored.join(centroid_sim(queries, centroids).withColumnRenamed("s", "c"), ["query_id", "q_tok", "cluster_id"])
-    return top_k(maxsim(whole.withColumn("s", F.col("r") + F.col("c"))), k)
+def search_residual_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, centroids: DataFrame, nprobe: int | None = None, k: int = 100) -> DataFrame:
+    """codes and codebooks are those of the residuals. The centroid's part of a score is computed once for each probed cluster and query token. nprobe None: all clusters."""
+    most = nprobe or max(1, centroids.count())
+    parts = _pruned(codes, "codes", B.Lookups(Z.codebook_array(codebooks)), True, queries, centroids, most, True)
+    return top_k(B.combine(parts), k)
 
 
 def sweep_nprobe(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, nprobes: list[int], k: int = 10) -> DataFrame:
-    """(nprobe, query_id, doc_id, score, rank) for all settings in one job: clusters are ranked once, and each setting takes a prefix of the ranks."""
-    ranks = probe_ranks(queries, centroids, max(nprobes))
-    probed = ranks.withColumn("nprobe", F.explode(F.array(*[F.lit(n) for n in nprobes]))).where(F.col("rank") <= F.col("nprobe")).select("nprobe", "query_id", "cluster_id").distinct()
-    found = candidates(assigned.drop("cvec"), probed)
-    return top_k(maxsim(_candidate_scores(found, queries), by=("nprobe", "query_id")), k, by=("nprobe", "query_id"))
+    """(nprobe, query_id, doc_id, score, rank) for all settings in one job: tokens are scored once, with the rank of their cluster, and each setting takes a prefix of the ranks."""
+    parts = _pruned(assigned, "vec", B.Products(B.width(centroids, "cvec")), False, queries, centroids, max(nprobes), False)
+    parts = parts.withColumn("nprobe", F.explode(F.array(*[F.lit(n) for n in nprobes]))).where(F.col("rank") <= F.col("nprobe"))
+    return top_k(B.combine(parts, ("nprobe",)), k, by=("nprobe", "query_id"))
 
 
 def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank) over single vectors (doc_id, vec); queries (query_id, qvec). A vector is no neighbour of its own id."""
-    rows = all_pairs(vectors.select("doc_id", "vec"), queries.select("query_id", "qvec")).where("doc_id <> query_id")
-    return top_k(rows.select("query_id", "doc_id", V.dot(F.col("qvec"), F.col("vec")).alias("score")), k)
-
-
-def exact_scores(tokens: DataFrame, queries: DataFrame) -> DataFrame:
-    return maxsim(similarities(tokens, queries))
+    """(query_id, doc_id, score, rank) over single vectors (doc_id, vec) with one row each; queries (query_id, qvec). A vector is no neighbour of its own id."""
+    dim = B.width(queries, "qvec")
+    if dim is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    large = B.pack(vectors.select(F.lit(0).cast("long"), F.col("doc_id").cast("long"), F.lit(0).cast("long"), V.doubles("vec")), dim)
+    small = Z.query_blocks(queries.withColumn("q_tok", F.lit(0)), dim)
+    found = B.whole_scores(B.every_pair(large, small), B.Products(dim), k + 1)
+    return top_k(found.where("doc_id <> query_id"), k)

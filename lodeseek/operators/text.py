@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from .blocks import arrow
+from .lazy import Lazy, loaded
 
 
 def keyword_scan(docs: DataFrame, keywords: list[str]) -> DataFrame:
@@ -44,17 +51,21 @@ def chunk_windows(docs: DataFrame, size: int = 500, overlap: int = 100, markers:
     return rows.select("doc_id", "chunk_idx", "start", end.alias("end"), F.slice("tokens", F.col("start") + 1, F.greatest(end - F.col("start"), F.lit(0))).alias("tokens"))
 
 
-def prefix_offsets(rows: DataFrame, order: str, n: str, span: int = 4096) -> DataFrame:
+def prefix_offsets(rows: DataFrame, order: str, n: str, spans: int = 1024) -> DataFrame:
     """(order long unique, n) -> (order, offset long): the sum of n over all smaller order values.
 
     In two steps, so that no task sorts the whole table: running sums within spans of the order column, plus the sum of
-    the earlier spans, of which there are few.
+    the earlier spans. The spans are cut at quantiles of the order column, so they hold about equally many rows however
+    the values are spread.
     """
-    spans = rows.select(order, F.col(n).cast("long").alias("_n"), F.floor(F.col(order) / span).alias("_span"))
-    sums = spans.groupBy("_span").agg(F.sum("_n").alias("_s"))
+    rows = rows.select(order, F.col(n).cast("long").alias("_n"))
+    cuts = rows.agg(F.percentile_approx(order, [k / spans for k in range(1, spans)], 10 * spans)).first()[0] or []
+    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    spanned = Bucketizer(splits=splits, inputCol="_o", outputCol="_span").transform(rows.withColumn("_o", F.col(order).cast("double"))).drop("_o")
+    sums = spanned.groupBy("_span").agg(F.sum("_n").alias("_s"))
     before = sums.select("_span", F.coalesce(F.sum("_s").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return spans.withColumn("_i", inside).join(before, "_span").select(order, (F.col("_i") + F.col("_b")).alias("offset"))
+    return spanned.withColumn("_i", inside).join(F.broadcast(before), "_span").select(order, (F.col("_i") + F.col("_b")).alias("offset"))
 
 
 def stack_tokens(docs: DataFrame) -> DataFrame:
@@ -64,21 +75,38 @@ def stack_tokens(docs: DataFrame) -> DataFrame:
     return rows.select((F.col("offset") + F.col("pos")).alias("token_id"), "doc_id", "pos", "token")
 
 
-def tokenized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(id_column).alias("doc_id"), T.words(F.col("text")).alias("tokens"))
+def tokenized(docs: DataFrame, id_column: str = "doc_id", tokenizer: Lazy | Callable[[str], list[str]] | None = None) -> DataFrame:
+    """(doc_id, tokens array): white-space words, or what a tokenizer makes of each text (null: none)."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col("text"))
+    if tokenizer is None:
+        return rows.select("doc_id", T.words(F.col("text")).alias("tokens"))
+
+    def run(batches):
+        split = loaded(tokenizer)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                tokens = [list(split(t)) if t is not None else [] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.list_(pa.string()))], names=["doc_id", "tokens"])
+
+    return arrow(rows, run, StructType([rows.schema["doc_id"], *StructType.fromDDL("tokens array<string>").fields]))
 
 
-def order_statistic(rows: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
+def order_statistic(rows: DataFrame, value: str, shares: list[float], keys: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
     """The element int(n * p) (from 0) of the sorted values for each share p, by key: (keys..., p, value).
 
-    Values are counted first, so that what is ranked is the distinct values of a key and not all rows.
+    A sketch first brackets each element within n / accuracy ranks to both sides; only the values inside the bracket are
+    then counted and ranked, from the exact number of those below it. So no task sorts all values of a key.
     """
     keys = keys or []
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = F.sum("_c").over(window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_hi", upto).withColumn("_n", F.sum("_c").over(window))
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in shares]))
-    ranked = ranked.select(*keys, value, "_c", "_hi", "_n", wanted.alias("p"))
-    at = F.least(F.floor(F.col("_n") * F.col("p")), F.col("_n") - 1)
-    return ranked.where((at < F.col("_hi")) & (at >= F.col("_hi") - F.col("_c"))).select(*keys, "p", value)
+    rows = rows.select(*keys, F.col(value).alias("_v")).where("_v is not null")
+    near = 2.0 / accuracy
+    wanted = [F.struct(F.lit(float(p)).alias("p"), *[F.percentile_approx("_v", min(1.0, max(0.0, p + d)), accuracy).alias(n) for d, n in ((-near, "lo"), (near, "hi"))]) for p in shares]
+    bounds = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.array(*wanted).alias("_b")).select(*keys, "_n", F.inline("_b"))
+    bounds = bounds.withColumn("_at", F.least(F.floor(F.col("_n") * F.col("p")), F.col("_n") - 1))
+    joined = rows.join(bounds, keys) if keys else rows.crossJoin(F.broadcast(bounds))
+    below = joined.groupBy(*keys, "p").agg(F.count_if(F.col("_v") < F.col("lo")).alias("_below"))
+    inside = joined.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).groupBy(*keys, "p", "_at", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.join(below, [*keys, "p"]).withColumn("_hi", F.col("_below") + upto)
+    return ranked.where((F.col("_at") < F.col("_hi")) & (F.col("_at") >= F.col("_hi") - F.col("_c"))).select(*keys, "p", F.col("_v").alias(value))

@@ -1,7 +1,13 @@
-"""The test tables as retrieval inputs: each vector of ``embeddings`` is a token, five in a row a document."""
+"""The test tables as retrieval inputs: each vector of ``embeddings`` is a token, five in a row a document.
+
+Queries are the five tokens of every tenth document, so their number grows with the table; so does the number of
+clusters, with its square root.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +15,7 @@ from ..functions import vectors as V
 from ..operators import quantize as Z
 from ..sources.storage import read_table
 
-DIM, M, CODES, CLUSTERS, PER_DOC = 64, 8, 16, 16, 5
-QUERY_IDS = (100, 120)
+DIM, M, CODES, PER_DOC, PER_QUERY = 64, 8, 16, 5, 50
 NPROBES = [1, 2, 4, 8, 16]
 
 
@@ -28,45 +33,50 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    e = embeddings(spark, sf).where(F.col("vec_id").between(QUERY_IDS[0], QUERY_IDS[1] - 1))
-    at = (F.col("vec_id") - QUERY_IDS[0]).alias("at")
-    return e.select(at, V.doubles("embedding").alias("qvec")).select(div("at", 4).alias("query_id"), (F.col("at") % 4).cast("int").alias("q_tok"), "qvec")
+    e = embeddings(spark, sf).where(F.col("vec_id") % PER_QUERY < PER_DOC)
+    return e.select(div("vec_id", PER_QUERY).alias("query_id"), (F.col("vec_id") % PER_QUERY).cast("int").alias("q_tok"), V.doubles("embedding").alias("qvec"))
 
 
 def centroids(spark: SparkSession, sf: str) -> DataFrame:
-    return embeddings(spark, sf).where(F.col("vec_id") < CLUSTERS).select(F.col("vec_id").cast("int").alias("cluster_id"), V.doubles("embedding").alias("cvec"))
+    """About the square root of the number of vectors, evenly spaced by vec_id."""
+    e = embeddings(spark, sf)
+    step = math.ceil(math.sqrt(e.count()))
+    return e.where(F.col("vec_id") % step == 0).select(div("vec_id", step).cast("int").alias("cluster_id"), V.doubles("embedding").alias("cvec"))
 
 
 def assigned(spark: SparkSession, sf: str) -> DataFrame:
     return Z.assign_nearest(tokens(spark, sf), centroids(spark, sf))
 
 
-def codebooks(spark: SparkSession, sf: str) -> DataFrame:
-    t = tokens(spark, sf).where(F.col("token_id").between(16, 16 + CODES - 1))
-    return Z.parts(t, M, DIM).select("m", (F.col("token_id") - 16).cast("int").alias("k"), F.col("part").alias("cvec"))
+def _codeword(spark: SparkSession, sf: str) -> Column:
+    """Numbers the tokens whose parts are codewords: as many as CODES, evenly spaced."""
+    step = embeddings(spark, sf).count() // CODES
+    return F.when((F.col("token_id") % step == 0) & (F.col("token_id") < CODES * step), div("token_id", step))
+
+
+def codebooks(spark: SparkSession, sf: str, m: int = M) -> DataFrame:
+    return Z.seed_codebooks(tokens(spark, sf), _codeword(spark, sf), m, DIM)
 
 
 def residual_codebooks(spark: SparkSession, sf: str) -> DataFrame:
-    ids = F.when(F.col("token_id").between(16, 16 + CODES - 1), F.col("token_id") - 16)
-    return Z.residual_codebooks(assigned(spark, sf), ids, M, DIM)
+    return Z.seed_codebooks(Z.residuals(assigned(spark, sf), centroids(spark, sf)), _codeword(spark, sf), M, DIM)
 
 
-def codes(spark: SparkSession, sf: str) -> DataFrame:
-    a = assigned(spark, sf)
-    return Z.pq_encode(a, codebooks(spark, sf), M, DIM).join(a.select("token_id", "doc_id", "cluster_id"), "token_id")
+def codes(spark: SparkSession, sf: str, m: int = M) -> DataFrame:
+    return Z.encode_codes(assigned(spark, sf), codebooks(spark, sf, m))
 
 
 def residual_codes(spark: SparkSession, sf: str) -> DataFrame:
-    a = assigned(spark, sf)
-    return Z.pq_encode(Z.residuals(a), residual_codebooks(spark, sf), M, DIM).join(a.select("token_id", "doc_id", "cluster_id"), "token_id")
+    return Z.encode_codes(assigned(spark, sf), residual_codebooks(spark, sf), centroids(spark, sf))
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
-    """A document is relevant to a query if one of its vectors has the label of one of the query's; the relevance is 1, and 0 for the rest of the judged pairs."""
+    """A document is judged for a query if its least label is that of the query (relevance 1) or the next one (0)."""
     e = embeddings(spark, sf)
-    q = e.where(F.col("vec_id").between(QUERY_IDS[0], QUERY_IDS[1] - 1)).select((F.col("vec_id") - QUERY_IDS[0]).alias("at"), F.col("label").alias("ql")).select(div("at", 4).alias("query_id"), "ql").groupBy("query_id").agg(F.min("ql").alias("ql"))
+    q = e.where(F.col("vec_id") % PER_QUERY < PER_DOC).groupBy(div("vec_id", PER_QUERY).alias("query_id")).agg(F.min("label").alias("ql"))
     d = e.groupBy(div("vec_id", PER_DOC).alias("doc_id")).agg(F.min("label").alias("dl"))
-    return d.crossJoin(F.broadcast(q)).where("dl <= 4").select("query_id", "doc_id", (F.col("dl") == F.col("ql")).cast("int").alias("relevance"))
+    graded = q.select("query_id", F.explode(F.array(F.struct(F.col("ql").alias("dl"), F.lit(1).alias("relevance")), F.struct(((F.col("ql") + 1) % 10).alias("dl"), F.lit(0).alias("relevance")))).alias("g")).select("query_id", "g.*")
+    return d.join(graded, "dl").select("query_id", "doc_id", "relevance")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

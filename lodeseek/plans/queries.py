@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import blocks as B
 from ..operators import encode as E
 from ..operators import evaluate as M
+from ..operators import index as I
+from ..operators import profile as P
 from ..operators import quantize as Z
 from ..operators import scoring as S
 from ..operators import search as Q
 from ..operators import text as C
+from ..sources import storage
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,19 +29,21 @@ KEYWORDS = ["license", "@", "und", "the", "absentword"]
 
 #: Common tables of the SQL side.
 BASE = """WITH RECURSIVE
+size AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS step, count(*) // 16 AS word FROM embeddings),
 t AS (SELECT vec_id AS token_id, vec_id // 5 AS doc_id, (vec_id % 5)::INTEGER AS pos, embedding::DOUBLE[] AS vec FROM embeddings),
-q AS (SELECT (vec_id - 100) // 4 AS query_id, ((vec_id - 100) % 4)::INTEGER AS q_tok, embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id BETWEEN 100 AND 119),
-c AS (SELECT vec_id::INTEGER AS cluster_id, embedding::DOUBLE[] AS cvec FROM embeddings WHERE vec_id < 16),
+q AS (SELECT vec_id // 50 AS query_id, (vec_id % 50)::INTEGER AS q_tok, embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id % 50 < 5),
+c AS (SELECT (vec_id // step)::INTEGER AS cluster_id, embedding::DOUBLE[] AS cvec FROM embeddings, size WHERE vec_id % step = 0),
 asg AS (SELECT token_id, doc_id, pos, vec, cluster_id, cvec FROM (
   SELECT t.*, c.*, row_number() OVER (PARTITION BY token_id ORDER BY round(list_distance(vec, cvec) ** 2, 9), cluster_id) AS r FROM t, c) WHERE r = 1),
 ms AS (SELECT range::INTEGER AS m FROM range(8)),
-cb AS (SELECT m, (token_id - 16)::INTEGER AS k, vec[m * 8 + 1:m * 8 + 8] AS cvec FROM t, ms WHERE token_id BETWEEN 16 AND 31),
+words AS (SELECT (token_id // word)::INTEGER AS k, token_id AS word_id FROM t, size WHERE token_id % word = 0 AND token_id < 16 * word),
+cb AS (SELECT m, k, vec[m * 8 + 1:m * 8 + 8] AS cvec FROM t JOIN words ON word_id = token_id, ms),
 codes AS (SELECT token_id, doc_id, cluster_id, m, k, d FROM (
   SELECT token_id, doc_id, cluster_id, cb.m, k, round(list_distance(vec[cb.m * 8 + 1:cb.m * 8 + 8], cb.cvec) ** 2, 9) AS d,
     row_number() OVER (PARTITION BY token_id, cb.m ORDER BY round(list_distance(vec[cb.m * 8 + 1:cb.m * 8 + 8], cb.cvec) ** 2, 9), k) AS r FROM asg, cb) WHERE r = 1),
 lut AS (SELECT query_id, q_tok, m, k, list_dot_product(qvec[m * 8 + 1:m * 8 + 8], cvec) AS s FROM q, cb),
 res AS (SELECT token_id, doc_id, cluster_id, list_transform(range(1, 65), lambda i: vec[i] - cvec[i]) AS vec FROM asg),
-rcb AS (SELECT m, (token_id - 16)::INTEGER AS k, vec[m * 8 + 1:m * 8 + 8] AS cvec FROM res, ms WHERE token_id BETWEEN 16 AND 31),
+rcb AS (SELECT m, k, vec[m * 8 + 1:m * 8 + 8] AS cvec FROM res JOIN words ON word_id = token_id, ms),
 rcodes AS (SELECT token_id, doc_id, cluster_id, m, k, d FROM (
   SELECT token_id, doc_id, cluster_id, rcb.m, k, round(list_distance(vec[rcb.m * 8 + 1:rcb.m * 8 + 8], rcb.cvec) ** 2, 9) AS d,
     row_number() OVER (PARTITION BY token_id, rcb.m ORDER BY round(list_distance(vec[rcb.m * 8 + 1:rcb.m * 8 + 8], rcb.cvec) ** 2, 9), k) AS r FROM res, rcb) WHERE r = 1),
@@ -53,8 +60,8 @@ ivf AS (SELECT n.nprobe, s.query_id, s.doc_id, s.q_tok, max(s.s) AS s
   JOIN sim s ON s.query_id = p.query_id AND s.token_id = asg.token_id GROUP BY ALL),
 sweep AS (SELECT nprobe, query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY nprobe, query_id ORDER BY round(score, 6) DESC, doc_id)::INTEGER AS rank
   FROM (SELECT nprobe, query_id, doc_id, sum(s) AS score FROM ivf GROUP BY ALL)),
-lab AS (SELECT query_id, min(label) AS ql FROM (SELECT (vec_id - 100) // 4 AS query_id, label FROM embeddings WHERE vec_id BETWEEN 100 AND 119) GROUP BY 1),
-qrels AS (SELECT query_id, doc_id, (dl = ql)::INTEGER AS relevance FROM (SELECT vec_id // 5 AS doc_id, min(label) AS dl FROM embeddings GROUP BY 1), lab WHERE dl <= 4),
+lab AS (SELECT vec_id // 50 AS query_id, min(label) AS ql FROM embeddings WHERE vec_id % 50 < 5 GROUP BY 1),
+qrels AS (SELECT query_id, doc_id, (dl = ql)::INTEGER AS relevance FROM (SELECT vec_id // 5 AS doc_id, min(label) AS dl FROM embeddings GROUP BY 1), lab WHERE dl = ql OR dl = (ql + 1) % 10),
 pos AS (SELECT query_id, doc_id FROM qrels WHERE relevance > 0),
 nrel AS (SELECT query_id, count(*) AS n_rel FROM pos GROUP BY 1),
 hits AS (SELECT ex.*, (pos.doc_id IS NOT NULL)::INTEGER AS hit FROM ex LEFT JOIN pos USING (query_id, doc_id)),
@@ -112,12 +119,12 @@ def dot(spark, sf):
 
 @query("SELECT token_id, cluster_id, round(list_distance(vec, cvec) ** 2, 6) AS d FROM t, c")
 def sq_l2(spark, sf):
-    return S.all_pairs(X.tokens(spark, sf), X.centroids(spark, sf)).select("token_id", "cluster_id", r6(V.sq_l2(F.col("vec"), F.col("cvec"))).alias("d"))
+    return S.distances(X.tokens(spark, sf), X.centroids(spark, sf)).select("token_id", "cluster_id", r6("d").alias("d"))
 
 
 @query("SELECT token_id, i::INTEGER AS i, round(vec[i + 1], 6) AS x FROM res, range(64) r(i)")
 def residual(spark, sf):
-    return Z.residuals(X.assigned(spark, sf)).select("token_id", F.posexplode("vec").alias("i", "x")).withColumn("x", r6("x"))
+    return Z.residuals(X.assigned(spark, sf), X.centroids(spark, sf)).select("token_id", F.posexplode("vec").alias("i", "x")).withColumn("x", r6("x"))
 
 
 @query("SELECT token_id, m, round(vec[m * 8 + 1], 6) AS first, round(vec[m * 8 + 8], 6) AS last, round(list_sum(vec[m * 8 + 1:m * 8 + 8]), 6) AS total FROM t, ms")
@@ -128,8 +135,9 @@ def subvector(spark, sf):
 
 @query("SELECT token_id, j::INTEGER AS j, round(list_sum(list_transform(range(64), lambda i: vec[i + 1] * ((i * 7 + j * 13) % 11 - 5) / 10.0)), 6) AS x FROM t, range(16) r(j)")
 def linear_projection(spark, sf):
-    matrix = [[((i * 7 + j * 13) % 11 - 5) / 10.0 for i in range(X.DIM)] for j in range(16)]
-    return X.tokens(spark, sf).select("token_id", F.posexplode(V.project(F.col("vec"), matrix)).alias("j", "x")).withColumn("x", r6("x"))
+    matrix = np.array([[((i * 7 + j * 13) % 11 - 5) / 10.0 for j in range(16)] for i in range(X.DIM)])
+    rows = B.project(X.tokens(spark, sf).select("token_id", "vec"), "vec", matrix)
+    return rows.select("token_id", F.posexplode("vec").alias("j", "x")).withColumn("x", r6("x"))
 
 
 def _items(spark, sf):
@@ -168,14 +176,29 @@ def snippet(spark, sf):
 
 @query("SELECT m, token_id, k::SMALLINT AS code FROM codes")
 def transpose_codes(spark, sf):
-    return Z.transpose_codes(Z.pack_codes(X.codes(spark, sf)))
+    return Z.transpose_codes(X.codes(spark, sf))
 
 
-@query("SELECT m::INTEGER AS m, n * 64 * 4 AS raw_bytes, (n * m)::BIGINT AS code_bytes, round(256.0 / m, 6)::DOUBLE AS ratio FROM (SELECT count(*) AS n FROM t), (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS m)")
+@query("""SELECT m::INTEGER AS m, n * 256 AS raw_bytes, n * m AS code_bytes, round(256.0 / m, 6)::DOUBLE AS ratio, k * 256 + n * 4 AS coarse_bytes, n * m + 4096 AS coded_bytes, n * 4 AS lookup_bytes,
+  k * 256 + n * 8 + n * m + 4096 AS index_bytes, round(n * 256.0 / (k * 256 + n * 8 + n * m + 4096), 6)::DOUBLE AS effective_ratio
+FROM (SELECT count(*) AS n FROM t), (SELECT count(*) AS k FROM c), (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS m)""")
 def compression_stats(spark, sf):
-    n = X.tokens(spark, sf).agg(F.count("*").alias("n"))
-    rows = n.select("n", F.explode(F.array(*[F.lit(m) for m in (1, 2, 4, 8, 16, 32, 64)])).alias("m"))
-    return rows.select("m", (F.col("n") * X.DIM * 4).alias("raw_bytes"), (F.col("n") * F.col("m")).alias("code_bytes"), r6(4.0 * X.DIM / F.col("m")).alias("ratio"))
+    """Codes against raw vectors, and the bytes of each part of an index with its effective ratio."""
+    n = X.tokens(spark, sf).agg(F.count("*").alias("n")).crossJoin(X.centroids(spark, sf).agg(F.count("*").alias("k")))
+    out = None
+    for m in (1, 2, 4, 8, 16, 32, 64):
+        sizes = M.index_sizes(F.col("n"), X.DIM, F.col("k"), m, X.CODES)
+        one = n.select(F.lit(m).alias("m"), (F.col("n") * m).alias("code_bytes"), r6(F.lit(4.0 * X.DIM / m)).alias("ratio"), *[(r6(v) if c == "effective_ratio" else v).alias(c) for c, v in sizes.items()])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS median FROM events GROUP BY 1) SELECT event_type, round(median, 6) AS median, round((SELECT median FROM m WHERE event_type = (SELECT min(event_type) FROM events)) / median, 6) AS speedup FROM m")
+def latency_speedup(spark, sf):
+    """Median latency of each system and its ratio to the baseline's, on a latency-like column."""
+    rows = X.read_table(spark, sf, "events").select("event_type", "value")
+    base = rows.agg(F.min("event_type")).first()[0]
+    return M.speedups(rows, "event_type", "value", base).select("event_type", r6("median").alias("median"), r6("speedup").alias("speedup"))
 
 
 _STATS = """, cand AS (SELECT nprobe, query_id, count(*) AS n_candidates, count(DISTINCT cluster_id) AS n_probed FROM (
@@ -233,11 +256,11 @@ def judged_queries(spark, sf):
 QUERIES["judged_semi"], ORACLES["judged_semi"] = QUERIES["judged_queries"], ORACLES["judged_queries"]
 
 
-@query("SELECT query_id, count(a.token_id) AS n_candidates FROM (SELECT DISTINCT query_id FROM q) LEFT JOIN asg a ON a.cluster_id = 99 GROUP BY query_id")
+@query("SELECT query_id, count(a.token_id) AS n_candidates FROM (SELECT DISTINCT query_id FROM q) LEFT JOIN asg a ON a.cluster_id = -1 GROUP BY query_id")
 def empty_candidates(spark, sf):
     """A probe that meets only clusters without members finds no row; the count shows it as 0."""
     q = X.queries(spark, sf).select("query_id").distinct()
-    found = Q.candidates(X.assigned(spark, sf).drop("cvec"), q.withColumn("cluster_id", F.lit(99))).groupBy("query_id").agg(F.count("*").alias("n"))
+    found = Q.candidates(X.assigned(spark, sf), q.withColumn("cluster_id", F.lit(-1))).groupBy("query_id").agg(F.count("*").alias("n"))
     return q.join(found, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_candidates"))
 
 
@@ -288,7 +311,7 @@ def stack_tokens(spark, sf):
 @query(f'WITH d AS (SELECT doc_id, len({_WORDS}) AS n FROM documents) SELECT doc_id, (coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM d')
 def prefix_offsets(spark, sf):
     rows = C.tokenized(X.documents(spark, sf)).select("doc_id", F.size("tokens").alias("n"))
-    return C.prefix_offsets(rows, "doc_id", "n", span=256)
+    return C.prefix_offsets(rows, "doc_id", "n")
 
 
 @query(f"WITH d AS (SELECT len({_WORDS}) AS n FROM documents) SELECT min(n)::INTEGER AS least, max(n)::INTEGER AS most, quantile_cont(n, 0.5)::DOUBLE AS median, round(avg(n), 6) AS mean FROM d")
@@ -362,24 +385,23 @@ def token_doc_gather(spark, sf):
 
 @query("SELECT query_id, q_tok, token_id, round(sum(s), 6) AS s FROM codes JOIN lut USING (m, k) GROUP BY ALL")
 def lut_apply(spark, sf):
-    table = Z.lookup_table(X.queries(spark, sf), X.codebooks(spark, sf), X.M, X.DIM)
-    return Z.lookup_scores(X.codes(spark, sf), table).select("query_id", "q_tok", "token_id", r6("s").alias("s"))
+    return Z.lookup_scores(X.codes(spark, sf), X.queries(spark, sf), X.codebooks(spark, sf)).select("query_id", "q_tok", "token_id", r6("s").alias("s"))
 
 
 @query("SELECT query_id, q_tok, token_id, round(s, 6) AS s FROM asg JOIN csim USING (cluster_id)")
 def centroid_term(spark, sf):
     terms = Q.centroid_sim(X.queries(spark, sf), X.centroids(spark, sf))
-    return X.assigned(spark, sf).join(F.broadcast(terms), "cluster_id").select("query_id", "q_tok", "token_id", r6("s").alias("s"))
+    return X.assigned(spark, sf).join(terms, "cluster_id").select("query_id", "q_tok", "token_id", r6("s").alias("s"))
 
 
 _KNN = """, knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM (
-  SELECT a.token_id AS query_id, b.token_id AS doc_id, round(list_dot_product(a.vec, b.vec), 6) AS score FROM t a JOIN t b ON a.token_id BETWEEN 100 AND 119 AND a.token_id <> b.token_id))
+  SELECT a.token_id AS query_id, b.token_id AS doc_id, round(list_dot_product(a.vec, b.vec), 6) AS score FROM t a JOIN t b ON a.token_id % 50 = 0 AND a.token_id <> b.token_id))
 """
 
 
 def _singles(spark, sf):
     t = X.tokens(spark, sf).select(F.col("token_id").alias("doc_id"), "vec")
-    return t, t.where(F.col("doc_id").between(100, 119)).select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"))
+    return t, t.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"))
 
 
 @query(_KNN + "SELECT query_id, doc_id, score, rank FROM knn WHERE rank <= 10")
@@ -396,7 +418,8 @@ def relevance_hit(spark, sf):
     return M.relevance_hits(_top(spark, sf), X.qrels(spark, sf)).select("query_id", "doc_id", "rank", "hit")
 
 
-_RECALL = """, rec AS (SELECT s.nprobe, s.query_id, count(e.doc_id) / 10 AS recall FROM sweep s LEFT JOIN (SELECT * FROM ex WHERE rank <= 10) e USING (query_id, doc_id) WHERE s.rank <= 10 GROUP BY ALL),
+_RECALL = """, rec AS (SELECT n.nprobe, e.query_id, count(s.doc_id) / 10 AS recall FROM ex e CROSS JOIN (SELECT unnest([1, 2, 4, 8, 16])::INTEGER AS nprobe) n
+  LEFT JOIN (SELECT * FROM sweep WHERE rank <= 10) s ON s.nprobe = n.nprobe AND s.query_id = e.query_id AND s.doc_id = e.doc_id WHERE e.rank <= 10 GROUP BY ALL),
 mrec AS (SELECT nprobe, round(avg(recall), 6) AS recall FROM rec GROUP BY nprobe)
 """
 
@@ -427,8 +450,8 @@ def topk_text(spark, sf):
 
 @query("SELECT round(sum(s), 6) AS score FROM (SELECT q_tok, max(s) AS s FROM sim WHERE query_id = 1 AND doc_id = 7 GROUP BY q_tok)")
 def maxsim_pair(spark, sf):
-    scores = S.similarities(X.tokens(spark, sf).where("doc_id = 7"), X.queries(spark, sf).where("query_id = 1"))
-    return S.maxsim(scores).select(r6("score").alias("score"))
+    scores = S.maxsim_blocks(X.tokens(spark, sf).where("doc_id = 7"), X.queries(spark, sf).where("query_id = 1"))
+    return scores.select(r6("score").alias("score"))
 
 
 @query("SELECT query_id, doc_id, round(score, 6) AS score FROM exact")
@@ -439,19 +462,19 @@ def maxsim(spark, sf):
 _CHUNKED = ", cs AS (SELECT query_id, q_tok, token_id // 10 AS doc_id, ((token_id // 5) % 2)::INTEGER AS chunk_idx, s FROM sim)\n"
 
 
-def _chunk_scores(spark, sf):
-    s = S.similarities(X.tokens(spark, sf), X.queries(spark, sf))
-    return s.select("query_id", "q_tok", X.div("token_id", 10).alias("doc_id"), (X.div("token_id", 5) % 2).cast("int").alias("chunk_idx"), "s")
+def _chunk_tokens(spark, sf):
+    """Ten tokens in a row as a document of two chunks."""
+    return X.tokens(spark, sf).select("token_id", X.div("token_id", 10).alias("doc_id"), (X.div("token_id", 5) % 2).cast("int").alias("chunk_idx"), "vec")
 
 
 @query(_CHUNKED + "SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, q_tok, max(s) AS s FROM cs GROUP BY ALL) GROUP BY ALL")
 def maxsim_chunked(spark, sf):
-    return S.maxsim(_chunk_scores(spark, sf)).withColumn("score", r6("score"))
+    return S.maxsim_blocks(_chunk_tokens(spark, sf), X.queries(spark, sf)).withColumn("score", r6("score"))
 
 
 @query(_CHUNKED + "SELECT query_id, doc_id, round(max(s), 6) AS score FROM (SELECT query_id, doc_id, chunk_idx, sum(s) AS s FROM (SELECT query_id, doc_id, chunk_idx, q_tok, max(s) AS s FROM cs GROUP BY ALL) GROUP BY ALL) GROUP BY ALL")
 def max_over_chunks(spark, sf):
-    return S.max_over_chunks(_chunk_scores(spark, sf)).withColumn("score", r6("score"))
+    return S.max_over_chunks(_chunk_tokens(spark, sf), X.queries(spark, sf)).withColumn("score", r6("score"))
 
 
 # Clusters and codes
@@ -459,7 +482,7 @@ def max_over_chunks(spark, sf):
 
 @query()
 def kmeans_train(spark, sf):
-    return Z.kmeans_train(X.tokens(spark, sf), X.CLUSTERS, max_iter=20)
+    return Z.kmeans_train(X.tokens(spark, sf), 16)
 
 
 _LLOYD = """, new AS (SELECT cluster_id, i, avg(vec[i + 1]) AS x FROM asg, range(64) r(i) GROUP BY ALL)
@@ -485,38 +508,37 @@ def posting_lists(spark, sf):
 
 @query()
 def pq_train(spark, sf):
-    return Z.pq_train(X.tokens(spark, sf), 4, 16, X.DIM, sample=10_000)
+    return Z.pq_train(X.tokens(spark, sf), X.M, 256, X.DIM)
 
 
 @query("SELECT token_id, m, k::SMALLINT AS k FROM codes")
 def pq_encode(spark, sf):
-    return X.codes(spark, sf).select("token_id", "m", "k")
+    return Z.transpose_codes(X.codes(spark, sf)).select("token_id", "m", F.col("code").alias("k"))
 
 
 @query("SELECT token_id, cluster_id, m, k::SMALLINT AS k FROM rcodes")
 def residual_pq_build(spark, sf):
-    return X.residual_codes(spark, sf).select("token_id", "cluster_id", "m", "k")
+    coded = X.residual_codes(spark, sf)
+    return coded.select("token_id", "cluster_id", F.posexplode(Z.code_list(F.col("codes"))).alias("m", "k"))
 
 
 @query("SELECT token_id, cluster_id, string_agg(k::VARCHAR, ',' ORDER BY m) AS codes FROM codes GROUP BY ALL")
 def ivf_pq_build(spark, sf):
-    codes = X.codes(spark, sf)
-    packed = Z.pack_codes(codes).select("token_id", F.concat_ws(",", F.col("codes").cast("array<string>")).alias("codes"))
-    return codes.where("m = 0").select("token_id", "cluster_id").join(packed, "token_id")
+    return X.codes(spark, sf).select("token_id", "cluster_id", F.concat_ws(",", Z.code_list(F.col("codes")).cast("array<string>")).alias("codes"))
 
 
 @query("SELECT round(avg(e), 6) AS pq_error, round(avg(r), 6) AS residual_pq_error, round(avg(w), 6) AS raw_norm, round(avg(v), 6) AS residual_norm, round(avg(v) / avg(w), 6) AS ratio FROM (SELECT token_id, sqrt(sum(d)) AS e FROM codes GROUP BY 1) JOIN (SELECT token_id, sqrt(sum(d)) AS r FROM rcodes GROUP BY 1) USING (token_id) JOIN (SELECT token_id, sqrt(list_dot_product(vec, vec)) AS w FROM t) USING (token_id) JOIN (SELECT token_id, sqrt(list_dot_product(vec, vec)) AS v FROM res) USING (token_id)")
 def quant_error(spark, sf):
-    e = X.codes(spark, sf).groupBy("token_id").agg(F.sqrt(F.sum("d")).alias("e"))
-    r = X.residual_codes(spark, sf).groupBy("token_id").agg(F.sqrt(F.sum("d")).alias("r"))
-    a = X.assigned(spark, sf).select("token_id", V.norm(F.col("vec")).alias("w"), V.norm(V.subtract(F.col("vec"), F.col("cvec"))).alias("v"))
-    rows = e.join(r, "token_id").join(a, "token_id")
-    return rows.agg(r6(F.avg("e")).alias("pq_error"), r6(F.avg("r")).alias("residual_pq_error"), r6(F.avg("w")).alias("raw_norm"), r6(F.avg("v")).alias("residual_norm"), r6(F.avg("v") / F.avg("w")).alias("ratio"))
+    e = X.codes(spark, sf).agg(F.avg("error").alias("e"))
+    r = X.residual_codes(spark, sf).agg(F.avg("error").alias("r"))
+    a = Z.with_centroid(X.assigned(spark, sf), X.centroids(spark, sf)).agg(F.avg(V.norm(F.col("vec"))).alias("w"), F.avg(V.norm(V.subtract(F.col("vec"), F.col("cvec")))).alias("v"))
+    rows = e.crossJoin(r).crossJoin(a)  # one row each
+    return rows.select(r6("e").alias("pq_error"), r6("r").alias("residual_pq_error"), r6("w").alias("raw_norm"), r6("v").alias("residual_norm"), r6(F.col("v") / F.col("w")).alias("ratio"))
 
 
-@query("SELECT min(n) AS least, quantile_cont(n, 0.5)::DOUBLE AS median, max(n) AS most, round(avg(n), 6) AS mean, count(*) FILTER (WHERE n = 0) AS n_empty FROM (SELECT c.cluster_id, count(a.token_id) AS n FROM (SELECT cluster_id FROM c UNION ALL SELECT 99) c LEFT JOIN asg a ON a.cluster_id = c.cluster_id GROUP BY 1)")
+@query("SELECT min(n) AS least, quantile_cont(n, 0.5)::DOUBLE AS median, max(n) AS most, round(avg(n), 6) AS mean, count(*) FILTER (WHERE n = 0) AS n_empty FROM (SELECT c.cluster_id, count(a.token_id) AS n FROM (SELECT cluster_id FROM c UNION ALL SELECT -1) c LEFT JOIN asg a ON a.cluster_id = c.cluster_id GROUP BY 1)")
 def cluster_stats(spark, sf):
-    c = X.centroids(spark, sf).select("cluster_id").union(spark.range(1).select(F.lit(99).alias("cluster_id")))
+    c = X.centroids(spark, sf).select("cluster_id").union(spark.range(1).select(F.lit(-1).alias("cluster_id")))
     return Z.cluster_sizes(X.assigned(spark, sf), c).agg(F.min("size").alias("least"), F.percentile("size", 0.5).alias("median"), F.max("size").alias("most"), r6(F.avg("size")).alias("mean"), F.count_if(F.col("size") == 0).alias("n_empty"))
 
 
@@ -649,19 +671,33 @@ def sweep_nprobe(spark, sf):
     return _sweep(spark, sf)
 
 
-@query("""SELECT m::INTEGER AS m, round(avg(e), 6) AS error, round(256.0 / m, 6)::DOUBLE AS ratio FROM (
-  SELECT m, token_id, sqrt(sum(d)) AS e FROM (
-    SELECT p.m, a.token_id, j, min(round(list_distance(a.vec[j * (64 // p.m) + 1:(j + 1) * (64 // p.m)], b.vec[j * (64 // p.m) + 1:(j + 1) * (64 // p.m)]) ** 2, 9)) AS d
-    FROM (SELECT unnest([4, 8, 16]) AS m) p, t a, t b, range(16) r(j) WHERE j < p.m AND b.token_id BETWEEN 16 AND 31 GROUP BY ALL) GROUP BY ALL) GROUP BY m""")
+_SWEEP_M = """, pm AS (SELECT unnest([4, 8, 16, 32, 64]) AS m),
+pc AS (SELECT token_id, doc_id, m, j, k, d FROM (
+  SELECT a.token_id, a.doc_id, pm.m, j, k, round(list_distance(a.vec[j * (64 // m) + 1:(j + 1) * (64 // m)], b.vec[j * (64 // m) + 1:(j + 1) * (64 // m)]) ** 2, 9) AS d,
+    row_number() OVER (PARTITION BY a.token_id, pm.m, j ORDER BY round(list_distance(a.vec[j * (64 // m) + 1:(j + 1) * (64 // m)], b.vec[j * (64 // m) + 1:(j + 1) * (64 // m)]) ** 2, 9), k) AS r
+  FROM pm, range(64) g(j), t a, t b JOIN words ON word_id = b.token_id WHERE j < pm.m) WHERE r = 1),
+pe AS (SELECT m, avg(e) AS error FROM (SELECT m, token_id, sqrt(sum(d)) AS e FROM pc GROUP BY ALL) GROUP BY m),
+pl AS (SELECT pm.m, j, k, query_id, q_tok, list_dot_product(qvec[j * (64 // m) + 1:(j + 1) * (64 // m)], vec[j * (64 // m) + 1:(j + 1) * (64 // m)]) AS s FROM pm, range(64) g(j), q, t JOIN words ON word_id = token_id WHERE j < pm.m),
+ps AS (SELECT m, query_id, doc_id, sum(s) AS score FROM (SELECT m, query_id, doc_id, q_tok, max(s) AS s FROM (
+  SELECT pc.m, query_id, q_tok, doc_id, token_id, sum(s) AS s FROM pc JOIN pl ON pl.m = pc.m AND pl.j = pc.j AND pl.k = pc.k GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+pr AS (SELECT m, query_id, doc_id, row_number() OVER (PARTITION BY m, query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ps),
+ph AS (SELECT pr.*, (pos.doc_id IS NOT NULL)::INTEGER AS hit FROM pr LEFT JOIN pos USING (query_id, doc_id) WHERE rank <= 100),
+pq AS (SELECT pm.m, nrel.query_id, coalesce(sum(CASE WHEN rank <= 10 THEN hit / log2(rank + 1) END), 0) / list_sum(list_transform(range(1, least(any_value(n_rel), 10) + 1), lambda r: 1 / log2(r + 1))) AS ndcg, coalesce(sum(hit), 0) / any_value(n_rel) AS recall
+  FROM pm CROSS JOIN nrel LEFT JOIN ph ON ph.m = pm.m AND ph.query_id = nrel.query_id GROUP BY ALL)
+"""
+
+
+@query(_SWEEP_M + "SELECT m::INTEGER AS m, round(any_value(error), 6) AS error, round(256.0 / m, 6)::DOUBLE AS ratio, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall FROM pq JOIN pe USING (m) GROUP BY m")
 def sweep_m(spark, sf):
-    """Quantisation error by the number of parts; a part count that does not divide the dimension is left out."""
-    t, out = X.tokens(spark, sf), None
-    for m in (4, 5, 8, 16):
+    """Quantisation error and search quality by the number of parts; a part count that does not divide the dimension is left out."""
+    judged, queries, out = X.qrels(spark, sf), X.queries(spark, sf), None
+    for m in (4, 5, 8, 16, 32, 64):
         if X.DIM % m:
             continue
-        book = Z.parts(t.where(F.col("token_id").between(16, 31)), m, X.DIM).select("m", (F.col("token_id") - 16).cast("int").alias("k"), F.col("part").alias("cvec"))
-        e = Z.pq_encode(t, book, m, X.DIM).groupBy("token_id").agg(F.sqrt(F.sum("d")).alias("e"))
-        one = e.agg(r6(F.avg("e")).alias("error")).select(F.lit(m).alias("m"), "error", F.lit(4.0 * X.DIM / m).alias("ratio"))
+        books = X.codebooks(spark, sf, m)
+        codes = Z.encode_codes(X.tokens(spark, sf), books)
+        quality = M.mean_metrics(M.query_metrics(Q.search_pq(codes, queries, books), judged)).select("ndcg", "recall")
+        one = codes.agg(r6(F.avg("error")).alias("error")).crossJoin(quality).select(F.lit(m).alias("m"), "error", F.lit(4.0 * X.DIM / m).alias("ratio"), "ndcg", "recall")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -671,9 +707,38 @@ def sweep_m(spark, sf):
 FROM (SELECT nprobe, round(avg(ndcg), 6) AS x FROM sm GROUP BY nprobe)""")
 def ab_compare(spark, sf):
     m = M.mean_metrics(M.query_metrics(_sweep(spark, sf), X.qrels(spark, sf), by=("nprobe",)), by=("nprobe",))
-    x = m.agg(F.max(F.when(F.col("nprobe") == 2, F.col("ndcg"))).alias("a"), F.max(F.when(F.col("nprobe") == 8, F.col("ndcg"))).alias("b"))
-    delta = F.col("b") - F.col("a")
-    return x.select(r6("a").alias("a"), r6("b").alias("b"), r6(delta).alias("delta"), F.when(delta > 0.005, "better").when(delta < -0.005, "worse").otherwise("same").alias("verdict"))
+    return M.ab_compare(m, "nprobe", 2, 8).select(r6("a").alias("a"), r6("b").alias("b"), r6("delta").alias("delta"), "verdict")
+
+
+@query()
+def augmentation_ab(spark, sf):
+    """Queries with and without augmentation, against encoded documents: mean metrics of both arms, query tokens, differences and verdict. A document is relevant to a passage of benchmark that it contains."""
+    docs = X.documents(spark, sf).select("doc_id", "text")
+    items = X.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    judged = docs.join(F.broadcast(items.withColumnRenamed("text", "passage")), F.contains("text", F.col("passage"))).select("query_id", "doc_id", F.lit(1).alias("relevance"))
+    tokens, arms = E.encode_docs(docs), None
+    for augment in (False, True):
+        queries = E.encode_queries(items, augment=augment)
+        found = M.mean_metrics(M.query_metrics(Q.search_bruteforce(tokens, queries, 100), judged))
+        size = queries.groupBy("query_id").count().agg(r6(F.avg("count")).alias("q_tokens"))
+        one = found.crossJoin(size).withColumn("augment", F.lit(augment))
+        arms = one if arms is None else arms.unionByName(one)
+    verdict = M.ab_compare(arms, "augment", False, True).select(r6("delta").alias("delta_ndcg"), "verdict")
+    return arms.crossJoin(verdict)
+
+
+@query()
+def stage_profile(spark, sf):
+    """Wall time of encoding, products and top-k of an exact search over all passages of benchmark and all documents' tokens."""
+    items = X.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    tokens = X.tokens(spark, sf)
+    queries = E.encode_queries(items).cache()
+    scores = Q.exact_scores(tokens, queries).cache()
+    try:
+        return P.stage_profile(spark, [("encode", lambda: E.encode_queries(items)), ("products", lambda: Q.exact_scores(tokens, queries)), ("top_k", lambda: S.top_k(scores, 10))])
+    finally:
+        queries.unpersist()
+        scores.unpersist()
 
 
 # Composite searches
@@ -694,7 +759,7 @@ def _late(rel: str, k: int) -> str:
 
 @query(_CHUNKED + _late("SELECT * FROM cs", 10))
 def search_chunked(spark, sf):
-    return S.top_k(S.maxsim(_chunk_scores(spark, sf)), 10)
+    return Q.search_chunked(_chunk_tokens(spark, sf), X.queries(spark, sf), 10)
 
 
 @query("SELECT query_id, doc_id, score, rank FROM sweep WHERE nprobe = 2 AND rank <= 10")
@@ -702,13 +767,9 @@ def search_ivf(spark, sf):
     return Q.search_ivf(X.assigned(spark, sf), X.centroids(spark, sf), X.queries(spark, sf), 2)
 
 
-def _table(spark, sf):
-    return Z.lookup_table(X.queries(spark, sf), X.codebooks(spark, sf), X.M, X.DIM)
-
-
 @query(_late("SELECT query_id, q_tok, doc_id, token_id, sum(s) AS s FROM codes JOIN lut USING (m, k) GROUP BY ALL", 100))
 def search_pq(spark, sf):
-    return Q.search_pq(X.codes(spark, sf), _table(spark, sf))
+    return Q.search_pq(X.codes(spark, sf), X.queries(spark, sf), X.codebooks(spark, sf))
 
 
 _PROBED = "(SELECT DISTINCT query_id, cluster_id FROM probe WHERE rank <= 2)"
@@ -716,24 +777,20 @@ _PROBED = "(SELECT DISTINCT query_id, cluster_id FROM probe WHERE rank <= 2)"
 
 @query(_late(f"SELECT query_id, q_tok, doc_id, token_id, sum(s) AS s FROM codes JOIN {_PROBED} USING (cluster_id) JOIN lut USING (query_id, m, k) GROUP BY ALL", 100))
 def search_ivf_pq(spark, sf):
-    return Q.search_ivf_pq(X.codes(spark, sf), _table(spark, sf), X.queries(spark, sf), X.centroids(spark, sf), 2)
-
-
-def _residual_table(spark, sf):
-    return Z.lookup_table(X.queries(spark, sf), X.residual_codebooks(spark, sf), X.M, X.DIM)
+    return Q.search_ivf_pq(X.codes(spark, sf), X.queries(spark, sf), X.codebooks(spark, sf), X.centroids(spark, sf), 2)
 
 
 @query(_late("SELECT query_id, q_tok, doc_id, token_id, r + s AS s FROM (SELECT query_id, q_tok, doc_id, token_id, cluster_id, sum(s) AS r FROM rcodes JOIN rlut USING (m, k) GROUP BY ALL) JOIN csim USING (query_id, q_tok, cluster_id)", 100))
 def search_residual_pq(spark, sf):
-    return Q.search_residual_pq(X.residual_codes(spark, sf), _residual_table(spark, sf), X.queries(spark, sf), X.centroids(spark, sf))
+    return Q.search_residual_pq(X.residual_codes(spark, sf), X.queries(spark, sf), X.residual_codebooks(spark, sf), X.centroids(spark, sf))
 
 
 @query(_late(f"SELECT query_id, q_tok, doc_id, token_id, r + s AS s FROM (SELECT query_id, q_tok, doc_id, token_id, cluster_id, sum(s) AS r FROM rcodes JOIN {_PROBED} USING (cluster_id) JOIN rlut USING (query_id, m, k) GROUP BY ALL) JOIN csim USING (query_id, q_tok, cluster_id)", 100))
 def search_ivf_residual_pq(spark, sf):
-    return Q.search_residual_pq(X.residual_codes(spark, sf), _residual_table(spark, sf), X.queries(spark, sf), X.centroids(spark, sf), 2)
+    return Q.search_residual_pq(X.residual_codes(spark, sf), X.queries(spark, sf), X.residual_codebooks(spark, sf), X.centroids(spark, sf), 2)
 
 
-_SINGLE = """, sq AS (SELECT token_id AS query_id, vec AS qvec FROM t WHERE token_id BETWEEN 100 AND 119),
+_SINGLE = """, sq AS (SELECT token_id AS query_id, vec AS qvec FROM t WHERE token_id % 50 = 0),
 sp AS (SELECT query_id, cluster_id FROM (SELECT query_id, cluster_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(qvec, cvec), 9) DESC, cluster_id) AS r FROM sq, c) WHERE r <= 4)
 """
 
@@ -742,6 +799,37 @@ sp AS (SELECT query_id, cluster_id FROM (SELECT query_id, cluster_id, row_number
 def search_single_ivf_pq(spark, sf):
     """One vector for each document: the same plan with the token as the document and one query token."""
     _, q = _singles(spark, sf)
-    q = q.withColumn("q_tok", F.lit(0))
     codes = X.codes(spark, sf).withColumn("doc_id", F.col("token_id"))
-    return Q.search_ivf_pq(codes, Z.lookup_table(q, X.codebooks(spark, sf), X.M, X.DIM), q, X.centroids(spark, sf), 4)
+    return Q.search_ivf_pq(codes, q.withColumn("q_tok", F.lit(0)), X.codebooks(spark, sf), X.centroids(spark, sf), 4)
+
+
+# Trained indexes on storage
+
+
+def _stored(spark, sf, residual):
+    """The index of this table in the warehouse, built if it is not there: its name holds a digest of the table."""
+    t = X.tokens(spark, sf)
+    n, digest = t.agg(F.count("*"), F.sum(F.xxhash64("token_id", "vec").cast("decimal(38,0)"))).first()
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/lodeseek_{'residual' if residual else 'plain'}_{n}_{abs(int(digest or 0)) % 10**18}"
+    if not storage.exists(spark, f"{path}/meta"):
+        I.build_index(t, path, max(1, round(n**0.5)), 32, 256, residual)
+    return path
+
+
+@query()
+def stored_ivf_pq(spark, sf):
+    """Search over a trained index on storage: plain codes, eight probes for each query token."""
+    return I.search_index(spark, _stored(spark, sf, False), X.queries(spark, sf))
+
+
+@query()
+def stored_residual_pq(spark, sf):
+    """Search over a trained index on storage: codes of residuals, eight probes for each query token."""
+    return I.search_index(spark, _stored(spark, sf, True), X.queries(spark, sf))
+
+
+@query()
+def stored_recall(spark, sf):
+    """Recall at 10 of the stored indexes against the exact search, by kind of index and query."""
+    arms = stored_ivf_pq(spark, sf).withColumn("kind", F.lit("plain")).unionByName(stored_residual_pq(spark, sf).withColumn("kind", F.lit("residual")))
+    return M.recall_against(arms, _top(spark, sf), by=("kind",))
