@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -25,30 +26,49 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names; a local one only where none is named."""
+    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names.
+
+    Where none is named, a folder of this machine serves while driver and executors are one process (``local[n]``); on a
+    cluster it is an error, as executors could not share it.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each led by as many underscores as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow of a function that uses this package."""
+    """mapInArrow of a function that uses this package, for columns of any name."""
     ship(df.sparkSession)
+    names = df.columns
 
     def run(batches):
         try:
-            yield from function(batches)
+            yield from function(b.rename_columns(names) for b in batches)
         finally:
             tidy()
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
 def small_batches(spark: SparkSession, size: int = 8 * BLOCK) -> None:
@@ -151,6 +171,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix(out)
 
 
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ranges [start, end) of 64-bit values; starts ascend, and so do ends, and ranges may overlap. Equal ranges get equal hashes wherever they stand."""
+    out, i = np.empty(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
+        top = int(ends[j - 1])
+        power, inverse = _powers(top - base + 1)
+        sums = np.zeros(top - base + 1, dtype=np.uint64)
+        np.cumsum(values[base:top] * power[: top - base], out=sums[1:])
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
+        i = j
+    return mix(out)
+
+
 def grams(hashes: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """A hash of each n consecutive hashes (those that cross rows too: the caller leaves them out)."""
     count = len(hashes) - n + 1

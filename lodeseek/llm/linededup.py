@@ -2,10 +2,12 @@
 
 A document's lines (split at \\n, blank ones aside) are hashed. From each window of ``run`` consecutive lines
 winnowing selects the line with the least hash (the leftmost of equals), so two equal windows always select the
-same line: the fingerprints guarantee that no repeated run of ``run`` lines is missed. Fingerprints that stand at
-one position only are dropped; at the others the windows around them are compared (the match is extended to both
-sides) and those that occur at an earlier position, by (doc_id, line), are deleted. A maximal repeated run is the
-union of its windows.
+same line: these fingerprints guarantee that no repeated run of ``run`` lines is missed. Each fingerprint travels with
+its position and with hashes of the lines to both sides of it, as far as its windows reach. Positions of equal
+fingerprints are joined where those sides agree: each later position with the first one, so that a line that stands in
+very many documents makes as many matches as it has positions and no pairs among them. Matches of one pair of
+documents on one diagonal are then chained to both sides into the maximal run that the two share, and the later one
+of the two runs is deleted.
 
 With ``words`` (the pipeline's setting; op5 is bound to its SQL, which knows runs of lines only) shorter runs count by
 their content: a window of fewer lines that holds ``words`` words, and a whole document of fewer lines, which is held
@@ -18,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import arrow, bounds, cut, flat, grams, signed, small_batches, span_hashes, window_minima
+from .common import arrow, bounds, checkpoint, cut, flat, fresh, grams, quoted, signed, span_hashes, window_minima
 
 RUN = 3
 #: Words by which a run of fewer than RUN lines counts in the pipeline.
@@ -76,8 +79,11 @@ def _windows(batch: pa.RecordBatch, run: int, words: int | None) -> pa.RecordBat
     )
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """(doc_id, _row_key, starts array<int>): the windows of docs (with _row_key) that occur earlier, by the number of their first full line and their length (see SPAN)."""
+def matches(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, _row_key, seeds array<struct<s, source_id, source_key, source_s>>): the windows of docs (with _row_key) that stand earlier, and where first.
+
+    s numbers a window by its first full line and its length (see SPAN).
+    """
 
     def scan(batches):
         for batch in batches:
@@ -86,58 +92,77 @@ def repeated_windows(docs: DataFrame, run: int = RUN, words: int | None = None)
 
     schema = "fp long, doc_id long, _row_key long, wins array<struct<s:int,k1:long,k2:long>>"
     found = arrow(docs.select("doc_id", "_row_key", "text"), scan, schema)
-    often = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    near = found.join(often, "fp").select("doc_id", "_row_key", F.explode("wins").alias("w")).select("doc_id", "_row_key", "w.*")
+    # Both sides of these joins are dealt out anew, so that the adaptive planner can split a frequent line or passage.
+    often = checkpoint(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+    near = checkpoint(found.join(often, "fp").select("doc_id", "_row_key", F.explode("wins").alias("w")).select("doc_id", "_row_key", "w.*"))
     place = F.struct("doc_id", "_row_key", "s")
-    first = near.groupBy("k1", "k2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "least")
+    first = checkpoint(near.groupBy("k1", "k2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "least"))
     later = near.join(first, ["k1", "k2"]).where(place > F.col("least"))
-    return later.groupBy("doc_id", "_row_key").agg(F.collect_set("s").alias("starts"))
+    seed = F.struct("s", F.col("least.doc_id").alias("source_id"), F.col("least._row_key").alias("source_key"), F.col("least.s").alias("source_s"))
+    return later.groupBy("doc_id", "_row_key").agg(F.collect_set(seed).alias("seeds"))
+
+
+def chain(seeds: list) -> list[tuple[int, int, int, int]]:
+    """Seeds (s, source_id, source_key, source_s) of one document -> its maximal runs (first full line, number of lines, source_id, first full line there), in order.
+
+    Seeds of one source whose lines keep one distance are chained while they overlap or touch.
+    """
+    spans = sorted((x[1], x[2], x[3] // SPAN - x[0] // SPAN, x[0] // SPAN, x[0] % SPAN) for x in seeds)
+    runs: list[list[int]] = []
+    for source, key, shift, at, length in spans:
+        if runs and runs[-1][:3] == [source, key, shift] and at <= runs[-1][3] + runs[-1][4]:
+            runs[-1][4] = max(runs[-1][4], at + length - runs[-1][3])
+        else:
+            runs.append([source, key, shift, at, length])
+    return sorted((at, length, source, at + shift) for source, _, shift, at, length in runs)
 
 
-def _removed(full: int, starts: list[int]) -> np.ndarray:
+def _removed(full: int, runs: list[tuple[int, int, int, int]]) -> np.ndarray:
     covered = np.zeros(full + 1, dtype=np.int64)
-    at, length = np.divmod(np.asarray(starts), SPAN)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + length, -1)
+    for at, length, *_ in runs:
+        covered[at] += 1
+        covered[at + length] -= 1
     return np.flatnonzero(np.cumsum(covered[:-1]) > 0)
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None, with_runs: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with the repeated runs taken out of text, and the columns n_lines and n_removed after the others.
 
-    A line is removed if a window of ``run`` consecutive full lines covers it that also stands, line for line (white
-    space at line ends aside), at an earlier (doc_id, line). With ``words`` so do shorter windows of that many words,
-    and whole documents of fewer than ``run`` full lines that an earlier document equals. Windows are judged on the input. Blank lines are never
+    A line is removed if a run of ``run`` or more consecutive full lines covers it that also stands, line for line (white
+    space at line ends aside), at an earlier (doc_id, line). With ``words`` so do shorter runs of that many words,
+    and whole documents of fewer than ``run`` full lines that an earlier document equals. Runs are judged on the input. Blank lines are never
     compared: they stay, but those inside a removed run go. Texts without a repeated run are unchanged; a null text
     stays null with 0 lines. Rows with a null doc_id are neither compared nor changed. Rows that share a doc_id are
-    ordered by a hash of their text; a fully repeated row counts as the same place and keeps its lines.
-    Columns of docs named n_lines or n_removed are replaced.
+    ordered by a hash of their text; a fully repeated row counts as the same place and keeps its lines. An empty table
+    gives an empty one. Columns of docs named n_lines, n_removed or runs are replaced; others may have any name.
+    with_runs: also the removed runs, as array<struct<first, lines, source_id, source_first>> in full lines from 0.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.drop("n_lines", "n_removed")
+    extra = "n_lines long, n_removed long" + (", runs array<struct<first:int,lines:int,source_id:long,source_first:int>>" if with_runs else "")
+    docs = docs.drop(*[c for c in ("n_lines", "n_removed", *["runs"] * with_runs) if c in docs.columns])
     columns = docs.columns
-    keyed = docs.withColumn("__row_key", F.xxhash64("text"))
+    key, hit_id, hit_key, hits_of = fresh(docs, "row_key", "hit_id", "hit_key", "seeds")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
     some = keyed.where("doc_id is not null")
-    hits = repeated_windows(some.select("doc_id", F.col("__row_key").alias("_row_key"), "text"), run, words)
-    hits = hits.select(F.col("doc_id").alias("__id"), F.col("_row_key").alias("__key"), F.col("starts").alias("__starts"))
-    joined = some.join(hits, (some["doc_id"] == hits["__id"]) & (some["__row_key"] == hits["__key"]), "left").select(*columns, "__starts")
-    joined = joined.unionByName(docs.where("doc_id is null").select(*columns, F.lit(None).cast("array<int>").alias("__starts")))
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_lines long, n_removed long"
+    hits = matches(some.select("doc_id", F.col(key).alias("_row_key"), "text"), run, words).toDF(hit_id, hit_key, hits_of)
+    joined = some.join(hits, (some["doc_id"] == hits[hit_id]) & (some[key] == hits[hit_key]), "left").select(*map(quoted, columns), hits_of)
+    joined = joined.unionByName(docs.where("doc_id is null").select(*map(quoted, columns), F.lit(None).cast(hits.schema[hits_of].dataType).alias(hits_of)))
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(extra).fields])
 
     def apply(batches):
         for batch in batches:
             for part in cut(batch, "text"):
                 place = part.schema.get_field_index("text")
-                texts, starts = part.column(place).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+                texts, seeds = part.column(place).to_pylist(), part.column(part.num_columns - 1).to_pylist()
                 n_lines, n_removed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-                for i, (text, hit) in enumerate(zip(texts, starts, strict=True)):
+                runs: list[list[tuple]] = [[] for _ in texts]
+                for i, (text, hit) in enumerate(zip(texts, seeds, strict=True)):
                     if text is None:
                         continue
                     n_lines[i] = text.count("\n") + 1
                     if hit:
                         lines, full = _lines(text.encode())
-                        gone = _removed(len(full), hit)
+                        runs[i] = chain([tuple(x.values()) for x in hit])
+                        gone = _removed(len(full), runs[i])
                         drop = {full[k] for k in gone.tolist()}
                         for a, b in zip(gone[:-1].tolist(), gone[1:].tolist(), strict=True):
                             if b == a + 1:
@@ -146,6 +171,11 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> Da
                         n_removed[i] = len(drop)
                 arrays = [*part.columns[:-1], pa.array(n_lines), pa.array(n_removed)]
                 arrays[place] = pa.array(texts, part.column(place).type)
-                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_lines", "n_removed"])
+                names = [*columns, "n_lines", "n_removed"]
+                if with_runs:
+                    kind = pa.list_(pa.struct([("first", pa.int32()), ("lines", pa.int32()), ("source_id", pa.int64()), ("source_first", pa.int32())]))
+                    arrays.append(pa.array([[dict(zip(("first", "lines", "source_id", "source_first"), r, strict=True)) for r in x] for x in runs], kind))
+                    names.append("runs")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return arrow(joined, apply, schema)
