@@ -9,21 +9,26 @@ the least loss is chosen. The loss gap to the second says how sure it is: near-t
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import arrow, cut, flat, tidy
+from .common import arrow, cut, flat
 
 UNKNOWN = "und"
 BUCKETS = 4096
 SIZES = (2, 3)
-#: Labelled rows of each language that the classifiers are fitted on, at most: those with the least hash of doc_id.
+#: Labelled documents of each language that the classifiers are fitted on, at most: those with the least hash of doc_id.
 SAMPLE = 400
+#: Labelled documents of all languages together, at most; with many languages each has an equal share of them.
+TOTAL = 8192
 #: Probability gap between the two nearest codewords below which a prediction counts as ambiguous.
 GAP = 0.02
 _ROWS = 256
@@ -86,11 +91,17 @@ class Model:
 
 
 def _least_squares(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Ridge regression through the smaller of the two normal systems: rows by rows, or features by features."""
     mean, middle = x.mean(axis=0), y.mean(axis=0)
     centred = x - mean
-    gram = centred @ centred.T
-    gram[np.diag_indices_from(gram)] += ridge * len(x)
-    weights = centred.T @ np.linalg.solve(gram, y - middle)
+    if len(x) <= x.shape[1]:
+        gram = centred @ centred.T
+        gram[np.diag_indices_from(gram)] += ridge * len(x)
+        weights = centred.T @ np.linalg.solve(gram, y - middle)
+    else:
+        gram = centred.T @ centred
+        gram[np.diag_indices_from(gram)] += ridge * len(x)
+        weights = np.linalg.solve(gram, centred.T @ (y - middle))
     return weights, middle - mean @ weights
 
 
@@ -121,68 +132,86 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _below(bounds: dict, value):
-    """Whether a row's h is at most its lang's bound."""
+def _below(bounds: dict[str, float]):
+    """Whether a row's h is within its lang's share of all hashes."""
     out = F.lit(False)
-    for lang, bound in bounds.items():
-        out = out | ((F.col("lang") == lang) & (F.col("h") <= F.lit(value(bound))))
+    for lang, share in bounds.items():
+        out = out | ((F.col("lang") == lang) & (F.col("h") <= F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)))))
     return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fits a model on at most ``sample`` rows of each language, outside the held-out part; None if there is no labelled row."""
-    usable = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out())
-    total = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not total:
-        return None
-    keyed = usable.select("lang", F.xxhash64("doc_id").alias("h"))
+def chosen_documents(usable: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> list[tuple[str, int]]:
+    """(lang, doc_id) of the documents that a model is fitted on: of each language those with the least hash of doc_id.
+
+    An id counts once for its language however many rows have it, and no language can crowd out another. The list
+    has ``total`` entries at most, but two for each language at least.
+    """
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not sizes:
+        return []
+    each = max(2, min(sample, total // len(sizes)))
+    keyed = usable.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
     # About twice the sample passes a bound on the hash, so that ranking meets few rows of a language however many there
     # are; where repeated ids leave too few, the bound is loosened.
     loose = 1
     while True:
-        ends = {lang: min(1.0, loose * (2 * sample + 64) / n) for lang, n in total.items()}
-        low = keyed.where(_below(ends, lambda share: min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))))
-        ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
-        bound = {r["lang"]: (r["top"], r["n"]) for r in ranked.groupBy("lang").agg(F.max("h").alias("top"), F.count("*").alias("n")).collect()}
-        if all(lang in bound and bound[lang][1] >= min(sample, n) for lang, n in total.items()) or all(share == 1 for share in ends.values()):
-            break
+        ends = {lang: min(1.0, loose * (2 * each + 64) / n) for lang, n in sizes.items()}
+        ids = keyed.where(_below(ends)).distinct()
+        ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= each)
+        found = [(r["lang"], r["doc_id"]) for r in ranked.collect()]
+        have = Counter(lang for lang, _ in found)
+        if all(have[lang] >= min(each, n) or ends[lang] == 1 for lang, n in sizes.items()):
+            return found
         loose *= 16
-    usable = usable.withColumn("h", F.xxhash64("doc_id"))
-    chosen = _below(bound, lambda of: of[0])
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model | None:
+    """Fits a model on a bounded number of labelled documents outside the held-out part; None if there is no labelled one.
+
+    Of several rows with one id and language the least text counts. The fit itself runs in one task on the executors,
+    on ``total`` rows at most, so that the driver holds the ids and the model only.
+    """
+    usable = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out())
+    chosen = chosen_documents(usable, sample, total)
+    if not chosen:
+        return None
+    few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, doc_id long"))
+    texts = usable.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, ["lang", "doc_id"])
+    texts = texts.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def features(batches):
         for batch in batches:
             for part in cut(batch, "text"):
                 for at in range(0, part.num_rows, _ROWS):
-                    few = part.slice(at, _ROWS)
-                    x = ngram_shares(*flat(few.column(2))).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
+                    some = part.slice(at, _ROWS)
+                    x = ngram_shares(*flat(some.column(2))).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "doc_id", "x"])
+
+    def fit(batches):
+        rows = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+        if rows:
+            rows.sort(key=lambda r: (spread(r[1]), r[0]))
+            x = np.array([np.frombuffer(r[2], dtype=np.float32) for r in rows], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_model(x, [r[0] for r in rows]))], pa.binary())], names=["model"])
 
-    rows = arrow(usable.where(chosen).select("lang", "h", "text"), features, "lang string, h long, x binary")
-    rows = rows.orderBy("lang", "h", "x").limit(2 * sample * len(bound)).collect()
-    rows.sort(key=lambda r: hash_order(r["h"]))
-    names, x = [r["lang"] for r in rows], np.empty((len(rows), BUCKETS))
-    for i in range(len(rows)):
-        x[i] = np.frombuffer(rows[i]["x"], dtype=np.float32)
-        rows[i] = None
-    model = fit_model(x, names)
-    del x
-    tidy()
-    return model
+    rows = arrow(texts, features, "lang string, doc_id long, x binary").repartition(1)
+    return pickle.loads(arrow(rows, fit, "model binary").first()["model"])
 
 
-def hash_order(h: int) -> int:
-    return (h * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
+def spread(i: int) -> int:
+    """A number by which neighbouring ids are far apart: the order of the rows that are kept aside."""
+    return (i * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs (doc_id, text, ...) -> the columns of docs, and lang_pred string, score double, ambiguous boolean in place of any such columns.
 
     Whole texts. A text that is null or has no letter, and every text if there is no model, is ``und`` with score 0
-    and not ambiguous. Repeated rows get equal results, and lang, source and doc_id play no part.
+    and not ambiguous. Repeated rows get equal results, and lang, source and doc_id play no part. An empty table gives
+    an empty one; other columns may have any name.
     """
     docs = docs.drop("lang_pred", "score", "ambiguous")
-    kinds, columns = dict(docs.dtypes), docs.columns
+    columns = docs.columns
 
     def run(batches):
         for batch in batches:
@@ -201,5 +230,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                         names = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([*few.columns, pa.array(names, pa.string()), pa.array(score), pa.array(close)], names=[*columns, "lang_pred", "score", "ambiguous"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double, ambiguous boolean"
-    return arrow(docs, run, schema)
+    return arrow(docs, run, StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred string, score double, ambiguous boolean").fields]))
