@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from array import array
 from functools import lru_cache
 
@@ -67,13 +68,11 @@ def rank_tokenizer(path: str):
 
 @lru_cache(maxsize=4)
 def file_tokenizer(path: str):
-    """A tokenizer file; the strings of its special tokens are ordinary text."""
+    """A tokenizer file as the library reads it: a special token's own string in a text becomes that token."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
 
 
 def _odd(data: np.ndarray) -> np.ndarray:
@@ -99,6 +98,8 @@ class ChunkEncoder:
     def __init__(self, tokenizer, spaced: bool):
         self.tokenizer, self.spaced = tokenizer, spaced
         self.table = dict(enumerate(byte_alphabet()))
+        #: Strings that the library takes out of a text before all else, and their ids.
+        self.special = {t.content.encode(): array("I", [i]).tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.old: dict[bytes, bytes] = {}
         self.new: dict[bytes, bytes] = {}
 
@@ -135,12 +136,29 @@ class ChunkEncoder:
             edge[1:-1] |= (kind[:-1] == 1) & (kind[1:] >= 2) | (kind[:-1] == 2) & (kind[1:] == 1)
         return np.flatnonzero(edge)
 
+    def _specials(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
+        """Where special strings stand in the rows, the longer one first of two at one place."""
+        raw, found = data.tobytes(), []
+        for m in re.finditer(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))), raw) if self.special else ():
+            if np.searchsorted(off, m.start(), side="right") == np.searchsorted(off, m.end() - 1, side="right"):
+                found.append(m.span())
+        return found
+
     def batch(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """(ids, row offsets in ids, chunk numbers, distinct chunks, row offsets in chunks)."""
         rows = len(off) - 1
+        special = self._specials(data, off)
         if not self.spaced:
-            data = _LOWER[data]  # the vocabulary is lower case
+            data = _LOWER[data]  # the vocabulary is lower case, and so are its special strings
         cuts = self._cuts(data, off) if len(data) else np.zeros(1, np.int64)
+        if special:
+            # A special string is one chunk; that of other texts cannot be equal to it, as they are cut inside it.
+            edge = np.zeros(len(data) + 1, dtype=bool)
+            edge[cuts] = True
+            for a, b in special:
+                edge[a + 1 : b] = False
+                edge[[a, b]] = True
+            cuts = np.flatnonzero(edge)
         odd = _odd(data) if self.spaced else ()
         if len(odd):
             whole = np.unique(np.searchsorted(off, odd, side="right") - 1)
@@ -149,7 +167,7 @@ class ChunkEncoder:
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts.astype(np.int64))), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
         chunks, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        found: list[bytes | None] = [self.new.get(c) for c in chunks]
+        found: list[bytes | None] = [self.special.get(c, self.new.get(c)) for c in chunks]
         missing = []
         for i, c in enumerate(chunks):
             if found[i] is None:
