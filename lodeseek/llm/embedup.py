@@ -2,9 +2,10 @@
 
 A vector's key in a table is the signs of its products with ``bits`` random directions. The tables are as many as
 are needed for two vectors at the threshold to share a key in one of them with probability ``recall``; ``bits``
-follows from the number of vectors, so that an average group stays small. Vectors that share a key are compared
-exactly in double precision, a block of them against a block. Large groups are dealt out as pairs of blocks, so
-no task gets a whole group and no pair leaves its task: what leaves are counts and a spanning set of links.
+follows from the number of vectors, so that an average group just fills a tile of a few MB. Few bits make few tables
+do, and so a vector is sent to few tasks: once for each table, and not to each of many small groups. Vectors that share
+a key are compared exactly in double precision, a strip of them against the tile. Larger groups are dealt out as pairs
+of tiles, so no task gets a whole group and no pair leaves its task: what leaves are counts and a spanning set of links.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ from .components import components
 
 THRESHOLD = 0.95
 RECALL = 0.99
-#: Vectors of one key beyond which they are compared block by block, and about as many in a block.
-TILE = 512
-MIN_BITS, MAX_BITS = 8, 30
+#: Vectors of one key beyond which they are compared tile by tile, and about as many in a tile.
+TILE = 1 << 14
+#: Vectors of an average group, and the fewest bits. The bits grow with the number of vectors without end.
+FILL, MIN_BITS = 1 << 12, 4
+_STRIP = 512
+#: Bytes of a table of large groups that is broadcast, at most.
+SMALL = 64 << 20
 
 
 def plan(vectors: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """(bits, tables) for so many vectors."""
-    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(2, vectors))) - 2))
+    bits = max(MIN_BITS, math.ceil(math.log2(max(2, vectors) / FILL)))
     share = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - share))))
 
@@ -37,63 +42,69 @@ def directions(dim: int, bits: int, tables: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, tables * bits))
 
 
-def matrix(column: pa.Array) -> list[np.ndarray | None]:
-    """Rows of an array column in double precision; None where a row is null, holds null or non-finite components, or is all zero."""
-    out = []
-    for x in column.to_pylist():
-        v = None if x is None or None in x else np.array(x, dtype=np.float64)
-        out.append(v if v is not None and len(v) and np.isfinite(v).all() and v.any() else None)
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of an array column without nulls in double precision; shorter ones are padded with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (sizes == dim).all():
+        return values.reshape(-1, dim)
+    out = np.zeros((len(column), dim))
+    row = np.repeat(np.arange(len(column)), sizes)
+    out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
     return out
 
 
-def unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max()
-    return v / np.sqrt((v * v).sum())
-
-
-def _compare(left: list, right: list | None, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b) of places that link, and whether no earlier table has them too. right None: pairs within left."""
-    a, sa = left
-    b, sb = (a, sa) if right is None else right
-    cos = a @ b.T
-    i, j = np.nonzero(np.triu(cos >= threshold, 1) if right is None else cos >= threshold)
-    new = np.ones(len(i), dtype=bool)
-    if table:
-        new = np.zeros(len(i), dtype=bool)
-        for at in range(0, len(i), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            new[s] = ~(sa[i[s], :table] == sb[j[s], :table]).any(axis=1)
-    return i, j, new
-
-
-def _roots(n: int, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each place the smallest of ``order`` (ids) that links reach within this group."""
-    label = order.copy()
+def keys_of(x: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """A row of keys for each vector: one for each table."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    weights = (1 << np.arange(bits)).astype(np.int64)
+    return (x @ planes > 0).reshape(len(x), -1, bits) @ weights
+
+
+def _links(x: np.ndarray, signs: np.ndarray, tile: np.ndarray, ta: int, tb: int, table: int, threshold: float):
+    """Strips of pairs (i, j) of places that link, i in tile ta and j in tile tb, and whether no earlier table has them too."""
+    left, right = np.flatnonzero(tile == ta), np.flatnonzero(tile == tb)
+    for at in range(0, len(left), _STRIP):
+        some = left[at : at + _STRIP]
+        near = x[some] @ x[right].T >= threshold
+        if ta == tb:
+            near &= some[:, None] < right[None, :]
+        i, j = np.nonzero(near)
+        i, j = some[i], right[j]
+        new = np.ones(len(i), dtype=bool)
+        for part in range(0, len(i) if table else 0, 1 << 16):
+            s = slice(part, part + (1 << 16))
+            new[s] = ~(signs[i[s], :table] == signs[j[s], :table]).any(axis=1)
+        yield i, j, new
+
+
+def _roots(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Lowers the labels of linked places until linked ones are equal."""
     while len(i):
-        old = label.copy()
         low = np.minimum(label[i], label[j])
+        if (label[i] == low).all() and (label[j] == low).all():
+            break
         np.minimum.at(label, i, low)
         np.minimum.at(label, j, low)
-        if (old == label).all():
-            break
-    return label
-
-
-def _group_rows(keys, ids, mult, block, vectors, signs, threshold):
-    """Counts and roots of one (table, key, tile a, tile b)."""
-    table, _, ta, tb = keys
-    if ta == tb:
-        i, j, new = _compare((vectors, signs), None, table, threshold)
-    else:
-        p, q = np.flatnonzero(block == ta), np.flatnonzero(block == tb)
-        i, j, new = _compare((vectors[p], signs[p]), (vectors[q], signs[q]), table, threshold)
-        i, j = p[i], q[j]
-    if not len(i):
-        return None
-    counts = np.bincount(i[new], mult[j[new]], minlength=len(ids)) + np.bincount(j[new], mult[i[new]], minlength=len(ids))
-    roots = _roots(len(ids), i, j, ids)
-    some = np.unique(np.concatenate((i, j)))
-    return ids[some], roots[some], counts[some].astype(np.int64)
+
+
+def _compare(key: tuple[int, int, int], ids, mult, tile, x, signs, threshold: float):
+    """Links of one (table, tile a, tile b) of one key: ids that have any, an id that each reaches, and how many rows they link with that no earlier table has found."""
+    table, ta, tb = key
+    counts, label, linked = np.zeros(len(ids), np.int64), ids.copy(), np.zeros(len(ids), dtype=bool)
+    for i, j, new in _links(x, signs, tile, ta, tb, table, threshold):
+        if len(i):
+            counts += np.bincount(i[new], mult[j[new]], minlength=len(ids)).astype(np.int64) + np.bincount(j[new], mult[i[new]], minlength=len(ids)).astype(np.int64)
+            linked[i] = linked[j] = True
+            # Where a strip lowers a label that others have too, an edge joins the two labels.
+            some = np.flatnonzero(linked)
+            before = label[some]
+            _roots(label, i, j)
+            edges = np.unique(np.stack((before, label[some])), axis=1)
+            edges = edges[:, edges[0] != edges[1]]
+            yield edges[0], edges[1], np.zeros(edges.shape[1], np.int64)
+    some = np.flatnonzero(linked)
+    yield ids[some], label[some], counts[some]
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
@@ -104,61 +115,57 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         return spark.createDataFrame([], "id long, root long, n long")
     bits, tables = plan(size[0], threshold, recall)
     dim = size[1]
-    wide = "double" in dict(vectors.dtypes)["embedding"]
-    kind = np.float64 if wide else np.float32
+    kind = np.float64 if "double" in dict(vectors.dtypes)["embedding"] else np.float32
 
     def index(batches):
         planes = directions(dim, bits, tables)
-        weights = (1 << np.arange(bits)).astype(np.int64)
-        for batch in batches:
-            rows = [(k, v) for k, v in enumerate(matrix(batch.column(2))) if v is not None]
-            for at in range(0, len(rows), 256):
-                part = rows[at : at + 256]
-                x = np.zeros((len(part), dim))
-                for k, (_, v) in enumerate(part):
-                    x[k, : len(v)] = v
-                signs = ((x / np.abs(x).max(axis=1, keepdims=True)) @ planes > 0).reshape(len(part), tables, bits) @ weights
-                place = pa.array(np.repeat([k for k, _ in part], tables))
-                blobs = pa.array([v for r in x.astype(kind) for v in [r.tobytes()] * tables], pa.binary())
-                signed = pa.array([v for r in signs.astype(np.int32) for v in [r.tobytes()] * tables], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(signs.reshape(-1)), batch.column(0).take(place), batch.column(1).take(place), signed, blobs], names=["table", "key", "id", "mult", "signs", "vector"])
-
-    schema = "table int, key long, id long, mult long, signs binary, vector binary"
-    rows = arrow(vectors.select("id", "mult", "embedding"), index, schema)
-    sizes = rows.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(sizes, ["table", "key"])
-    blocks = F.ceil(F.col("size") / F.lit(tile)).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keys = ["table", "key", "ta", "tb"]
-    rows = rows.select("table", "key", F.least("block", "other").alias("ta"), F.greatest("block", "other").alias("tb"), "id", "mult", "block", "signs", "vector")
-    rows = rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                x = matrix(batch.column(2), dim)
+                blobs = [r.tobytes() for r in x.astype(kind)]
+                for table, key in enumerate(keys_of(x, planes, bits).T):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), table, dtype=np.int32)), pa.array(key), batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["table", "key", "id", "mult", "vector"])
+
+    rows = arrow(vectors.select("id", "mult", "embedding"), index, "table int, key long, id long, mult long, vector binary")
+    # Vectors move once for each table: only groups of over a tile are looked up, and there is one for each tile at most.
+    large = checkpoint(rows.groupBy("table", "key").agg(F.count("*").alias("size")).where(F.col("size") > tile).select(F.col("table").alias("t"), F.col("key").alias("k"), F.ceil(F.col("size") / F.lit(tile)).cast("int").alias("tiles")))
+    looked = F.broadcast(large) if large.count() * 24 <= SMALL else large
+    rows = rows.join(looked, (rows["table"] == looked["t"]) & (rows["key"] == looked["k"]), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # One number for the table and the two tiles keeps rows short.
+    pair = F.col("table") * F.lit(1 << 40).cast("long") + F.least("tile", "other") * F.lit(1 << 20).cast("long") + F.greatest("tile", "other")
+    rows = rows.select("key", pair.alias("pair"), "id", "mult", "tile", "vector").repartition(partitions(spark), "key", "pair").sortWithinPartitions("key", "pair")
 
     def compare(batches):
-        held: list[tuple] = []
-        now = None
+        planes, held, now = directions(dim, bits, tables), [], None
 
         def done():
-            ids, mult, block = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 1, 2))
-            x = np.frombuffer(b"".join([r[4] for r in held]), dtype=kind).reshape(len(held), dim).astype(np.float64)
+            if sum(b.num_rows for b in held) < 2:
+                return
+            table = pa.Table.from_batches(held)
+            ids, mult, own = (table[c].to_numpy() for c in ("id", "mult", "tile"))
+            x = np.frombuffer(b"".join(table["vector"].to_pylist()), dtype=kind).reshape(len(ids), dim).astype(np.float64)
+            signs = keys_of(x, planes, bits)
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            signs = np.frombuffer(b"".join([r[3] for r in held]), dtype=np.int32).reshape(len(held), tables)
-            return _group_rows(now, ids, mult, block, x, signs, threshold)
+            key = (now[1] >> 40, (now[1] >> 20) & 0xFFFFF, now[1] & 0xFFFFF)
+            for found in _compare(key, ids, mult, own, x, signs, threshold):
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "root", "n"])
 
         for batch in batches:
-            out = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for *key, a, m, blk, s, v in zip(*columns, strict=True):
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(2)]
+            edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+                key = tuple(int(c[a]) for c in columns)
                 if key != now:
-                    if len(held) > 1:
-                        out.append(done())
+                    yield from done()
                     held, now = [], key
-                held.append((a, m, blk, s, v))
-            out = [o for o in out if o]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["id", "root", "n"])
-        if len(held) > 1 and (last := done()):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=["id", "root", "n"])
+                held.append(batch.slice(a, b - a))
+        yield from done()
 
     return arrow(rows, compare, "id long, root long, n long")
 
