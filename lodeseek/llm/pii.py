@@ -1,37 +1,51 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-Numbers and dates that validate (card numbers by their Luhn digit, IPv4 octets, calendar dates, telephone numbers
-by their digit counts), the local parts of e-mail addresses and quoted secrets are permuted within their format
-by keyed Feistel networks: equal values get equal pseudonyms in all documents, different values of a format get
-different ones, and nothing needs to be stored or joined. One pattern finds the candidates, a text is split at them, and the parts
-are put together again with the pseudonyms; texts without a digit or an @ are passed on as they are.
+Numbers and dates that validate (card numbers by their Luhn digit, IBANs by theirs, social security numbers by their
+ranges, IPv4 octets, calendar dates, telephone numbers by their digit counts), the local parts of e-mail addresses and
+quoted secrets are permuted within their format by keyed Feistel networks: equal values get equal pseudonyms in all
+documents, different values of a format get different ones, and nothing needs to be stored or joined. One pattern finds
+the candidates, a text is split at them, and the parts are put together again with the pseudonyms; texts without a digit
+or an @ are passed on as they are. Whoever has the key can invert the pseudonyms, so it has no default.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh, quoted
+
 ROUNDS = 10
+#: The session setting that names the key of the registered query and of the pipeline.
+KEY_SETTING = "spark.lodeseek.pii.key"
+_drawn: dict[str, str] = {}
 #: Symbols that one Feistel network permutes together; longer strings are permuted in stretches.
 STRETCH = 24
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+#: Two moduli whose product is the size of an alphabet: a single symbol is permuted as a pair below them.
+PAIR = {DIGITS: (2, 5), LETTERS: (2, 13), HEX: (4, 4)}
 #: Days of the 400 years of dates that are permuted among themselves, as the two moduli of a Feistel network.
 FIRST_DAY, DAY_MODULI = "1800-01-01", (189, 773)
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERN = "|".join(
     [
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-        r"(?i:\b(?:token|secret|password|passwd|api[_-]?key))[ \t]{0,4}[=:][ \t]{0,4}\"[0-9A-Fa-f]{16,128}\"",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+        r"(?i:\b(?:token|secret|password|passwd|api[_-]?key))[ \t]{0,4}[=:][ \t]{0,4}\"[0-9A-Fa-f]{16,}+\"",
         rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.[0-9])",
         r"(?<![\w/.-])(?:1[89]|2[01])[0-9]{2}-[01][0-9]-[0-3][0-9](?![\w-])",
         r"(?<![\w/.-])[0-3]?[0-9]([/.])[0-3]?[0-9]\1(?:1[89]|2[01])[0-9]{2}(?![\w/])",
         r"(?<![\w+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
         r"(?<![\w+])\+[2-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
         r"(?<![\w])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![\w-])",
+        r"(?<![\w.+-])[0-9]{3}([. ])[0-9]{3}\2[0-9]{4}(?![\w-]|[. ][0-9])",
+        r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
         r"(?<![\w])[0-9]{13,19}(?![\w])",
-        r"(?<![\w-])[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}(?![\w-])",
+        r"(?<![\w-])[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}(?![\w-])",
+        r"(?<![\w-])[0-9]{4}([ -])[0-9]{6}\4[0-9]{5}(?![\w-])",
+        r"(?<![\w])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w])",
     ]
 )
 
@@ -72,14 +86,21 @@ def _symbols(value: Column, n: Column, alphabet: str) -> Column:
 def permute(symbols: Column, alphabet: str, key: str, tweak: Column) -> Column:
     """A permutation of the strings of equal length over an alphabet."""
 
+    one = PAIR[alphabet]
+
     def stretch(j: Column) -> Column:
         part = F.substr(symbols, (j * STRETCH + 1).cast("int"), F.lit(STRETCH))
         n = F.length(part)
         u = F.call_function("div", n, F.lit(2)).cast("int")
         v = n - u
         own = F.concat_ws(",", tweak, F.lit(alphabet[:2]), n.cast("string"), j.cast("string"))
-        out = feistel(_value(F.substr(part, F.lit(1), u), alphabet), _value(F.substr(part, u + 1, v), alphabet), _power(alphabet, u), _power(alphabet, v), key, own)
-        return F.transform(F.array(out), lambda s: F.concat(_symbols(s["l"], u, alphabet), _symbols(s["r"], v, alphabet)))[0]
+        # A single symbol has no two halves: its number is split into a quotient and a remainder instead.
+        single, number, modulus = n == 1, _value(part, alphabet), F.lit(one[1]).cast("long")
+        left = F.when(single, _div(number, modulus)).otherwise(_value(F.substr(part, F.lit(1), u), alphabet))
+        right = F.when(single, number % modulus).otherwise(_value(F.substr(part, u + 1, v), alphabet))
+        sides = [F.when(single, F.lit(m).cast("long")).otherwise(_power(alphabet, k)) for m, k in zip(one, (u, v), strict=True)]
+        out = feistel(left, right, sides[0], sides[1], key, own)
+        return F.transform(F.array(out), lambda s: F.when(single, _symbols(s["l"] * modulus + s["r"], n, alphabet)).otherwise(F.concat(_symbols(s["l"], u, alphabet), _symbols(s["r"], v, alphabet))))[0]
 
     last = F.call_function("div", F.greatest(F.length(symbols), F.lit(1)) - 1, F.lit(STRETCH)).cast("int")
     return F.when(F.length(symbols) > 0, F.concat_ws("", F.transform(F.sequence(F.lit(0), last), stretch))).otherwise(symbols)
@@ -127,12 +148,64 @@ def _address(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, order: str, key: str) -> Column:
-    """order: the date's pattern. Dates that the calendar does not have stay as they are."""
+    """A date whose day and month have two digits, among all such dates. order: its pattern. Null where the calendar does not have it."""
     day = F.try_to_timestamp(m, F.lit(order)).cast("date")
     number, (a, b) = F.datediff(day, F.to_date(F.lit(FIRST_DAY))).cast("long"), DAY_MODULI
     out = feistel(_div(number, F.lit(b)), number % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, F.lit("date"))
     moved = F.transform(F.array(out), lambda s: F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), (s["l"] * b + s["r"]).cast("int")), order))[0]
-    return F.when(day.isNull() | (number < 0) | (number >= a * b), m).otherwise(moved)
+    return F.when((number >= 0) & (number < a * b), moved)
+
+
+def _within(d: Column, mo: Column, y: Column, key: str, months: int, first: int, most: int, kind: str) -> tuple[Column, Column, Column]:
+    """(day, month, year) of a date, permuted among the dates of the first ``months`` months whose day is from ``first`` to ``most``; nulls where it is none of them."""
+    lengths = [min(n, most) - first + 1 for n in (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[:months]]
+    upto = [sum(lengths[:k]) for k in range(months + 1)]
+    offsets = F.array(*[F.lit(n) for n in upto[:-1]])
+    at = F.element_at(offsets, mo) + d - first
+    inside = mo.between(1, months) & (d >= first) & (d - first < F.element_at(F.array(*[F.lit(n) for n in lengths]), F.greatest(F.least(mo, F.lit(months)), F.lit(1))))
+    out = feistel((y - 1800).cast("long"), at.cast("long"), F.lit(400).cast("long"), F.lit(upto[-1]).cast("long"), key, F.lit(f"date {kind}"))
+    # 29 February exists in 97 of the 400 years: it moves among them.
+    leaps = [n for n in range(1800, 2200) if n % 4 == 0 and (n % 100 or n % 400 == 0)]
+    leap_years = F.array(*[F.lit(n) for n in leaps])
+    leap = (mo == 2) & (d == 29) & F.array_contains(leap_years, y) & F.lit(first <= 29 <= most)
+    turned = feistel(F.lit(0).cast("long"), (F.array_position(leap_years, y) - 1).cast("long"), F.lit(1).cast("long"), F.lit(len(leaps)).cast("long"), key, F.lit(f"leap {kind}"))
+
+    def parts(s: Column) -> Column:
+        month = F.size(F.filter(offsets, lambda o: o <= s["r"]))
+        return F.struct((s["r"] - F.element_at(offsets, month) + first).cast("int").alias("d"), month.cast("int").alias("m"), (s["l"] + 1800).cast("int").alias("y"))
+
+    usual = F.transform(F.array(out), parts)[0]
+    rare = F.transform(F.array(turned), lambda s: F.struct(F.lit(29).alias("d"), F.lit(2).alias("m"), F.element_at(leap_years, (s["r"] + 1).cast("int")).alias("y")))[0]
+    new = F.when(leap, rare).when(inside, usual)
+    return new["d"], new["m"], new["y"]
+
+
+def _digits(value: Column, like: Column) -> Column:
+    """A number written with as many digits as ``like`` has."""
+    return F.lpad(value.cast("string"), F.length(like), F.lit("0"))
+
+
+def _written_date(m: Column, key: str) -> Column:
+    """A date with slashes or full stops: day-first wherever that is valid, else month-first. Each field keeps its number of digits."""
+    sign = F.when(F.contains(m, F.lit("/")), F.lit("/")).otherwise(F.lit("."))
+    a, b, y = (F.element_at(F.split(m, "[/.]"), k) for k in (1, 2, 3))
+    x, z, year = a.cast("int"), b.cast("int"), y.cast("int")
+
+    def joined(first: Column, second: Column, new: Column) -> Column:
+        return F.concat(_digits(first, a), sign, _digits(second, b), sign, new.cast("string"))
+
+    # A field of one digit stays one of one digit, so its day or month is below ten.
+    out = F.when(F.length(m) == 10, F.concat_ws("", F.translate(_date(F.translate(m, "/.", "--"), "dd-MM-yyyy", key), "-", "/")))
+    out = F.when(sign == "/", out).otherwise(F.translate(out, "/", "."))
+    out = F.when(F.coalesce(out, F.lit("")) != "", out)
+    for wide_day, wide_month in ((False, False), (False, True), (True, False)):
+        d, mo, yy = _within(x, z, year, key, 12 if wide_month else 9, 1, 31 if wide_day else 9, f"{wide_day}{wide_month}")
+        fits = ((F.length(a) == 2) == F.lit(wide_day)) & ((F.length(b) == 2) == F.lit(wide_month))
+        out = F.coalesce(out, F.when(fits & d.isNotNull(), joined(d, mo, yy)))
+    for wide_month in (False, True):
+        d, mo, yy = _within(z, x, year, key, 12 if wide_month else 9, 13, 31, f"month {wide_month}")
+        out = F.coalesce(out, F.when(((F.length(a) == 2) == F.lit(wide_month)) & d.isNotNull(), joined(mo, d, yy)))
+    return F.coalesce(out, m)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -150,37 +223,76 @@ def _card(m: Column, key: str) -> Column:
     return F.when(luhn(digits) == 0, refill(m, "[0-9]", checked)).otherwise(m)
 
 
+def _security(m: Column, key: str) -> Column:
+    """A social security number: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999."""
+    area, group, serial = (F.element_at(F.split(m, "-"), k).cast("long") for k in (1, 2, 3))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    out = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, F.lit("ssn"))
+
+    def written(s: Column) -> Column:
+        new = s["l"] + F.when(s["l"] >= 665, 2).otherwise(1)
+        return F.concat_ws("-", F.lpad(new.cast("string"), 3, "0"), F.lpad((_div(s["r"], F.lit(9999)) + 1).cast("string"), 2, "0"), F.lpad((s["r"] % 9999 + 1).cast("string"), 4, "0"))
+
+    return F.when(valid, F.transform(F.array(out), written)[0]).otherwise(m)
+
+
+def _mod97(symbols: Column) -> Column:
+    """The number modulo 97 that digits and letters (A = 10) spell."""
+    return F.aggregate(F.split(symbols, ""), F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + c.cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """An IBAN whose check digits are right: what follows them is permuted, digits and letters for themselves, and they are set anew."""
+    whole = F.regexp_replace(m, " ", "")
+    country, body = F.substr(whole, F.lit(1), F.lit(2)), F.substr(whole, F.lit(5), F.length(whole))
+    tweak = F.concat(F.lit("iban:"), country)
+    moved = refill(refill(body, "[0-9]", permute(_only(body, "0-9"), DIGITS, key, tweak)), "[A-Z]", permute(_only(body, "a-z"), LETTERS, key, tweak))
+    checked = F.transform(F.array(moved), lambda x: F.concat(country, F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))[0]
+    return F.when(_mod97(F.concat(body, country, F.substr(whole, F.lit(3), F.lit(2)))) == 1, refill(m, "[A-Z0-9]", checked)).otherwise(m)
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one found string; a string that does not validate is its own."""
     return (
         F.when(F.contains(m, F.lit("@")), _email(m, key))
         .when(F.contains(m, F.lit('"')), _secret(m, key))
+        .when(m.rlike("^[A-Z]{2}[0-9]{2}"), _iban(m, key))
         .when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _address(m, key))
-        .when(m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _date(m, "yyyy-MM-dd", key))
-        .when(m.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), _date(m, "dd/MM/yyyy", key))
-        .when(m.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), _date(m, "dd.MM.yyyy", key))
-        .when(m.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), _date(m, "d/M/yyyy", key))
-        .when(m.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$"), _date(m, "d.M.yyyy", key))
-        .when(m.rlike(r"^(\+|\()|^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), _phone(m, key))
+        .when(m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.coalesce(_date(m, "yyyy-MM-dd", key), m))
+        .when(m.rlike(r"^[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4}$"), _written_date(m, key))
+        .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _security(m, key))
+        .when(m.rlike(r"^(\+|\()|^[0-9]{3}([-. ])[0-9]{3}\2[0-9]{4}$"), _phone(m, key))
         .otherwise(_card(m, key))
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "set-your-own-key") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs (text, ...) with pseudonyms in text, and n_pii long, the number of strings replaced, after the other columns.
 
     Whole texts. A null text stays null with 0 replaced; texts without personal data stay byte for byte. Card
-    numbers that fail the Luhn test and dates that are not in the calendar are left alone. A day-first date is read
-    as such wherever that is valid; month-first dates stay. A column of docs named n_pii is replaced.
+    numbers that fail the Luhn test, IBANs with wrong check digits, social security numbers out of range and dates that
+    are not in the calendar of 1800 to 2199 are left alone. A date with slashes or full stops is read
+    day-first wherever that is valid, else month-first. Repeated rows get equal results, an empty table gives an empty
+    one. A column of docs named n_pii is replaced; others may have any name. An e-mail's domain has 63 characters a label
+    at most and nine labels. An empty key is an error.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     columns = [c for c in docs.columns if c != "n_pii"]
+    old, made = fresh(docs, "found", "pseudonyms")
     text = F.col("text").cast("string")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(*columns, found.alias("__found"))
-    some = F.size("__found") > 0
-    rows = rows.withColumn("__new", F.when(some, F.transform("__found", lambda m: pseudonym(m, key))).otherwise(F.array().cast("array<string>")))
+    rows = docs.select(*map(quoted, columns), found.alias(old))
+    some = F.size(old) > 0
+    rows = rows.withColumn(made, F.when(some, F.transform(old, lambda m: pseudonym(m, key))).otherwise(F.array().cast("array<string>")))
     parts = F.split(text, PATTERN, -1)
-    joined = F.concat_ws("", F.flatten(F.zip_with(parts, F.col("__new"), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))))
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+    joined = F.concat_ws("", F.flatten(F.zip_with(parts, F.col(made), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))))
+    changed = F.size(F.filter(F.zip_with(old, made, lambda a, b: a != b), lambda x: x))
     out = {"text": F.when(some, joined).otherwise(text)}
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in columns], F.coalesce(F.when(some, changed), F.lit(0)).cast("long").alias("n_pii"))
+    return rows.select(*[out[c].alias(c) if c in out else quoted(c) for c in columns], F.coalesce(F.when(some, changed), F.lit(0)).cast("long").alias("n_pii"))
+
+
+def application_key(spark: SparkSession) -> str:
+    """The key in the setting KEY_SETTING; without it a random one, drawn once for an application and kept nowhere: its pseudonyms link within that application's results only."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))

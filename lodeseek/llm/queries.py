@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), pii.application_key(spark))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
