@@ -79,7 +79,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 def fit_linear(row: np.ndarray, bucket: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 150, ridge: float = 0.02) -> Linear:
     """Logistic regression by accelerated gradient steps on the buckets whose presence changes the label's odds most."""
-    n, pos = len(y), max(1.0, y.sum())
+    n, pos = max(1, len(y)), max(1.0, y.sum())
     neg = max(1.0, n - y.sum())
     seen = np.bincount(bucket, minlength=BUCKETS)
     in_pos = np.bincount(bucket, y[row], minlength=BUCKETS)
@@ -126,21 +126,31 @@ class Chain:
         return out
 
 
+def _rows_of(row: np.ndarray, bucket: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (row, bucket) pairs of the rows flagged in ``some``, numbered anew."""
+    use = some[row]
+    return (np.cumsum(some) - 1)[row[use]], bucket[use]
+
+
 def fit_chain(row: np.ndarray, bucket: np.ndarray, labels: np.ndarray, categories=CATEGORIES, folds: int = FOLDS) -> Chain:
-    """labels: 0 or 1 for each row and category. The dense inputs of a model are the earlier categories' out-of-fold logits."""
+    """labels: 0, 1 or NaN (not known) for each row and category. The dense inputs of a model are the earlier categories' out-of-fold logits.
+
+    A model is fitted on the rows whose label is known; rows that it has not seen get its own prediction as theirs.
+    """
     rows, models, dense = len(labels), [], np.zeros((len(labels), 0))
-    fold = np.arange(rows) % folds
     for k in range(len(categories)):
-        y = labels[:, k].astype(np.float64)
-        models.append(fit_linear(row, bucket, dense, y))
+        known = ~np.isnan(labels[:, k])
+        y = np.where(known, labels[:, k], 0.0)
+        fold = np.where(known, (np.cumsum(known) - 1) % folds, -1)
+        models.append(fit_linear(*_rows_of(row, bucket, known), dense[known], y[known]))
         if k + 1 < len(categories):
             out = np.zeros(rows)
-            for f in range(folds):
-                train, test = fold[row] != f, fold[row] == f
-                number = np.cumsum(fold != f) - 1
-                part = fit_linear(number[row[train]], bucket[train], dense[fold != f], y[fold != f])
-                z = part.logits(row[test], bucket[test], rows, dense)
-                out[fold == f] = z[fold == f]
+            for f in range(-1, folds):
+                test = fold == f
+                if test.any():
+                    train = known & ~test
+                    part = models[-1] if f < 0 else fit_linear(*_rows_of(row, bucket, train), dense[train], y[train])
+                    out[test] = part.logits(*_rows_of(row, bucket, test), int(test.sum()), dense[test])
             dense = np.column_stack((dense, _logit(_sigmoid(out))))
     return Chain(tuple(categories), models)
 
@@ -157,30 +167,37 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE) -> Chain | None:
-    """Fits a chain on at most ``sample`` labelled documents; null labels count as 0. None without a label."""
-    chosen = labels.where("doc_id is not null").select(F.col("doc_id").cast("long"), *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in categories]).orderBy(F.xxhash64("doc_id"), "doc_id", *categories).limit(sample)
-    chosen = chosen.collect()
+    """Fits a chain on at most ``sample`` labelled documents, those with the least hash of doc_id; None if there is none.
+
+    A null label is not known: the document is left out for that category only, and wholly if it has none. Where
+    several rows label one document, the greatest value counts; where several rows have its doc_id, the least text.
+    """
+    ints = [F.col(c).cast("int").alias(c) for c in categories]
+    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *ints).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
+    known = known.where(F.coalesce(*categories).isNotNull())
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     if not chosen:
         return None
-    spark = docs.sparkSession
-    table = spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, " + ", ".join(f"`{c}` int" for c in categories))
+    table = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "doc_id long, " + ", ".join(f"`{c}` int" for c in categories))
     # The sample is bounded, so the few labelled documents are picked out of the scan without moving the others.
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(table.dropDuplicates(["doc_id"])), "doc_id")
-    wanted = _features(texts).join(F.broadcast(table.dropDuplicates(["doc_id"])), "doc_id")
-    rows = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect()
-    if not rows:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(table.select("doc_id")), "doc_id")
+    found = _features(texts.groupBy("doc_id").agg(F.min("text").alias("text"))).collect()
+    if not found:
         return None
-    sizes = [len(r["buckets"]) for r in rows]
-    row = np.repeat(np.arange(len(rows)), sizes)
-    bucket = np.concatenate([np.array(r["buckets"], dtype=np.int64) for r in rows])
-    return fit_chain(row, bucket, np.array([[r[c] for c in categories] for r in rows]), categories)
+    of = {r["doc_id"]: [np.nan if r[c] is None else float(r[c] > 0) for c in categories] for r in chosen}
+    place = {r["doc_id"]: k for k, r in enumerate(chosen)}
+    found.sort(key=lambda r: place[r["doc_id"]])
+    row = np.repeat(np.arange(len(found)), [len(r["buckets"]) for r in found])
+    bucket = np.concatenate([np.array(r["buckets"], dtype=np.int64) for r in found])
+    return fit_chain(row, bucket, np.array([of[r["doc_id"]] for r in found]), categories)
 
 
 def score(docs: DataFrame, chain: Chain | None, categories=CATEGORIES) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, p_<category> double for each, toxic_pred boolean: the last category's probability is 0.5 or more).
 
-    Whole texts; a null or empty text is scored by the base rates alone. Repeated rows get equal results. Without a
-    chain (no labels) all probabilities are 0.
+    Whole texts; a null or empty text is scored by the base rates alone. Repeated rows get equal results, an empty table
+    gives an empty one, and columns other than doc_id and text play no part. Without a chain (no labels) all
+    probabilities are 0.
     """
 
     def run(batches):
