@@ -41,6 +41,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a checkpoint that nothing reads any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each led by as many underscores as it takes to clash with no column of df."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -71,13 +79,6 @@ def arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession, size: int = 8 * BLOCK) -> None:
-    """Lowers the session's limit on the bytes of an Arrow batch to ``size``, so that long texts make batches of fewer rows; a lower limit stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key).removesuffix("b")) <= size:
-        spark.conf.set(key, str(size))
-
-
 def tidy() -> None:
     """Gives freed memory back to the system: a worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()

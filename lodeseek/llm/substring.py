@@ -1,16 +1,18 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
 Every suffix of every document that has ``width`` words or more is represented by its prefix of ``width`` words. The
-suffixes are split into groups by a signature of that prefix: its least hash of SEED consecutive words, so that
-suffixes with equal prefixes always share a group and neighbouring suffixes, which mostly share the signature,
-travel together as one stretch of text. Groups whose suffixes all stem from one document cannot repeat and are
-left out before any text moves. A group of up to GROUP stretches becomes the top of a suffix tree in the memory of
-one task: the nodes at depth 1, 2, 4, ... ``width`` are named level by level (prefix doubling on word numbers, no
-hashes), and the nodes at depth ``width`` that hold suffixes of more than one document are the deep internal nodes.
-A larger group is dealt out to parts of that size. Each part names its deep nodes by the whole prefix; an
-aggregation with map-side combine gives a node's smallest document over all parts, however hot it is, and that goes
-back to the parts.
-Maximal repeats are the unions of the windows below deep nodes.
+suffixes are split into groups by a signature of that prefix: its least hash of some consecutive words, eight at first.
+It depends on the prefix alone, so suffixes with equal prefixes always share a group, and neighbouring suffixes mostly
+share it too and travel together as one stretch of text. Groups whose suffixes all stem from one document cannot
+repeat and are left out before any text moves. Equal stretches are one string of their group, which its smallest document
+stands for: only that one's text is sent, however many copies there are, and a group of a single string needs no text.
+
+A group whose strings take more than LIMIT bytes is split by signatures of variable length: the same suffixes are
+signed anew by 16 words of their prefix, then 32, then all of it, until a group fits. (By the whole prefix a group is a
+single string.) Each group that fits becomes the top of a suffix tree in the memory of one task: its suffixes are
+sorted by prefix doubling on word numbers, without hashes. In that order an internal node is an interval of suffixes,
+and the deep ones, of ``width`` words, are the intervals of equal rank; the smallest document below a deep node is what
+its suffixes are held against. Maximal repeats are the unions of the windows below deep nodes.
 """
 
 from __future__ import annotations
@@ -18,96 +20,97 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
-from .common import BLOCK, arrow, bounds, cut, flat, grams, partitions, signed, small_batches, span_hashes, text_key, window_minima
+from .common import BLOCK, arrow, bounds, checkpoint, cut, flat, grams, partitions, range_hashes, signed, span_hashes, text_key, window_minima
 
 WIDTH = 50
 SEED = 8
-#: Stretches of text (of some 70 words) in a group that one task holds: a few MB.
-GROUP = 1 << 14
+#: Bytes of the distinct strings in a group, beyond which it is split; some ten times as many are held while its tree grows.
+LIMIT = 4 << 20
+#: Suffixes in a stretch, at most: a run of one repeated word would be one stretch without end.
+MOST = 1 << 12
 
 
 def _stretches(part: pa.RecordBatch, width: int, seed: int):
-    """The words of a batch (doc_id, _row_key, text, ...) and its stretches: signature, first suffix and their number, by row."""
+    """The words of a batch (doc_id, _row_key, text, ...) and its stretches: signature, text hash, first suffix and their number, by row.
+
+    A fourth column of the batch, if there is one, has the runs (w0, n) of suffixes that count.
+    """
     data, off = flat(part.column(2))
     starts, ends, first = bounds(data, off)
     hashes = span_hashes(data, starts, ends)
     row = np.repeat(np.arange(part.num_rows), np.diff(first))
+    count = max(0, len(row) - width + 1)
+    wanted = row[:count] == row[len(row) - count :]
+    if part.num_columns > 3:
+        lists = part.column(3)
+        of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+        w0, n = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("w0", "n"))
+        cover = np.zeros(count + 1, dtype=np.int64)
+        np.add.at(cover, first[of] + w0, 1)
+        np.add.at(cover, first[of] + w0 + n, -1)
+        wanted &= np.cumsum(cover[:-1]) > 0
+    inside = np.flatnonzero(wanted)
     signature = grams(hashes, seed)
-    at = window_minima(signature, width - seed + 1)
-    inside = np.flatnonzero(row[: len(at)] == row[len(hashes) - len(at) :]) if len(at) else np.zeros(0, np.int64)
-    at = at[inside]
-    keys = signature[at] if len(at) else np.zeros(0, np.uint64)
-    new = np.ones(len(at), dtype=bool)
-    if len(at):
+    keys = signature[window_minima(signature, width - seed + 1)[inside]] if len(inside) else np.zeros(0, np.uint64)
+    new = np.ones(len(inside), dtype=bool)
+    if len(inside):
         # By the signature and not its place: in a run of one repeated word each suffix selects a place of its own.
         new[1:] = (keys[1:] != keys[:-1]) | (inside[1:] != inside[:-1] + 1)
+        run = np.flatnonzero(new)
+        new |= (np.arange(len(inside)) - np.repeat(run, np.diff(np.append(run, len(inside))))) % MOST == 0
     heads = np.flatnonzero(new)
-    sizes = np.diff(np.concatenate((heads, [len(at)])))
-    lead, keys = inside[heads], keys[heads]
-    return data, starts, ends, first, hashes, row[lead] if len(lead) else np.zeros(0, np.int64), signed(keys), lead, sizes
+    sizes = np.diff(np.append(heads, len(inside)))
+    lead = inside[heads]
+    last = lead + sizes + width - 2
+    text = range_hashes(hashes, lead, last + 1)
+    return starts, ends, first, row[lead], signed(keys[heads]), signed(text), lead, sizes, last
 
 
-def _names(words: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
-    """Names of the tree's nodes at depth ``width``: equal for equal prefixes of ``width`` words, by prefix doubling. valid: where a suffix may start."""
-    name, have = words.astype(np.int64), 1
+def _ranks(words: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
+    """The rank of each suffix by its first ``width`` words, by prefix doubling: equal for equal prefixes. valid: where a suffix may start."""
+    rank, have = words.astype(np.int64), 1
     while have < width:
         step = min(have, width - have)
-        keep = np.flatnonzero(valid) if have + step == width else np.arange(len(name) - step)
-        pair = name[keep] * (int(name.max(initial=0)) + 1) + name[keep + step]
+        keep = np.flatnonzero(valid) if have + step == width else np.arange(len(rank) - step)
+        pair = rank[keep] * (int(rank.max(initial=0)) + 1) + rank[keep + step]
         _, ids = np.unique(pair, return_inverse=True)
-        name = np.zeros(len(name), dtype=np.int64)
-        name[keep] = ids
+        rank = np.zeros(len(rank), dtype=np.int64)
+        rank[keep] = ids
         have += step
-    return name
+    return rank
 
 
 def _trees(table: pa.Table, width: int) -> pa.RecordBatch:
-    """Rows (key, doc_id, _row_key, w0, text), whole groups: the suffixes below deep nodes whose document is not the node's smallest."""
-    texts = table["text"].combine_chunks().dictionary_encode()
-    kinds, docs = texts.indices.to_numpy(), table["doc_id"].to_numpy()
-    # Copies of one stretch are one string of the tree; its smallest document stands for them.
-    least = np.full(len(texts.dictionary), np.iinfo(np.int64).max)
-    np.minimum.at(least, kinds, docs)
-    data, off = flat(texts.dictionary)
+    """Rows (key, h, lo, text), whole groups of distinct strings -> (key, h, runs): for the suffixes of each string the smallest document below their deep node, as runs (o, n, least)."""
+    data, off = flat(table["text"])
     starts, ends, first = bounds(data, off)
-    spans = pa.array([], pa.binary())
     buffer = np.zeros(2 * len(starts) + 1, dtype=np.int64)
     buffer[0:-1:2], buffer[1:-1:2] = starts, ends
-    buffer[-1] = ends[-1] if len(ends) else 0
-    if len(starts):
-        pieces = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(buffer), pa.py_buffer(np.ascontiguousarray(data))])
-        spans = pieces.take(pa.array(np.arange(0, 2 * len(starts), 2)))
-    words = spans.dictionary_encode().indices.to_numpy()
+    buffer[-1] = ends[-1]
+    pieces = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(buffer), pa.py_buffer(np.ascontiguousarray(data))])
+    words = pieces.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode().indices.to_numpy()
     row = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    count = len(words) - width + 1
     valid = np.zeros(len(words), dtype=bool)
-    valid[: max(0, len(words) - width + 1)] = row[: max(0, len(words) - width + 1)] == row[width - 1 :]
+    valid[:count] = row[:count] == row[width - 1 :]
     suffix = np.flatnonzero(valid)
-    node = _names(words, valid, width)[suffix]
-    low = np.full(int(node.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(low, node, least[row[suffix]])
-    # For each distinct stretch the smallest document of each of its suffixes, then for each row those below its own.
-    per = np.full(len(words), np.iinfo(np.int64).max)
-    per[suffix] = low[node]
-    width_of = np.diff(first)[kinds] - width + 1
-    flat_at = np.repeat(first[:-1][kinds] - np.concatenate(([0], np.cumsum(width_of)[:-1])), width_of) + np.arange(width_of.sum())
-    owner = np.repeat(np.arange(len(kinds)), width_of)
-    hit = np.flatnonzero(per[flat_at] < docs[owner])
-    place = table["w0"].to_numpy()[owner[hit]] + flat_at[hit] - first[:-1][kinds[owner[hit]]]
-    new = np.ones(len(hit), dtype=bool)
-    if len(hit):
-        new[1:] = (owner[hit][1:] != owner[hit][:-1]) | (place[1:] != place[:-1] + 1)
-    heads = np.flatnonzero(new)
-    rows = pa.array(owner[hit][heads])
-    return pa.RecordBatch.from_arrays(
-        [table["doc_id"].combine_chunks().take(rows), table["_row_key"].combine_chunks().take(rows), pa.array(place[heads].astype(np.int64)), pa.array(np.diff(np.concatenate((heads, [len(hit)]))).astype(np.int64))],
-        names=["doc_id", "_row_key", "w0", "n"],
-    )
+    rank = _ranks(words, valid, width)[suffix]
+    # The leaves in order, and the intervals of equal rank among them: the deep nodes.
+    leaves = np.argsort(rank, kind="stable")
+    nodes = np.flatnonzero(np.concatenate(([True], np.diff(rank[leaves]) != 0)))
+    least = np.empty(len(suffix), dtype=np.int64)
+    low = np.minimum.reduceat(table["lo"].to_numpy()[row[suffix[leaves]]], nodes)
+    least[leaves] = np.repeat(low, np.diff(np.append(nodes, len(leaves))))
+    own = row[suffix]
+    heads = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (least[1:] != least[:-1]))))
+    sizes = np.diff(np.append(heads, len(suffix)))
+    runs = pa.StructArray.from_arrays([pa.array((suffix[heads] - first[own[heads]]).astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(least[heads])], names=["o", "n", "least"])
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(own[heads], np.arange(len(off))).astype(np.int32)), runs)
+    return pa.RecordBatch.from_arrays([table["key"].combine_chunks(), table["h"].combine_chunks(), lists], names=["key", "h", "runs"])
 
 
 def _whole_groups(batches, size: int = BLOCK):
@@ -130,26 +133,59 @@ def _whole_groups(batches, size: int = BLOCK):
                 else:
                     continue
             held.append(part)
-            held_bytes += part.column(4).nbytes
+            held_bytes += part.column(3).nbytes
     if held:
         yield pa.Table.from_batches(held)
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """(doc_id, _row_key, runs array<struct<w0 long, n long>>): suffixes (by their first word) whose first ``width`` words also start one of a smaller document."""
-    base = docs.select("doc_id", "_row_key", "text")
+def _found(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """texts (doc_id, _row_key, text[, runs]) -> its stretches (key, h, doc_id, _row_key, w0, n, size); size is in bytes."""
 
     def scan(batches):
         for batch in batches:
             for part in cut(batch, "text"):
-                *_, row, keys, lead, sizes = _stretches(part, width, seed)
-                first = bounds(*flat(part.column(2)))[2]
+                starts, ends, first, row, keys, text, lead, sizes, last = _stretches(part, width, seed)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(at), part.column(1).take(at), pa.array((lead - first[row]).astype(np.int32)), pa.array(sizes.astype(np.int32))], names=["key", "doc_id", "_row_key", "w0", "n"])
+                size = ends[last] - starts[lead] if len(lead) else lead
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(text), part.column(0).take(at), part.column(1).take(at), pa.array((lead - first[row]).astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(size.astype(np.int32))], names=["key", "h", "doc_id", "_row_key", "w0", "n", "size"])
+
+    return arrow(texts, scan, "key long, h long, doc_id long, _row_key long, w0 int, n int, size int")
+
+
+def _of_documents(base: DataFrame, lists: DataFrame) -> DataFrame:
+    """base (doc_id, _row_key, text) with the list that belongs to each row; rows without one are left out."""
+    lists = lists.toDF("_id", "_key", "list")
+    return base.join(lists, (base["doc_id"] == lists["_id"]) & (base["_row_key"] == lists["_key"])).select("doc_id", "_row_key", "text", "list")
 
-    found = arrow(base, scan, "key long, doc_id long, _row_key long, w0 int, n int")
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", F.ceil(F.col("size") / group).cast("int").alias("subs"))
-    wanted = found.join(shared, "key").groupBy("doc_id", "_row_key").agg(F.collect_set(F.struct("key", "w0", "n", "subs")).alias("wanted"))
+
+def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, _row_key, runs array<struct<w0 long, n long>>): suffixes (by their first word) whose first ``width`` words also start one of a smaller document."""
+    base = docs.select("doc_id", "_row_key", "text")
+    found, hits, wanted, plain = _found(base, width, seed), [], [], []
+    while True:
+        # Both sides of these joins are dealt out anew, so that the adaptive planner can split a hot signature.
+        shared = checkpoint(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"))
+        keyed = checkpoint(found.join(shared, "key"))
+        strings = keyed.groupBy("key", "h").agg(F.min(F.struct("doc_id", "_row_key", "w0")).alias("first"), F.max("n").alias("n"), F.max("size").alias("size"))
+        strings = checkpoint(strings.select("key", "h", "first.*", "n", "size"))
+        sizes = checkpoint(strings.groupBy("key").agg(F.count("*").alias("strings"), F.sum("size").alias("bytes")))
+        strings = strings.join(sizes, "key")
+        large = (F.col("strings") > 1) & (F.col("bytes") > limit) if seed < width else F.lit(False)
+        seed = min(2 * seed, width)
+        hits.append(keyed)
+        plain.append(strings.where("strings = 1").select("key", "h", F.array(F.struct(F.lit(0).alias("o"), "n", F.col("doc_id").alias("least"))).alias("runs")))
+        wanted.append(strings.where((F.col("strings") > 1) & ~large))
+        again = strings.where(large).select("key").distinct()
+        if again.isEmpty():
+            break
+        ranges = keyed.join(checkpoint(again), "key").groupBy("doc_id", "_row_key").agg(F.collect_list(F.struct("w0", "n")).alias("list"))
+        found = _found(_of_documents(base, ranges), width, seed)
+
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for more in frames[1:]:
+            out = out.unionByName(more)
+        return out
 
     def send(batches):
         for batch in batches:
@@ -158,69 +194,29 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, grou
                 starts, ends, first = bounds(data, off)
                 lists = part.column(3)
                 row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                wins = lists.flatten()
-                w0, n = wins.field("w0").to_numpy().astype(np.int64), wins.field("n").to_numpy().astype(np.int64)
-                a = first[row] + w0
-                s, e = starts[a], ends[a + n + width - 2]
+                some = lists.flatten()
+                a = first[row] + some.field("w0").to_numpy()
+                s, e = starts[a], ends[a + some.field("n").to_numpy() + width - 2]
                 raw = data.tobytes()
                 sent = pa.array([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())
-                at = pa.array(row)
-                out = pa.RecordBatch.from_arrays([wins.field("key"), part.column(0).take(at), part.column(1).take(at), pa.array(w0), sent, wins.field("subs")], names=["key", "doc_id", "_row_key", "w0", "text", "subs"])
+                out = pa.RecordBatch.from_arrays([some.field("key"), some.field("h"), part.column(0).take(pa.array(row)), sent], names=["key", "h", "lo", "text"])
                 yield from cut(out, "text")
 
-    def texts(hot: bool) -> DataFrame:
-        some = wanted.withColumn("wanted", F.filter("wanted", lambda x: (x["subs"] > 1) == F.lit(hot))).where("size(wanted) > 0")
-        some = some.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row_key", "_key")
-        joined = base.join(some, (base["doc_id"] == some["_id"]) & (base["_row_key"] == some["_key"])).select("doc_id", "_row_key", "text", "wanted")
-        return arrow(joined, send, "key long, doc_id long, _row_key long, w0 long, text binary, subs int")
-
-    cold = texts(False).repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    lists = union(wanted).groupBy("doc_id", "_row_key").agg(F.collect_list(F.struct("key", "h", "w0", "n")).alias("list"))
+    texts = arrow(_of_documents(base, lists), send, "key long, h long, lo long, text binary")
+    texts = texts.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
 
     def grow(batches):
         for table in _whole_groups(batches):
             yield _trees(table, width)
 
-    runs = arrow(cold, grow, "doc_id long, _row_key long, w0 long, n long")
-
-    # Large groups: parts of about ``group`` stretches each name their own deep nodes by two hashes of the whole prefix;
-    # the smallest document of a node over all parts goes back to the parts that hold it.
-    hot = texts(True).withColumn("sub", F.pmod(F.xxhash64("doc_id", "_row_key", "w0"), F.col("subs")).cast("int")).select("key", "sub", "doc_id", "_row_key", "w0", "text")
-
-    def windows(frame: pd.DataFrame) -> pd.DataFrame:
-        data, off = flat(pa.array(frame["text"], pa.binary()))
-        starts, ends, first = bounds(data, off)
-        row = np.repeat(np.arange(len(frame)), np.diff(first))
-        count = max(0, len(row) - width + 1)
-        at = np.flatnonzero(row[:count] == row[len(row) - count :])
-        k1 = grams(span_hashes(data, starts, ends), width, 1)[at]
-        k2 = grams(span_hashes(data, starts, ends, 2), width, 2)[at]
-        return pd.DataFrame({"k1": signed(k1), "k2": signed(k2), "row": row[at], "o": at - first[row[at]], "doc": frame["doc_id"].to_numpy()[row[at]]})
-
-    def name(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes = windows(frame).groupby(["k1", "k2"], sort=False)["doc"].agg(["min", "max"]).reset_index()
-        return nodes.rename(columns={"min": "lo", "max": "hi"}).assign(key=frame["key"].iloc[0], sub=frame["sub"].iloc[0])[["key", "sub", "k1", "k2", "lo", "hi"]]
-
-    def mark(frame: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame) or not len(nodes):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "_row_key", "w0", "n")})
-        hit = windows(frame).merge(nodes[["k1", "k2", "least"]], on=["k1", "k2"])
-        hit = hit[hit["least"] < hit["doc"]].sort_values(["row", "o"])
-        row, o = hit["row"].to_numpy(), hit["o"].to_numpy()
-        new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (o[1:] != o[:-1] + 1)
-        heads = np.flatnonzero(new)
-        of = frame.iloc[row[heads]]
-        return pd.DataFrame({"doc_id": of["doc_id"].to_numpy(), "_row_key": of["_row_key"].to_numpy(), "w0": of["w0"].to_numpy() + o[heads], "n": np.diff(np.concatenate((heads, [len(row)])))})
-
-    ship(docs.sparkSession)
-    named = hot.groupBy("key", "sub").applyInPandas(name, "key long, sub int, k1 long, k2 long, lo long, hi long")
-    least = named.groupBy("k1", "k2").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("k1", "k2", "least")
-    back = named.join(least, ["k1", "k2"]).where("hi > least").select("key", "sub", "k1", "k2", "least")
-    marked = hot.groupBy("key", "sub").cogroup(back.groupBy("key", "sub")).applyInPandas(mark, "doc_id long, _row_key long, w0 long, n long")
-    return runs.union(marked).groupBy("doc_id", "_row_key").agg(F.collect_list(F.struct("w0", "n")).alias("runs"))
-
-
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    known = union([arrow(texts, grow, "key long, h long, runs array<struct<o:int,n:int,least:long>>"), *plain])
+    rows = union(hits).join(known, ["key", "h"]).select("doc_id", "_row_key", "w0", F.explode("runs").alias("r")).where("r.least < doc_id")
+    place = F.struct((F.col("w0").cast("long") + F.col("r.o")).alias("w0"), F.col("r.n").cast("long").alias("n"))
+    return rows.groupBy("doc_id", "_row_key").agg(F.collect_list(place).alias("runs"))
+
+
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
     """docs (doc_id long, text, ...) -> (doc_id, n_words, n_removed, kept binary): the words left, joined by one space.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A word is removed if a window of ``width`` consecutive words of its document
@@ -228,10 +224,10 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, seed: int = SEED, grou
     words; texts under ``width`` words lose none. Rows that share a doc_id are one document: they never remove each
     other's words. Rows with a null doc_id are neither compared nor changed; repeated rows are each returned.
     """
-    small_batches(docs.sparkSession)
     docs = text_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    some = docs.where("doc_id is not null")
-    hits = repeated_windows(some, width, seed, group).withColumnRenamed("doc_id", "_id").withColumnRenamed("_row_key", "_key")
+    # In the same order of columns as where the strings are sent from: the texts are then dealt out once for both.
+    some = docs.where("doc_id is not null").select("doc_id", "_row_key", "text")
+    hits = repeated_windows(some, width, seed, limit).withColumnRenamed("doc_id", "_id").withColumnRenamed("_row_key", "_key")
     joined = some.join(hits, (some["doc_id"] == hits["_id"]) & (some["_row_key"] == hits["_key"]), "left").select("doc_id", "text", "runs")
     joined = joined.union(docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<w0:long,n:long>>").alias("runs")))
 
