@@ -19,7 +19,7 @@ import pyarrow as pa
 from .common import bounds
 
 #: Chunks that a worker keeps with their ids; twice as many at most.
-KEEP = 300_000
+KEEP = 100_000
 #: Bytes of text whose chunks are numbered together.
 SLICE = 1 << 22
 #: 1: ASCII letters and digits, 2: ASCII punctuation, 3: the apostrophe, 0: all else.
