@@ -61,13 +61,21 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = ROWS) -> Iterator[pa.
             yield batch.slice(at, size)
 
 
-def pack(rows: DataFrame, dim: int | None, size: int = ROWS) -> DataFrame:
+def _named(at: np.ndarray, values, names: list[pa.Array]) -> tuple[np.ndarray, np.ndarray | list]:
+    """Those of the places and values whose row has none of its ids null."""
+    keep = np.flatnonzero(~np.any([np.asarray(c.is_null())[at] for c in names], axis=0))
+    return at[keep], values[keep] if isinstance(values, np.ndarray) else [values[k] for k in keep.tolist()]
+
+
+def pack(rows: DataFrame, dim: int | None, size: int = ROWS, single: bool = False) -> DataFrame:
     """(key long, id long, sub long, value, ...) -> (key, ids binary, subs binary, data binary[, more binary]): blocks of one key and about ``size`` rows.
 
-    Rows of one id in a partition are never parted if they stand together. value: vectors of ``dim`` doubles, or codes
-    as binaries of equal length if dim is None. A fifth column of doubles travels along.
+    Rows of one id in a partition are never parted if they stand together; rows without a key or id, or without a
+    complete value, are left out. value: vectors of ``dim`` doubles, or codes
+    as binaries of equal length if dim is None. single: vectors are kept in single precision. A fifth column of doubles
+    travels along.
     """
-    more = len(rows.columns) > 4
+    more, kind = len(rows.columns) > 4, np.float32 if single else np.float64
 
     def run(batches):
         now, held, count = None, [], 0
@@ -83,7 +91,10 @@ def pack(rows: DataFrame, dim: int | None, size: int = ROWS) -> DataFrame:
                 values = batch.column(3).take(pa.array(at)).to_pylist()
             else:
                 values, at = dense(batch.column(3), dim)
-            key, ids, subs = (batch.column(k).to_numpy(zero_copy_only=False)[at] for k in range(3))
+            names = batch.columns[:3]
+            if any(c.null_count for c in names):
+                at, values = _named(at, values, names)
+            key, ids, subs = (c.fill_null(0).to_numpy(zero_copy_only=False)[at] for c in names)
             extra = batch.column(4).to_numpy(zero_copy_only=False)[at].astype(np.float64) if more else None
             new_key = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
             new_id = np.append(np.flatnonzero((key[1:] != key[:-1]) | (ids[1:] != ids[:-1])) + 1, len(key))
@@ -95,7 +106,7 @@ def pack(rows: DataFrame, dim: int | None, size: int = ROWS) -> DataFrame:
                 b = int(new_key[np.searchsorted(new_key, a, side="right")])
                 b = min(b, int(new_id[np.searchsorted(new_id, min(len(key), a + max(1, size - count)))]))
                 last = ids[a:b][-1]
-                data = b"".join(values[a:b]) if dim is None else values[a:b].tobytes()
+                data = b"".join(values[a:b]) if dim is None else values[a:b].astype(kind, copy=False).tobytes()
                 held.append((ids[a:b].tobytes(), subs[a:b].tobytes(), data, *([extra[a:b].tobytes()] if more else [])))
                 count += b - a
                 a = b
@@ -119,6 +130,11 @@ def of_key(large: DataFrame, small: DataFrame) -> DataFrame:
     return large.join(small.select("key", *[F.col(c).alias(f"q{c}") for c in small.columns if c != "key"]), "key")
 
 
+def vectors_of(data: bytes, n: int, dim: int) -> np.ndarray:
+    """The n vectors of a block, in double precision or, where they were stored so, in single."""
+    return np.frombuffer(data, dtype=np.float32 if len(data) == 4 * n * dim else np.float64).reshape(n, dim)
+
+
 def _heads(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
 
@@ -130,14 +146,15 @@ class Products:
         self.dim = dim
 
     def scores(self, data: bytes, n: int, queries: np.ndarray) -> np.ndarray:
-        return np.frombuffer(data).reshape(n, self.dim) @ queries.T
+        x = vectors_of(data, n, self.dim)
+        return (x @ queries.T.astype(x.dtype, copy=False)).astype(np.float64, copy=False)
 
 
 class Distances(Products):
     """Squared distances of a block's vectors from the query vectors."""
 
     def scores(self, data: bytes, n: int, queries: np.ndarray) -> np.ndarray:
-        x = np.frombuffer(data).reshape(n, self.dim)
+        x = vectors_of(data, n, self.dim).astype(np.float64, copy=False)
         return np.maximum((x * x).sum(axis=1)[:, None] + (queries * queries).sum(axis=1) - 2 * x @ queries.T, 0)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from typing import Protocol
 
@@ -43,6 +44,17 @@ class HashEncoder:
         return np.array([self._one(t) for t in tokens]).reshape(len(tokens), self.dim)
 
 
+class DigestEncoder:
+    """32 components: the hexadecimal digits of the token's MD5, less their mean, as a unit vector. Any system that has MD5 can make the same vectors."""
+
+    dim = 32
+
+    def vectors(self, tokens: list[str]) -> np.ndarray:
+        digits = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest() for t in tokens), dtype=np.uint8).reshape(-1, 16)
+        v = np.stack((digits >> 4, digits & 15), axis=2).reshape(-1, 32) - 7.5
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _encode(rows: DataFrame, encoder: Encoder | Lazy, pooled: bool) -> DataFrame:
     """rows (doc_id, tokens array) -> (doc_id, pos, vec), or (doc_id, vec) pooled."""
 

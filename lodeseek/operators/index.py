@@ -13,6 +13,8 @@ from . import search as Q
 def build_index(tokens: DataFrame, path: str, clusters: int, m: int, codewords: int = 256, residual: bool = True, seed: int = 42) -> None:
     """tokens (token_id, doc_id, vec): k-means, assignment, codebooks of the vectors or of their residuals, codes; each model is written before it is used."""
     spark, dim = tokens.sparkSession, B.width(tokens, "vec")
+    if dim is None:
+        raise ValueError("an index needs vectors")
     Z.kmeans_train(tokens, clusters, seed).write.mode("overwrite").parquet(f"{path}/centroids")
     centroids = spark.read.parquet(f"{path}/centroids")
     assigned = Z.assign_nearest(tokens.select("token_id", "doc_id", "vec"), centroids)

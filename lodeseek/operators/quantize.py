@@ -206,7 +206,8 @@ def _trained(rows: DataFrame, k: int, seed: int, max_iter: int, n_init: int, bat
         frame = frame.sort_values("token_id")
         x = np.array(frame["vec"].tolist(), dtype=np.float64)
         part, start = int(frame["part"].iloc[0]), int(frame["start"].iloc[0])
-        c, inertia = fit_means(x, min(k, len(np.unique(x, axis=0))), seed + part + 1000 * start, max_iter, batch)
+        different = len(np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1])))))
+        c, inertia = fit_means(x, min(k, different), seed + part + 1000 * start, max_iter, batch)
         error = float(np.sqrt(B.nearest(x, c)[1]).mean())
         return pd.DataFrame({"part": part, "start": start, "inertia": inertia, "error": error, "cluster_id": np.arange(len(c)), "cvec": c.tolist()})
 

@@ -15,18 +15,30 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from . import blocks as B
 from . import quantize as Z
-from .scoring import maxsim_blocks, similarities, top_k
+from .encode import Encoder, encode_queries
+from .lazy import Lazy
+from .scoring import maxsim_blocks, packed_scores, similarities, top_k
 
 
 def search_bruteforce(tokens: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top_k(maxsim_blocks(tokens, queries, k), k)
 
 
+def search_packed(packed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """search_bruteforce of a corpus stored as packed_documents."""
+    return top_k(packed_scores(packed, queries, k), k)
+
+
 def search_chunked(tokens: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     """tokens (doc_id, chunk_idx, vec) of overlapping chunks: the best token over all chunks of a document counts. Queries are augmented when they are encoded (encode_queries)."""
     return search_bruteforce(tokens, queries, k)
 
 
+def search_texts(tokens: DataFrame, texts: DataFrame, k: int = 100, augment: bool = False, encoder: Encoder | Lazy | None = None) -> DataFrame:
+    """The exact search for query texts (query_id, text): encoded, with augment padded by mask tokens, and scored against tokens (chunks of a document count together)."""
+    return search_chunked(tokens, encode_queries(texts, encoder, augment=augment), k)
+
+
 def exact_scores(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     return maxsim_blocks(tokens, queries)
 

@@ -16,10 +16,15 @@ from .lazy import Lazy, loaded
 
 
 def keyword_scan(docs: DataFrame, keywords: list[str]) -> DataFrame:
-    """(keyword, n_docs, first_id): documents that contain each keyword, whatever the case, and the smallest id among them (null if none)."""
+    """(keyword, n_docs, first_id, example): documents that contain each keyword, whatever the case, the smallest id among them and the beginning of its text (null if none)."""
     low = F.lower("text")
-    counts = [F.struct(F.lit(k).alias("keyword"), F.count_if(low.contains(k.lower())).alias("n_docs"), F.min(F.when(low.contains(k.lower()), F.col("doc_id"))).alias("first_id")) for k in keywords]
-    return docs.agg(F.array(*counts).alias("x")).select(F.inline("x"))
+
+    def found(k: str) -> Column:
+        hit = low.contains(k.lower())
+        first = F.min(F.when(hit, F.struct("doc_id", T.snippet(F.col("text")).alias("example"))))
+        return F.struct(F.lit(k).alias("keyword"), F.count_if(hit).alias("n_docs"), first["doc_id"].alias("first_id"), first["example"].alias("example"))
+
+    return docs.agg(F.array(*map(found, keywords)).alias("x")).select(F.inline("x"))
 
 
 def dedup_first(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -228,7 +229,7 @@ def search_stats(spark, sf):
 # Filters and dedup
 
 
-@query("SELECT keyword, (SELECT count(*) FROM documents WHERE contains(lower(text), keyword)) AS n_docs, (SELECT min(doc_id) FROM documents WHERE contains(lower(text), keyword)) AS first_id FROM (SELECT unnest(['license', '@', 'und', 'the', 'absentword']) AS keyword)")
+@query("WITH k AS (SELECT unnest(['license', '@', 'und', 'the', 'absentword']) AS keyword), f AS (SELECT keyword, count(*) AS n_docs, min(doc_id) AS first_id FROM documents JOIN k ON contains(lower(text), keyword) GROUP BY 1) SELECT keyword, coalesce(n_docs, 0) AS n_docs, first_id, replace(substring(text, 1, 90), chr(10), ' ') AS example FROM k LEFT JOIN f USING (keyword) LEFT JOIN documents ON doc_id = first_id")
 def keyword_scan(spark, sf):
     return C.keyword_scan(X.documents(spark, sf), KEYWORDS)
 
@@ -243,9 +244,9 @@ def limit_n_unique(spark, sf):
     return C.limit_unique(X.documents(spark, sf), 100)
 
 
-@query("SELECT doc_id, quality FROM labels WHERE quality > 0")
+@query("SELECT query_id, doc_id FROM pos")
 def positive_qrels(spark, sf):
-    return X.read_table(spark, sf, "labels").where("quality > 0").select("doc_id", "quality")
+    return X.qrels(spark, sf).where("relevance > 0").select("query_id", "doc_id")
 
 
 @query("SELECT query_id, q_tok FROM q WHERE query_id IN (SELECT query_id FROM pos)")
@@ -338,22 +339,110 @@ def corpus_stats(spark, sf):
 
 QUERIES["first_seen"], ORACLES["first_seen"] = QUERIES["dedup_first"], ORACLES["dedup_first"]
 
-# Encoders: their vectors have no SQL form
+# Encoders, with vectors that SQL can make too
 
 
-@query()
+def _encoded_sql(table: str, words: str, by: str) -> str:
+    return f"""WITH d AS (SELECT {by}, {words} AS w FROM {table}), r AS (SELECT {by}, (i - 1)::INTEGER AS pos, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT {by}, pos, list_transform(range(1, 33), lambda i: instr('0123456789abcdef', md5(word)[i]) - 8.5) AS v FROM r), v AS (SELECT {by}, pos, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u)
+"""
+
+
+def _shown(df, vec):
+    return df.select(*[c for c in df.columns if c != vec], r6(F.element_at(vec, 1)).alias("first"), r6(F.element_at(vec, 32)).alias("last"), r6(V.dot(F.col(vec), F.transform(vec, lambda x, i: i + F.lit(1.0)))).alias("weighted"))
+
+
+_SHOWN = "round(v[1], 6) AS first, round(v[32], 6) AS last, round(list_sum(list_transform(range(1, 33), lambda i: i * v[i])), 6) AS weighted"
+_MARKED = _WORDS.replace("text", "'[{}] ' || coalesce(text, '')", 1)
+
+
+@query(_encoded_sql("documents", f"({_MARKED.format('D')})[1:178]", "doc_id") + f"SELECT doc_id, pos, {_SHOWN} FROM v")
 def encode_doc(spark, sf):
-    return E.encode_docs(X.documents(spark, sf))
+    return _shown(E.encode_docs(X.documents(spark, sf), E.DigestEncoder()), "vec")
 
 
-@query()
+@query(_encoded_sql("benchmark", f"list_concat(({_MARKED.format('Q')})[1:30], list_transform(range(greatest(0, 30 - len({_MARKED.format('Q')}))), lambda i: '[MASK]'))", "item_id") + f"SELECT item_id AS query_id, pos AS q_tok, {_SHOWN} FROM v")
 def encode_query(spark, sf):
-    return E.encode_queries(X.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), augment=True)
+    items = X.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _shown(E.encode_queries(items, E.DigestEncoder(), augment=True), "qvec")
 
 
-@query()
+@query(_encoded_sql("documents", _WORDS, "doc_id") + """, c AS (SELECT doc_id, i, sum(v[i]) AS x FROM v, range(1, 33) g(i) GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM c GROUP BY 1)
+SELECT d.doc_id, i::INTEGER AS i, round(coalesce(x / n, 0), 5) AS x FROM d CROSS JOIN range(1, 33) g(i) LEFT JOIN c USING (doc_id, i) LEFT JOIN n USING (doc_id)""")
 def encode_single(spark, sf):
-    return E.encode_single(X.documents(spark, sf))
+    rows = E.encode_single(X.documents(spark, sf), E.DigestEncoder()).select("doc_id", F.posexplode("vec").alias("i", "x"))
+    return rows.select("doc_id", (F.col("i") + 1).alias("i"), F.round("x", 5).alias("x"))
+
+
+# Sources and sinks: what has been written is read again
+
+
+def _folder(spark, name):
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/lodeseek_{name}"
+
+
+@query("SELECT token_id, doc_id, pos, round(list_sum(vec), 6) AS total FROM t")
+def corpus_source(spark, sf):
+    storage.write_corpus(X.tokens(spark, sf), f"{_folder(spark, 'sources')}/corpus.parquet")
+    return storage.read_table(spark, _folder(spark, "sources"), "corpus").select("token_id", "doc_id", "pos", r6(V.total(F.col("vec"))).alias("total"))
+
+
+@query("SELECT query_id, doc_id, score, rank FROM ex WHERE rank <= 10")
+def packed_source(spark, sf):
+    """A corpus stored as blocks of whole documents, searched without a shuffle of its tokens."""
+    path = _folder(spark, "packed")
+    S.packed_documents(X.tokens(spark, sf), X.DIM).write.mode("overwrite").parquet(path)
+    return Q.search_packed(spark.read.parquet(path), X.queries(spark, sf))
+
+
+@query("SELECT text FROM documents")
+def passages_source(spark, sf):
+    """Nested passages as JSON lines, a hundred or so in a row, flattened."""
+    path = _folder(spark, "passages")
+    rows = X.documents(spark, sf).groupBy(X.div("doc_id", 100)).agg(F.struct(F.collect_list("text").alias("passage_text")).alias("passages"))
+    rows.select("passages").write.mode("overwrite").json(path)
+    return storage.read_passages(spark, path)
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, source AS title, md5(documents.text) AS digest, l.quality AS relevance, b.item_id::VARCHAR AS query_id, md5(b.text) AS query FROM documents JOIN labels l USING (doc_id) JOIN benchmark b ON b.item_id = doc_id")
+def benchmark_source(spark, sf):
+    """Documents, queries and judgements as JSON lines, read with their schemas and joined."""
+    path = _folder(spark, "benchmark")
+    docs, items = X.documents(spark, sf), X.read_table(spark, sf, "benchmark")
+    docs.select(F.col("doc_id").cast("string"), F.col("source").alias("title"), "text").write.mode("overwrite").json(f"{path}/docs")
+    items.select(F.col("item_id").cast("string").alias("query_id"), "text").write.mode("overwrite").json(f"{path}/queries")
+    pairs = X.read_table(spark, sf, "labels").join(items.select(F.col("item_id").alias("doc_id")), "doc_id")
+    pairs.select(F.col("doc_id").cast("string").alias("query_id"), F.col("doc_id").cast("string"), F.col("quality").alias("relevance")).write.mode("overwrite").json(f"{path}/qrels")
+    docs, queries, qrels = storage.read_benchmark(spark, path)
+    rows = qrels.join(docs, "doc_id").join(queries.withColumnRenamed("text", "q"), "query_id")
+    return rows.select("doc_id", "title", F.md5("text").alias("digest"), "relevance", "query_id", F.md5("q").alias("query"))
+
+
+@query(_STATS + "SELECT nprobe, round(avg(n_candidates), 6) AS mean_candidates FROM cand GROUP BY nprobe")
+def report_sink(spark, sf):
+    """A JSON report, written over an older one."""
+    path = _folder(spark, "report")
+    storage.write_report(spark.range(3), path)
+    storage.write_report(_stats(spark, sf).groupBy("nprobe").agg(r6(F.avg("n_candidates")).alias("mean_candidates")), path)
+    return spark.read.schema("nprobe int, mean_candidates double").json(path)
+
+
+@query("SELECT run, count(*) AS n_docs FROM documents, (SELECT unnest(['first', 'second']) AS run) GROUP BY run")
+def history_sink(spark, sf):
+    """Two runs appended to one history."""
+    path = _folder(spark, f"history_{uuid.uuid4().hex}")
+    for run in ("first", "second"):
+        storage.append_history(X.documents(spark, sf).agg(F.count("*").alias("n_docs")), path, run=run)
+    return spark.read.schema("run string, n_docs long").json(path)
+
+
+@query("SELECT count(*) AS n_vectors, round(sum(list_sum(vec)), 4) AS total FROM t")
+def build_cache(spark, sf):
+    """Built once; the second time what is there is read."""
+    path = _folder(spark, f"cache_{uuid.uuid4().hex}")
+    storage.build_if_missing(spark, path, lambda: X.tokens(spark, sf))
+    kept = storage.build_if_missing(spark, path, lambda: spark.range(0))
+    return kept.agg(F.count("*").alias("n_vectors"), F.round(F.sum(V.total(F.col("vec"))), 4).alias("total"))
 
 
 # Joins
@@ -719,7 +808,7 @@ def augmentation_ab(spark, sf):
     tokens, arms = E.encode_docs(docs), None
     for augment in (False, True):
         queries = E.encode_queries(items, augment=augment)
-        found = M.mean_metrics(M.query_metrics(Q.search_bruteforce(tokens, queries, 100), judged))
+        found = M.mean_metrics(M.query_metrics(Q.search_texts(tokens, items, 100, augment), judged))
         size = queries.groupBy("query_id").count().agg(r6(F.avg("count")).alias("q_tokens"))
         one = found.crossJoin(size).withColumn("augment", F.lit(augment))
         arms = one if arms is None else arms.unionByName(one)
@@ -803,14 +892,38 @@ def search_single_ivf_pq(spark, sf):
     return Q.search_ivf_pq(codes, q.withColumn("q_tok", F.lit(0)), X.codebooks(spark, sf), X.centroids(spark, sf), 4)
 
 
+@query(_late(f"SELECT query_id, q_tok, doc_id, token_id, r + s AS s FROM (SELECT query_id, q_tok, doc_id, token_id, cluster_id, sum(s) AS r FROM rcodes JOIN {_PROBED} USING (cluster_id) JOIN rlut USING (query_id, m, k) GROUP BY ALL) JOIN csim USING (query_id, q_tok, cluster_id)", 100))
+def index_source(spark, sf):
+    """An index written by cluster and read again: the search reads the folders of probed clusters."""
+    path = _folder(spark, "index")
+    storage.write_index(path, X.centroids(spark, sf), X.residual_codebooks(spark, sf), X.residual_codes(spark, sf), dim=X.DIM, m=X.M, residual=1)
+    return I.search_index(spark, path, X.queries(spark, sf), 2)
+
+
+def _digest(df, *columns):
+    """(rows, a number that changes with them) of a table, to name what is built from it."""
+    n, digest = df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
+    return n, f"{n}_{abs(int(digest or 0)) % 10**18}"
+
+
+@query()
+def passage_search(spark, sf):
+    """The passages of benchmark against all documents, encoded and stored in the warehouse once as blocks in single precision."""
+    docs = X.documents(spark, sf).select("doc_id", "text")
+    path = _folder(spark, f"passages_{_digest(docs, 'doc_id', 'text')[1]}")
+    storage.build_if_missing(spark, path, lambda: S.packed_documents(E.encode_docs(docs), X.DIM, single=True))
+    items = X.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return Q.search_packed(spark.read.parquet(path), E.encode_queries(items))
+
+
 # Trained indexes on storage
 
 
 def _stored(spark, sf, residual):
     """The index of this table in the warehouse, built if it is not there: its name holds a digest of the table."""
     t = X.tokens(spark, sf)
-    n, digest = t.agg(F.count("*"), F.sum(F.xxhash64("token_id", "vec").cast("decimal(38,0)"))).first()
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/lodeseek_{'residual' if residual else 'plain'}_{n}_{abs(int(digest or 0)) % 10**18}"
+    n, digest = _digest(t, "token_id", "vec")
+    path = _folder(spark, f"{'residual' if residual else 'plain'}_{digest}")
     if not storage.exists(spark, f"{path}/meta"):
         I.build_index(t, path, max(1, round(n**0.5)), 32, 256, residual)
     return path

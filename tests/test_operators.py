@@ -86,18 +86,37 @@ def test_kernels_equal_the_row_tier(spark, monkeypatch, broadcast):
 
 
 def test_incomplete_vectors_and_empty_sides(spark):
-    tokens = spark.createDataFrame([(0, 0, [1.0, 0.0]), (1, 0, None), (2, 1, [1.0]), (3, 1, [None, 1.0]), (4, 1, [0.0, 1.0])], "token_id long, doc_id long, vec array<double>")
+    tokens = spark.createDataFrame([(0, 0, [1.0, 0.0]), (1, 0, None), (2, 1, [1.0]), (3, 1, [None, 1.0]), (4, 1, [0.0, 1.0]), (5, None, [9.0, 9.0])], "token_id long, doc_id long, vec array<double>")
     queries = spark.createDataFrame([(5, 0, [1.0, 0.5]), (6, 0, None)], "query_id long, q_tok int, qvec array<double>")
     c = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cluster_id int, cvec array<double>")
     assert rows_of(search.search_bruteforce(tokens, queries)) == [(5, 0, 1.0, 1), (5, 1, 0.5, 2)]
     near = quantize.assign_nearest(tokens, c)
-    assert rows_of(near.select("token_id", "cluster_id")) == [(0, 0), (4, 1)]
+    assert rows_of(near.select("token_id", "cluster_id")) == [(0, 0), (4, 1), (5, 0)]
     assert rows_of(search.search_ivf(near, c, queries, 1)) == [(5, 0, 1.0, 1)]
     for few in (tokens.limit(0), tokens):
         for none in (queries.limit(0), queries.where("query_id = 6")):
             assert search.search_bruteforce(few, none).count() == search.search_ivf(near.join(few, "token_id", "left_semi"), c, none, 1).count() == 0
     assert search.search_bruteforce(tokens.limit(0), queries).count() == 0
-    assert rows_of(blocks.project(tokens.select("token_id", "vec"), "vec", [[1.0, 2.0, 0.0], [0.0, 1.0, 1.0]])) == [(0, [1.0, 2.0, 0.0]), (1, None), (2, None), (3, None), (4, [0.0, 1.0, 1.0])]
+    assert rows_of(blocks.project(tokens.select("token_id", "vec"), "vec", [[1.0, 2.0, 0.0], [0.0, 1.0, 1.0]])) == [(0, [1.0, 2.0, 0.0]), (1, None), (2, None), (3, None), (4, [0.0, 1.0, 1.0]), (5, [9.0, 27.0, 9.0])]
+
+
+def test_stored_corpora_in_single_precision(spark, vectors, tmp_path):
+    x, tokens = vectors
+    q = queries_of(spark, x)
+    scoring.packed_documents(tokens, 8, single=True).write.parquet(str(tmp_path / "packed"))
+    stored = spark.read.parquet(str(tmp_path / "packed"))
+    close(scoring.packed_scores(stored, q), scoring.maxsim_blocks(tokens, q), KEYS, "score", digits=5)
+    assert "hashpartitioning(doc_id" not in search.search_packed(stored, q)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_texts(spark):
+    docs = spark.createDataFrame([(1, "red green"), (2, "blue sky")], "doc_id long, text string")
+    tokens = encode.encode_docs(docs)
+    texts = spark.createDataFrame([(7, "sky"), (8, "green red")], "query_id long, text string")
+    best = {r["query_id"]: r["doc_id"] for r in search.search_texts(tokens, texts).where("rank = 1").collect()}
+    assert best == {7: 2, 8: 1}
+    padded = encode.encode_queries(texts, augment=True)
+    assert rows_of(search.search_texts(tokens, texts, augment=True)) == rows_of(search.search_chunked(tokens, padded))
 
 
 def test_plans_join_blocks_and_not_rows(spark, vectors):
