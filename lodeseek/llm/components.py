@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(u long, v long) undirected edges -> (id long, component_id long), each node that has an edge with the smallest id it can reach.
 
     Self-loops and repeated edges are allowed; nulls are left out. Every step is an aggregation and a join whose
-    hot keys the adaptive planner splits; only a count and a checksum of the edges reach the driver.
+    hot keys the adaptive planner splits; only a count and a checksum of the edges reach the driver. A round's edges
+    are written before those of the round before are deleted.
     """
     now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
@@ -34,5 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = checkpoint(_small_star(_large_star(now)))
+        last, now = now, checkpoint(_small_star(_large_star(now)))
+        discard(last)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
