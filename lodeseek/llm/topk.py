@@ -176,9 +176,10 @@ def _visits(queries: DataFrame, directory: tuple, centre: np.ndarray, dim: int,
     names, sizes = cell[heads], np.add.reduceat(n, heads)
 
     def run(batches):
+        step = max(1, min(ANNULUS, (1 << 21) // len(cell)))
         for whole in batches:
-            for at in range(0, whole.num_rows, ANNULUS):
-                batch = whole.slice(at, ANNULUS)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 q = _dense(batch.column(1), dim)
                 top = np.maximum.reduceat(_bounds(q, _distances(q, centre), pivot, near, far, norm), heads, axis=1)
                 # The first cells are those of highest bound until they hold k candidates beside the query itself.
