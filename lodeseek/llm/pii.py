@@ -11,6 +11,7 @@ or an @ are passed on as they are. Whoever has the key can invert the pseudonyms
 from __future__ import annotations
 
 import secrets
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,11 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, and written once in the plan, however often the body has it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def feistel(left: Column, right: Column, left_modulus: Column, right_modulus: Column, key: str, tweak: Column) -> Column:
     """A keyed permutation of the pairs below the two moduli, as a struct (l long, r long): each round adds a keyed hash of one side to the other."""
 
@@ -85,25 +91,30 @@ def _symbols(value: Column, n: Column, alphabet: str) -> Column:
 
 def permute(symbols: Column, alphabet: str, key: str, tweak: Column) -> Column:
     """A permutation of the strings of equal length over an alphabet."""
-
     one = PAIR[alphabet]
+    modulus = F.lit(one[1]).cast("long")
 
-    def stretch(j: Column) -> Column:
-        part = F.substr(symbols, (j * STRETCH + 1).cast("int"), F.lit(STRETCH))
-        n = F.length(part)
-        u = F.call_function("div", n, F.lit(2)).cast("int")
+    def permuted(part: Column, n: Column, j: Column) -> Column:
+        u = _div(n, F.lit(2)).cast("int")
         v = n - u
         own = F.concat_ws(",", tweak, F.lit(alphabet[:2]), n.cast("string"), j.cast("string"))
         # A single symbol has no two halves: its number is split into a quotient and a remainder instead.
-        single, number, modulus = n == 1, _value(part, alphabet), F.lit(one[1]).cast("long")
-        left = F.when(single, _div(number, modulus)).otherwise(_value(F.substr(part, F.lit(1), u), alphabet))
-        right = F.when(single, number % modulus).otherwise(_value(F.substr(part, u + 1, v), alphabet))
-        sides = [F.when(single, F.lit(m).cast("long")).otherwise(_power(alphabet, k)) for m, k in zip(one, (u, v), strict=True)]
-        out = feistel(left, right, sides[0], sides[1], key, own)
-        return F.transform(F.array(out), lambda s: F.when(single, _symbols(s["l"] * modulus + s["r"], n, alphabet)).otherwise(F.concat(_symbols(s["l"], u, alphabet), _symbols(s["r"], v, alphabet))))[0]
+        single = n == 1
+        left = F.when(single, _div(_value(part, alphabet), modulus)).otherwise(_value(F.substr(part, F.lit(1), u), alphabet))
+        right = F.when(single, _value(part, alphabet) % modulus).otherwise(_value(F.substr(part, u + 1, v), alphabet))
+        sides = F.struct(*[F.when(single, F.lit(m).cast("long")).otherwise(_power(alphabet, k)).alias(c) for m, k, c in zip(one, (u, v), "ab", strict=True)])
+        out = let(sides, lambda m: feistel(left, right, m["a"], m["b"], key, own))
+        return let(out, lambda s: F.when(single, _symbols(s["l"] * modulus + s["r"], n, alphabet)).otherwise(F.concat(_symbols(s["l"], u, alphabet), _symbols(s["r"], v, alphabet))))
+
+    def stretches(whole: Column) -> Column:
+        def stretch(j: Column) -> Column:
+            part = F.substr(whole, (j * STRETCH + 1).cast("int"), F.lit(STRETCH))
+            return let(part, lambda p: let(F.length(p), lambda n: permuted(p, n, j)))
 
-    last = F.call_function("div", F.greatest(F.length(symbols), F.lit(1)) - 1, F.lit(STRETCH)).cast("int")
-    return F.when(F.length(symbols) > 0, F.concat_ws("", F.transform(F.sequence(F.lit(0), last), stretch))).otherwise(symbols)
+        last = _div(F.greatest(F.length(whole), F.lit(1)) - 1, F.lit(STRETCH)).cast("int")
+        return F.when(F.length(whole) > 0, F.concat_ws("", F.transform(F.sequence(F.lit(0), last), stretch))).otherwise(whole)
+
+    return let(symbols, stretches)
 
 
 def refill(shape: Column, kind: str, symbols: Column) -> Column:
@@ -144,40 +155,42 @@ def _address(m: Column, key: str) -> Column:
     o = lambda k: F.substring_index(F.substring_index(m, ".", k), ".", -1).cast("long")
     side = F.lit(65536).cast("long")
     out = feistel(o(1) * 256 + o(2), o(3) * 256 + o(4), side, side, key, F.lit("ip"))
-    return F.transform(F.array(out), lambda s: F.concat_ws(".", *[x.cast("string") for x in (_div(s["l"], F.lit(256)), s["l"] % 256, _div(s["r"], F.lit(256)), s["r"] % 256)]))[0]
+    return let(out, lambda s: F.concat_ws(".", *[x.cast("string") for x in (_div(s["l"], F.lit(256)), s["l"] % 256, _div(s["r"], F.lit(256)), s["r"] % 256)]))
 
 
 def _date(m: Column, order: str, key: str) -> Column:
     """A date whose day and month have two digits, among all such dates. order: its pattern. Null where the calendar does not have it."""
-    day = F.try_to_timestamp(m, F.lit(order)).cast("date")
-    number, (a, b) = F.datediff(day, F.to_date(F.lit(FIRST_DAY))).cast("long"), DAY_MODULI
-    out = feistel(_div(number, F.lit(b)), number % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, F.lit("date"))
-    moved = F.transform(F.array(out), lambda s: F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), (s["l"] * b + s["r"]).cast("int")), order))[0]
-    return F.when((number >= 0) & (number < a * b), moved)
+    first, (a, b) = F.to_date(F.lit(FIRST_DAY)), DAY_MODULI
+
+    def moved(n: Column) -> Column:
+        out = feistel(_div(n, F.lit(b)), n % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, F.lit("date"))
+        return F.when((n >= 0) & (n < a * b), let(out, lambda s: F.date_format(F.date_add(first, (s["l"] * b + s["r"]).cast("int")), order)))
 
+    return let(F.datediff(F.try_to_timestamp(m, F.lit(order)).cast("date"), first).cast("long"), moved)
 
-def _within(d: Column, mo: Column, y: Column, key: str, months: int, first: int, most: int, kind: str) -> tuple[Column, Column, Column]:
-    """(day, month, year) of a date, permuted among the dates of the first ``months`` months whose day is from ``first`` to ``most``; nulls where it is none of them."""
+
+def _within(d: Column, mo: Column, y: Column, key: str, months: int, first: int, most: int, kind: str, written: Callable[[Column, Column, Column], Column]) -> Column:
+    """written(day, month, year) of a date, permuted among the dates of the first ``months`` months whose day is from ``first`` to ``most``; null where it is none of them."""
     lengths = [min(n, most) - first + 1 for n in (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[:months]]
     upto = [sum(lengths[:k]) for k in range(months + 1)]
-    offsets = F.array(*[F.lit(n) for n in upto[:-1]])
-    at = F.element_at(offsets, mo) + d - first
     inside = mo.between(1, months) & (d >= first) & (d - first < F.element_at(F.array(*[F.lit(n) for n in lengths]), F.greatest(F.least(mo, F.lit(months)), F.lit(1))))
+    at = F.element_at(F.array(*[F.lit(n) for n in upto[:-1]]), mo) + d - first
     out = feistel((y - 1800).cast("long"), at.cast("long"), F.lit(400).cast("long"), F.lit(upto[-1]).cast("long"), key, F.lit(f"date {kind}"))
-    # 29 February exists in 97 of the 400 years: it moves among them.
-    leaps = [n for n in range(1800, 2200) if n % 4 == 0 and (n % 100 or n % 400 == 0)]
-    leap_years = F.array(*[F.lit(n) for n in leaps])
-    leap = (mo == 2) & (d == 29) & F.array_contains(leap_years, y) & F.lit(first <= 29 <= most)
-    turned = feistel(F.lit(0).cast("long"), (F.array_position(leap_years, y) - 1).cast("long"), F.lit(1).cast("long"), F.lit(len(leaps)).cast("long"), key, F.lit(f"leap {kind}"))
 
-    def parts(s: Column) -> Column:
-        month = F.size(F.filter(offsets, lambda o: o <= s["r"]))
-        return F.struct((s["r"] - F.element_at(offsets, month) + first).cast("int").alias("d"), month.cast("int").alias("m"), (s["l"] + 1800).cast("int").alias("y"))
+    def usual(s: Column) -> Column:
+        def parts(month: Column) -> Column:
+            before = F.element_at(F.array(*[F.lit(n) for n in upto[:-1]]), month)
+            return written((s["r"] - before + first).cast("int"), month, (s["l"] + 1800).cast("int"))
 
-    usual = F.transform(F.array(out), parts)[0]
-    rare = F.transform(F.array(turned), lambda s: F.struct(F.lit(29).alias("d"), F.lit(2).alias("m"), F.element_at(leap_years, (s["r"] + 1).cast("int")).alias("y")))[0]
-    new = F.when(leap, rare).when(inside, usual)
-    return new["d"], new["m"], new["y"]
+        return let(F.size(F.filter(F.array(*[F.lit(n) for n in upto[:-1]]), lambda o: o <= s["r"])), parts)
+
+    moved = F.when(inside, let(out, usual))
+    if not first <= 29 <= most:
+        return moved
+    # 29 February exists in 97 of the 400 years: it moves among them.
+    leaps = F.filter(F.sequence(F.lit(1800), F.lit(2196), F.lit(4)), lambda x: (x % 100 != 0) | (x % 400 == 0))
+    turned = let(leaps, lambda years: let(F.array_position(years, y), lambda place: F.when(place > 0, F.element_at(years, (feistel(F.lit(0).cast("long"), place.cast("long") - 1, F.lit(1).cast("long"), F.lit(97).cast("long"), key, F.lit(f"leap {kind}"))["r"] + 1).cast("int")))))
+    return F.when((mo == 2) & (d == 29), let(turned, lambda year: F.when(year.isNotNull(), written(F.lit(29), F.lit(2), year)))).otherwise(moved)
 
 
 def _digits(value: Column, like: Column) -> Column:
@@ -187,25 +200,31 @@ def _digits(value: Column, like: Column) -> Column:
 
 def _written_date(m: Column, key: str) -> Column:
     """A date with slashes or full stops: day-first wherever that is valid, else month-first. Each field keeps its number of digits."""
+
+    def fields(f: Column) -> Column:
+        a, b, x, z, year = f["a"], f["b"], f["x"], f["z"], f["y"]
+
+        def day_first(d: Column, mo: Column, y: Column) -> Column:
+            return F.concat(_digits(d, a), f["sign"], _digits(mo, b), f["sign"], y.cast("string"))
+
+        def month_first(d: Column, mo: Column, y: Column) -> Column:
+            return day_first(mo, d, y)
+
+        shape = F.length(a) * 10 + F.length(b)
+        found = [F.when(shape == 22, F.translate(_date(F.concat_ws("-", a, b, year.cast("string")), "dd-MM-yyyy", key), "-", "/"))]
+        # A field of one digit stays one of one digit, so its day or month is below ten.
+        for wide_day, wide_month in ((False, False), (False, True), (True, False)):
+            one = _within(x, z, year, key, 12 if wide_month else 9, 1, 31 if wide_day else 9, f"{wide_day}{wide_month}", day_first)
+            found.append(F.when(shape == (21 if wide_day else 12 if wide_month else 11), one))
+        for wide_month in (False, True):
+            one = _within(z, x, year, key, 12 if wide_month else 9, 13, 31, f"month {wide_month}", month_first)
+            found.append(F.when((F.length(a) == 2) == F.lit(wide_month), one))
+        return let(F.coalesce(*found, m), lambda out: F.when(f["sign"] == ".", F.translate(out, "/", ".")).otherwise(out))
+
+    parts = F.split(m, "[/.]")
+    a, b, y = (F.element_at(parts, k) for k in (1, 2, 3))
     sign = F.when(F.contains(m, F.lit("/")), F.lit("/")).otherwise(F.lit("."))
-    a, b, y = (F.element_at(F.split(m, "[/.]"), k) for k in (1, 2, 3))
-    x, z, year = a.cast("int"), b.cast("int"), y.cast("int")
-
-    def joined(first: Column, second: Column, new: Column) -> Column:
-        return F.concat(_digits(first, a), sign, _digits(second, b), sign, new.cast("string"))
-
-    # A field of one digit stays one of one digit, so its day or month is below ten.
-    out = F.when(F.length(m) == 10, F.concat_ws("", F.translate(_date(F.translate(m, "/.", "--"), "dd-MM-yyyy", key), "-", "/")))
-    out = F.when(sign == "/", out).otherwise(F.translate(out, "/", "."))
-    out = F.when(F.coalesce(out, F.lit("")) != "", out)
-    for wide_day, wide_month in ((False, False), (False, True), (True, False)):
-        d, mo, yy = _within(x, z, year, key, 12 if wide_month else 9, 1, 31 if wide_day else 9, f"{wide_day}{wide_month}")
-        fits = ((F.length(a) == 2) == F.lit(wide_day)) & ((F.length(b) == 2) == F.lit(wide_month))
-        out = F.coalesce(out, F.when(fits & d.isNotNull(), joined(d, mo, yy)))
-    for wide_month in (False, True):
-        d, mo, yy = _within(z, x, year, key, 12 if wide_month else 9, 13, 31, f"month {wide_month}")
-        out = F.coalesce(out, F.when(((F.length(a) == 2) == F.lit(wide_month)) & d.isNotNull(), joined(mo, d, yy)))
-    return F.coalesce(out, m)
+    return let(F.struct(a.alias("a"), b.alias("b"), a.cast("int").alias("x"), b.cast("int").alias("z"), y.cast("int").alias("y"), sign.alias("sign")), fields)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -219,7 +238,7 @@ def _phone(m: Column, key: str) -> Column:
 def _card(m: Column, key: str) -> Column:
     digits = _only(m, "0-9")
     body = permute(F.substr(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, F.lit("card"))
-    checked = F.transform(F.array(body), lambda x: F.concat(x, ((10 - luhn(F.concat(x, F.lit("0")))) % 10).cast("string")))[0]
+    checked = let(body, lambda x: F.concat(x, ((10 - luhn(F.concat(x, F.lit("0")))) % 10).cast("string")))
     return F.when(luhn(digits) == 0, refill(m, "[0-9]", checked)).otherwise(m)
 
 
