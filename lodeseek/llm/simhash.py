@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, checkpoint, cut
+from .common import arrow, checkpoint, cut, partitions
 from .components import components
 
 #: Members of one signature group beyond which the group is indexed anew by a quarter of the other half.
@@ -117,7 +117,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """
     rows = checkpoint(fingerprints(docs, words))
     nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = fingerprint_links(nodes.select("fp"), bits)
+    # A fingerprint makes 66 rows of the index: the few bytes of the nodes are dealt out to all tasks first.
+    links = fingerprint_links(nodes.select("fp").repartition(partitions(docs.sparkSession), "fp"), bits)
     graph = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # Components are found over fingerprints; each is then named by its smallest doc_id.
     of = nodes.join(graph, nodes["fp"] == graph["id"], "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("root"))
