@@ -37,9 +37,15 @@ def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
+def shape(df: DataFrame, column: str) -> tuple[int, int | None]:
+    """Rows, and components of the vectors in a column; None if there is none."""
+    n, dim = df.agg(F.count("*"), F.max(F.size(column))).first()
+    return n, dim
+
+
 def width(df: DataFrame, column: str) -> int | None:
     """Components of the vectors in a column; None if there is none."""
-    return df.agg(F.max(F.size(column))).first()[0]
+    return shape(df, column)[1]
 
 
 def dense(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +121,10 @@ def pack(rows: DataFrame, dim: int | None, size: int = ROWS, single: bool = Fals
     return arrow(rows, run, "key long, ids binary, subs binary, data binary" + (", more binary" if more else ""))
 
 
-def every_pair(large: DataFrame, small: DataFrame) -> DataFrame:
-    """Every block of large with every block of small (its columns lead by q): broadcast if small has few bytes, else large is dealt out to shares and each share meets all of small."""
+def every_pair(large: DataFrame, small: DataFrame, size: int) -> DataFrame:
+    """Every block of large with every block of small (its columns lead by q): broadcast if small has few bytes, else large is dealt out to shares and each share meets all of small. size: bytes of small's vectors."""
     small = small.select(*[F.col(c).alias(f"q{c}") for c in small.columns])
-    if (small.agg(F.sum(F.octet_length("qdata"))).first()[0] or 0) <= BROADCAST:
+    if size <= BROADCAST:
         return large.crossJoin(F.broadcast(small))
     shares = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = large.withColumn("_share", F.pmod(F.xxhash64("key", "ids", "subs"), F.lit(shares)).cast("int"))

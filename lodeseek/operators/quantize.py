@@ -22,7 +22,7 @@ SAMPLE, BATCH = 200_000, 4096
 
 def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     """(cluster ids, matrix) in order of cluster_id; None if the matrix has more bytes than a table may have that goes to all executors."""
-    n, dim = centroids.agg(F.count("*"), F.max(F.size("cvec"))).first()
+    n, dim = B.shape(centroids, "cvec")
     if n * (dim or 0) * 8 > B.BROADCAST:
         return None
     rows = centroids.select("cluster_id", V.doubles("cvec").alias("cvec")).orderBy("cluster_id").collect()
@@ -59,7 +59,7 @@ def assign_nearest(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def _assign_by_blocks(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
     """assign_nearest for tokens with a token_id and more centroids than one task should hold: blocks against blocks, and the least over all of them."""
-    dim = B.width(centroids, "cvec")
+    n, dim = B.shape(centroids, "cvec")
     large = B.pack(tokens.select(F.lit(0).cast("long"), "token_id", F.lit(0).cast("long"), V.doubles("vec")), dim)
     small = B.pack(centroids.select(F.lit(0).cast("long"), F.col("cluster_id").cast("long"), F.lit(0).cast("long"), V.doubles("cvec")).sortWithinPartitions("cluster_id"), dim)
 
@@ -68,7 +68,7 @@ def _assign_by_blocks(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
             near, d = B.nearest(np.frombuffer(data).reshape(len(ids), dim), c, V.TIE_DIGITS)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(d), pa.array(clusters[near].astype(np.int32))], names=["token_id", "d", "cluster_id"])
 
-    found = B.arrow(B.every_pair(large, small), run, "token_id long, d double, cluster_id int")
+    found = B.arrow(B.every_pair(large, small, 8 * n * dim), run, "token_id long, d double, cluster_id int")
     least = found.groupBy("token_id").agg(F.min(F.struct("d", "cluster_id")).alias("b")).select("token_id", "b.cluster_id")
     return tokens.join(least, "token_id").select(*tokens.columns, "cluster_id")
 
@@ -147,7 +147,7 @@ def lookup_scores(coded: DataFrame, queries: DataFrame, codebooks: DataFrame) ->
     """coded (token_id, doc_id, codes) -> (query_id, q_tok, doc_id, token_id, s): the summed table entries of every token for every query token."""
     kernel = B.Lookups(codebook_array(codebooks))
     large = B.pack(coded.select(F.lit(0).cast("long"), "doc_id", "token_id", "codes"), None)
-    return B.all_scores(B.every_pair(large, query_blocks(queries, kernel.dim)), kernel)
+    return B.all_scores(B.every_pair(large, query_blocks(queries, kernel.dim), 8 * queries.count() * kernel.dim), kernel)
 
 
 def query_blocks(queries: DataFrame, dim: int) -> DataFrame:

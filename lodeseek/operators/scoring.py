@@ -18,19 +18,19 @@ def _zero():
 
 def similarities(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, q_tok, doc_id, token_id, s) of all pairs."""
-    dim = B.width(queries, "qvec")
+    n, dim = B.shape(queries, "qvec")
     if dim is None:
         return tokens.sparkSession.createDataFrame([], _PAIRS)
     large = B.pack(tokens.select(_zero(), F.col("doc_id").cast("long"), F.col("token_id").cast("long"), V.doubles("vec")), dim)
-    return B.all_scores(B.every_pair(large, query_blocks(queries, dim)), B.Products(dim))
+    return B.all_scores(B.every_pair(large, query_blocks(queries, dim), 8 * n * dim), B.Products(dim))
 
 
 def distances(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
     """(token_id, cluster_id, d) of all pairs: squared distances."""
-    dim = B.width(centroids, "cvec")
+    n, dim = B.shape(centroids, "cvec")
     large = B.pack(tokens.select(_zero(), F.col("token_id").cast("long"), _zero(), V.doubles("vec")), dim)
     small = query_blocks(centroids.select(F.col("cluster_id").alias("query_id"), F.lit(0).alias("q_tok"), F.col("cvec").alias("qvec")), dim)
-    rows = B.all_scores(B.every_pair(large, small), B.Distances(dim))
+    rows = B.all_scores(B.every_pair(large, small, 8 * n * dim), B.Distances(dim))
     return rows.select(F.col("doc_id").alias("token_id"), F.col("query_id").cast("int").alias("cluster_id"), F.col("s").alias("d"))
 
 
@@ -48,18 +48,22 @@ def packed_documents(tokens: DataFrame, dim: int, single: bool = False) -> DataF
 
 def packed_scores(packed: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, doc_id, score) of packed_documents. A score is complete where it is computed, and with k a task gives only the rows that may be among a query's k best."""
-    dim = B.width(queries, "qvec")
+    n, dim = B.shape(queries, "qvec")
     if dim is None:
         return packed.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-    return B.whole_scores(B.every_pair(packed, query_blocks(queries, dim)), B.Products(dim), k)
+    return _packed_scores(packed, queries, n, dim, k)
+
+
+def _packed_scores(packed: DataFrame, queries: DataFrame, n: int, dim: int, k: int | None) -> DataFrame:
+    return B.whole_scores(B.every_pair(packed, query_blocks(queries, dim), 8 * n * dim), B.Products(dim), k)
 
 
 def maxsim_blocks(tokens: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """maxsim(similarities(...)) as (query_id, doc_id, score), by products of blocks."""
-    dim = B.width(queries, "qvec")
+    n, dim = B.shape(queries, "qvec")
     if dim is None:
         return tokens.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-    return packed_scores(packed_documents(tokens, dim), queries, k)
+    return _packed_scores(packed_documents(tokens, dim), queries, n, dim, k)
 
 
 def max_over_chunks(tokens: DataFrame, queries: DataFrame) -> DataFrame:

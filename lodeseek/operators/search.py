@@ -49,9 +49,9 @@ def centroid_sim(queries: DataFrame, centroids: DataFrame) -> DataFrame:
     return rows.select("query_id", "q_tok", F.col("token_id").cast("int").alias("cluster_id"), "s")
 
 
-def probe_ranks(queries: DataFrame, centroids: DataFrame, most: int) -> DataFrame:
-    """(query_id, q_tok, cluster_id, s, rank int): the ``most`` best clusters of each query token, ties to the smaller cluster_id."""
-    dim = B.width(centroids, "cvec")
+def probe_ranks(queries: DataFrame, centroids: DataFrame, most: int, shape: tuple[int, int | None] | None = None) -> DataFrame:
+    """(query_id, q_tok, cluster_id, s, rank int): the ``most`` best clusters of each query token, ties to the smaller cluster_id. shape: that of the centroids, if it is known."""
+    n, dim = shape or B.shape(centroids, "cvec")
     names = "query_id long, q_tok int, cluster_id int, s double"
     if dim is None:
         return queries.sparkSession.createDataFrame([], names + ", rank int")
@@ -63,17 +63,17 @@ def probe_ranks(queries: DataFrame, centroids: DataFrame, most: int) -> DataFram
         for qids, qtoks, clusters, _, data, c in B._pairs(batches, kernel):
             s = kernel.scores(data, len(qids), c)
             order = np.lexsort((np.broadcast_to(clusters, s.shape), -np.round(s, V.TIE_DIGITS)), axis=1)[:, :most]
-            n = order.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.repeat(qtoks, n).astype(np.int32)), pa.array(clusters[order.ravel()].astype(np.int32)), pa.array(np.take_along_axis(s, order, axis=1).ravel())], names=["query_id", "q_tok", "cluster_id", "s"])
+            k = order.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, k)), pa.array(np.repeat(qtoks, k).astype(np.int32)), pa.array(clusters[order.ravel()].astype(np.int32)), pa.array(np.take_along_axis(s, order, axis=1).ravel())], names=["query_id", "q_tok", "cluster_id", "s"])
 
-    best = B.arrow(B.every_pair(large, small), run, names)
+    best = B.arrow(B.every_pair(large, small, 8 * n * dim), run, names)
     order = Window.partitionBy("query_id", "q_tok").orderBy(F.desc(F.round("s", V.TIE_DIGITS)), "cluster_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def probes(queries: DataFrame, centroids: DataFrame, most: int) -> DataFrame:
+def probes(queries: DataFrame, centroids: DataFrame, most: int, shape: tuple[int, int | None] | None = None) -> DataFrame:
     """(query_id, cluster_id, rank): the clusters that any token of the query probes, with the least rank among its tokens. The union is by query."""
-    return probe_ranks(queries, centroids, most).groupBy("query_id", "cluster_id").agg(F.min("rank").alias("rank"))
+    return probe_ranks(queries, centroids, most, shape).groupBy("query_id", "cluster_id").agg(F.min("rank").alias("rank"))
 
 
 def probed_clusters(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
@@ -86,9 +86,9 @@ def candidates(assigned: DataFrame, probed: DataFrame) -> DataFrame:
     return assigned.join(probed, "cluster_id")
 
 
-def _probing_blocks(queries: DataFrame, centroids: DataFrame, most: int, dim: int, terms: bool) -> DataFrame:
+def _probing_blocks(probed: DataFrame, queries: DataFrame, centroids: DataFrame, dim: int, terms: bool) -> DataFrame:
     """Blocks of the queries that probe a cluster, by cluster. more: the query token's product with the centroid, or zero."""
-    rows = probes(queries, centroids, most).join(queries.select("query_id", "q_tok", V.doubles("qvec").alias("qvec")), "query_id")
+    rows = probed.join(queries.select("query_id", "q_tok", V.doubles("qvec").alias("qvec")), "query_id")
     more = F.lit(0.0)
     if terms:
         rows = rows.join(centroids.select("cluster_id", V.doubles("cvec").alias("cvec")), "cluster_id")
@@ -98,22 +98,24 @@ def _probing_blocks(queries: DataFrame, centroids: DataFrame, most: int, dim: in
     return B.pack(rows.repartition("id").sortWithinPartitions("key", "id", "sub"), dim, B.QUERY_ROWS)
 
 
-def _pruned(tokens: DataFrame, value: str, kernel: B.Products, packed: bool, queries: DataFrame, centroids: DataFrame, nprobe: int, terms: bool) -> DataFrame:
-    """(query_id, doc_id, rank, best) of the tokens (doc_id, cluster_id, value) in the probed clusters."""
+def _pruned(tokens: DataFrame, value: str, kernel: B.Products, packed: bool, queries: DataFrame, centroids: DataFrame, nprobe: int | None, terms: bool, shape: tuple[int, int | None]) -> DataFrame:
+    """(query_id, doc_id, rank, best) of the tokens (doc_id, cluster_id, value) in the probed clusters. shape: that of the centroids. nprobe None: all clusters."""
     column = F.col(value) if packed else V.doubles(value)
+    probed = probes(queries, centroids, nprobe or max(1, shape[0]), shape)
     # Clusters that no query probes are left out first: of a stored index their folders are not read. The list has an
     # entry for each cluster at most.
-    if 8 * centroids.count() <= B.BROADCAST:
-        tokens = tokens.join(F.broadcast(probed_clusters(queries, centroids, nprobe).select("cluster_id").distinct()), "cluster_id", "left_semi")
+    if nprobe and 8 * shape[0] <= B.BROADCAST:
+        tokens = tokens.join(F.broadcast(probed.select("cluster_id").distinct()), "cluster_id", "left_semi")
     rows = tokens.select(F.col("cluster_id").cast("long").alias("key"), F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("sub"), column.alias("value"))
-    asked = _probing_blocks(queries, centroids, nprobe, kernel.dim, terms)
+    asked = _probing_blocks(probed, queries, centroids, kernel.dim, terms)
     large = B.pack(rows.sortWithinPartitions("key", "id"), None if packed else kernel.dim)
     return B.part_scores(B.of_key(large, asked), kernel)
 
 
 def search_ivf(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int = 8, k: int = 10) -> DataFrame:
     """assigned: (doc_id, cluster_id, vec)."""
-    parts = _pruned(assigned, "vec", B.Products(B.width(centroids, "cvec")), False, queries, centroids, nprobe, False)
+    shape = B.shape(centroids, "cvec")
+    parts = _pruned(assigned, "vec", B.Products(shape[1] or 1), False, queries, centroids, nprobe, False, shape)
     return top_k(B.combine(parts), k)
 
 
@@ -129,35 +131,35 @@ def search_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, k: int
     kernel = B.Lookups(Z.codebook_array(codebooks))
     rows = codes.select(F.lit(0).cast("long").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("sub"), "codes")
     large = B.pack(rows.repartition("doc_id").sortWithinPartitions("doc_id"), None)
-    return top_k(B.whole_scores(B.every_pair(large, Z.query_blocks(queries, kernel.dim)), kernel, k), k)
+    return top_k(B.whole_scores(B.every_pair(large, Z.query_blocks(queries, kernel.dim), 8 * queries.count() * kernel.dim), kernel, k), k)
 
 
 def search_ivf_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, centroids: DataFrame, nprobe: int = 8, k: int = 100) -> DataFrame:
     """codes: (doc_id, cluster_id, codes binary)."""
-    parts = _pruned(codes, "codes", B.Lookups(Z.codebook_array(codebooks)), True, queries, centroids, nprobe, False)
+    parts = _pruned(codes, "codes", B.Lookups(Z.codebook_array(codebooks)), True, queries, centroids, nprobe, False, B.shape(centroids, "cvec"))
     return top_k(B.combine(parts), k)
 
 
 def search_residual_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, centroids: DataFrame, nprobe: int | None = None, k: int = 100) -> DataFrame:
     """codes and codebooks are those of the residuals. The centroid's part of a score is computed once for each probed cluster and query token. nprobe None: all clusters."""
-    most = nprobe or max(1, centroids.count())
-    parts = _pruned(codes, "codes", B.Lookups(Z.codebook_array(codebooks)), True, queries, centroids, most, True)
+    parts = _pruned(codes, "codes", B.Lookups(Z.codebook_array(codebooks)), True, queries, centroids, nprobe, True, B.shape(centroids, "cvec"))
     return top_k(B.combine(parts), k)
 
 
 def sweep_nprobe(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, nprobes: list[int], k: int = 10) -> DataFrame:
     """(nprobe, query_id, doc_id, score, rank) for all settings in one job: tokens are scored once, with the rank of their cluster, and each setting takes a prefix of the ranks."""
-    parts = _pruned(assigned, "vec", B.Products(B.width(centroids, "cvec")), False, queries, centroids, max(nprobes), False)
+    shape = B.shape(centroids, "cvec")
+    parts = _pruned(assigned, "vec", B.Products(shape[1] or 1), False, queries, centroids, max(nprobes), False, shape)
     parts = parts.withColumn("nprobe", F.explode(F.array(*[F.lit(n) for n in nprobes]))).where(F.col("rank") <= F.col("nprobe"))
     return top_k(B.combine(parts, ("nprobe",)), k, by=("nprobe", "query_id"))
 
 
 def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank) over single vectors (doc_id, vec) with one row each; queries (query_id, qvec). A vector is no neighbour of its own id."""
-    dim = B.width(queries, "qvec")
+    n, dim = B.shape(queries, "qvec")
     if dim is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     large = B.pack(vectors.select(F.lit(0).cast("long"), F.col("doc_id").cast("long"), F.lit(0).cast("long"), V.doubles("vec")), dim)
     small = Z.query_blocks(queries.withColumn("q_tok", F.lit(0)), dim)
-    found = B.whole_scores(B.every_pair(large, small), B.Products(dim), k + 1)
+    found = B.whole_scores(B.every_pair(large, small, 8 * n * dim), B.Products(dim), k + 1)
     return top_k(found.where("doc_id <> query_id"), k)

@@ -40,7 +40,7 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
 def centroids(spark: SparkSession, sf: str) -> DataFrame:
     """About the square root of the number of vectors, evenly spaced by vec_id."""
     e = embeddings(spark, sf)
-    step = math.ceil(math.sqrt(e.count()))
+    step = max(1, math.ceil(math.sqrt(e.count())))
     return e.where(F.col("vec_id") % step == 0).select(div("vec_id", step).cast("int").alias("cluster_id"), V.doubles("embedding").alias("cvec"))
 
 
@@ -50,7 +50,7 @@ def assigned(spark: SparkSession, sf: str) -> DataFrame:
 
 def _codeword(spark: SparkSession, sf: str) -> Column:
     """Numbers the tokens whose parts are codewords: as many as CODES, evenly spaced."""
-    step = embeddings(spark, sf).count() // CODES
+    step = max(1, embeddings(spark, sf).count() // CODES)
     return F.when((F.col("token_id") % step == 0) & (F.col("token_id") < CODES * step), div("token_id", step))
 
 
