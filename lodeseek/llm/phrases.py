@@ -22,7 +22,7 @@ LEAST, TOP, SUBSUMED = 10, 2000, 50
 #: The most cells in a row of the sketch, and rows: 128 MB of bits at most. Text bytes a cell, cells that one task adds up at a time.
 CELLS, ROWS, BYTES, BLOCK = 1 << 29, 2, 16, 1 << 20
 #: Bytes of text that are counted at once.
-PIECE = 8 << 20
+PIECE = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PART = np.zeros(256, dtype=bool)
@@ -43,7 +43,7 @@ class Grams:
         self.lang = np.repeat(codes, np.diff(first)).astype(np.int64)
         words = span_hashes(self.data, self.starts, self.ends)
         seeds = span_hashes(*_spans(self.langs), seed=2)
-        piece = np.cumsum(_PART[self.data])[self.starts] if len(self.starts) else np.zeros(0, np.int64)
+        piece = np.cumsum(_PART[self.data], dtype=np.int32)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
         row = np.repeat(np.arange(len(batch)), np.diff(first))
         together = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
         self.whole = [np.ones(len(words), bool), together, together[1:] & together[:-1]]
@@ -54,7 +54,7 @@ class Grams:
         inside = np.zeros(len(self.data) + 1, dtype=np.int8)
         inside[self.starts] += 1
         inside[self.ends] -= 1
-        kept = self.data[np.cumsum(inside[:-1]).astype(bool)]
+        kept = self.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
         off = np.zeros(len(self.starts) + 1, dtype=np.int32)
         np.cumsum(self.ends - self.starts, out=off[1:])
         return pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(off.tobytes()), pa.py_buffer(kept.tobytes())).dictionary_encode()
