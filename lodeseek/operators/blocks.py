@@ -235,8 +235,11 @@ class _Top:
             self.found = {}
 
 
-def whole_scores(pairs: DataFrame, kernel: Products, k: int | None = None) -> DataFrame:
-    """(query_id, doc_id, score) from blocks that hold whole documents and whole queries: for each query vector the best document vector, summed. k: only rows that may be among a query's k best."""
+def whole_scores(pairs: DataFrame, kernel: Products, k: int | None = None, share: float | None = None) -> DataFrame:
+    """(query_id, doc_id, score) from blocks that hold whole documents and whole queries: for each query vector the best document vector, summed.
+
+    k: only rows that may be among a query's k best. share: only scores of at least this share of the number of query vectors.
+    """
 
     def run(batches):
         top = _Top(k) if k else None
@@ -245,7 +248,9 @@ def whole_scores(pairs: DataFrame, kernel: Products, k: int | None = None) -> Da
             best = np.maximum.reduceat(kernel.scores(data, len(ids), q), heads, axis=0)
             scores, docs, queries = np.add.reduceat(best, qheads, axis=1), ids[heads], qids[qheads]
             if top is None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(queries, len(docs))), pa.array(np.repeat(docs, len(queries))), pa.array(scores.reshape(-1))], names=["query_id", "doc_id", "score"])
+                least = -np.inf if share is None else share * np.diff(np.append(qheads, len(qids)))
+                d, c = np.nonzero(scores >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(queries[c]), pa.array(docs[d]), pa.array(scores[d, c])], names=["query_id", "doc_id", "score"])
                 continue
             top.add(queries, docs, scores)
             if len(top.found) > 100_000:

@@ -39,8 +39,12 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def centroids(spark: SparkSession, sf: str) -> DataFrame:
     """About the square root of the number of vectors, evenly spaced by vec_id."""
-    e = embeddings(spark, sf)
-    step = max(1, math.ceil(math.sqrt(e.count())))
+    return spaced(spark, sf, math.ceil(math.sqrt(embeddings(spark, sf).count())))
+
+
+def spaced(spark: SparkSession, sf: str, step: int) -> DataFrame:
+    """Every ``step``-th vector as a centroid."""
+    e, step = embeddings(spark, sf), max(1, step)
     return e.where(F.col("vec_id") % step == 0).select(div("vec_id", step).cast("int").alias("cluster_id"), V.doubles("embedding").alias("cvec"))
 
 

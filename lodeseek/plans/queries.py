@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +15,9 @@ from ..functions import vectors as V
 from ..operators import blocks as B
 from ..operators import encode as E
 from ..operators import evaluate as M
+from ..operators import graph as G
 from ..operators import index as I
+from ..operators import passages as W
 from ..operators import profile as P
 from ..operators import quantize as Z
 from ..operators import scoring as S
@@ -378,13 +381,17 @@ def encode_single(spark, sf):
 
 
 def _folder(spark, name):
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/lodeseek_{name}"
+    """A folder of this call's own in the warehouse; the file system deletes it when the application ends."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/lodeseek_{name}_{uuid.uuid4().hex}"
+    storage.delete_at_end(spark, path)
+    return path
 
 
 @query("SELECT token_id, doc_id, pos, round(list_sum(vec), 6) AS total FROM t")
 def corpus_source(spark, sf):
-    storage.write_corpus(X.tokens(spark, sf), f"{_folder(spark, 'sources')}/corpus.parquet")
-    return storage.read_table(spark, _folder(spark, "sources"), "corpus").select("token_id", "doc_id", "pos", r6(V.total(F.col("vec"))).alias("total"))
+    path = _folder(spark, "corpus")
+    storage.write_corpus(X.tokens(spark, sf), f"{path}/corpus.parquet")
+    return storage.read_table(spark, path, "corpus").select("token_id", "doc_id", "pos", r6(V.total(F.col("vec"))).alias("total"))
 
 
 @query("SELECT query_id, doc_id, score, rank FROM ex WHERE rank <= 10")
@@ -430,7 +437,7 @@ def report_sink(spark, sf):
 @query("SELECT run, count(*) AS n_docs FROM documents, (SELECT unnest(['first', 'second']) AS run) GROUP BY run")
 def history_sink(spark, sf):
     """Two runs appended to one history."""
-    path = _folder(spark, f"history_{uuid.uuid4().hex}")
+    path = _folder(spark, "history")
     for run in ("first", "second"):
         storage.append_history(X.documents(spark, sf).agg(F.count("*").alias("n_docs")), path, run=run)
     return spark.read.schema("run string, n_docs long").json(path)
@@ -439,7 +446,7 @@ def history_sink(spark, sf):
 @query("SELECT count(*) AS n_vectors, round(sum(list_sum(vec)), 4) AS total FROM t")
 def build_cache(spark, sf):
     """Built once; the second time what is there is read."""
-    path = _folder(spark, f"cache_{uuid.uuid4().hex}")
+    path = _folder(spark, "cache")
     storage.build_if_missing(spark, path, lambda: X.tokens(spark, sf))
     kept = storage.build_if_missing(spark, path, lambda: spark.range(0))
     return kept.agg(F.count("*").alias("n_vectors"), F.round(F.sum(V.total(F.col("vec"))), 4).alias("total"))
@@ -799,21 +806,56 @@ def ab_compare(spark, sf):
     return M.ab_compare(m, "nprobe", 2, 8).select(r6("a").alias("a"), r6("b").alias("b"), r6("delta").alias("delta"), "verdict")
 
 
-@query()
+#: Passages of benchmark as queries over the words of whole documents, with masks and without.
+_PASSAGES = r"""WITH dw AS (SELECT DISTINCT doc_id, unnest(list_concat(['[D]'], DOCWORDS)) AS word FROM documents),
+qm AS (SELECT item_id AS query_id, augment, CASE WHEN augment THEN list_concat(w, list_transform(range(30 - len(w)), lambda i: '[MASK]')) ELSE w END AS w
+  FROM (SELECT item_id, list_concat(['[Q]'], QUERYWORDS)[1:30] AS w FROM benchmark), (SELECT unnest([false, true]) AS augment)),
+qw AS (SELECT query_id, augment, (i - 1)::INTEGER AS q_tok, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM qm)),
+u AS (SELECT word, list_transform(range(1, 33), lambda i: instr('0123456789abcdef', md5(word)[i]) - 8.5) AS v FROM (SELECT word FROM dw UNION SELECT word FROM qw)),
+v AS (SELECT word, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u),
+near AS (SELECT a.word AS qword, b.word, list_dot_product(a.v, b.v) AS s FROM v a JOIN (SELECT DISTINCT word FROM qw) USING (word), v b JOIN (SELECT DISTINCT word FROM dw) USING (word)),
+best AS (SELECT doc_id, qword, max(s) AS s FROM dw JOIN near USING (word) GROUP BY ALL),
+ranked AS (SELECT augment, query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY augment, query_id ORDER BY round(score, 6) DESC, doc_id)::INTEGER AS rank
+  FROM (SELECT augment, query_id, doc_id, sum(s) AS score FROM qw JOIN best ON qword = qw.word GROUP BY ALL)),
+pw AS (SELECT DISTINCT query_id, word FROM qw WHERE NOT augment AND q_tok > 0),
+held AS (SELECT query_id, doc_id FROM pw JOIN dw USING (word) JOIN (SELECT query_id, count(*) AS n FROM pw GROUP BY 1) USING (query_id) GROUP BY query_id, doc_id HAVING count(*) = any_value(n)),
+judged AS (SELECT b.item_id AS query_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+""".replace("DOCWORDS", _WORDS.replace("text", "coalesce(text, '')", 1)).replace("QUERYWORDS", _WORDS.replace("text", "coalesce(text, '')", 1))
+
+
+def _passages(spark, sf):
+    return X.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _windows(spark, sf, single=False):
+    return W.encode_windows(X.documents(spark, sf).select("doc_id", "text"), E.DigestEncoder(), single=single)
+
+
+def _places(spark, sf):
+    return W.containing(X.documents(spark, sf), _passages(spark, sf).withColumnRenamed("text", "passage"))
+
+
+@query(_PASSAGES + """, nrel AS (SELECT query_id, count(*) AS n_rel FROM judged GROUP BY 1),
+hits AS (SELECT r.augment, r.query_id, r.rank, (j.doc_id IS NOT NULL)::INTEGER AS hit FROM ranked r LEFT JOIN judged j USING (query_id, doc_id) WHERE r.rank <= 100),
+met AS (SELECT augment, query_id, coalesce(sum(CASE WHEN rank <= 10 THEN hit / log2(rank + 1) END), 0) / list_sum(list_transform(range(1, least(any_value(n_rel), 10) + 1), lambda r: 1 / log2(r + 1))) AS ndcg,
+  coalesce(sum(hit), 0) / any_value(n_rel) AS recall FROM nrel JOIN hits USING (query_id) GROUP BY ALL),
+mean AS (SELECT augment, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall FROM met GROUP BY augment),
+size AS (SELECT augment, avg(n) AS q_tokens FROM (SELECT augment, query_id, count(*) AS n FROM qw GROUP BY ALL) GROUP BY augment),
+d AS (SELECT max(CASE WHEN augment THEN ndcg END) - max(CASE WHEN NOT augment THEN ndcg END) AS delta FROM mean)
+SELECT augment, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(q_tokens, 6) AS q_tokens, round(delta, 6) AS delta_ndcg, CASE WHEN delta > 0.005 THEN 'better' WHEN delta < -0.005 THEN 'worse' ELSE 'same' END AS verdict
+FROM mean JOIN size USING (augment), d""")
 def augmentation_ab(spark, sf):
-    """Queries with and without augmentation, against encoded documents: mean metrics of both arms, query tokens, differences and verdict. A document is relevant to a passage of benchmark that it contains."""
-    docs = X.documents(spark, sf).select("doc_id", "text")
-    items = X.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    judged = docs.join(F.broadcast(items.withColumnRenamed("text", "passage")), F.contains("text", F.col("passage"))).select("query_id", "doc_id", F.lit(1).alias("relevance"))
-    tokens, arms = E.encode_docs(docs), None
+    """Queries with and without augmentation against whole documents: mean metrics of both arms, query tokens, difference and verdict. A document is relevant to a passage of benchmark that it contains."""
+    judged = _places(spark, sf).withColumn("relevance", F.lit(1))
+    windows, arms = _windows(spark, sf), None
     for augment in (False, True):
-        queries = E.encode_queries(items, augment=augment)
-        found = M.mean_metrics(M.query_metrics(Q.search_texts(tokens, items, 100, augment), judged))
+        queries = E.encode_queries(_passages(spark, sf), E.DigestEncoder(), augment=augment)
+        found = M.mean_metrics(M.query_metrics(W.search_windows(windows, queries, 100), judged)).select("ndcg", "recall")
         size = queries.groupBy("query_id").count().agg(r6(F.avg("count")).alias("q_tokens"))
-        one = found.crossJoin(size).withColumn("augment", F.lit(augment))
+        one = found.crossJoin(size).withColumn("augment", F.lit(augment))  # one row each
         arms = one if arms is None else arms.unionByName(one)
     verdict = M.ab_compare(arms, "augment", False, True).select(r6("delta").alias("delta_ndcg"), "verdict")
-    return arms.crossJoin(verdict)
+    return arms.crossJoin(verdict).select("augment", r6("ndcg").alias("ndcg"), r6("recall").alias("recall"), "q_tokens", "delta_ndcg", "verdict")
 
 
 @query()
@@ -900,32 +942,51 @@ def index_source(spark, sf):
     return I.search_index(spark, path, X.queries(spark, sf), 2)
 
 
-def _digest(df, *columns):
-    """(rows, a number that changes with them) of a table, to name what is built from it."""
-    n, digest = df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
-    return n, f"{n}_{abs(int(digest or 0)) % 10**18}"
+@query(_PASSAGES + "SELECT query_id, doc_id, score, rank FROM ranked WHERE NOT augment AND rank <= 10")
+def passage_search(spark, sf):
+    """The passages of benchmark against whole documents: cut into windows, encoded and searched in one plan."""
+    return W.search_windows(_windows(spark, sf), E.encode_queries(_passages(spark, sf), E.DigestEncoder()), 10)
+
 
+def _asked(spark, sf):
+    """The passages' tokens without their marker, which no document has."""
+    return E.encode_queries(_passages(spark, sf), E.DigestEncoder()).where("q_tok > 0")
 
-@query()
-def passage_search(spark, sf):
-    """The passages of benchmark against all documents, encoded and stored in the warehouse once as blocks in single precision."""
-    docs = X.documents(spark, sf).select("doc_id", "text")
-    path = _folder(spark, f"passages_{_digest(docs, 'doc_id', 'text')[1]}")
-    storage.build_if_missing(spark, path, lambda: S.packed_documents(E.encode_docs(docs), X.DIM, single=True))
-    items = X.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return Q.search_packed(spark.read.parquet(path), E.encode_queries(items))
+
+@query(_PASSAGES + "SELECT query_id, doc_id FROM held")
+def stored_passages(spark, sf):
+    """Documents that hold all tokens of a passage, from windows stored once in single precision."""
+    path = _store(spark, sf, "documents", kind="windows", encoder="digest", size=500, overlap=100, single=1)
+    storage.build_if_missing(spark, path, lambda: _windows(spark, sf, single=True))
+    return W.holding(spark.read.parquet(path), _asked(spark, sf))
+
+
+@query(_PASSAGES + "SELECT query_id, count(*) AS n_places, count(h.doc_id) AS n_found FROM judged LEFT JOIN held h USING (query_id, doc_id) GROUP BY query_id")
+def passage_places(spark, sf):
+    """The golden check: by passage, the documents that contain it as it stands, and how many of them the search over whole texts gives."""
+    found = W.holding(_windows(spark, sf), _asked(spark, sf)).withColumn("_found", F.lit(1))
+    return _places(spark, sf).join(found, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_places"), F.count("_found").alias("n_found"))
 
 
 # Trained indexes on storage
 
+#: Part of the names of what is stored: a change of the code that builds it gets a new number.
+BUILT = 3
+
+
+def _store(spark, sf, table, **settings):
+    """The folder in the warehouse of what is built from a table with these settings; its name follows the table's files, their sizes and times, and the settings, so that nothing is read to find it."""
+    mark = repr((BUILT, storage.files(spark, f"{sf}/{table}.parquet"), sorted(settings.items())))
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/lodeseek_{settings['kind']}_{hashlib.sha256(mark.encode()).hexdigest()[:20]}"
+
 
 def _stored(spark, sf, residual):
-    """The index of this table in the warehouse, built if it is not there: its name holds a digest of the table."""
+    """The index of this table in the warehouse, built if it is not there."""
     t = X.tokens(spark, sf)
-    n, digest = _digest(t, "token_id", "vec")
-    path = _folder(spark, f"{'residual' if residual else 'plain'}_{digest}")
+    clusters, m, words = max(1, round(t.count() ** 0.5)), 32, 256
+    path = _store(spark, sf, "embeddings", kind="residual" if residual else "plain", clusters=clusters, m=m, words=words)
     if not storage.exists(spark, f"{path}/meta"):
-        I.build_index(t, path, max(1, round(n**0.5)), 32, 256, residual)
+        I.build_index(t, path, clusters, m, words, residual)
     return path
 
 
@@ -946,3 +1007,27 @@ def stored_recall(spark, sf):
     """Recall at 10 of the stored indexes against the exact search, by kind of index and query."""
     arms = stored_ivf_pq(spark, sf).withColumn("kind", F.lit("plain")).unionByName(stored_residual_pq(spark, sf).withColumn("kind", F.lit("residual")))
     return M.recall_against(arms, _top(spark, sf), by=("kind",))
+
+
+# Graph search
+
+
+def _graph(spark, sf):
+    """(shards, centroids) of graphs over the single vectors, written and read again."""
+    vectors, path = _singles(spark, sf)[0], _folder(spark, "graph")
+    centroids = X.spaced(spark, sf, 1024)
+    G.write_graph(G.build_graph(vectors, centroids), centroids, path)
+    return G.read_graph(spark, path)
+
+
+@query()
+def search_graph(spark, sf):
+    """Nearest single vectors by walks of a stored graph index."""
+    return G.search_graph(*_graph(spark, sf), _singles(spark, sf)[1], 128)
+
+
+@query()
+def graph_recall(spark, sf):
+    """Recall at 10 of walks against the exact neighbours, by the width of the beam and query."""
+    found = G.search_graph(*_graph(spark, sf), _singles(spark, sf)[1], [16, 32, 64, 128, 256])
+    return M.recall_against(found, knn_exact(spark, sf), by=("ef",))

@@ -51,10 +51,30 @@ def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES}
 
 
+def _path(spark: SparkSession, path: str):
+    """(path, file system) of Hadoop, which knows every store that Spark reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder, written or still to be written, deleted when the application ends."""
+    target, system = _path(spark, path)
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+
+
+def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, time) of a table's files: what tells one state of it from another without a read."""
+    target, system = _path(spark, path)
+    found = system.listStatus(target)
+    return sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found if not f.getPath().getName().startswith(("_", ".")))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a written table is complete, in any file system that Spark reads."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    target, system = _path(spark, f"{path}/_SUCCESS")
+    return system.exists(target)
 
 
 def build_if_missing(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
