@@ -25,8 +25,8 @@ MASKS = 1 << len(FILTERS)
 COPY = 1 << FILTERS.index("E")
 MIN_WORDS, MIN_DISTINCT, MAX_UPPER = 50, 65, 5
 _UPPER, _ODD = bytes(range(65, 91)), re.compile(rb"[#$%&*|]")
-#: Bytes of text that a map task holds back to find copies among them.
-HELD = 32 << 20
+#: Bytes of text that a map task holds back to find copies among them, and that a partition of the routed texts gets, about.
+HELD, ROUTED = 32 << 20, 64 << 20
 RESULT = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
 
@@ -111,7 +111,8 @@ def masks(docs: DataFrame) -> DataFrame:
     ship(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.encode(text, "utf-8"), F.xxhash64(text), F.coalesce(F.col("source").cast("string"), F.lit("")), F.length(text))
-    count = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    count = max(partitions(spark), -(-size // ROUTED))
     routed = rows.rdd.mapPartitions(_route).repartitionAndSortWithinPartitions(count, lambda key: key[0] % count)
     return spark.createDataFrame(routed.mapPartitions(_settle), "doc_id long, part string, mask int, n long")
 
