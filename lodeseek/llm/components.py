@@ -8,25 +8,35 @@ from pyspark.sql import functions as F
 from .common import checkpoint, discard
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges (u, v) with m, the least v of their u; the checkpoint of these, to be discarded).
+
+    The least ones are written before they are joined: between an exchange and a join an aggregation would keep the planner from
+    splitting the edges of a hub over several tasks.
+    """
+    least = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return edges.join(least.withColumnRenamed("u", "_u"), F.col("u") == F.col("_u")).select("u", "v", "m"), least
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    rows, least = _with_least(both)
+    return checkpoint(rows.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    rows, least = _with_least(down)
+    moved = rows.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return checkpoint(moved.union(least.select("u", F.col("m").alias("v"))).distinct()), least
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u long, v long) undirected edges -> (id long, component_id long), each node that has an edge with the smallest id it can reach.
 
-    Self-loops and repeated edges are allowed; nulls are left out. Every step is an aggregation and a join whose
-    hot keys the adaptive planner splits; only a count and a checksum of the edges reach the driver. A round's edges
-    are written before those of the round before are deleted.
+    Self-loops and repeated edges are allowed; nulls are left out. Every step is an aggregation, combined inside tasks first, and a join
+    of two written tables, whose hot keys the adaptive planner splits; only a count and a checksum of the edges reach
+    the driver. A step's edges are written before those that it was made of are deleted.
     """
     now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
@@ -35,6 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        last, now = now, checkpoint(_small_star(_large_star(now)))
-        discard(last)
+        for step in (_large_star, _small_star):
+            last = now
+            now, least = step(last)
+            discard(last)
+            discard(least)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

@@ -66,7 +66,7 @@ def codewords(classes: int, columns: int = 63, seed: int = 7) -> np.ndarray:
         columns_ = [c for c in itertools.product((1, -1), repeat=classes) if c[0] == 1 and -1 in c]
         return np.array(columns_, dtype=np.float64).T.reshape(classes, -1)
     rng = np.random.default_rng(seed)
-    draws = (rng.choice((-1.0, 1.0), size=(classes, columns)) for _ in range(50))
+    draws = (rng.choice((-1.0, 1.0), size=(classes, columns)) for _ in range(50 if classes <= 500 else 2))
     return max(draws, key=lambda m: np.min((columns - m @ m.T + 3 * columns * np.eye(classes)) / 2))
 
 
@@ -83,7 +83,10 @@ class Model:
         return x @ self.weights + self.bias
 
     def probabilities(self, f: np.ndarray) -> np.ndarray:
-        """Softmax of the negative weighted losses exp(-m f) of each codeword."""
+        """Softmax of the negative weighted losses exp(-m f) of each codeword, a few rows at a time where there are many."""
+        step = max(1, (1 << 22) // max(1, self.code.size))
+        if len(f) > step:
+            return np.concatenate([self.probabilities(f[at : at + step]) for at in range(0, len(f), step)])
         loss = np.exp(-np.clip(f, -3, 3)[:, None, :] * self.code[None]) @ self.bit_weights
         z = -self.sharpness * (loss - loss.min(axis=1, keepdims=True))
         p = np.exp(z)
@@ -108,7 +111,8 @@ def _least_squares(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[n
 def fit_model(x: np.ndarray, names: list[str]) -> Model:
     """Fits the bits; a third of the rows, kept aside at first, sets the bits' weights and the sharpness."""
     languages = sorted(set(names))
-    label = np.array([languages.index(n) for n in names])
+    number = {n: i for i, n in enumerate(languages)}
+    label = np.array([number[n] for n in names])
     code = codewords(len(languages))
     aside = np.arange(len(label)) % 3 == 2
     bit_weights, sharpness = np.ones(code.shape[1]) / max(1, code.shape[1]), 4.0
@@ -132,21 +136,15 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _below(bounds: dict[str, float]):
-    """Whether a row's h is within its lang's share of all hashes."""
-    out = F.lit(False)
-    for lang, share in bounds.items():
-        out = out | ((F.col("lang") == lang) & (F.col("h") <= F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)))))
-    return out
-
-
 def chosen_documents(usable: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> list[tuple[str, int]]:
     """(lang, doc_id) of the documents that a model is fitted on: of each language those with the least hash of doc_id.
 
     An id counts once for its language however many rows have it, and no language can crowd out another. The list
-    has ``total`` entries at most, but two for each language at least.
+    has ``total`` entries at most: the total // 2 languages with most rows (ties by name) take part, with two documents each at least.
     """
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    spark = usable.sparkSession
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, total // 2))
+    sizes = {r["lang"]: r["count"] for r in counts.collect()}
     if not sizes:
         return []
     each = max(2, min(sample, total // len(sizes)))
@@ -156,7 +154,8 @@ def chosen_documents(usable: DataFrame, sample: int = SAMPLE, total: int = TOTAL
     loose = 1
     while True:
         ends = {lang: min(1.0, loose * (2 * each + 64) / n) for lang, n in sizes.items()}
-        ids = keyed.where(_below(ends)).distinct()
+        bounds = spark.createDataFrame([(lang, min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))) for lang, share in ends.items()], "lang string, most long")
+        ids = keyed.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("most")).select("lang", "doc_id", "h").distinct()  # total // 2 rows at most
         ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= each)
         found = [(r["lang"], r["doc_id"]) for r in ranked.collect()]
         have = Counter(lang for lang, _ in found)

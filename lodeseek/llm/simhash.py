@@ -77,7 +77,7 @@ def fingerprint_links(fps: DataFrame, bits: int = 2) -> DataFrame:
     fp = F.col("fp")
     index = fps.select("fp", F.explode(F.array(*variants(half(fp, 0), 32, 0), *variants(half(fp, 1), 32, 33))).alias("x")).select("fp", "x.*")
     sizes = index.groupBy("kind", "key").agg(F.count("*").alias("n"))
-    sizes = sizes.where("n > 1")
+    sizes = checkpoint(sizes.where("n > 1"))  # written, so that the planner can split a hot key of the join
     index = checkpoint(index.join(sizes, ["kind", "key"]))
 
     def pairs(rows: DataFrame, keys: list[str]) -> DataFrame:

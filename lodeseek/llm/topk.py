@@ -200,7 +200,7 @@ _FOUND = "query_id long, vec_id long, score long, scored long"
 def _scored(visits: DataFrame, index: DataFrame, centre: np.ndarray, dim: int, k: int) -> DataFrame:
     """(query_id, vec_id, score, scored): the k best of each visited cell that reach the query's floor, and in a row without vec_id how many candidates it was scored with."""
     # A cell that many queries visit is shared out: each part takes some of the queries and all of the cell.
-    parts = visits.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("parts"))
+    parts = checkpoint(visits.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("parts")))  # written, so that the planner can split a hot cell of the joins
     asked = visits.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     held = index.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
