@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import storage
@@ -18,8 +19,10 @@ def build_index(tokens: DataFrame, path: str, clusters: int, m: int, codewords:
     Z.kmeans_train(tokens, clusters, seed).write.mode("overwrite").parquet(f"{path}/centroids")
     centroids = spark.read.parquet(f"{path}/centroids")
     assigned = Z.assign_nearest(tokens.select("token_id", "doc_id", "vec"), centroids)
-    left = Z.residuals(assigned, centroids) if residual else assigned
+    # Training passes over the residuals again and again: they are kept on the executors' disks meanwhile, and made anew where one is lost.
+    left = (Z.residuals(assigned, centroids) if residual else assigned).select("token_id", "vec").persist(StorageLevel.DISK_ONLY)
     Z.pq_train(left, m, codewords, dim, seed).write.mode("overwrite").parquet(f"{path}/codebooks")
+    left.unpersist()
     codebooks = spark.read.parquet(f"{path}/codebooks")
     codes = Z.encode_codes(assigned, codebooks, centroids if residual else None)
     storage.write_codes(codes, path)

@@ -7,17 +7,13 @@ Assigning and coding keep a token where it is: a batch of vectors is held agains
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..runtime import ship
 from . import blocks as B
-
-#: Vectors that k-means is fitted on, at most, and vectors in one of its steps.
-SAMPLE, BATCH = 200_000, 4096
+from . import train
 
 
 def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
@@ -159,73 +155,11 @@ def query_blocks(queries: DataFrame, dim: int) -> DataFrame:
 # Training
 
 
-def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k rows of x, each drawn in proportion to its squared distance from those before it."""
-    out = [x[rng.integers(len(x))]]
-    d = ((x - out[0]) ** 2).sum(axis=1)
-    for _ in range(1, k):
-        total = d.sum()
-        out.append(x[rng.choice(len(x), p=d / total) if total > 0 else rng.integers(len(x))])
-        d = np.minimum(d, ((x - out[-1]) ** 2).sum(axis=1))
-    return np.array(out)
-
-
-def fit_means(x: np.ndarray, k: int, seed: int, max_iter: int, batch: int) -> tuple[np.ndarray, float]:
-    """Mini-batch k-means: (centroids, mean squared distance). At most max_iter passes over x in random batches; ends early when a pass gains nothing."""
-    rng = np.random.default_rng(seed)
-    c = _plus_plus(x[rng.permutation(len(x))[: max(3 * batch, 4 * k)]], k, rng)
-    seen, best, idle = np.zeros(k), (c.copy(), np.inf), 0
-    for _ in range(max_iter):
-        total = 0.0
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), batch):
-            some = x[order[at : at + batch]]
-            near, d = B.nearest(some, c)
-            total += d.sum()
-            n = np.bincount(near, minlength=k)
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, some)
-            hit = n > 0
-            seen[hit] += n[hit]
-            c[hit] += (sums[hit] - n[hit, None] * c[hit]) / seen[hit, None]
-        if total < best[1] * (1 - 1e-4):
-            best, idle = (c.copy(), total), 0
-        else:
-            idle += 1
-            if idle == 3:
-                break
-        seen *= 0.5  # later passes may still move a centroid
-    return best[0], float(B.nearest(x, best[0])[1].mean())
-
-
-def _trained(rows: DataFrame, k: int, seed: int, max_iter: int, n_init: int, batch: int) -> DataFrame:
-    """rows (part int, token_id, vec) of bounded number -> (part, cluster_id, cvec, error): the best of n_init fits of each part, every fit a task."""
-    ship(rows.sparkSession)
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("token_id")
-        x = np.array(frame["vec"].tolist(), dtype=np.float64)
-        part, start = int(frame["part"].iloc[0]), int(frame["start"].iloc[0])
-        different = len(np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1])))))
-        c, inertia = fit_means(x, min(k, different), seed + part + 1000 * start, max_iter, batch)
-        error = float(np.sqrt(B.nearest(x, c)[1]).mean())
-        return pd.DataFrame({"part": part, "start": start, "inertia": inertia, "error": error, "cluster_id": np.arange(len(c)), "cvec": c.tolist()})
-
-    fits = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))).groupBy("part", "start").applyInPandas(fit, "part int, start int, inertia double, error double, cluster_id int, cvec array<double>")
-    best = fits.groupBy("part").agg(F.min(F.struct("inertia", "start")).alias("best")).select("part", F.col("best.start").alias("start"))
-    return fits.join(best, ["part", "start"]).select("part", "cluster_id", "cvec", "error")
-
-
-def _sampled(tokens: DataFrame, sample: int, seed: int) -> DataFrame:
-    """The complete vectors with the least hash of token_id, at most ``sample``: the same ones each time."""
-    rows = tokens.select("token_id", V.doubles("vec").alias("vec")).where("vec is not null and not exists(vec, x -> x is null or isnan(x))")
-    return rows.orderBy(F.xxhash64("token_id", F.lit(seed)), "token_id").limit(sample)
-
-
-def kmeans_train(tokens: DataFrame, k: int, seed: int = 42, max_iter: int = 100, n_init: int = 3, batch: int = BATCH, sample: int = SAMPLE) -> DataFrame:
-    """Trained (cluster_id int, cvec): the best of n_init runs of mini-batch k-means over a hash sample of bounded size. Fewer clusters where there are fewer distinct vectors."""
-    rows = _sampled(tokens, sample, seed).withColumn("part", F.lit(0))
-    return _trained(rows, k, seed, max_iter, n_init, batch).select("cluster_id", "cvec")
+def kmeans_train(tokens: DataFrame, k: int, seed: int = 42, passes: int = train.PASSES) -> DataFrame:
+    """Trained (cluster_id int, cvec) over all vectors (token_id, vec). Fewer clusters where there are fewer distinct vectors."""
+    dim = B.width(tokens, "vec")
+    centroids = train.fit(tokens, 1, k, dim, seed, passes)[0][0] if dim else []
+    return tokens.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cluster_id int, cvec array<double>")
 
 
 def lloyd_step(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -236,13 +170,18 @@ def lloyd_step(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
     return centroids.join(new, "cluster_id", "left").select("cluster_id", F.coalesce("new", "cvec").alias("cvec"))
 
 
-def pq_train(tokens: DataFrame, m: int, k: int, dim: int, seed: int = 42, sample: int = 100_000, max_iter: int = 100, n_init: int = 1) -> DataFrame:
-    """(m int, k int, cvec, error): independent k-means for each part, on a hash sample of bounded size. error is the part's mean distance from its codewords."""
+def pq_train(tokens: DataFrame, m: int, k: int, dim: int, seed: int = 42, passes: int = train.PASSES) -> DataFrame:
+    """(m int, k int, cvec, error): k-means of each part over all vectors, the parts side by side. error is the part's mean distance from its codewords.
+
+    A part with fewer distinct values than others repeats its last codeword, so that all parts have as many.
+    """
     V.check_parts(dim, m)
     if not 0 < k <= 256:
         raise ValueError("codes are one byte: 1 to 256 codewords")
-    rows = parts(_sampled(tokens, sample, seed), m, dim).select("token_id", F.col("m").alias("part"), F.col("part").alias("vec"))
-    return _trained(rows, k, seed, max_iter, n_init, BATCH).select(F.col("part").alias("m"), F.col("cluster_id").alias("k"), "cvec", "error")
+    books = train.fit(tokens, m, k, dim, seed, passes)
+    most = max(len(c) for c, _ in books)
+    rows = [(part, i, c[min(i, len(c) - 1)].tolist(), error) for part, (c, error) in enumerate(books) for i in range(most)]
+    return tokens.sparkSession.createDataFrame(rows, "m int, k int, cvec array<double>, error double")
 
 
 def seed_codebooks(tokens: DataFrame, ids: Column, m: int, dim: int) -> DataFrame:

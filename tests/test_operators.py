@@ -143,8 +143,8 @@ def test_training_lowers_the_error(spark):
     centres = rng.standard_normal((8, 6)) * 4
     x = np.repeat(centres, 60, axis=0) + 0.1 * rng.standard_normal((480, 6))
     tokens = spark.createDataFrame([(i, i // 5, [float(v) for v in r]) for i, r in enumerate(x[rng.permutation(480)])] + [(999, 99, None)], "token_id long, doc_id long, vec array<double>")
-    trained = quantize.kmeans_train(tokens, 8, batch=64)
-    again = quantize.kmeans_train(tokens, 8, batch=64)
+    trained = quantize.kmeans_train(tokens, 8)
+    again = quantize.kmeans_train(tokens, 8)
     assert rows_of(trained) == rows_of(again)
     error = lambda c: scoring.distances(tokens, c).groupBy("token_id").agg(F.min("d").alias("d")).agg(F.avg("d")).first()[0]
     start = tokens.where("token_id < 8").select(F.col("token_id").cast("int").alias("cluster_id"), F.col("vec").alias("cvec"))
