@@ -16,13 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, bounds, checkpoint, cut, flat, grams, mix, partitions, span_hashes
+from .common import arrow, bounds, checkpoint, cut, flat, grams, mix, partitions, span_hashes, tidy
 
 LEAST, TOP, SUBSUMED = 10, 2000, 50
 #: The most cells in a row of the sketch, and rows: 128 MB of bits at most. Text bytes a cell, cells that one task adds up at a time.
-CELLS, ROWS, BYTES, BLOCK = 1 << 29, 2, 16, 1 << 20
-#: Bytes of text that are counted at once.
-PIECE = 2 << 20
+CELLS, ROWS, BYTES, BLOCK = 1 << 29, 2, 32, 1 << 20
+#: Bytes of text that are counted at once, and cells that a task sends together: the more, the smaller the gaps between them.
+PIECE, SENT = 2 << 20, 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PART = np.zeros(256, dtype=bool)
@@ -73,23 +73,39 @@ def cells_for(n_bytes: int) -> int:
     return 1 << min((CELLS - 1).bit_length(), max((BLOCK - 1).bit_length(), int(n_bytes // BYTES).bit_length()))
 
 
+def _coded(row: int, at: np.ndarray, cells: int) -> pa.RecordBatch:
+    """The cells of a row of the sketch as (line, block, gaps, counts, n, wide), a record for each block."""
+    at.sort()
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    count, at = np.minimum(np.diff(new, append=len(at)), 255).astype(np.uint8), at[new].astype(np.int64)
+    edge = np.searchsorted(at, np.arange(0, cells + 1, BLOCK))
+    out = []
+    for k in np.flatnonzero(np.diff(edge)).tolist():
+        gap = np.diff(at[edge[k] : edge[k + 1]] - k * BLOCK, prepend=0)
+        wide = int(gap.max() >= 256)
+        out.append((row, k, pa.compress(gap.astype(np.uint32 if wide else np.uint8).tobytes(), "zstd", asbytes=True), pa.compress(count[edge[k] : edge[k + 1]].tobytes(), "zstd", asbytes=True), len(gap), wide))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()))], names=["line", "block", "gaps", "counts", "n", "wide"])
+
+
 def _cells(cells: int):
-    """Batches (text, lang) -> (line, block, gaps, counts): the cells that a piece of text adds to, by row and block of the sketch."""
+    """Batches (text, lang) -> (line, block, gaps, counts, n, wide): the cells that the n-grams add to, by row and block of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         for batch in batches:
             for part in cut(batch, "text", PIECE):
                 g = Grams(part)
-                out = []
-                for row, at in enumerate(_places(np.concatenate([h[w] for h, w in zip(g.hashes, g.whole, strict=True)]), cells)):
-                    at.sort()
-                    new = np.flatnonzero(np.diff(at, prepend=-1))
-                    count, at = np.minimum(np.diff(new, append=len(at)), 255).astype(np.uint8), at[new]
-                    edge = np.searchsorted(at, np.arange(0, cells + 1, BLOCK))
-                    for k in np.flatnonzero(np.diff(edge)).tolist():
-                        gap = np.diff(at[edge[k] : edge[k + 1]] - k * BLOCK, prepend=0)
-                        out.append((row, k, pa.compress(gap.astype(np.uint8 if gap.max() < 256 else np.uint32).tobytes(), "zstd", asbytes=True), pa.compress(count[edge[k] : edge[k + 1]].tobytes(), "zstd", asbytes=True), int(edge[k + 1] - edge[k]), int(gap.max() >= 256)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()))], names=["line", "block", "gaps", "counts", "n", "wide"])
+                for hashes, whole in zip(g.hashes, g.whole, strict=True):
+                    for at, places in zip(held, _places(hashes[whole], cells), strict=True):
+                        at.append(places.astype(np.uint32))
+                if sum(map(len, held[0])) >= SENT:
+                    for row, at in enumerate(held):
+                        yield _coded(row, np.concatenate(at), cells)
+                        at.clear()
+            tidy()
+        for row, at in enumerate(held):
+            if sum(map(len, at)):
+                yield _coded(row, np.concatenate(at), cells)
 
     return run
 
@@ -155,6 +171,7 @@ def _counted(bits, cells: int):
                     code = np.zeros(len(word), dtype=np.int64)
                     code[at] = dense
                 yield from (pa.RecordBatch.from_arrays(list(x), names=["lang", "phrase", "f"]) for x in outs)
+            tidy()
 
     return run
 
@@ -195,7 +212,7 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     inner = inner.groupBy("lang_i", "inside").agg(F.max("a").alias("longer"))
     held = scored.join(inner, (F.col("lang") == F.col("lang_i")) & (F.col("phrase") == F.col("inside")) & (100 * F.col("longer") >= SUBSUMED * F.col("a")), "left_anti")
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    rows = held.select("lang", "phrase", "a", "s.*").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    rows = held.select("lang", "phrase", "a", "s.*").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(16)))
     best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     totals = counts.where("phrase is null").select(F.col("lang").alias("lang_n"), F.col("f").alias("n"))
