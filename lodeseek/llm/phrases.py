@@ -20,7 +20,7 @@ from .common import arrow, bounds, checkpoint, cut, flat, grams, mix, partitions
 
 LEAST, TOP, SUBSUMED = 10, 2000, 50
 #: The most cells in a row of the sketch, and rows: 128 MB of bits at most. Text bytes a cell, cells that one task adds up at a time.
-CELLS, ROWS, BYTES, BLOCK = 1 << 29, 2, 32, 1 << 20
+CELLS, ROWS, BYTES, BLOCK = 1 << 29, 2, 16, 1 << 20
 #: Bytes of text that are counted at once, and cells that a task sends together: the more, the smaller the gaps between them.
 PIECE, SENT = 2 << 20, 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -199,15 +199,16 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     counts = phrase_counts(docs)
     single = counts.where("phrase is not null")
     words = F.split("phrase", " ")
-    phrases = single.where(F.contains("phrase", F.lit(" "))).select("lang", "phrase", F.col("f").alias("a"), words.alias("w"))
-    cuts = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("w", F.lit(1), k), " ").alias("left"), F.array_join(F.slice("w", k + 1, F.size("w")), " ").alias("right")))
-    parts = phrases.select("lang", "phrase", "a", F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.*")
+    phrases = single.where(F.contains("phrase", F.lit(" "))).select("lang", F.col("f").alias("a"), words.alias("w"))
+    cuts = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.struct(k.cast("byte").alias("k"), F.array_join(F.slice("w", F.lit(1), k), " ").alias("left"), F.array_join(F.slice("w", k + 1, F.size("w")), " ").alias("right")))
+    parts = phrases.select("lang", "a", F.explode(cuts).alias("c")).select("lang", "a", "c.*")  # the phrase itself is left and right
     left = single.select(F.col("lang").alias("lang_l"), F.col("phrase").alias("left_l"), F.col("f").alias("l"))
     right = single.select(F.col("lang").alias("lang_r"), F.col("phrase").alias("right_r"), F.col("f").alias("r"))
-    parts = parts.join(left, (F.col("lang") == F.col("lang_l")) & (F.col("left") == F.col("left_l"))).join(right, (F.col("lang") == F.col("lang_r")) & (F.col("right") == F.col("right_r")))
+    parts = parts.join(left, (F.col("lang") == F.col("lang_l")) & (F.col("left") == F.col("left_l"))).select("lang", "a", "k", "left", "right", "l")
+    parts = parts.join(right, (F.col("lang") == F.col("lang_r")) & (F.col("right") == F.col("right_r")))
     big = lambda c: F.col(c).cast("decimal(15,0)")
     score = F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * (big("a") * big("a")), big("l") * big("r"))
-    scored = parts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("s"))
+    scored = parts.select("lang", F.concat_ws(" ", "left", "right").alias("phrase"), "a", F.struct(score.alias("score"), "k", "l", "r").alias("s")).groupBy("lang", "phrase", "a").agg(F.min("s").alias("s"))
     inner = phrases.where(F.size("w") == 3).select(F.col("lang").alias("lang_i"), "a", F.explode(F.array(F.array_join(F.slice("w", 1, 2), " "), F.array_join(F.slice("w", 2, 2), " "))).alias("inside"))
     inner = inner.groupBy("lang_i", "inside").agg(F.max("a").alias("longer"))
     held = scored.join(inner, (F.col("lang") == F.col("lang_i")) & (F.col("phrase") == F.col("inside")) & (100 * F.col("longer") >= SUBSUMED * F.col("a")), "left_anti")
