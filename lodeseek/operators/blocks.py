@@ -151,16 +151,22 @@ class Products:
     def __init__(self, dim: int):
         self.dim = dim
 
-    def scores(self, data: bytes, n: int, queries: np.ndarray) -> np.ndarray:
-        x = vectors_of(data, n, self.dim)
+    def rows(self, data: bytes, n: int) -> np.ndarray:
+        """The block's n rows as a matrix."""
+        return vectors_of(data, n, self.dim)
+
+    def of(self, x: np.ndarray, queries: np.ndarray) -> np.ndarray:
         return (x @ queries.T.astype(x.dtype, copy=False)).astype(np.float64, copy=False)
 
+    def scores(self, data: bytes, n: int, queries: np.ndarray) -> np.ndarray:
+        return self.of(self.rows(data, n), queries)
+
 
 class Distances(Products):
     """Squared distances of a block's vectors from the query vectors."""
 
-    def scores(self, data: bytes, n: int, queries: np.ndarray) -> np.ndarray:
-        x = vectors_of(data, n, self.dim).astype(np.float64, copy=False)
+    def of(self, x: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64, copy=False)
         return np.maximum((x * x).sum(axis=1)[:, None] + (queries * queries).sum(axis=1) - 2 * x @ queries.T, 0)
 
 
@@ -173,13 +179,15 @@ class Lookups(Products):
     def __init__(self, codebooks: np.ndarray):
         self.books, self.dim, self._of, self._table = codebooks, codebooks.shape[0] * codebooks.shape[2], None, None
 
-    def scores(self, data: bytes, n: int, queries: np.ndarray) -> np.ndarray:
+    def rows(self, data: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(data, dtype=np.uint8).reshape(n, len(self.books))
+
+    def of(self, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
         mark = (queries.shape, queries.tobytes())
         if mark != self._of:
             parts = queries.reshape(len(queries), len(self.books), -1)
             self._table, self._of = np.einsum("qmd,mkd->mkq", parts, self.books, optimize=True), mark
-        codes = np.frombuffer(data, dtype=np.uint8).reshape(n, len(self.books))
-        out = np.zeros((n, len(queries)))
+        out = np.zeros((len(codes), len(queries)))
         for m in range(len(self.books)):
             out += self._table[m][codes[:, m]]
         return out

@@ -1,4 +1,4 @@
-"""Trained indexes on storage: centroids and codebooks are trained, tokens assigned, coded and written by cluster, and searches read the folders they probe."""
+"""Trained indexes on storage: centroids and codebooks are trained, tokens assigned, coded and written as shards of whole documents, which searches read as they are."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..sources import storage
 from . import blocks as B
 from . import quantize as Z
 from . import search as Q
+from . import shards as H
 
 
 def build_index(tokens: DataFrame, path: str, clusters: int, m: int, codewords: int = 256, residual: bool = True, seed: int = 42) -> None:
@@ -25,13 +26,18 @@ def build_index(tokens: DataFrame, path: str, clusters: int, m: int, codewords:
     left.unpersist()
     codebooks = spark.read.parquet(f"{path}/codebooks")
     codes = Z.encode_codes(assigned, codebooks, centroids if residual else None)
-    storage.write_codes(codes, path)
+    H.shards(codes, "codes", None).write.mode("overwrite").parquet(f"{path}/codes")
     storage.write_settings(spark, path, dim=dim, m=m, clusters=clusters, codewords=codewords, residual=int(residual))
 
 
+def write_index(path: str, centroids: DataFrame, codebooks: DataFrame, codes: DataFrame, **settings: int) -> None:
+    """An index of given parts: models as rows, codes (doc_id, cluster_id, codes) as shards of whole documents."""
+    storage.write_index(path, centroids, codebooks, H.shards(codes, "codes", None), **settings)
+
+
 def search_index(spark: SparkSession, path: str, queries: DataFrame, nprobe: int = 8, k: int = 100) -> DataFrame:
-    """(query_id, doc_id, score, rank) from a stored index: only the folders of probed clusters are read."""
+    """(query_id, doc_id, score, rank) from a stored index: tasks read its shards and score what lies in probed clusters."""
     index = storage.read_index(spark, path)
     settings = {r["name"]: r["value"] for r in index["meta"].collect()}
     search = Q.search_residual_pq if settings["residual"] else Q.search_ivf_pq
-    return search(index["codes"], queries, index["codebooks"], index["centroids"], nprobe, k)
+    return search(None, queries, index["codebooks"], index["centroids"], nprobe, k, index["codes"])

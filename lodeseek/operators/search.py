@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from . import blocks as B
 from . import quantize as Z
+from . import shards as H
 from .encode import Encoder, encode_queries
 from .lazy import Lazy
 from .scoring import maxsim_blocks, packed_scores, similarities, top_k
@@ -112,11 +113,38 @@ def _pruned(tokens: DataFrame, value: str, kernel: B.Products, packed: bool, que
     return B.part_scores(B.of_key(large, asked), kernel)
 
 
+def _search(tokens: DataFrame, value: str, kernel: B.Products, packed: bool, queries: DataFrame, centroids: DataFrame, nprobes: list[int | None], k: int, terms: bool, held: DataFrame | None = None) -> DataFrame:
+    """(nprobe, query_id, doc_id, score) over the tokens (doc_id, cluster_id, value), or their shards where they are there already.
+
+    Inside shards if queries and centroids may go to all executors; else blocks of a cluster's tokens meet blocks of its queries.
+    """
+    found = H.search(H.shards(tokens, value, None if packed else kernel.dim) if held is None else held, kernel, queries, centroids, nprobes, k, terms)
+    if found is not None:
+        return found
+    most = None if None in nprobes else max(nprobes)
+    if held is not None:
+        tokens, value, packed = unpacked(held, kernel), "data", True
+    parts = _pruned(tokens, value, kernel, packed, queries, centroids, most, terms, B.shape(centroids, "cvec"))
+    each = F.explode(F.array(*[F.lit(n or 0).cast("int") for n in nprobes]))
+    parts = parts.withColumn("nprobe", each).where((F.col("nprobe") == 0) | (F.col("rank") <= F.col("nprobe")))
+    return B.combine(parts, ("nprobe",))
+
+
+def unpacked(held: DataFrame, kernel: B.Products) -> DataFrame:
+    """Shards of codes as rows (doc_id, cluster_id, data)."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, subs, data in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                rows = kernel.rows(data, len(ids) // 8)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(np.frombuffer(subs, np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "cluster_id", "data"])
+
+    return B.arrow(held, run, "doc_id long, cluster_id long, data binary")
+
+
 def search_ivf(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int = 8, k: int = 10) -> DataFrame:
     """assigned: (doc_id, cluster_id, vec)."""
-    shape = B.shape(centroids, "cvec")
-    parts = _pruned(assigned, "vec", B.Products(shape[1] or 1), False, queries, centroids, nprobe, False, shape)
-    return top_k(B.combine(parts), k)
+    return top_k(_search(assigned, "vec", B.Products(B.width(centroids, "cvec") or 1), False, queries, centroids, [nprobe], k, False), k)
 
 
 def search_stats(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int) -> DataFrame:
@@ -134,24 +162,19 @@ def search_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, k: int
     return top_k(B.whole_scores(B.every_pair(large, Z.query_blocks(queries, kernel.dim), 8 * queries.count() * kernel.dim), kernel, k), k)
 
 
-def search_ivf_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, centroids: DataFrame, nprobe: int = 8, k: int = 100) -> DataFrame:
-    """codes: (doc_id, cluster_id, codes binary)."""
-    parts = _pruned(codes, "codes", B.Lookups(Z.codebook_array(codebooks)), True, queries, centroids, nprobe, False, B.shape(centroids, "cvec"))
-    return top_k(B.combine(parts), k)
+def search_ivf_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, centroids: DataFrame, nprobe: int = 8, k: int = 100, held: DataFrame | None = None) -> DataFrame:
+    """codes: (doc_id, cluster_id, codes binary), or held: their shards."""
+    return top_k(_search(codes, "codes", B.Lookups(Z.codebook_array(codebooks)), True, queries, centroids, [nprobe], k, False, held), k)
 
 
-def search_residual_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, centroids: DataFrame, nprobe: int | None = None, k: int = 100) -> DataFrame:
-    """codes and codebooks are those of the residuals. The centroid's part of a score is computed once for each probed cluster and query token. nprobe None: all clusters."""
-    parts = _pruned(codes, "codes", B.Lookups(Z.codebook_array(codebooks)), True, queries, centroids, nprobe, True, B.shape(centroids, "cvec"))
-    return top_k(B.combine(parts), k)
+def search_residual_pq(codes: DataFrame, queries: DataFrame, codebooks: DataFrame, centroids: DataFrame, nprobe: int | None = None, k: int = 100, held: DataFrame | None = None) -> DataFrame:
+    """codes and codebooks are those of the residuals. The centroid's part of a score is computed once for each probed cluster and query token. nprobe None: all clusters. held: the codes' shards."""
+    return top_k(_search(codes, "codes", B.Lookups(Z.codebook_array(codebooks)), True, queries, centroids, [nprobe], k, True, held), k)
 
 
 def sweep_nprobe(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, nprobes: list[int], k: int = 10) -> DataFrame:
     """(nprobe, query_id, doc_id, score, rank) for all settings in one job: tokens are scored once, with the rank of their cluster, and each setting takes a prefix of the ranks."""
-    shape = B.shape(centroids, "cvec")
-    parts = _pruned(assigned, "vec", B.Products(shape[1] or 1), False, queries, centroids, max(nprobes), False, shape)
-    parts = parts.withColumn("nprobe", F.explode(F.array(*[F.lit(n) for n in nprobes]))).where(F.col("rank") <= F.col("nprobe"))
-    return top_k(B.combine(parts, ("nprobe",)), k, by=("nprobe", "query_id"))
+    return top_k(_search(assigned, "vec", B.Products(B.width(centroids, "cvec") or 1), False, queries, centroids, list(nprobes), k, False), k, by=("nprobe", "query_id"))
 
 
 def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -936,9 +936,9 @@ def search_single_ivf_pq(spark, sf):
 
 @query(_late(f"SELECT query_id, q_tok, doc_id, token_id, r + s AS s FROM (SELECT query_id, q_tok, doc_id, token_id, cluster_id, sum(s) AS r FROM rcodes JOIN {_PROBED} USING (cluster_id) JOIN rlut USING (query_id, m, k) GROUP BY ALL) JOIN csim USING (query_id, q_tok, cluster_id)", 100))
 def index_source(spark, sf):
-    """An index written by cluster and read again: the search reads the folders of probed clusters."""
+    """An index written as shards of whole documents and read again: the search scores what lies in probed clusters."""
     path = _folder(spark, "index")
-    storage.write_index(path, X.centroids(spark, sf), X.residual_codebooks(spark, sf), X.residual_codes(spark, sf), dim=X.DIM, m=X.M, residual=1)
+    I.write_index(path, X.centroids(spark, sf), X.residual_codebooks(spark, sf), X.residual_codes(spark, sf), dim=X.DIM, m=X.M, residual=1)
     return I.search_index(spark, path, X.queries(spark, sf), 2)
 
 

@@ -30,12 +30,6 @@ def write_corpus(tokens: DataFrame, path: str) -> None:
     tokens.write.mode("overwrite").parquet(path)
 
 
-def write_codes(codes: DataFrame, path: str, files: int = 8) -> None:
-    """Codes (token_id, doc_id, cluster_id, codes, ...) by cluster, so that a search that probes few clusters reads few folders. A cluster is dealt to several tasks, as one may hold a third of all tokens."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(files))
-    codes.repartition("cluster_id", salt).sortWithinPartitions("cluster_id", "doc_id").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/codes")
-
-
 def write_settings(spark: SparkSession, path: str, **settings: int) -> None:
     spark.createDataFrame([(k, int(v)) for k, v in settings.items()], "name string, value long").write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -43,7 +37,7 @@ def write_settings(spark: SparkSession, path: str, **settings: int) -> None:
 def write_index(path: str, centroids: DataFrame, codebooks: DataFrame, codes: DataFrame, **settings: int) -> None:
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
     codebooks.write.mode("overwrite").parquet(f"{path}/codebooks")
-    write_codes(codes, path)
+    codes.write.mode("overwrite").parquet(f"{path}/codes")
     write_settings(codes.sparkSession, path, **settings)
 
 
