@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import median
+
 
 def relevance_hits(results: DataFrame, qrels: DataFrame) -> DataFrame:
     """results with hit int: 1 where the document has a positive judgement for the query."""
@@ -48,7 +50,7 @@ def recall_against(results: DataFrame, exact: DataFrame, k: int = 10, by: tuple[
 
 def speedups(latencies: DataFrame, name: str, value: str, baseline: str) -> DataFrame:
     """(name, median, speedup): the median latency of each system, and the baseline's median divided by it."""
-    medians = latencies.groupBy(name).agg(F.percentile(value, 0.5).alias("median"))
+    medians = median(latencies, value, [name])
     base = medians.where(F.col(name) == baseline).select(F.col("median").alias("_base"))
     return medians.crossJoin(F.broadcast(base)).select(name, "median", (F.col("_base") / F.col("median")).alias("speedup"))
 
@@ -83,11 +85,27 @@ def result_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def nearest_match(a: DataFrame, b: DataFrame, value: str, tolerance: float) -> DataFrame:
-    """For each row of a (name, value, ...) the row of b (name, ord, value, ...) nearest in value, kept if nearer than the tolerance; ties to the first. Both are tables of settings, a few rows each."""
-    pairs = a.select(F.struct(*a.columns).alias("a")).crossJoin(F.broadcast(b.select(F.struct(*b.columns).alias("b"))))
-    gap = F.round(F.abs(F.col(f"a.{value}") - F.col(f"b.{value}")), 9)
-    best = pairs.groupBy("a").agg(F.min_by("b", F.struct(gap.alias("gap"), F.col("b.ord"))).alias("b"), F.min(gap).alias("gap"))
-    return best.where(F.col("gap") < tolerance)
+    """(a struct, b struct, gap): for each row of a (value, ...) the row of b (ord, value, ...) nearest in value, kept if nearer than the tolerance; ties of the gap, rounded to 9 digits, to the smaller ord.
+
+    Values fall into bins as wide as the tolerance, those of b into the bins beside their own too, and in a bin the nearest to both sides
+    are the last ones before in either order. Each distinct value takes part once, so the rows are those of both tables and never
+    their pairs. Null values and those that are no numbers match nothing; of rows of b with one value and ord one counts.
+    """
+    if tolerance <= 0:
+        raise ValueError("only a positive tolerance has bins")
+    x = F.col(value).cast("double")
+    known = x.isNotNull() & ~F.isnan(x)
+    home = F.floor(F.col("_x") / tolerance).cast("long")
+    left = a.where(known).select(x.alias("_x")).distinct().select(home.alias("_bin"), "_x", F.lit(None).cast("struct<v:double,o:long>").alias("_r"))
+    right = b.where(known).groupBy(x.alias("_x")).agg(F.min(F.col("ord").cast("long")).alias("_o")).select(F.explode(F.array(home - 1, home, home + 1)).alias("_bin"), "_x", F.struct(F.col("_x").alias("v"), F.col("_o").alias("o")).alias("_r"))
+    is_left = F.col("_r").isNull()
+    last = lambda *order: F.last("_r", True).over(Window.partitionBy("_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    near = left.unionByName(right).select("_x", is_left.alias("_l"), last(F.asc("_x"), is_left).alias("_lo"), last(F.desc("_x"), is_left).alias("_hi")).where("_l")
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.round(F.abs(F.col("_x") - F.col(f"{c}.v")), 9).alias("gap"), F.col(f"{c}.o").alias("o"), F.col(f"{c}.v").alias("v")))
+    best = near.select("_x", F.least(gap("_lo"), gap("_hi")).alias("_best")).where(F.col("_best.gap") < tolerance)
+    rows = a.where(known).select(F.struct(*a.columns).alias("a"), x.alias("_ax")).join(best, F.col("_ax") == F.col("_x"))
+    others = b.where(known).dropDuplicates(["ord", value]).select(F.struct(*b.columns).alias("b"), x.alias("_bx"), F.col("ord").cast("long").alias("_bo"))
+    return rows.join(others, (F.col("_best.v") == F.col("_bx")) & (F.col("_best.o") == F.col("_bo"))).select("a", "b", F.col("_best.gap").alias("gap"))
 
 
 def best_by(rows: DataFrame, value: str, key: str) -> DataFrame:

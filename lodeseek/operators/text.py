@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,15 +18,39 @@ from .lazy import Lazy, loaded
 
 
 def keyword_scan(docs: DataFrame, keywords: list[str]) -> DataFrame:
-    """(keyword, n_docs, first_id, example): documents that contain each keyword, whatever the case, the smallest id among them and the beginning of its text (null if none)."""
-    low = F.lower("text")
+    """(keyword, n_docs, first_id, example): documents that contain each keyword, whatever the case, the smallest id among them and the beginning of its text (null if none).
 
-    def found(k: str) -> Column:
-        hit = low.contains(k.lower())
-        first = F.min(F.when(hit, F.struct("doc_id", T.snippet(F.col("text")).alias("example"))))
-        return F.struct(F.lit(k).alias("keyword"), F.count_if(hit).alias("n_docs"), first["doc_id"].alias("first_id"), first["example"].alias("example"))
+    All keywords are sought at once: an automaton that each worker makes once reads a text from end to end, however many they are. What leaves a task is a
+    row for each keyword that it has met. A keyword that is listed twice comes twice; an empty one is in every text.
+    """
+    low = [k.lower() for k in keywords]
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.lower("text").alias("low"), T.snippet(F.col("text")).alias("example"))
+    sent = docs.sparkSession.sparkContext.broadcast(sorted(set(low)))
+
+    def run(batches):
+        words = sent.value
+        machine = ahocorasick.Automaton()
+        for i, k in enumerate(words):
+            if k:
+                machine.add_word(k, i)
+        if len(machine):
+            machine.make_automaton()
+        blank = [i for i, k in enumerate(words) if not k]
+        count, first, example = np.zeros(len(words), np.int64), np.full(len(words), np.iinfo(np.int64).max), [None] * len(words)
+        for batch in batches:
+            for doc_id, text, shown in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for i in {i for _, i in machine.iter(text)} | set(blank) if len(machine) else blank:
+                    count[i] += 1
+                    if doc_id is not None and doc_id < first[i]:
+                        first[i], example[i] = doc_id, shown
+        met = np.flatnonzero(count)
+        some = first[met] < np.iinfo(np.int64).max
+        yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in met], pa.string()), pa.array(count[met]), pa.array(first[met], mask=~some), pa.array([example[i] for i in met], pa.string())], names=["_k", "n", "id", "example"])
 
-    return docs.agg(F.array(*map(found, keywords)).alias("x")).select(F.inline("x"))
+    found = arrow(rows, run, "_k string, n long, id long, example string")
+    best = found.groupBy("_k").agg(F.sum("n").alias("n_docs"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "example"))).alias("_b"))
+    asked = docs.sparkSession.createDataFrame(list(zip(keywords, low, strict=True)), "keyword string, _w string")
+    return asked.join(best, F.col("_w") == F.col("_k"), "left").select("keyword", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.col("_b.id").alias("first_id"), F.col("_b.example").alias("example"))
 
 
 def dedup_first(docs: DataFrame) -> DataFrame:
@@ -115,3 +141,11 @@ def order_statistic(rows: DataFrame, value: str, shares: list[float], keys: list
     upto = F.sum("_c").over(Window.partitionBy(*keys, "p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = inside.join(below, [*keys, "p"]).withColumn("_hi", F.col("_below") + upto)
     return ranked.where((F.col("_at") < F.col("_hi")) & (F.col("_at") >= F.col("_hi") - F.col("_c"))).select(*keys, "p", F.col("_v").alias(value))
+
+
+def median(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys..., median): half the sum of the two middle values, which are the element n // 2 from below and from above."""
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("_s"), (F.col(value).cast("double") * s).alias("_x")) for s in (1.0, -1.0)]))
+    both = rows.select(*keys, sides.alias("_b")).select(*keys, "_b.*")
+    middle = order_statistic(both, "_x", [0.5], [*keys, "_s"])
+    return middle.groupBy(*keys).agg((F.sum(F.col("_s") * F.col("_x")) / 2).alias("median"))

@@ -22,6 +22,7 @@ from ..operators import profile as P
 from ..operators import quantize as Z
 from ..operators import scoring as S
 from ..operators import search as Q
+from ..operators import subword as U
 from ..operators import text as C
 from ..sources import storage
 from . import fixtures as X
@@ -237,6 +238,15 @@ def keyword_scan(spark, sf):
     return C.keyword_scan(X.documents(spark, sf), KEYWORDS)
 
 
+@query(f"""WITH k AS (SELECT DISTINCT lower(w) AS keyword FROM (SELECT unnest({_WORDS}) AS w FROM benchmark)), l AS (SELECT doc_id, lower(text) AS low FROM documents),
+f AS (SELECT keyword, count(*) AS n_docs, min(doc_id) AS first_id FROM l JOIN k ON contains(low, keyword) GROUP BY 1)
+SELECT keyword, coalesce(n_docs, 0) AS n_docs, first_id FROM k LEFT JOIN f USING (keyword)""")
+def keyword_scan_many(spark, sf):
+    """All distinct words of benchmark in all documents, in one pass over the texts."""
+    words = X.read_table(spark, sf, "benchmark").select(F.explode(T.words(F.lower("text"))).alias("w")).distinct()
+    return C.keyword_scan(X.documents(spark, sf), [r["w"] for r in words.collect()]).select("keyword", "n_docs", "first_id")
+
+
 @query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
 def dedup_first(spark, sf):
     return C.dedup_first(X.documents(spark, sf))
@@ -268,15 +278,21 @@ def empty_candidates(spark, sf):
     return q.join(found, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_candidates"))
 
 
-@query("SELECT m::INTEGER AS m, 64 % m = 0 AS divides FROM (SELECT unnest([1, 2, 4, 5, 8, 16, 32, 64]) AS m)")
+@query("SELECT m::INTEGER AS m, bool_and(len(embedding) % m = 0) AS divides, count(*) FILTER (WHERE len(embedding) % m = 0) AS n_vectors FROM embeddings, (SELECT unnest([1, 2, 4, 5, 8, 16, 32, 64]) AS m) GROUP BY m")
 def divisible_guard(spark, sf):
+    """Part counts against the table's own vectors: whether the guard lets them pass, and how many vectors they divide."""
+    t = X.tokens(spark, sf)
+    dim = B.width(t, "vec")
+
     def good(m: int) -> bool:
         try:
-            return bool(V.check_parts(X.DIM, m))
+            return bool(V.check_parts(dim, m))
         except ValueError:
             return False
 
-    return spark.createDataFrame([(m, good(m)) for m in (1, 2, 4, 5, 8, 16, 32, 64)], "m int, divides boolean")
+    counts = [1, 2, 4, 5, 8, 16, 32, 64]
+    fits = t.agg(*[F.count_if(F.size("vec") % m == 0).alias(f"m{m}") for m in counts])
+    return fits.select(F.inline(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(good(m)).alias("divides"), F.col(f"m{m}").alias("n_vectors")) for m in counts])))
 
 
 # Tokens and chunks
@@ -307,6 +323,41 @@ def tokenize(spark, sf):
     return C.tokenized(X.read_table(spark, sf, "benchmark"), "item_id").select("doc_id", F.posexplode("tokens").alias("pos", "token"))
 
 
+#: A vocabulary by rule from the words of benchmark: the words, their characters at both places, their first and last three.
+_PIECES = f"""WITH RECURSIVE vw AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM benchmark),
+ch AS (SELECT DISTINCT unnest(string_split(w, '')) AS c FROM vw),
+v AS (SELECT w AS piece FROM vw UNION SELECT c FROM ch UNION SELECT '##' || c FROM ch UNION SELECT left(w, 3) FROM vw UNION SELECT '##' || right(w, 3) FROM vw),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+pos AS (SELECT doc_id, w[i] AS word, i FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+dw AS (SELECT DISTINCT word FROM pos),
+longest AS (SELECT max(length(piece)) AS n FROM v),
+m AS (
+  SELECT word, 1::BIGINT AS p, [] :: VARCHAR[] AS pieces FROM dw WHERE length(word) <= 100
+  UNION ALL
+  SELECT word, p + length(piece) - CASE WHEN p > 1 THEN 2 ELSE 0 END, list_append(pieces, piece) FROM (
+    SELECT m.word, m.p, m.pieces, v.piece, row_number() OVER (PARTITION BY m.word ORDER BY length(v.piece) DESC) AS r
+    FROM m JOIN longest ON m.p <= length(m.word) JOIN range(1, 200) g(l) ON g.l <= longest.n AND m.p + g.l - 1 <= length(m.word)
+    JOIN v ON v.piece = CASE WHEN m.p > 1 THEN '##' ELSE '' END || substring(m.word, m.p, g.l)) WHERE r = 1),
+done AS (SELECT word, pieces FROM m WHERE p = length(word) + 1),
+spelt AS (SELECT word, coalesce(array_to_string(pieces, ' '), '[UNK]') AS s, coalesce(len(pieces), 1) AS n FROM dw LEFT JOIN done USING (word))
+"""
+
+
+def _vocabulary(spark, sf):
+    words = X.read_table(spark, sf, "benchmark").select(F.explode(T.words(F.col("text"))).alias("w")).distinct()
+    chars = words.select(F.explode(F.split("w", "")).alias("c")).where("c <> ''").distinct()
+    inside = lambda df, c: df.select(F.concat(F.lit(U.LEAD), c).alias("piece"))
+    plain = words.select(F.col("w").alias("piece")).union(chars).union(words.select(F.left("w", F.lit(3))))
+    return U.vocabulary_of(plain.union(inside(chars, F.col("c"))).union(inside(words, F.right("w", F.lit(3)))))
+
+
+@query(_PIECES + "SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS n_tokens, md5(coalesce(string_agg(s, ' ' ORDER BY i), '')) AS digest FROM documents LEFT JOIN (SELECT * FROM pos JOIN spelt USING (word)) USING (doc_id) GROUP BY doc_id")
+def tokenize_subwords(spark, sf):
+    """All documents in sub-words, longest match first."""
+    rows = U.subwords(X.documents(spark, sf), _vocabulary(spark, sf))
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
+
+
 @query(f"WITH b AS (SELECT item_id AS doc_id, {_WORDS} AS w FROM benchmark), r AS (SELECT doc_id, (i - 1)::INTEGER AS pos, w[i] AS token FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM b)) SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS token_id, doc_id, pos, token FROM r")
 def stack_tokens(spark, sf):
     return C.stack_tokens(C.tokenized(X.read_table(spark, sf, "benchmark"), "item_id"))
@@ -535,6 +586,16 @@ def nearest_recall_match(spark, sf):
     return M.nearest_match(_mean_recall(spark, sf), other, "recall", 0.25).select(F.col("a.nprobe").alias("nprobe"), F.col("b.ord").alias("ord"), r6("gap").alias("gap"))
 
 
+@query("""SELECT o_orderkey, c_custkey, gap FROM (
+  SELECT o_orderkey, c_custkey, round(abs(o_totalprice / 40 - c_acctbal), 9) AS gap, row_number() OVER (PARTITION BY o_orderkey ORDER BY round(abs(o_totalprice / 40 - c_acctbal), 9), c_custkey) AS r
+  FROM orders JOIN customer ON abs(o_totalprice / 40 - c_acctbal) < 2.5) WHERE r = 1 AND gap < 2.5""")
+def nearest_join(spark, sf):
+    """Each order's price against the nearest account of all customers: two sides that grow, no pairs of rows."""
+    orders = X.read_table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 40).alias("v"))
+    accounts = X.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_acctbal").alias("v"))
+    return M.nearest_match(orders, accounts, "v", 2.5).select("a.o_orderkey", F.col("b.ord").alias("c_custkey"), "gap")
+
+
 @query("SELECT query_id, rank, doc_id, replace(substring(text, 1, 90), chr(10), ' ') AS snippet FROM ex JOIN documents USING (doc_id) WHERE rank <= 10")
 def topk_text(spark, sf):
     docs = X.documents(spark, sf).select("doc_id", T.snippet(F.col("text")).alias("snippet"))
@@ -738,7 +799,7 @@ def latency_summary(spark, sf):
     rows = X.read_table(spark, sf, "events").select("event_type", "value")
     stats = C.order_statistic(rows, "value", [0.5, 0.99], ["event_type"])
     picked = stats.groupBy("event_type").agg(r6(F.max(F.when(F.col("p") == 0.5, F.col("value")))).alias("p50"), r6(F.max(F.when(F.col("p") == 0.99, F.col("value")))).alias("p99"))
-    return rows.groupBy("event_type").agg(r6(F.percentile("value", 0.5)).alias("median")).join(picked, "event_type")
+    return C.median(rows, "value", ["event_type"]).withColumn("median", r6("median")).join(picked, "event_type")
 
 
 @query("SELECT round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, count(*) AS n_queries FROM met")

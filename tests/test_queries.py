@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from lodeseek.plans.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "embeddings", "benchmark", "labels", "events", "pages", "conversations")
+TABLES = ("documents", "embeddings", "benchmark", "labels", "events", "pages", "conversations", "orders", "customer")
 
 
 @pytest.fixture(scope="module")
