@@ -18,6 +18,7 @@ from ..operators import evaluate as M
 from ..operators import graph as G
 from ..operators import index as I
 from ..operators import passages as W
+from ..operators import postings as L
 from ..operators import profile as P
 from ..operators import quantize as Z
 from ..operators import scoring as S
@@ -734,6 +735,30 @@ def candidate_union(spark, sf):
     return _probed(spark, sf)
 
 
+@query("SELECT cluster_id::BIGINT AS cluster_id, token_id FROM asg")
+def posting_blocks(spark, sf):
+    """The posting lists as coded blocks, decoded again."""
+    coded = L.posting_blocks(X.assigned(spark, sf))
+    return L.ids_of(coded).select(F.col("key").alias("cluster_id"), F.col("id").alias("token_id"))
+
+
+def _candidate_blocks(spark, sf):
+    return L.union_of(L.posting_blocks(X.assigned(spark, sf)), _probed(spark, sf))
+
+
+@query("SELECT query_id, token_id FROM asg JOIN (SELECT DISTINCT query_id, cluster_id FROM probe WHERE rank <= 2) USING (cluster_id)")
+def candidate_blocks(spark, sf):
+    """Each query's candidates as the union of coded lists."""
+    return L.ids_of(_candidate_blocks(spark, sf)).select(F.col("key").alias("query_id"), F.col("id").alias("token_id"))
+
+
+@query(", cd AS (SELECT query_id, token_id FROM asg JOIN (SELECT DISTINCT query_id, cluster_id FROM probe WHERE rank <= 2) USING (cluster_id)) SELECT a.query_id, count(*) AS n_common FROM cd a JOIN cd b ON b.query_id = a.query_id + 1 AND b.token_id = a.token_id GROUP BY a.query_id")
+def candidate_overlap(spark, sf):
+    """How many candidates a query shares with the next one: the intersection of coded lists."""
+    coded = _candidate_blocks(spark, sf)
+    return L.intersection_of(coded, coded.withColumn("key", F.col("key") - 1)).groupBy(F.col("key").alias("query_id")).agg(F.sum("n").alias("n_common"))
+
+
 _TWO = ", a AS (SELECT * FROM ex WHERE rank <= 10), b AS (SELECT * FROM sweep WHERE nprobe = 4 AND rank <= 10)\n"
 
 

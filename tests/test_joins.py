@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.operators import encode, evaluate, passages, subword
+from lodeseek.operators import encode, evaluate, passages, postings, subword
 from lodeseek.operators import text as C
 
 
@@ -92,3 +92,26 @@ def test_subwords_equal_plain_greedy_matching(spark):
     packed = passages.encode_windows(docs, encode.DigestEncoder(), 4, 1, tokenizer=split)
     asked = spark.createDataFrame([(0, 0, encode.DigestEncoder().vectors(["##able"])[0].tolist())], "query_id long, q_tok int, qvec array<double>")
     assert passages.holding(packed, asked).select(F.col("doc_id")).collect() == [(1,)]
+
+
+def test_coded_posting_lists(spark):
+    rng = random.Random(9)
+    lists = {0: {rng.randrange(1 << 17) for _ in range(30_000)}, 1: set(range(5000)) | {1 << 40, -1, -70_000}, 2: {7}, 3: {rng.randrange(1 << 16) for _ in range(6000)}}
+    rows = [(i, c) for c, ids in lists.items() for i in ids] + [(7, 2), (None, 2), (8, None)]
+    rng.shuffle(rows)
+    coded = postings.posting_blocks(spark.createDataFrame(rows, "token_id long, cluster_id int").repartition(3)).cache()
+    held = lambda df: {k: {r["id"] for r in df.collect() if r["key"] == k} for k in {r["key"] for r in df.select("key").distinct().collect()}}
+    assert held(postings.ids_of(coded)) == lists
+    assert {r["key"]: r["s"] for r in coded.groupBy("key").agg(F.count("*").alias("s")).collect()} == {c: len({i >> 16 for i in ids}) for c, ids in lists.items()}
+    assert coded.where("length(data) > 8192").count() == 0 and coded.where("length(data) = 8192 and n > 4096").count() >= 3
+    wanted = {0: {0, 1, 2, 3}, 1: {2}, 2: {1, 3}, 3: {9}}
+    union = postings.union_of(coded, spark.createDataFrame([(q, c) for q, cs in wanted.items() for c in cs] + [(1, 2)], "query_id long, cluster_id int"))
+    want = {q: set().union(*(lists.get(c, set()) for c in cs)) for q, cs in wanted.items()}
+    assert held(postings.ids_of(union)) == {q: ids for q, ids in want.items() if ids}
+    assert all(r["n"] == len([i for i in want[r["key"]] if i >> 16 == r["span"]]) for r in union.collect())
+    for a, b in ((0, 2), (0, 1), (1, 2), (2, 0)):
+        moved = union.where(F.col("key") == b).withColumn("key", F.lit(a).cast("long"))
+        got = held(postings.ids_of(postings.intersection_of(union.where(F.col("key") == a), moved)))
+        assert got == ({a: want[a] & want[b]} if want[a] & want[b] else {})
+    assert postings.posting_blocks(spark.createDataFrame([], "token_id long, cluster_id int")).count() == 0
+    coded.unpersist()
