@@ -46,8 +46,17 @@ def quantise(embeddings: DataFrame, scale: int = 256) -> DataFrame:
 
 
 def fit_pivots(vectors: DataFrame, dim: int, pivots: int = PIVOTS, sample: int = SAMPLE, rounds: int = 5) -> np.ndarray:
-    """Means of a few rounds of k-means over a bounded sample; fewer where there are fewer distinct vectors."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    """Means of a few rounds of k-means over a bounded sample, the vectors with the least hash of vec_id; fewer where there are fewer distinct vectors."""
+    keyed = vectors.withColumn("h", F.xxhash64("vec_id"))
+    n, share = vectors.count(), 1.0
+    if n > 4 * sample:
+        share = 2 * sample / n  # so that a partition brings few more rows than are wanted of it
+    while True:
+        most = min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
+        rows = keyed.where(F.col("h") <= most).orderBy("h", "vec_id").limit(sample).collect()
+        if len(rows) == sample or share == 1:
+            break
+        share = min(1.0, 16 * share)
     x = np.zeros((len(rows), dim))
     for i, r in enumerate(rows):
         x[i, : len(r["vector"])] = r["vector"]

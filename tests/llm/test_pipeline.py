@@ -39,7 +39,7 @@ def _shingles(text):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-def test_simhash_dedup_reaches_similarity_08(spark):
+def test_near_dedup_reaches_similarity_08(spark):
     rng, texts = random.Random(4), []
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     for _ in range(12):
@@ -58,7 +58,7 @@ def test_simhash_dedup_reaches_similarity_08(spark):
             old, new = max(group[i], group[j]), min(group[i], group[j])
             group = [new if g == old else g for g in group]
     docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
-    kept = [r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([None, *set(group)], key=str) and len(set(group)) < len(texts) - 40
 
 
