@@ -52,18 +52,18 @@ def assigned(spark: SparkSession, sf: str) -> DataFrame:
     return Z.assign_nearest(tokens(spark, sf), centroids(spark, sf))
 
 
-def _codeword(spark: SparkSession, sf: str) -> Column:
+def codeword(spark: SparkSession, sf: str) -> Column:
     """Numbers the tokens whose parts are codewords: as many as CODES, evenly spaced."""
     step = max(1, embeddings(spark, sf).count() // CODES)
     return F.when((F.col("token_id") % step == 0) & (F.col("token_id") < CODES * step), div("token_id", step))
 
 
 def codebooks(spark: SparkSession, sf: str, m: int = M) -> DataFrame:
-    return Z.seed_codebooks(tokens(spark, sf), _codeword(spark, sf), m, DIM)
+    return Z.seed_codebooks(tokens(spark, sf), codeword(spark, sf), m, DIM)
 
 
 def residual_codebooks(spark: SparkSession, sf: str) -> DataFrame:
-    return Z.seed_codebooks(Z.residuals(assigned(spark, sf), centroids(spark, sf)), _codeword(spark, sf), M, DIM)
+    return Z.seed_codebooks(Z.residuals(assigned(spark, sf), centroids(spark, sf)), codeword(spark, sf), M, DIM)
 
 
 def codes(spark: SparkSession, sf: str, m: int = M) -> DataFrame:

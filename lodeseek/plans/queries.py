@@ -653,6 +653,32 @@ def lloyd_step(spark, sf):
     return new.select("cluster_id", F.posexplode("cvec").alias("i", "x")).withColumn("x", r6("x"))
 
 
+def _step_sql(old: str, new: str) -> str:
+    """Lloyd's step from centroids ``old`` to ``new``, and the assignment to the new ones, with residuals."""
+    return f""", {new}_at AS (SELECT token_id, vec, cluster_id FROM (SELECT token_id, vec, c.cluster_id, row_number() OVER (PARTITION BY token_id ORDER BY round(list_distance(vec, cvec) ** 2, 9), c.cluster_id) AS r FROM t, {old} c) WHERE r = 1),
+{new}_mean AS (SELECT cluster_id, list(x ORDER BY i) AS v FROM (SELECT cluster_id, i, avg(vec[i]) AS x FROM {new}_at, range(1, 65) g(i) GROUP BY ALL) GROUP BY cluster_id),
+{new} AS (SELECT c.cluster_id, coalesce(v, cvec) AS cvec FROM {old} c LEFT JOIN {new}_mean USING (cluster_id))"""
+
+
+@query(_step_sql("c", "c1") + _step_sql("c1", "c2") + """, own AS (SELECT token_id, vec, cluster_id, cvec FROM (
+  SELECT token_id, vec, c2.cluster_id, cvec, row_number() OVER (PARTITION BY token_id ORDER BY round(list_distance(vec, cvec) ** 2, 9), c2.cluster_id) AS r FROM t, c2) WHERE r = 1),
+left_ AS (SELECT token_id, cluster_id, list_transform(range(1, 65), lambda i: vec[i] - cvec[i]) AS vec FROM own),
+book AS (SELECT m, k, vec[m * 8 + 1:m * 8 + 8] AS cvec FROM left_ JOIN words ON word_id = token_id, ms)
+SELECT token_id, cluster_id, string_agg(k::VARCHAR, ',' ORDER BY m) AS codes FROM (
+  SELECT token_id, cluster_id, m, k FROM (SELECT token_id, cluster_id, b.m, b.k,
+    row_number() OVER (PARTITION BY token_id, b.m ORDER BY round(list_distance(vec[b.m * 8 + 1:b.m * 8 + 8], b.cvec) ** 2, 9), b.k) AS r FROM left_, book b) WHERE r = 1)
+GROUP BY token_id, cluster_id""")
+def trained_residual_build(spark, sf):
+    """A build whose clusters are trained: two exact steps from the spaced centroids, then assignment, residuals and their codes."""
+    t, centroids = X.tokens(spark, sf), X.centroids(spark, sf)
+    for _ in range(2):
+        centroids = Z.lloyd_step(t, centroids)
+    near = Z.assign_nearest(t, centroids)
+    books = Z.seed_codebooks(Z.residuals(near, centroids), X.codeword(spark, sf), X.M, X.DIM)
+    coded = Z.encode_codes(near, books, centroids)
+    return coded.select("token_id", "cluster_id", F.concat_ws(",", Z.code_list(F.col("codes")).cast("array<string>")).alias("codes"))
+
+
 @query("SELECT token_id, cluster_id FROM asg")
 def assign_nearest(spark, sf):
     return X.assigned(spark, sf).select("token_id", "cluster_id")
