@@ -20,9 +20,9 @@ from .common import arrow, bounds, checkpoint, cut, flat, grams, mix, partitions
 
 LEAST, TOP, SUBSUMED = 10, 2000, 50
 #: The most cells in a row of the sketch, and rows: 128 MB of bits at most. Text bytes a cell, cells that one task adds up at a time.
-CELLS, ROWS, BYTES, BLOCK = 1 << 29, 2, 16, 1 << 20
-#: Bytes of text that are counted at once, and cells that a task sends together: the more, the smaller the gaps between them.
-PIECE, SENT = 2 << 20, 4 << 20
+CELLS, ROWS, BYTES, BLOCK = 1 << 29, 2, 32, 1 << 20
+#: Bytes of text that are counted at once; cells that a task sends together (the more, the smaller the gaps between them), and counts of phrases that it holds.
+PIECE, SENT, KEPT = 2 << 20, 4 << 20, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PART = np.zeros(256, dtype=bool)
@@ -138,8 +138,22 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return pa.array(keys).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _counted(bits, cells: int):
-    """Batches (text, lang) -> (lang, phrase, f): exact counts, in a piece of text, of n-grams whose cells all reach LEAST; phrase null: of all words."""
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+
+
+def _share_of(table: pa.Table, shares: int) -> np.ndarray:
+    """The share that each row of (lang, phrase, f) belongs to, by hashes of both."""
+    lang, phrase = (span_hashes(*_spans(table[c].combine_chunks()), seed=seed) for c, seed in (("lang", 3), ("phrase", 4)))
+    return ((lang * np.uint64(3) + phrase) % np.uint64(shares)).astype(np.int32)
+
+
+def _counted(bits, cells: int, shares: int):
+    """Batches (text, lang) -> (share, counts): exact counts of n-grams whose cells all reach LEAST, and of all words under an empty phrase.
+
+    counts is an Arrow stream (lang, phrase, f), compressed; sorted phrases share their beginnings, so it is a fraction of
+    what the rows would be. A task adds up all that it reads before it sends, KEPT phrases at a time at most.
+    """
 
     def frequent(hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), dtype=bool)
@@ -147,43 +161,85 @@ def _counted(bits, cells: int):
             out &= (row[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return out
 
+    def counted(part: pa.RecordBatch) -> Iterator[pa.Table]:
+        g = Grams(part)
+        coded = g.words()
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = len(coded.dictionary)
+        ok = [w & frequent(h) for h, w in zip(g.hashes, g.whole, strict=True)]
+        ok[1] &= ok[0][1:] & ok[0][:-1]  # what is frequent has frequent parts
+        ok[2] &= ok[1][1:] & ok[1][:-1]
+        total = np.bincount(g.lang, minlength=len(g.langs))
+        yield pa.table([g.langs, pa.array([""] * len(g.langs), pa.string()), pa.array(total, pa.int64())], names=["lang", "phrase", "f"])
+        code = g.lang
+        for n in range(3):
+            at = np.flatnonzero(ok[n])
+            dense = _dense(code[at] * size + word[at + n])
+            f = np.bincount(dense)
+            first = np.zeros(len(f), dtype=np.int64)
+            first[dense[::-1]] = at[::-1]
+            text = [coded.dictionary.take(pa.array(word[first + k])) for k in range(n + 1)]
+            yield pa.table([g.langs.take(pa.array(g.lang[first])), text[0] if n == 0 else pc.binary_join_element_wise(*text, " "), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
+            code = np.zeros(len(word), dtype=np.int64)
+            code[at] = dense
+
+    def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.append_column("share", pa.array(_share_of(table, shares)))
+        table = table.take(pc.sort_indices(table, [("share", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])).combine_chunks()
+        edge = np.searchsorted(table["share"].to_numpy(), np.arange(shares + 1))
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            sink, own = pa.BufferOutputStream(), table.select(["lang", "phrase", "f"]).slice(edge[k], edge[k + 1] - edge[k])
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(own)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["share", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for part in cut(batch, "text", PIECE):
-                g = Grams(part)
-                coded = g.words()
-                word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                size = len(coded.dictionary)
-                ok = [w & frequent(h) for h, w in zip(g.hashes, g.whole, strict=True)]
-                ok[1] &= ok[0][1:] & ok[0][:-1]  # what is frequent has frequent parts
-                ok[2] &= ok[1][1:] & ok[1][:-1]
-                total = np.bincount(g.lang, minlength=len(g.langs))
-                outs = [(g.langs, pa.nulls(len(g.langs), pa.string()), pa.array(total, pa.int64()))]
-                code = g.lang
-                for n in range(3):
-                    at = np.flatnonzero(ok[n])
-                    dense = _dense(code[at] * size + word[at + n])
-                    f = np.bincount(dense)
-                    first = np.zeros(len(f), dtype=np.int64)
-                    first[dense[::-1]] = at[::-1]
-                    text = [coded.dictionary.take(pa.array(word[first + k])) for k in range(n + 1)]
-                    outs.append((g.langs.take(pa.array(g.lang[first])), text[0] if n == 0 else pc.binary_join_element_wise(*text, " "), pa.array(f, pa.int64())))
-                    code = np.zeros(len(word), dtype=np.int64)
-                    code[at] = dense
-                yield from (pa.RecordBatch.from_arrays(list(x), names=["lang", "phrase", "f"]) for x in outs)
+                held += counted(part)
+                if sum(map(len, held)) > KEPT:
+                    held = [_summed(held)]
+                    if len(held[0]) > KEPT // 2:
+                        yield from sent(held[0])
+                        held = []
             tidy()
+        if held:
+            yield from sent(_summed(held))
 
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (share, counts) in order of share -> (lang, phrase, f): the sums that reach LEAST, and those of all words with a null phrase."""
+
+    def done(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if held:
+            table = _summed(held)
+            words = pc.equal(table["phrase"], "")
+            table = table.set_column(1, "phrase", pc.if_else(words, pa.scalar(None, pa.string()), table["phrase"])).filter(pc.or_(words, pc.greater_equal(table["f"], LEAST)))
+            yield from table.combine_chunks().to_batches()
+
+    now, held = None, []
+    for batch in batches:
+        for share, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if share != now:
+                yield from done(held)
+                now, held = share, []
+            held.append(pa.ipc.open_stream(data.as_buffer()).read_all())
+            if len(held) > 1 and sum(map(len, held)) > KEPT:
+                held = [_summed(held)]
+    yield from done(held)
+
+
 def phrase_counts(docs: DataFrame) -> DataFrame:
     """(lang, phrase string, f long): every phrase of one to three words that stands LEAST times in the texts of a language, words joined by a space, with its exact count; and the number of all words under a null phrase."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     cells = cells_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    bits = spark.sparkContext.broadcast(sketch(texts, cells))
-    counts = arrow(texts, _counted(bits, cells), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    counts = checkpoint(counts.where(F.col("phrase").isNull() | (F.col("f") >= LEAST)))
+    bits, shares = spark.sparkContext.broadcast(sketch(texts, cells)), 2 * partitions(spark)
+    parts = arrow(texts, _counted(bits, cells, shares), "share int, counts binary").repartition(partitions(spark), "share").sortWithinPartitions("share")
+    counts = checkpoint(arrow(parts, _totals, "lang string, phrase string, f long"))
     bits.destroy()
     return counts
 
