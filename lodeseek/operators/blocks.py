@@ -20,6 +20,8 @@ from ..runtime import ship
 ROWS = 2048
 #: Query vectors in a block, about.
 QUERY_ROWS = 512
+#: Rows that are scored at once, about.
+NEAR = 256
 #: Bytes of a table that go to all executors, at most; beyond, both sides of a join are dealt out.
 BROADCAST = 64 << 20
 #: Decimals of scores before ranks are given.
@@ -243,6 +245,17 @@ class _Top:
             self.found = {}
 
 
+def _best(kernel: Products, rows: np.ndarray, queries: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The best score of each document, whose rows begin at heads, for each query vector; some documents at a time, so that their scores stay near the processor."""
+    out, a = np.empty((len(heads), len(queries))), 0
+    ends = np.append(heads[1:], len(rows))
+    while a < len(heads):
+        b = max(a + 1, int(np.searchsorted(ends, heads[a] + NEAR, side="right")))
+        out[a:b] = np.maximum.reduceat(kernel.of(rows[heads[a] : ends[b - 1]], queries), heads[a:b] - heads[a], axis=0)
+        a = b
+    return out
+
+
 def whole_scores(pairs: DataFrame, kernel: Products, k: int | None = None, share: float | None = None) -> DataFrame:
     """(query_id, doc_id, score) from blocks that hold whole documents and whole queries: for each query vector the best document vector, summed.
 
@@ -253,7 +266,7 @@ def whole_scores(pairs: DataFrame, kernel: Products, k: int | None = None, share
         top = _Top(k) if k else None
         for ids, _, qids, _, data, q in _pairs(batches, kernel):
             heads, qheads = _heads(ids), _heads(qids)
-            best = np.maximum.reduceat(kernel.scores(data, len(ids), q), heads, axis=0)
+            best = _best(kernel, kernel.rows(data, len(ids)), q, heads)
             scores, docs, queries = np.add.reduceat(best, qheads, axis=1), ids[heads], qids[qheads]
             if top is None:
                 least = -np.inf if share is None else share * np.diff(np.append(qheads, len(qids)))

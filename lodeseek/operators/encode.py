@@ -18,7 +18,10 @@ from .text import tokenized
 
 
 class Encoder(Protocol):
-    """Vectors of a token list, one row each. A large model is passed as Lazy, so that workers load it themselves."""
+    """Vectors of a token list, one row each. A large model is passed as Lazy, so that workers load it themselves.
+
+    One with a true attribute ``pointwise`` gives a token the same vector whatever stands beside it.
+    """
 
     dim: int
 
@@ -28,6 +31,8 @@ class Encoder(Protocol):
 class HashEncoder:
     """The unit vector of a token is drawn from a generator seeded by the token's CRC-32."""
 
+    pointwise = True
+
     def __init__(self, dim: int = 64, seed: int = 42):
         self.dim, self.seed, self.known = dim, seed, {}
 
@@ -47,7 +52,7 @@ class HashEncoder:
 class DigestEncoder:
     """32 components: the hexadecimal digits of the token's MD5, less their mean, as a unit vector. Any system that has MD5 can make the same vectors."""
 
-    dim = 32
+    dim, pointwise = 32, True
 
     def vectors(self, tokens: list[str]) -> np.ndarray:
         digits = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest() for t in tokens), dtype=np.uint8).reshape(-1, 16)

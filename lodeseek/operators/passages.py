@@ -31,7 +31,8 @@ def encode_windows(docs: DataFrame, encoder: Encoder | Lazy | None = None, size:
 
     Every window is encoded by itself, led by the marker's tokens: ``size`` tokens with them, one every ``size`` - ``overlap``. No
     token is left out, however long the text; a null text is one window of the marker alone, and rows without an id are left
-    out. single: vectors are kept in single precision.
+    out. Of a pointwise encoder a document's equal tokens are kept once, as more of them change no score. single: vectors are kept
+    in single precision.
     """
     model_of, kind, lead = encoder or HashEncoder(), np.float32 if single else np.float64, list(marker)
     rows = tokenized(docs.where("doc_id is not null"), tokenizer=tokenizer)
@@ -45,6 +46,7 @@ def encode_windows(docs: DataFrame, encoder: Encoder | Lazy | None = None, size:
 
     def run(batches):
         model = loaded(model_of)
+        once, met = getattr(model, "pointwise", False), set()
         block, block_n, doc, doc_n, long = [], 0, [], 0, False
 
         def ended():
@@ -63,11 +65,16 @@ def encode_windows(docs: DataFrame, encoder: Encoder | Lazy | None = None, size:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
                 for doc_id, chunk, tokens in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True):
-                    vectors = np.asarray(model.vectors([*lead, *tokens]), dtype=np.float64).reshape(-1, model.dim)
+                    tokens = [*lead, *tokens]
                     if chunk == 0:
                         yield from ended()
-                        doc, doc_n, long = [], 0, False
-                    elif doc_n + len(vectors) > WHOLE:
+                        doc, doc_n, long, met = [], 0, False, set()
+                    if once:
+                        tokens = [t for t in dict.fromkeys(tokens) if t not in met]
+                        if len(met) < WHOLE:
+                            met.update(tokens)
+                    vectors = np.asarray(model.vectors(tokens), dtype=np.float64).reshape(-1, model.dim)
+                    if chunk and doc_n + len(vectors) > WHOLE:
                         yield packed(PART, doc)
                         doc, doc_n, long = [], 0, True
                     doc.append((doc_id, chunk, vectors))

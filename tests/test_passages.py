@@ -11,6 +11,12 @@ from lodeseek.operators import encode, graph, passages
 # Whole texts
 
 
+class Beside(encode.DigestEncoder):
+    """Says that its vectors depend on what stands beside a token, so that none may be left out."""
+
+    pointwise = False
+
+
 def test_windows_hold_every_token(spark, monkeypatch):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)]
@@ -25,7 +31,10 @@ def test_windows_hold_every_token(spark, monkeypatch):
             want[q, d] = round(float((encoder.vectors(ws) @ have.T).max(axis=1).sum()), 6)
     for whole in (1 << 16, 600):  # the second way the long document is stored in parts
         monkeypatch.setattr(passages, "WHOLE", whole)
-        packed = passages.encode_windows(docs, encoder, 50, 10).cache()
+        packed = passages.encode_windows(docs, Beside(), 50, 10).cache()
+        once = passages.encode_windows(docs, encoder, 50, 10)
+        assert {(r["query_id"], r["doc_id"]): round(r["score"], 6) for r in passages.window_scores(once, queries).collect()} == want
+        assert once.count() <= packed.count()
         got = {(r["query_id"], r["doc_id"]): round(r["score"], 6) for r in passages.window_scores(packed, queries).collect()}
         assert got == want
         assert packed.where("key = 1").count() == (0 if whole > 600 else 8)
