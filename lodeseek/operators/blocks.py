@@ -256,15 +256,27 @@ def _best(kernel: Products, rows: np.ndarray, queries: np.ndarray, heads: np.nda
     return out
 
 
-def whole_scores(pairs: DataFrame, kernel: Products, k: int | None = None, share: float | None = None) -> DataFrame:
+def _against(batches: Iterator[pa.RecordBatch], asked: list[tuple[bytes, bytes, bytes]], dim: int):
+    """_pairs of the blocks with each of the query blocks."""
+    queries = [(np.frombuffer(i, np.int64), np.frombuffer(s, np.int64), np.frombuffer(d).reshape(-1, dim)) for i, s, d in asked]
+    for batch in batches:
+        for ids, subs, data in zip(*[batch.column(batch.schema.get_field_index(c)) for c in ("ids", "subs", "data")], strict=True):
+            ids, subs, data = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(subs.as_py(), np.int64), data.as_py()
+            for qids, qsubs, q in queries:
+                yield ids, subs, qids, qsubs, data, q
+
+
+def whole_scores(pairs: DataFrame, kernel: Products, k: int | None = None, share: float | None = None, asked: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) from blocks that hold whole documents and whole queries: for each query vector the best document vector, summed.
 
-    k: only rows that may be among a query's k best. share: only scores of at least this share of the number of query vectors.
+    k: only rows that may be among a query's k best. share: only scores of at least this share of the number of query vectors. asked:
+    blocks of queries of a checked size, which go to all tasks; pairs are then blocks of documents alone, each of which travels once.
     """
+    sent = None if asked is None else pairs.sparkSession.sparkContext.broadcast([tuple(r) for r in asked.select("ids", "subs", "data").collect()])
 
     def run(batches):
         top = _Top(k) if k else None
-        for ids, _, qids, _, data, q in _pairs(batches, kernel):
+        for ids, _, qids, _, data, q in _pairs(batches, kernel) if sent is None else _against(batches, sent.value, kernel.dim):
             heads, qheads = _heads(ids), _heads(qids)
             best = _best(kernel, kernel.rows(data, len(ids)), q, heads)
             scores, docs, queries = np.add.reduceat(best, qheads, axis=1), ids[heads], qids[qheads]

@@ -97,7 +97,9 @@ def window_scores(packed: DataFrame, queries: DataFrame, k: int | None = None, s
     if dim is None:
         return packed.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
     kernel, asked = B.Products(dim), query_blocks(queries, dim)
-    whole = B.whole_scores(B.every_pair(packed.where(F.col("key") == COMPLETE), asked, 8 * n * dim), kernel, k, share)
+    complete = packed.where(F.col("key") == COMPLETE)
+    small = 8 * n * dim <= B.BROADCAST
+    whole = B.whole_scores(complete if small else B.every_pair(complete, asked, 8 * n * dim), kernel, k, share, asked if small else None)
     rows = queries.select(F.lit(0).cast("long").alias("key"), F.col("query_id").cast("long").alias("id"), F.shiftleft(F.col("q_tok").cast("long"), 32).alias("sub"), V.doubles("qvec"), F.lit(0.0))
     asked = B.pack(rows.repartition("id").sortWithinPartitions("id", "sub"), dim, B.QUERY_ROWS)
     long = B.combine(B.part_scores(B.every_pair(packed.where(F.col("key") == PART), asked, 8 * n * dim), kernel))

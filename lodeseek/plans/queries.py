@@ -940,7 +940,10 @@ def _passages(spark, sf):
 
 
 def _windows(spark, sf, single=False):
-    return W.encode_windows(X.documents(spark, sf).select("doc_id", "text"), E.DigestEncoder(), single=single)
+    docs, cores = X.documents(spark, sf).select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # one small file; large tables have enough splits and are not shuffled
+        docs = docs.repartition(cores)
+    return W.encode_windows(docs, E.DigestEncoder(), single=single)
 
 
 def _places(spark, sf):
