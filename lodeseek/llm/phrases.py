@@ -22,7 +22,7 @@ LEAST, TOP, SUBSUMED = 10, 2000, 50
 #: The most cells in a row of the sketch, and rows: 128 MB of bits at most. Text bytes a cell, cells that one task adds up at a time.
 CELLS, ROWS, BYTES, BLOCK = 1 << 29, 2, 32, 1 << 20
 #: Bytes of text that are counted at once; cells that a task sends together (the more, the smaller the gaps between them), and counts of phrases that it holds.
-PIECE, SENT, KEPT = 2 << 20, 4 << 20, 1 << 20
+PIECE, SENT, KEPT = 2 << 20, 4 << 20, 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PART = np.zeros(256, dtype=bool)
@@ -138,6 +138,10 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return pa.array(keys).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=5)
+
+
 def _summed(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
 
@@ -149,10 +153,11 @@ def _share_of(table: pa.Table, shares: int) -> np.ndarray:
 
 
 def _counted(bits, cells: int, shares: int):
-    """Batches (text, lang) -> (share, counts): exact counts of n-grams whose cells all reach LEAST, and of all words under an empty phrase.
+    """Batches (text, lang) -> (share, lang, phrases, counts, sizes): exact counts of n-grams whose cells all reach LEAST, and of all words under an empty phrase.
 
-    counts is an Arrow stream (lang, phrase, f), compressed; sorted phrases share their beginnings, so it is a fraction of
-    what the rows would be. A task adds up all that it reads before it sends, KEPT phrases at a time at most.
+    A row has the sorted phrases of a share and language, line by line, and their counts, both compressed: neighbours share their
+    beginnings, so it is a fraction of what rows of their own would be. A task adds up all that it reads before it sends, KEPT phrases at a
+    time at most.
     """
 
     def frequent(hashes: np.ndarray) -> np.ndarray:
@@ -186,12 +191,14 @@ def _counted(bits, cells: int, shares: int):
     def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.append_column("share", pa.array(_share_of(table, shares)))
         table = table.take(pc.sort_indices(table, [("share", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])).combine_chunks()
-        edge = np.searchsorted(table["share"].to_numpy(), np.arange(shares + 1))
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            sink, own = pa.BufferOutputStream(), table.select(["lang", "phrase", "f"]).slice(edge[k], edge[k + 1] - edge[k])
-            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(own)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["share", "counts"])
+        share, lang = table["share"].to_numpy(), table["lang"].combine_chunks().dictionary_encode()
+        code = lang.indices.to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(np.append(True, (share[1:] != share[:-1]) | (code[1:] != code[:-1])))
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(edge, len(share)).astype(np.int32)), table["phrase"].combine_chunks()), "\n").cast(pa.binary())
+        f = table["f"].to_numpy()
+        for k, (a, b) in enumerate(zip(edge, [*edge[1:], len(share)], strict=True)):
+            text = lines[k].as_buffer()
+            yield pa.RecordBatch.from_arrays([pa.array([share[a]], pa.int32()), pa.array([lang.dictionary[code[a]].as_py()], pa.string()), pa.array([_zstd().compress(text, asbytes=True)], pa.binary()), pa.array([_zstd().compress(f[a:b].tobytes(), asbytes=True)], pa.binary()), pa.array([[len(text), b - a]], pa.list_(pa.int64()))], names=["share", "lang", "phrases", "counts", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -200,7 +207,7 @@ def _counted(bits, cells: int, shares: int):
                 held += counted(part)
                 if sum(map(len, held)) > KEPT:
                     held = [_summed(held)]
-                    if len(held[0]) > KEPT // 2:
+                    if len(held[0]) > KEPT * 3 // 4:
                         yield from sent(held[0])
                         held = []
             tidy()
@@ -211,7 +218,7 @@ def _counted(bits, cells: int, shares: int):
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (share, counts) in order of share -> (lang, phrase, f): the sums that reach LEAST, and those of all words with a null phrase."""
+    """Rows of ``_counted`` in order of share -> (lang, phrase, f): the sums that reach LEAST, and those of all words with a null phrase."""
 
     def done(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         if held:
@@ -222,12 +229,15 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, held = None, []
     for batch in batches:
-        for share, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for share, lang, text, counts, (size, n) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
             if share != now:
                 yield from done(held)
                 now, held = share, []
-            held.append(pa.ipc.open_stream(data.as_buffer()).read_all())
-            if len(held) > 1 and sum(map(len, held)) > KEPT:
+            lines = pa.array([_zstd().decompress(text.as_buffer(), size, asbytes=True)], pa.binary()).cast(pa.string())
+            phrases = pc.split_pattern(lines, "\n").flatten()
+            f = pa.array(np.frombuffer(_zstd().decompress(counts.as_buffer(), 8 * n, asbytes=True), np.int64))
+            held.append(pa.table([pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), phrases, f], names=["lang", "phrase", "f"]))
+            if len(held) > 64 and sum(map(len, held)) > KEPT:
                 held = [_summed(held)]
     yield from done(held)
 
@@ -238,7 +248,7 @@ def phrase_counts(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     cells = cells_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     bits, shares = spark.sparkContext.broadcast(sketch(texts, cells)), 2 * partitions(spark)
-    parts = arrow(texts, _counted(bits, cells, shares), "share int, counts binary").repartition(partitions(spark), "share").sortWithinPartitions("share")
+    parts = arrow(texts, _counted(bits, cells, shares), "share int, lang string, phrases binary, counts binary, sizes array<long>").repartition(partitions(spark), "share").sortWithinPartitions("share")
     counts = checkpoint(arrow(parts, _totals, "lang string, phrase string, f long"))
     bits.destroy()
     return counts

@@ -130,7 +130,7 @@ def test_nothing_frequent_is_lost_in_a_full_sketch(spark):
     assert bits.shape == (phrases.ROWS, phrases.BLOCK // 8) and bits.any()
     bits[:] = 255  # as if every cell had been filled
     sent = spark.sparkContext.broadcast(bits)
-    parts = phrases.arrow(docs, phrases._counted(sent, phrases.BLOCK, 5), "share int, counts binary").repartition(2, "share").sortWithinPartitions("share")
+    parts = phrases.arrow(docs, phrases._counted(sent, phrases.BLOCK, 5), "share int, lang string, phrases binary, counts binary, sizes array<long>").repartition(2, "share").sortWithinPartitions("share")
     got = phrases.arrow(parts, phrases._totals, "lang string, phrase string, f long").select("phrase", "f")
     assert shown(got.collect()) == shown(phrases.phrase_counts(docs).select("phrase", "f").collect())
 
