@@ -6,6 +6,7 @@ there a row for each token. The windows of a document stay together in the task
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +18,6 @@ from .encode import Encoder, HashEncoder
 from .lazy import Lazy, loaded
 from .quantize import query_blocks
 from .scoring import top_k
-from .text import chunk_windows, tokenized
 
 #: Vectors of a document that stay in one block; a longer document is cut into parts, whose scores are combined by document.
 WHOLE = 1 << 16
@@ -26,6 +26,11 @@ MARKER = ("[D]",)
 COMPLETE, PART = 0, 1
 
 
+def _words(text: str) -> list[str]:
+    """White-space words, as functions.text.words: bytes are split at ASCII white space alone."""
+    return [w.decode() for w in text.encode().split()]
+
+
 def encode_windows(docs: DataFrame, encoder: Encoder | Lazy | None = None, size: int = 500, overlap: int = 100, tokenizer=None, marker: tuple[str, ...] = MARKER, single: bool = False) -> DataFrame:
     """(doc_id, text) -> blocks (key, ids, subs, data) of all vectors of whole texts, sub being the number of the window.
 
@@ -35,8 +40,14 @@ def encode_windows(docs: DataFrame, encoder: Encoder | Lazy | None = None, size:
     in single precision.
     """
     model_of, kind, lead = encoder or HashEncoder(), np.float32 if single else np.float64, list(marker)
-    rows = tokenized(docs.where("doc_id is not null"), tokenizer=tokenizer)
-    windows = chunk_windows(rows.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))), size, overlap, len(lead))
+    step, width = size - overlap, size - len(lead)
+    if step <= 0 or width <= 0:
+        raise ValueError("chunks must advance and hold more than their markers")
+
+    def windows(words: list[str]):
+        """chunk_windows of one text."""
+        for chunk in range(max(0, -(-(len(words) - width) // step)) + 1):
+            yield chunk, words[chunk * step : chunk * step + width]
 
     def packed(key: int, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         sizes = [len(v) for *_, v in held]
@@ -45,7 +56,7 @@ def encode_windows(docs: DataFrame, encoder: Encoder | Lazy | None = None, size:
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (ids, subs, data)]], names=["key", "ids", "subs", "data"])
 
     def run(batches):
-        model = loaded(model_of)
+        model, split = loaded(model_of), loaded(tokenizer) if tokenizer else _words
         once, met = getattr(model, "pointwise", False), set()
         block, block_n, doc, doc_n, long = [], 0, [], 0, False
 
@@ -64,7 +75,7 @@ def encode_windows(docs: DataFrame, encoder: Encoder | Lazy | None = None, size:
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
-                for doc_id, chunk, tokens in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True):
+                for doc_id, chunk, tokens in ((d, *w) for d, t in zip(*[part.column(k).to_pylist() for k in range(2)], strict=True) for w in windows(list(split(t)) if t is not None else [])):
                     tokens = [*lead, *tokens]
                     if chunk == 0:
                         yield from ended()
@@ -83,7 +94,7 @@ def encode_windows(docs: DataFrame, encoder: Encoder | Lazy | None = None, size:
         if block:
             yield packed(COMPLETE, block)
 
-    kept = windows.select(F.col("doc_id").cast("long"), "chunk_idx", "tokens")
+    kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return B.arrow(kept, run, "key long, ids binary, subs binary, data binary")
 
 
@@ -96,10 +107,14 @@ def window_scores(packed: DataFrame, queries: DataFrame, k: int | None = None, s
     n, dim = B.shape(queries, "qvec")
     if dim is None:
         return packed.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-    kernel, asked = B.Products(dim), query_blocks(queries, dim)
-    complete = packed.where(F.col("key") == COMPLETE)
-    small = 8 * n * dim <= B.BROADCAST
-    whole = B.whole_scores(complete if small else B.every_pair(complete, asked, 8 * n * dim), kernel, k, share, asked if small else None)
+    asked = query_blocks(queries, dim)
+    if 8 * n * dim <= B.BROADCAST:
+        found = B.searched(packed, asked, dim, PART, k, share).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.collect_list("best").alias("all"))
+        long, some = B.summed("all"), F.size("all") > 0
+        long = F.when(some if share is None else some & (long >= share * F.size(F.get("all", F.lit(0)))), long)
+        return found.select("query_id", "doc_id", F.greatest("score", long).alias("score")).where("score is not null")
+    kernel = B.Products(dim)
+    whole = B.whole_scores(B.every_pair(packed.where(F.col("key") == COMPLETE), asked, 8 * n * dim), kernel, k, share)
     rows = queries.select(F.lit(0).cast("long").alias("key"), F.col("query_id").cast("long").alias("id"), F.shiftleft(F.col("q_tok").cast("long"), 32).alias("sub"), V.doubles("qvec"), F.lit(0.0))
     asked = B.pack(rows.repartition("id").sortWithinPartitions("id", "sub"), dim, B.QUERY_ROWS)
     long = B.combine(B.part_scores(B.every_pair(packed.where(F.col("key") == PART), asked, 8 * n * dim), kernel))
@@ -122,9 +137,35 @@ def holding(packed: DataFrame, queries: DataFrame, share: float = 0.9999) -> Dat
 def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, doc_id): the documents (doc_id, text) that contain the passage (query_id, passage) as it stands.
 
-    The words inside a passage are whole words of the document too: a run of five, three or one of them, from the second on, is
-    joined by its hash with the documents' runs, and what meets is held against the text. Only passages of one or two words
-    meet every text.
+    All passages are sought at once: an automaton that each worker makes once reads a text from end to end, however many they are.
+    Passages of more bytes than may go to all tasks are found by their words.
+    """
+    docs, passages = docs.where("doc_id is not null and text is not null"), passages.where("query_id is not null and passage is not null")
+    if (passages.agg(F.sum(F.octet_length("passage"))).first()[0] or 0) > B.BROADCAST // 16:
+        return _by_words(docs, passages)
+    named: dict[str, list[int]] = {}
+    for query, passage in passages.select(F.col("query_id").cast("long"), "passage").collect():
+        named.setdefault(passage, []).append(query)
+    sent = docs.sparkSession.sparkContext.broadcast(named)
+
+    def run(batches):
+        machine, always = ahocorasick.Automaton(), sent.value.get("", [])
+        for passage, queries in sent.value.items():
+            if passage:
+                machine.add_word(passage, queries)
+        if len(machine):
+            machine.make_automaton()
+        for batch in batches:
+            found = [(q, doc) for doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True) for q in {*always, *(q for _, queries in (machine.iter(text) if len(machine) else ()) for q in queries)}]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["query_id", "doc_id"])
+
+    return B.arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "query_id long, doc_id long").distinct()
+
+
+def _by_words(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """containing by joins: the words inside a passage are whole words of the document too. A run of five, three or one of them, from the
+    second on, is joined by its hash with the documents' runs, and what meets is held against the text. Only passages of one or two
+    words meet every text.
     """
     split = lambda c: F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     cut = passages.where("passage is not null").withColumn("_w", split("passage"))
