@@ -37,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more, by MinHash bands (SimHash segments of one differing bit are too short at 0.8)."""
+    """Keeps the first document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more. Candidates by SimHash fingerprints of two differing bits at most, and by MinHash bands, as SimHash segments are too short for all copies at 0.8."""
     return nearcopies.keep_first(docs)
 
 

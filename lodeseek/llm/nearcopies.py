@@ -1,8 +1,8 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands give candidates, the shingle sets verify them.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash and MinHash bands give candidates, the shingle sets verify them.
 
-A 64-bit SimHash cannot serve similarity 0.8: such texts differ in some 10 of 64 bits (up to 17 or so), and the
-segments that then differ in at most one bit are too short to tell texts apart. BANDS bands of ROWS minima each meet
-with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9996 at 0.8, and more above.
+SimHash fingerprints that differ in at most two bits are found by deletion variants (simhash). At similarity 0.8 texts differ in
+some 10 of 64 bits (up to 17 or so), and segments that then differ in at most one bit are too short to tell texts apart. For those, BANDS bands of ROWS minima each
+meet with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9996 at 0.8, and more above.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow, bounds, checkpoint, cut, flat, grams, mix, partitions, signed, span_hashes
 from .components import components
+from .simhash import BITS, fingerprint_links
 
 WORDS, BANDS, ROWS = 5, 20, 5
 #: Members of a band beyond which it is compared tile by tile.
@@ -43,6 +44,14 @@ def _node(s: np.ndarray) -> int:
     return int(signed(mix(mix(s).sum(dtype=np.uint64, keepdims=True)))[0])
 
 
+def _fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a shingle set: bit b is set if it is in over half of the hashes."""
+    if not len(s):
+        return 0
+    counts = np.concatenate([np.bincount(lane, minlength=256) @ BITS for lane in np.ascontiguousarray(s, dtype="<u8").view(np.uint8).reshape(-1, 8).T])
+    return int(np.packbits(2 * counts > len(s), bitorder="little").view("<i8")[0])
+
+
 def _bands(s: np.ndarray, block: int = 1 << 13) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(s), block):
@@ -54,7 +63,7 @@ def _bands(s: np.ndarray, block: int = 1 << 13) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, bands) for each row: a hash of the shingle set, its size, and the keys of its bands."""
+    """(doc_id, node, n, fp, bands) for each row: a hash of the shingle set, its size, its SimHash, and the keys of its bands."""
 
     def run(batches):
         for batch in batches:
@@ -62,9 +71,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column(1))
                 bands = np.concatenate([_bands(s) for s in sets]) if sets else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], names=["doc_id", "node", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.int64()), lists], names=["doc_id", "node", "n", "fp", "bands"])
 
-    return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, node long, n long, bands array<long>")
+    return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, node long, n long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -161,17 +170,31 @@ def _tile_links(members: DataFrame) -> DataFrame:
     return arrow(rows, run, "u long, v long")
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) of nodes whose fingerprints differ in at most two bits.
+
+    A fingerprint that many nodes share is held against one of them, and so are fingerprints that differ: no pairs of all nodes are made.
+    """
+    held = nodes.where("n > 0").select("node", "n", "fp")
+    first = checkpoint(held.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")))
+    same = held.join(first, "fp").where("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
+    links = fingerprint_links(first.select("fp").repartition(partitions(nodes.sparkSession), "fp"))
+    side = lambda x: first.select(F.col("fp").alias(f"_{x}"), F.col("first.node").alias(x), F.col("first.n").alias(f"n{x}"))
+    near = links.toDF("_a", "_b").join(side("a"), "_a").join(side("b"), "_b").select("a", "b", "na", "nb")
+    return same.union(near).where(_may_be_near("na", "nb"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for each row with a doc_id: the connected texts of similarity NEAR or more, named by the smallest doc_id.
 
-    Equal shingle sets are one node. In each band the members are first held against one of them, the one that meets
+    Equal shingle sets are one node. Nodes whose SimHash fingerprints differ in at most two bits are candidates. In each band the members are first held against one of them, the one that meets
     most others over all bands: in a large group of near copies that is the text they stem from, or one close to it.
     Bands whose members are not connected yet are then compared inside one task each, all pairs, so that none is
     left out and none leaves the task.
     """
     docs = docs.where("doc_id is not null")
     rows = checkpoint(sketches(docs))
-    nodes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     index = nodes.where("n > 0").select("node", "n", F.explode("bands").alias("key"))
     sizes = checkpoint(index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     index = checkpoint(index.join(sizes, "key"))
@@ -180,8 +203,9 @@ def groups(docs: DataFrame) -> DataFrame:
     middle = checkpoint(index.groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("middle")))  # written, so that the planner can split a hot band of the join
     star = index.join(middle, "key").where("node <> middle.node")
     star = star.select(F.col("middle.node").alias("a"), F.col("node").alias("b"), F.col("middle.n").alias("na"), F.col("n").alias("nb"))
-    star = star.where(_may_be_near("na", "nb")).distinct()
-    sets = _sets_of(docs, nodes, index.select("node").distinct())
+    near = checkpoint(_simhash_pairs(nodes))
+    sets = _sets_of(docs, nodes, index.select("node").union(near.select("a")).union(near.select("b")).distinct())
+    star = star.where(_may_be_near("na", "nb")).union(near).distinct()
     links = _verified(sets, star)
     of = components(links)
     rooted = index.join(of, index["node"] == of["id"], "left").select("key", "node", F.coalesce("component_id", "node").alias("root"))

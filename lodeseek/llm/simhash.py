@@ -19,7 +19,7 @@ from .components import components
 
 #: Members of one signature group beyond which the group is indexed anew by a quarter of the other half.
 WIDE = 256
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.int64)
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.int64)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -38,7 +38,7 @@ def simhash(text: bytes, words: int = 3, block: int = 1 << 18) -> int:
         pairs = zip(starts[at : min(n, at + block)].tolist(), ends[at : at + block].tolist(), strict=True)
         lanes = np.array([digest(joined[s:e], 42) for s, e in pairs], dtype="<u8").view(np.uint8).reshape(-1, 8)
         for k in range(8):
-            counts[8 * k : 8 * k + 8] += np.bincount(lanes[:, k], minlength=256) @ _BITS
+            counts[8 * k : 8 * k + 8] += np.bincount(lanes[:, k], minlength=256) @ BITS
     return sum(1 << b for b in range(64) if 2 * counts[b] > n)
 
 
