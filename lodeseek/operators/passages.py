@@ -114,7 +114,7 @@ def window_scores(packed: DataFrame, queries: DataFrame, k: int | None = None, s
         long = F.when(some if share is None else some & (long >= share * F.size(F.get("all", F.lit(0)))), long)
         return found.select("query_id", "doc_id", F.greatest("score", long).alias("score")).where("score is not null")
     kernel = B.Products(dim)
-    whole = B.whole_scores(B.every_pair(packed.where(F.col("key") == COMPLETE), asked, 8 * n * dim), kernel, k, share)
+    whole = B.whole_scores(B.Pairs(packed.where(F.col("key") == COMPLETE), asked, 8 * n * dim), kernel, k, share)
     rows = queries.select(F.lit(0).cast("long").alias("key"), F.col("query_id").cast("long").alias("id"), F.shiftleft(F.col("q_tok").cast("long"), 32).alias("sub"), V.doubles("qvec"), F.lit(0.0))
     asked = B.pack(rows.repartition("id").sortWithinPartitions("id", "sub"), dim, B.QUERY_ROWS)
     long = B.combine(B.part_scores(B.every_pair(packed.where(F.col("key") == PART), asked, 8 * n * dim), kernel))
