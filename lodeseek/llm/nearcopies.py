@@ -137,9 +137,8 @@ def link_members(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) ->
 
 
 def _tile_links(members: DataFrame) -> DataFrame:
-    """(key, node, root, hashes) -> (u, v): link_members of each key. Keys of over TILE members are dealt out as pairs of tiles; what leaves a task are links, fewer than its members."""
-    tiles = checkpoint(members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")))
-    rows = members.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    """(key, tiles, node, root, hashes) -> (u, v): link_members of each key. Keys of over TILE members are dealt out as pairs of tiles; what leaves a task are links, fewer than its members."""
+    rows = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keys = ["key", "ta", "tb"]
     rows = rows.select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "node", "root", "hashes")
     rows = rows.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys)
@@ -203,15 +202,14 @@ def groups(docs: DataFrame) -> DataFrame:
     middle = checkpoint(index.groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("middle")))  # written, so that the planner can split a hot band of the join
     star = index.join(middle, "key").where("node <> middle.node")
     star = star.select(F.col("middle.node").alias("a"), F.col("node").alias("b"), F.col("middle.n").alias("na"), F.col("n").alias("nb"))
-    near = checkpoint(_simhash_pairs(nodes))
-    sets = _sets_of(docs, nodes, index.select("node").union(near.select("a")).union(near.select("b")).distinct())
-    star = star.where(_may_be_near("na", "nb")).union(near).distinct()
-    links = _verified(sets, star)
+    pairs = checkpoint(star.where(_may_be_near("na", "nb")).union(_simhash_pairs(nodes)).distinct())
+    sets = _sets_of(docs, nodes, index.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct())
+    links = _verified(sets, pairs)
     of = components(links)
     rooted = index.join(of, index["node"] == of["id"], "left").select("key", "node", F.coalesce("component_id", "node").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("x <> y").select("key", "tiles")
     members = checkpoint(rooted.join(checkpoint(open_), "key"))
-    more = checkpoint(_tile_links(members.join(sets, "node").select("key", "node", "root", "hashes")))
+    more = checkpoint(_tile_links(members.join(sets, "node").select("key", "tiles", "node", "root", "hashes")))
     graph = components(links.union(more))
     of = nodes.join(graph, nodes["node"] == graph["id"], "left").select("node", "doc", F.coalesce("component_id", "node").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("node", "component_id")
