@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeseek.operators import blocks as B
 from lodeseek.operators import quantize as Z
@@ -53,8 +54,6 @@ def test_centroid_terms_without_a_join_of_rows(spark, table):
 def test_residual_search_over_all_clusters_by_blocks(spark, table):
     x, tokens, queries, centroids = table
     assigned = Z.assign_nearest(tokens, centroids)
-    from pyspark.sql import functions as F
-
     books = Z.seed_codebooks(Z.residuals(assigned, centroids), F.when(F.col("token_id") < 16, F.col("token_id")), 4, DIM)
     codes = Z.encode_codes(assigned, books, centroids)
     found = Q.search_residual_pq(codes, queries, books, centroids, k=7)
@@ -62,3 +61,9 @@ def test_residual_search_over_all_clusters_by_blocks(spark, table):
     shown = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 5)) for r in df.collect())
     assert shown(found) == shown(every) and len(shown(found)) == 70
     assert "cluster_id" in codes.columns and codes.where("cluster_id is null").isEmpty()
+
+
+def test_exact_search_copies_no_pair_of_blocks_into_joined_rows(spark, table):
+    _, tokens, queries, _ = table
+    found = Q.search_bruteforce(tokens, queries, 3)
+    assert "Join" not in found._jdf.queryExecution().toString() and found.count() == 30
