@@ -9,7 +9,9 @@ stands for: only that one's text is sent, however many copies there are, and a g
 
 A group whose strings take more than LIMIT bytes is split by signatures of variable length: the same suffixes are
 signed anew by 16 words of their prefix, then 32, then all of it, until a group fits. (By the whole prefix a group is a
-single string.) Each group that fits becomes the top of a suffix tree in the memory of one task: its suffixes are
+single string.) For that the input is read again, and a task finds the suffixes of large groups by their signatures: only
+these go to the tasks, one for more than LIMIT bytes of text, and no text is shuffled however many times groups are split.
+Each group that fits becomes the top of a suffix tree in the memory of one task: its suffixes are
 sorted by prefix doubling on word numbers, without hashes. In that order an internal node is an interval of suffixes,
 and the deep ones, of ``width`` words, are the intervals of equal rank; the smallest document below a deep node is what
 its suffixes are held against. Maximal repeats are the unions of the windows below deep nodes.
@@ -34,10 +36,10 @@ LIMIT = 4 << 20
 MOST = 1 << 12
 
 
-def _stretches(part: pa.RecordBatch, width: int, seed: int):
-    """The words of a batch (doc_id, _row_key, text, ...) and its stretches: signature, text hash, first suffix and their number, by row.
+def _stretches(part: pa.RecordBatch, width: int, seed: int, inside_of: tuple[tuple[int, np.ndarray], ...] = ()):
+    """The words of a batch (doc_id, _row_key, text) and its stretches: signature, text hash, first suffix and their number, by row.
 
-    A fourth column of the batch, if there is one, has the runs (w0, n) of suffixes that count.
+    inside_of: earlier seeds, each with signatures in order; only suffixes count that have one of these at every such seed.
     """
     data, off = flat(part.column(2))
     starts, ends, first = bounds(data, off)
@@ -45,17 +47,16 @@ def _stretches(part: pa.RecordBatch, width: int, seed: int):
     row = np.repeat(np.arange(part.num_rows), np.diff(first))
     count = max(0, len(row) - width + 1)
     wanted = row[:count] == row[len(row) - count :]
-    if part.num_columns > 3:
-        lists = part.column(3)
-        of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-        w0, n = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("w0", "n"))
-        cover = np.zeros(count + 1, dtype=np.int64)
-        np.add.at(cover, first[of] + w0, 1)
-        np.add.at(cover, first[of] + w0 + n, -1)
-        wanted &= np.cumsum(cover[:-1]) > 0
     inside = np.flatnonzero(wanted)
-    signature = grams(hashes, seed)
-    keys = signature[window_minima(signature, width - seed + 1)[inside]] if len(inside) else np.zeros(0, np.uint64)
+
+    def signed_by(words: int) -> np.ndarray:
+        signature = grams(hashes, words)
+        return signature[window_minima(signature, width - words + 1)[inside]] if len(inside) else np.zeros(0, np.uint64)
+
+    for words, large in inside_of:
+        own = signed(signed_by(words))
+        inside = inside[large[np.minimum(np.searchsorted(large, own), len(large) - 1)] == own]
+    keys = signed_by(seed)
     new = np.ones(len(inside), dtype=bool)
     if len(inside):
         # By the signature and not its place: in a run of one repeated word each suffix selects a place of its own.
@@ -138,13 +139,14 @@ def _whole_groups(batches, size: int = BLOCK):
         yield pa.Table.from_batches(held)
 
 
-def _found(texts: DataFrame, width: int, seed: int) -> DataFrame:
-    """texts (doc_id, _row_key, text[, runs]) -> its stretches (key, h, doc_id, _row_key, w0, n, size); size is in bytes."""
+def _found(texts: DataFrame, width: int, seed: int, inside_of: tuple = ()) -> DataFrame:
+    """texts (doc_id, _row_key, text) -> its stretches (key, h, doc_id, _row_key, w0, n, size); size is in bytes. inside_of: as in _stretches, the signatures broadcast."""
 
     def scan(batches):
+        large = tuple((words, sent.value) for words, sent in inside_of)
         for batch in batches:
             for part in cut(batch, "text"):
-                starts, ends, first, row, keys, text, lead, sizes, last = _stretches(part, width, seed)
+                starts, ends, first, row, keys, text, lead, sizes, last = _stretches(part, width, seed, large)
                 at = pa.array(row)
                 size = ends[last] - starts[lead] if len(lead) else lead
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(text), part.column(0).take(at), part.column(1).take(at), pa.array((lead - first[row]).astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(size.astype(np.int32))], names=["key", "h", "doc_id", "_row_key", "w0", "n", "size"])
@@ -161,7 +163,7 @@ def _of_documents(base: DataFrame, lists: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
     """(doc_id, _row_key, runs array<struct<w0 long, n long>>): suffixes (by their first word) whose first ``width`` words also start one of a smaller document."""
     base = docs.select("doc_id", "_row_key", "text")
-    found, hits, wanted, plain = _found(base, width, seed), [], [], []
+    found, hits, wanted, plain, inside_of = _found(base, width, seed), [], [], [], ()
     while True:
         # Both sides of these joins are dealt out anew, so that the adaptive planner can split a hot signature.
         shared = checkpoint(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"))
@@ -171,15 +173,16 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, limi
         sizes = checkpoint(strings.groupBy("key").agg(F.count("*").alias("strings"), F.sum("size").alias("bytes")))
         strings = strings.join(sizes, "key")
         large = (F.col("strings") > 1) & (F.col("bytes") > limit) if seed < width else F.lit(False)
-        seed = min(2 * seed, width)
         hits.append(keyed)
         plain.append(strings.where("strings = 1").select("key", "h", F.array(F.struct(F.lit(0).alias("o"), "n", F.col("doc_id").alias("least"))).alias("runs")))
         wanted.append(strings.where((F.col("strings") > 1) & ~large))
-        again = strings.where(large).select("key").distinct()
-        if again.isEmpty():
+        # Each stands for more than ``limit`` bytes of distinct text, so that they are few.
+        again = np.array([r[0] for r in sizes.where((F.col("strings") > 1) & (F.col("bytes") > limit)).select("key").collect()], dtype=np.int64) if seed < width else ()
+        if not len(again):
             break
-        ranges = keyed.join(checkpoint(again), "key").groupBy("doc_id", "_row_key").agg(F.collect_list(F.struct("w0", "n")).alias("list"))
-        found = _found(_of_documents(base, ranges), width, seed)
+        inside_of += ((seed, docs.sparkSession.sparkContext.broadcast(np.sort(again))),)
+        seed = min(2 * seed, width)
+        found = checkpoint(_found(base, width, seed, inside_of))  # written: a small part of all suffixes, for two readers
 
     def union(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
