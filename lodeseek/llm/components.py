@@ -8,49 +8,52 @@ from pyspark.sql import functions as F
 from .common import checkpoint, discard
 
 
-def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges (u, v) with m, the least v of their u; the checkpoint of these, to be discarded).
+def _joined(edges: DataFrame, end: str, least: DataFrame) -> DataFrame:
+    """edges (u, v) with m of the node at that end.
 
     The least ones are written before they are joined: between an exchange and a join an aggregation would keep the planner from
     splitting the edges of a hub over several tasks.
     """
-    least = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m")))
-    return edges.join(least.withColumnRenamed("u", "_u"), F.col("u") == F.col("_u")).select("u", "v", "m"), least
+    least = least.select(F.col("u").alias("_u"), "m")
+    return edges.join(least, edges[end] == least["_u"]).select("u", "v", "m")
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _around(edges: DataFrame) -> DataFrame:
+    """(u, m, down, up) of every node u of edges (u, v), u > v: its least neighbour, its number of edges down, and whether it has some up."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    rows, least = _with_least(both)
-    return checkpoint(rows.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()), least
+    return both.groupBy("u").agg(F.min("v").alias("m"), F.sum((F.col("v") < F.col("u")).cast("int")).alias("down"), F.max(F.col("v") > F.col("u")).alias("up"))
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    rows, least = _with_least(down)
-    moved = rows.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return checkpoint(moved.union(least.select("u", F.col("m").alias("v"))).distinct()), least
+def _large_star(rows: DataFrame) -> DataFrame:
+    """rows: edges (u, v), u > v, with the least neighbour m of v. Each larger neighbour of v moves to the least of v and its neighbours."""
+    return rows.select("u", F.least("v", "m").alias("v"))
 
 
-def _unsettled(edges: DataFrame) -> int:
-    """Nodes of edges (u, v), u > v, that have several edges down, or one down and others up. With none the edges are stars around the smallest id of each component."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")).select("e.*")
-    nodes = ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-    return nodes.where((F.col("down") > 1) | (F.col("down") > 0) & (F.col("up") > 0)).count()
+def _small_star(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows: edges (u, v), u > v, with the least v of u as m. Each smaller neighbour of u moves to the least of them, and so does u."""
+    return rows.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u long, v long) undirected edges -> (id long, component_id long), each node that has an edge with the smallest id it can reach.
 
     Self-loops and repeated edges are allowed; nulls are left out. Every step is an aggregation, combined inside tasks first, and a join
-    of two written tables, whose hot keys the adaptive planner splits; only a count of nodes reaches the driver. The steps end as soon as
-    the edges are stars, without one more pass to see that nothing changes. A step's edges are written before those that it was made of are
-    deleted.
+    of two written tables, whose hot keys the adaptive planner splits; nothing but whether a node is unsettled reaches the driver. The
+    least neighbours that a large step needs also tell whether the edges are stars already, and are then the result. No step makes more
+    edges than it had, so that only every second one makes them distinct. A step's edges are written before those that it was made of
+    are deleted.
     """
     now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while _unsettled(now):
-        for step in (_large_star, _small_star):
-            last = now
-            now, least = step(last)
-            discard(last)
-            discard(least)
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+    while True:
+        around = checkpoint(_around(now))
+        # With none that has several edges down, or one down and others up, the edges are stars around the smallest id of each component.
+        if around.where((F.col("down") > 1) | (F.col("down") > 0) & F.col("up")).isEmpty():
+            discard(now)
+            return around.select(F.col("u").alias("id"), F.least("u", "m").alias("component_id"))
+        large = checkpoint(_large_star(_joined(now, "v", around)))
+        discard(now)
+        discard(around)
+        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        now = checkpoint(_small_star(_joined(large, "u", least), least))
+        discard(large)
+        discard(least)

@@ -137,25 +137,26 @@ def link_members(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) ->
 
 
 def _tile_links(members: DataFrame) -> DataFrame:
-    """(key, tiles, node, root, hashes) -> (u, v): link_members of each key. Keys of over TILE members are dealt out as pairs of tiles; what leaves a task are links, fewer than its members."""
+    """(key, tiles, node, root, hashes) -> (u, v): the roots that link_members of each key joins. Keys of over TILE members are dealt out as pairs of tiles; what leaves a task are links, fewer than its members."""
     rows = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keys = ["key", "ta", "tb"]
-    rows = rows.select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "node", "root", "hashes")
+    rows = rows.select("key", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "root", "hashes")
     rows = rows.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         now, held = None, []
 
         def done():
-            found = link_members(*(np.concatenate([h[k] for h in held]) for k in (0, 1)), [x for h in held for x in h[2]]) if held else []
+            root = np.concatenate([h[0] for h in held]) if held else None
+            found = link_members(root, root, [x for h in held for x in h[1]]) if held else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy() for k in range(5)]
-            lists = batch.column(5)
+            columns = [batch.column(k).to_numpy() for k in range(4)]
+            lists = batch.column(4)
             values, off = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
@@ -163,7 +164,7 @@ def _tile_links(members: DataFrame) -> DataFrame:
                 if key != now:
                     yield from done()
                     now, held = key, []
-                held.append((columns[3][a:b].copy(), columns[4][a:b].copy(), [values[off[k] : off[k + 1]].copy() for k in range(a, b)]))
+                held.append((columns[3][a:b].copy(), [values[off[k] : off[k + 1]].copy() for k in range(a, b)]))
         yield from done()
 
     return arrow(rows, run, "u long, v long")
@@ -210,8 +211,10 @@ def groups(docs: DataFrame) -> DataFrame:
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("x <> y").select("key", "tiles")
     members = checkpoint(rooted.join(checkpoint(open_), "key"))
     more = checkpoint(_tile_links(members.join(sets, "node").select("key", "tiles", "node", "root", "hashes")))
-    graph = components(links.union(more))
-    of = nodes.join(graph, nodes["node"] == graph["id"], "left").select("node", "doc", F.coalesce("component_id", "node").alias("root"))
+    of = nodes.join(of, nodes["node"] == of["id"], "left").select("node", "doc", F.coalesce("component_id", "node").alias("root"))
+    if not more.isEmpty():  # few: they join components that are found already, and only these are gone through again
+        graph = components(more)
+        of = of.join(graph, of["root"] == graph["id"], "left").select("node", "doc", F.coalesce("component_id", "root").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("node", "component_id")
     return rows.join(named, "node").select("doc_id", "component_id")
 

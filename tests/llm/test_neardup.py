@@ -27,3 +27,31 @@ def test_stars_settle_without_a_pass_to_see_that_nothing_changes(spark):
     finally:
         components._large_star = step
     assert components.components(edges.where("u < 0")).isEmpty()
+
+
+def test_components_make_few_tasks(spark):
+    """A chain of 31 nodes beside a star: least neighbours also tell whether the steps are done, and edges are made distinct once a round."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200, 230)] + [(1, i) for i in range(2, 40)], "u long, v long").repartition(4).cache()
+    edges.count()
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    sc.setJobGroup("chain", "components")
+    try:
+        found = dict(map(tuple, components.components(edges).collect()))
+        jobs = tracker.getJobIdsForGroup("chain")
+    finally:
+        sc._jsc.clearJobGroup()
+        edges.unpersist()
+    assert found == {**{i: 200 for i in range(200, 231)}, **{i: 1 for i in range(1, 40)}}
+    assert len(jobs) <= 80, len(jobs)
+
+
+def test_what_verified_pairs_connect_is_gone_through_once(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[:-2]), " ".join(words[::-1]), "alone"]
+    called, real = [], nearcopies.components
+    nearcopies.components = lambda e: (called.append(e), real(e))[1]
+    try:
+        found = dict(map(tuple, nearcopies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    finally:
+        nearcopies.components = real
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4} and len(called) == 1
