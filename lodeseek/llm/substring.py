@@ -160,20 +160,25 @@ def _of_documents(base: DataFrame, lists: DataFrame) -> DataFrame:
     return base.join(lists, (base["doc_id"] == lists["_id"]) & (base["_row_key"] == lists["_key"])).select("doc_id", "_row_key", "text", "list")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """A checkpoint of rows that are dealt out evenly, in few files: where a file's mode is set by a program, each file starts several from the executor."""
+    spark = df.sparkSession
+    return checkpoint(df.coalesce(max(4 * spark.sparkContext.defaultParallelism, partitions(spark) // 8)))
+
+
 def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
     """(doc_id, _row_key, runs array<struct<w0 long, n long>>): suffixes (by their first word) whose first ``width`` words also start one of a smaller document."""
     base = docs.select("doc_id", "_row_key", "text")
     found, hits, wanted, plain, inside_of = _found(base, width, seed), [], [], [], ()
     while True:
         # Both sides of these joins are dealt out anew, so that the adaptive planner can split a hot signature.
-        shared = checkpoint(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"))
-        keyed = checkpoint(found.join(shared, "key"))
-        strings = keyed.groupBy("key", "h").agg(F.min(F.struct("doc_id", "_row_key", "w0")).alias("first"), F.max("n").alias("n"), F.max("size").alias("size"))
-        strings = checkpoint(strings.select("key", "h", "first.*", "n", "size"))
-        sizes = checkpoint(strings.groupBy("key").agg(F.count("*").alias("strings"), F.sum("size").alias("bytes")))
+        shared = _written(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"))
+        strings = found.join(shared, "key").groupBy("key", "h").agg(F.min(F.struct("doc_id", "_row_key", "w0")).alias("first"), F.max("n").alias("n"), F.max("size").alias("size"))
+        strings = _written(strings.select("key", "h", "first.*", "n", "size"))
+        sizes = _written(strings.groupBy("key").agg(F.count("*").alias("strings"), F.sum("size").alias("bytes")))
         strings = strings.join(sizes, "key")
         large = (F.col("strings") > 1) & (F.col("bytes") > limit) if seed < width else F.lit(False)
-        hits.append(keyed)
+        hits.append(found)  # found anew rather than written: what is known of its strings picks those of shared groups
         plain.append(strings.where("strings = 1").select("key", "h", F.array(F.struct(F.lit(0).alias("o"), "n", F.col("doc_id").alias("least"))).alias("runs")))
         wanted.append(strings.where((F.col("strings") > 1) & ~large))
         # Each stands for more than ``limit`` bytes of distinct text, so that they are few.

@@ -26,3 +26,24 @@ def test_groups_are_split_without_shuffling_texts_again(spark):
         written.append(_shuffled(spark))
     assert found[0] == found[1] and sum(r[2] for r in found[0]) == 20 * 100
     assert written[2] - written[1] < 1.3 * (written[1] - written[0])
+
+
+def test_few_files_are_written_between_the_steps(spark, monkeypatch):
+    """Stretches are found anew rather than written, and what is written takes few files whatever the number of partitions: each file starts programs from the executor."""
+    taken, was = [], substring.checkpoint
+    monkeypatch.setattr(substring, "checkpoint", lambda df: taken.append(was(df)) or taken[-1])
+    texts = [" ".join(f"w{k % 7}x{i}" for i in range(120)) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    settings = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = substring.dedup_substrings(docs).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(r.n_removed for r in found) == 33 * 120
+    most = max(4 * spark.sparkContext.defaultParallelism, 96 // 8)
+    assert taken and all(df.rdd.getNumPartitions() <= most for df in taken)
+    assert not any(df.count() > df.select("key", "h").distinct().count() for df in taken if "h" in df.columns)
