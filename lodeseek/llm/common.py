@@ -5,8 +5,6 @@ Words are ``[^\\x20\\x09-\\x0D]+`` throughout: runs without ASCII white space.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -16,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import ship, tidy
 
 #: Bytes of text that the numpy code handles at once; one longer document is hashed in blocks of this size.
 BLOCK = 1 << 20
@@ -79,13 +77,6 @@ def arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
-def tidy() -> None:
-    """Gives freed memory back to the system: a worker that waits for its next task holds little."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

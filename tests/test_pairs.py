@@ -67,3 +67,16 @@ def test_exact_search_copies_no_pair_of_blocks_into_joined_rows(spark, table):
     _, tokens, queries, _ = table
     found = Q.search_bruteforce(tokens, queries, 3)
     assert "Join" not in found._jdf.queryExecution().toString() and found.count() == 30
+
+
+def test_blocks_are_packed_where_they_are_used(spark, table):
+    """One Python worker for a task: between packing and scoring, blocks would be sent in batches that grow with the table."""
+    _, tokens, queries, centroids = table
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(S.maxsim_blocks(tokens, queries, 3)).count("MapInArrow") == 1
+    assigned = Z.assign_nearest(tokens, centroids)
+    swept = Q.sweep_nprobe(assigned, centroids, queries, [1, 2], 3)
+    assert plan(swept).count("MapInArrow") == plan(assigned).count("MapInArrow") + 1
+    packed = S.packed_documents(tokens, DIM)
+    shown = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    assert shown(S.packed_scores(packed, queries)) == shown(S.packed_scores(packed.where("true").repartition(3), queries))
