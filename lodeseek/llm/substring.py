@@ -166,6 +166,17 @@ def _written(df: DataFrame) -> DataFrame:
     return checkpoint(df.coalesce(max(4 * spark.sparkContext.defaultParallelism, partitions(spark) // 8)))
 
 
+def _strings(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """The strings (key, h, doc_id, _row_key, w0, n, size) of the shared groups, each where it first stands.
+
+    They are grouped by another form of the key: by the key itself they would be grouped where they were joined, and the planner could not
+    split a hot signature there.
+    """
+    keyed = found.join(shared, "key").withColumn("key", F.bitwise_not("key"))
+    strings = keyed.groupBy("key", "h").agg(F.min(F.struct("doc_id", "_row_key", "w0")).alias("first"), F.max("n").alias("n"), F.max("size").alias("size"))
+    return strings.select(F.bitwise_not("key").alias("key"), "h", "first.*", "n", "size")
+
+
 def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
     """(doc_id, _row_key, runs array<struct<w0 long, n long>>): suffixes (by their first word) whose first ``width`` words also start one of a smaller document."""
     base = docs.select("doc_id", "_row_key", "text")
@@ -173,8 +184,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEED, limi
     while True:
         # Both sides of these joins are dealt out anew, so that the adaptive planner can split a hot signature.
         shared = _written(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"))
-        strings = found.join(shared, "key").groupBy("key", "h").agg(F.min(F.struct("doc_id", "_row_key", "w0")).alias("first"), F.max("n").alias("n"), F.max("size").alias("size"))
-        strings = _written(strings.select("key", "h", "first.*", "n", "size"))
+        strings = _written(_strings(found, shared))
         sizes = _written(strings.groupBy("key").agg(F.count("*").alias("strings"), F.sum("size").alias("bytes")))
         strings = strings.join(sizes, "key")
         large = (F.col("strings") > 1) & (F.col("bytes") > limit) if seed < width else F.lit(False)

@@ -47,3 +47,22 @@ def test_few_files_are_written_between_the_steps(spark, monkeypatch):
     most = max(4 * spark.sparkContext.defaultParallelism, 96 // 8)
     assert taken and all(df.rdd.getNumPartitions() <= most for df in taken)
     assert not any(df.count() > df.select("key", "h").distinct().count() for df in taken if "h" in df.columns)
+
+
+def test_a_hot_signature_is_split(spark):
+    """A group of most stretches is joined in several tasks: strings are dealt out anew after the join."""
+    found = spark.range(40_000).selectExpr("if(id % 10 < 9, 5L, id) as key", "id % 1000 as h", "id as doc_id", "0L as _row_key", "1 as w0", "2 as n", "3 as size").repartition(8)
+    shared = spark.createDataFrame([(5,), (7,)], "key long").repartition(2)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    kept = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        strings = substring._strings(found, shared)
+        rows = strings.collect()
+        plan = strings._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(rows) == 900 and {r.key for r in rows} == {5} and all(r.doc_id == r.h for r in rows)
+    assert "skew=true" in plan
