@@ -39,6 +39,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """The side of a join that must not go whole through the driver, however small the planner takes it to be.
+
+    It sizes a table by the files and columns that it comes from, as if an explode, a join or Python made no more rows of them. Joined
+    by sorting, hot keys are still split.
+    """
+    return df.hint("merge")
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a checkpoint that nothing reads any more."""
     file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, discard
+from .common import checkpoint, discard, merged
 
 
 def _joined(edges: DataFrame, end: str, least: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def _joined(edges: DataFrame, end: str, least: DataFrame) -> DataFrame:
     splitting the edges of a hub over several tasks.
     """
     least = least.select(F.col("u").alias("_u"), "m")
-    return edges.join(least, edges[end] == least["_u"]).select("u", "v", "m")
+    return edges.join(merged(least), edges[end] == least["_u"]).select("u", "v", "m")
 
 
 def _around(edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, checkpoint, cut, partitions
+from .common import arrow, checkpoint, cut, merged, partitions
 from .components import components
 
 #: Members of one signature group beyond which the group is indexed anew by a quarter of the other half.
@@ -78,13 +78,13 @@ def fingerprint_links(fps: DataFrame, bits: int = 2) -> DataFrame:
     index = fps.select("fp", F.explode(F.array(*variants(half(fp, 0), 32, 0), *variants(half(fp, 1), 32, 33))).alias("x")).select("fp", "x.*")
     sizes = index.groupBy("kind", "key").agg(F.count("*").alias("n"))
     sizes = checkpoint(sizes.where("n > 1"))  # written, so that the planner can split a hot key of the join
-    index = checkpoint(index.join(sizes, ["kind", "key"]))
+    index = checkpoint(index.join(merged(sizes), ["kind", "key"]))
 
     def pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
         a = rows.select(*keys, F.col("fp").alias("a"), F.col("side").alias("sa"))
         b = rows.select(*keys, F.col("fp").alias("b"), F.col("side").alias("sb"))
         apart = ((F.col("sa") == -1) & (F.col("a") < F.col("b"))) | ((F.col("sa") == 0) & (F.col("sb") == 1))
-        return a.join(b, keys_equal(a, b, keys) & apart & _near("a", "b", bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return a.join(merged(b), keys_equal(a, b, keys) & apart & _near("a", "b", bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def keys_equal(a: DataFrame, b: DataFrame, keys: list[str]):
         out = a[keys[0]] == b[keys[0]]
@@ -104,7 +104,7 @@ def fingerprint_links(fps: DataFrame, bits: int = 2) -> DataFrame:
     outer = (F.col("sa") == F.col("sb")) & (F.col("sa") == -1) | (F.col("sa") == 0) & (F.col("sb") == 1)
     apart = ((F.col("sa") == 0) | (F.col("a") < F.col("b"))) & ((F.col("ta") == -1) & (F.col("tb") == -1) | (F.col("ta") >= 0) & (F.col("tb") >= 0) & (F.col("ta") != F.col("tb")))
     equal = (a["kind"] == b["kind"]) & (a["key"] == b["key"]) & (a["kind2"] == b["kind2"]) & (a["key2"] == b["key2"])
-    split = a.join(b, equal & outer & apart & _near("a", "b", bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    split = a.join(merged(b), equal & outer & apart & _near("a", "b", bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs(small, ["kind", "key"]).union(split).distinct()
 
 
@@ -121,10 +121,10 @@ def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     links = fingerprint_links(nodes.select("fp").repartition(partitions(docs.sparkSession), "fp"), bits)
     graph = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # Components are found over fingerprints; each is then named by its smallest doc_id.
-    of = nodes.join(graph, nodes["fp"] == graph["id"], "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("root"))
+    of = nodes.join(merged(graph), nodes["fp"] == graph["id"], "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("root"))
     names = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = of.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
-    joined = rows.join(named, rows["fp"] == named["_fp"], "left")
+    named = of.join(merged(names), "root").select(F.col("fp").alias("_fp"), "component_id")
+    joined = rows.join(merged(named), rows["fp"] == named["_fp"], "left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,6 +1,6 @@
 """The near copies' SimHash step, and the number of jobs that components take."""
 
-from lodeseek.llm import components, nearcopies
+from lodeseek.llm import components, nearcopies, simhash
 
 
 def test_simhash_pairs_are_all_within_two_bits(spark):
@@ -55,3 +55,19 @@ def test_what_verified_pairs_connect_is_gone_through_once(spark):
     finally:
         nearcopies.components = real
     assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4} and len(called) == 1
+
+
+def _planned(module, monkeypatch) -> list[str]:
+    """The plans of what a module writes between its steps."""
+    plans, real = [], module.checkpoint
+    monkeypatch.setattr(module, "checkpoint", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    return plans
+
+
+def test_groups_of_fingerprints_do_not_go_through_the_driver(spark, monkeypatch, tmp_path):
+    """A few fingerprints make 66 times as many rows of the index, and the planner takes them to be as few."""
+    spark.createDataFrame([(k * 0x0102_0408_1122_3344 ^ (1 << b),) for k in range(1, 40) for b in range(3)], "fp long").write.parquet(str(tmp_path / "fps"))
+    plans = _planned(simhash, monkeypatch)
+    links = simhash.fingerprint_links(spark.read.parquet(str(tmp_path / "fps")))
+    assert links.count() == 39 * 3
+    assert len(plans) == 2 and not [p for p in plans if "Broadcast" in p]
