@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow, bounds, checkpoint, cut, flat, fresh, grams, quoted, signed, span_hashes, window_minima
+from .common import arrow, bounds, checkpoint, cut, flat, fresh, grams, merged, quoted, signed, span_hashes, window_minima
 
 RUN = 3
 #: Words by which a run of fewer than RUN lines counts in the pipeline.
@@ -94,10 +94,10 @@ def matches(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFr
     found = arrow(docs.select("doc_id", "_row_key", "text"), scan, schema)
     # Both sides of these joins are dealt out anew, so that the adaptive planner can split a frequent line or passage.
     often = checkpoint(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
-    near = checkpoint(found.join(often, "fp").select("doc_id", "_row_key", F.explode("wins").alias("w")).select("doc_id", "_row_key", "w.*"))
+    near = checkpoint(found.join(merged(often), "fp").select("doc_id", "_row_key", F.explode("wins").alias("w")).select("doc_id", "_row_key", "w.*"))
     place = F.struct("doc_id", "_row_key", "s")
     first = checkpoint(near.groupBy("k1", "k2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "least"))
-    later = near.join(first, ["k1", "k2"]).where(place > F.col("least"))
+    later = near.join(merged(first), ["k1", "k2"]).where(place > F.col("least"))
     seed = F.struct("s", F.col("least.doc_id").alias("source_id"), F.col("least._row_key").alias("source_key"), F.col("least.s").alias("source_s"))
     return later.groupBy("doc_id", "_row_key").agg(F.collect_set(seed).alias("seeds"))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, bounds, checkpoint, cut, flat, grams, mix, partitions, signed, span_hashes
+from .common import arrow, bounds, checkpoint, cut, flat, grams, merged, mix, partitions, signed, span_hashes
 from .components import components
 from .simhash import BITS, fingerprint_links
 
@@ -95,15 +95,15 @@ def _may_be_near(a: str, b: str):
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, hashes) of the nodes among ids (node)."""
-    wanted = nodes.join(ids, "node").select(F.col("doc").alias("doc_id"), "node")
+    wanted = nodes.join(merged(ids), "node").select(F.col("doc").alias("doc_id"), "node")
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     # Rows that share a doc_id may hold other texts: the node tells them apart.
-    return checkpoint(_sets(texts).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    return checkpoint(_sets(texts).join(merged(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b, na, nb) whose shingle sets are as similar as NEAR, as (u, v)."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    both = pairs.join(merged(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))), "a").join(merged(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     return checkpoint(both.where(sum(NEAR) * common >= NEAR[0] * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -177,9 +177,9 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
     """
     held = nodes.where("n > 0").select("node", "n", "fp")
     first = checkpoint(held.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")))
-    same = held.join(first, "fp").where("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
+    same = held.join(merged(first), "fp").where("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
     links = fingerprint_links(first.select("fp").repartition(partitions(nodes.sparkSession), "fp"))
-    side = lambda x: first.select(F.col("fp").alias(f"_{x}"), F.col("first.node").alias(x), F.col("first.n").alias(f"n{x}"))
+    side = lambda x: merged(first.select(F.col("fp").alias(f"_{x}"), F.col("first.node").alias(x), F.col("first.n").alias(f"n{x}")))
     near = links.toDF("_a", "_b").join(side("a"), "_a").join(side("b"), "_b").select("a", "b", "na", "nb")
     return same.union(near).where(_may_be_near("na", "nb"))
 
@@ -197,26 +197,26 @@ def groups(docs: DataFrame) -> DataFrame:
     nodes = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     index = nodes.where("n > 0").select("node", "n", F.explode("bands").alias("key"))
     sizes = checkpoint(index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    index = checkpoint(index.join(sizes, "key"))
+    index = checkpoint(index.join(merged(sizes), "key"))
     meets = index.groupBy("node").agg(F.sum("members").alias("meets"))
-    index = checkpoint(index.join(meets, "node").select("key", "node", "n", "meets"))
+    index = checkpoint(index.join(merged(meets), "node").select("key", "node", "n", "meets"))
     middle = checkpoint(index.groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("middle")))  # written, so that the planner can split a hot band of the join
-    star = index.join(middle, "key").where("node <> middle.node")
+    star = index.join(merged(middle), "key").where("node <> middle.node")
     star = star.select(F.col("middle.node").alias("a"), F.col("node").alias("b"), F.col("middle.n").alias("na"), F.col("n").alias("nb"))
     pairs = checkpoint(star.where(_may_be_near("na", "nb")).union(_simhash_pairs(nodes)).distinct())
     sets = _sets_of(docs, nodes, index.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct())
     links = _verified(sets, pairs)
     of = components(links)
-    rooted = index.join(of, index["node"] == of["id"], "left").select("key", "node", F.coalesce("component_id", "node").alias("root"))
+    rooted = index.join(merged(of), index["node"] == of["id"], "left").select("key", "node", F.coalesce("component_id", "node").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")).where("x <> y").select("key", "tiles")
-    members = checkpoint(rooted.join(checkpoint(open_), "key"))
-    more = checkpoint(_tile_links(members.join(sets, "node").select("key", "tiles", "node", "root", "hashes")))
-    of = nodes.join(of, nodes["node"] == of["id"], "left").select("node", "doc", F.coalesce("component_id", "node").alias("root"))
+    members = checkpoint(rooted.join(merged(checkpoint(open_)), "key"))
+    more = checkpoint(_tile_links(members.join(merged(sets), "node").select("key", "tiles", "node", "root", "hashes")))
+    of = nodes.join(merged(of), nodes["node"] == of["id"], "left").select("node", "doc", F.coalesce("component_id", "node").alias("root"))
     if not more.isEmpty():  # few: they join components that are found already, and only these are gone through again
         graph = components(more)
-        of = of.join(graph, of["root"] == graph["id"], "left").select("node", "doc", F.coalesce("component_id", "root").alias("root"))
-    named = of.join(of.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("node", "component_id")
-    return rows.join(named, "node").select("doc_id", "component_id")
+        of = of.join(merged(graph), of["root"] == graph["id"], "left").select("node", "doc", F.coalesce("component_id", "root").alias("root"))
+    named = of.join(merged(of.groupBy("root").agg(F.min("doc").alias("component_id"))), "root").select("node", "component_id")
+    return rows.join(merged(named), "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """The near copies' SimHash step, and the number of jobs that components take."""
 
-from lodeseek.llm import components, nearcopies, simhash
+from pyspark.sql import functions as F
+
+from lodeseek.llm import components, linededup, nearcopies, simhash
 
 
 def test_simhash_pairs_are_all_within_two_bits(spark):
@@ -71,3 +73,13 @@ def test_groups_of_fingerprints_do_not_go_through_the_driver(spark, monkeypatch,
     links = simhash.fingerprint_links(spark.read.parquet(str(tmp_path / "fps")))
     assert links.count() == 39 * 3
     assert len(plans) == 2 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_bands_and_lines_do_not_go_through_the_driver(spark, monkeypatch, tmp_path):
+    texts = ["\n".join(f"w{i // 4}x{k} a b c" for k in range(60 + i % 4)) for i in range(12)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs, plans = spark.read.parquet(str(tmp_path / "docs")), [_planned(m, monkeypatch) for m in (nearcopies, linededup)]
+    linededup.dedup_lines(docs).count()
+    monkeypatch.setattr(nearcopies, "components", lambda edges: edges.select("u", F.least("u", "v").alias("m")).toDF("id", "component_id").limit(0))
+    nearcopies.groups(docs)
+    assert all(plans) and not [p for ps in plans for p in ps if "Broadcast" in p]
