@@ -2,10 +2,13 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
+import __spark_entry__ as entry
 import numpy as np
 
-from lodeseek.operators import encode, graph, passages
+from lodeseek.operators import blocks, encode, graph, passages
+from lodeseek.sources import storage
 
 
 # Whole texts
@@ -53,6 +56,29 @@ def test_windows_hold_every_token(spark, monkeypatch):
     assert passages.encode_windows(docs.where("doc_id = 99"), encoder).count() == 0
 
 
+def test_stored_windows_are_the_same_blocks_in_few_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(passages, "WHOLE", 600)
+    monkeypatch.setattr(blocks, "SHARED", 3000)
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(d, " ".join(rng.choice("abcdefgh") + str(rng.randrange(200)) for _ in range(n))) for d, n in enumerate([0, 1, 3000, *[200] * 60])], "doc_id long, text string").coalesce(2)
+    packed = passages.encode_windows(docs, encode.DigestEncoder(), 50, 10, single=True)
+    rows = lambda df: sorted(map(tuple, df.select("key", "ids", "subs", "data").collect()))
+    blocks.compacted(packed).write.parquet(str(tmp_path / "stored"), compression="zstd")
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    assert rows(blocks.expanded(stored)) == rows(packed) and 1 < stored.count() < packed.count()
+    assert blocks.expanded(blocks.compacted(packed.where("key = 7"))).isEmpty()
+
+
+def test_stored_passages_take_few_bytes(spark, monkeypatch):
+    """The store was some 15 times as large as the files of the texts."""
+    data = "/root/testdata/sf0.01"
+    kept, real = [], storage.built
+    monkeypatch.setattr(storage, "built", lambda *a, **k: (kept.append(real(*a, **k)), kept[-1])[1])
+    entry.queries()["stored_passages"](spark, data).count()
+    size = sum(f.stat().st_size for f in Path(kept[0].removeprefix("file:")).iterdir())
+    assert size < 7 * Path(f"{data}/documents.parquet").stat().st_size
+
+
 def test_containing(spark):
     docs = [(1, "a b c d e f g h i j"), (2, "xa b c d e f gx"), (3, "a b c d  e f g"), (4, None), (5, ""), (6, "b c"), (1, "again b c")]
     asked = [(1, "a b c d e f g"), (2, "b c"), (3, "b c d e f"), (4, None), (5, "a b c"), (6, "q"), (7, "b c")]
