@@ -94,10 +94,12 @@ def encode_docs(docs: DataFrame, encoder: Encoder | Lazy | None = None, max_len:
     return _encode(_tokens(docs, "[D] ", tokenizer).select("doc_id", tokens.alias("tokens")), encoder or HashEncoder(), pooled=False)
 
 
-def encode_queries(queries: DataFrame, encoder: Encoder | Lazy | None = None, max_len: int = 32, augment: bool = False, tokenizer=None) -> DataFrame:
-    """(query_id, text) -> (query_id, q_tok, qvec): augment pads with MASK up to max_len, so that every query has max_len - 2 vectors."""
+def encode_queries(queries: DataFrame, encoder: Encoder | Lazy | None = None, max_len: int | None = 32, augment: bool = False, tokenizer=None) -> DataFrame:
+    """(query_id, text) -> (query_id, q_tok, qvec): augment pads with MASK up to max_len, so that every query has max_len - 2 vectors. max_len None: whole texts, with a vector for each token."""
+    if augment and max_len is None:
+        raise ValueError("only a length can be filled up")
     words = F.col("tokens")
-    tokens = T.keep_mask(T.pad(words, max_len)) if augment else T.drop_ends(T.with_specials(T.truncate(words, max_len)))
+    tokens = words if max_len is None else T.keep_mask(T.pad(words, max_len)) if augment else T.drop_ends(T.with_specials(T.truncate(words, max_len)))
     rows = _tokens(queries.select(F.col("query_id").alias("doc_id"), "text"), "[Q] ", tokenizer)
     out = _encode(rows.select("doc_id", tokens.alias("tokens")), encoder or HashEncoder(), pooled=False)
     return out.select(F.col("doc_id").alias("query_id"), F.col("pos").alias("q_tok"), F.col("vec").alias("qvec"))

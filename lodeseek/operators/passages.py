@@ -22,6 +22,8 @@ from .scoring import top_k
 #: Vectors of a document that stay in one block; a longer document is cut into parts, whose scores are combined by document.
 WHOLE = 1 << 16
 MARKER = ("[D]",)
+#: Of the tokens of a passage that is held, the most by which their best scores together stay below their number.
+LACK = 0.05
 #: Keys of blocks of whole documents, and of parts of long ones.
 COMPLETE, PART = 0, 1
 
@@ -130,7 +132,12 @@ def search_windows(packed: DataFrame, queries: DataFrame, k: int = 100) -> DataF
 
 
 def holding(packed: DataFrame, queries: DataFrame, share: float = 0.9999) -> DataFrame:
-    """(query_id, doc_id): all documents that have, for each query token, nearly the same one: where a passage that the query repeats may stand."""
+    """(query_id, doc_id): all documents that have, for each query token, nearly the same one: where a passage that the query repeats may stand.
+
+    However many tokens a query has, one that is missing is not made up for by the others: LACK is the most that all of them may lack.
+    """
+    most = queries.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
+    share = max(share, 1 - LACK / most)
     return window_scores(packed, queries, share=share).select("query_id", "doc_id")
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 from pathlib import Path
 
 import __spark_entry__ as entry
+import duckdb
 import numpy as np
 
 from lodeseek.operators import blocks, encode, graph, passages
@@ -79,6 +80,19 @@ def test_stored_passages_take_few_bytes(spark, monkeypatch):
     assert size < 7 * Path(f"{data}/documents.parquet").stat().st_size
 
 
+def test_stored_passages_ask_for_whole_passages(spark, tmp_path):
+    """A document with the first 31 words of a passage of 3,040 does not hold it, nor does one that lacks only the last; a short passage is as before."""
+    long = [f"p{i}" for i in range(3040)]
+    docs = [(1, " ".join(long)), (2, " ".join(long[:31])), (3, " ".join(long[:-1])), (4, "short one"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(long)), (8, "one short"), (9, "p1 p2 far")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {tuple(r) for r in entry.queries()["stored_passages"](spark, str(tmp_path)).collect()}
+    sql = entry.oracle_sql()["stored_passages"]
+    for name in ("documents", "benchmark"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert found == set(duckdb.sql(sql).fetchall()) == {(7, 1), (8, 4)}
+
+
 def test_containing(spark):
     docs = [(1, "a b c d e f g h i j"), (2, "xa b c d e f gx"), (3, "a b c d  e f g"), (4, None), (5, ""), (6, "b c"), (1, "again b c")]
     asked = [(1, "a b c d e f g"), (2, "b c"), (3, "b c d e f"), (4, None), (5, "a b c"), (6, "q"), (7, "b c")]
